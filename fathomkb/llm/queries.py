@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, near_dedup, url_filter, warc
+from . import ann, decontaminate, near_dedup, pieces, url_filter, warc
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -22,15 +22,23 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(_read(spark, sf_dir, "documents")))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filters, op7_nearest_neighbours, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filters, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op10_warc)}
 
 ORACLES = {
     "op2_minhash_near_dedup": r"""
