@@ -113,6 +113,16 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _shingle_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = shingles(batch.column(2)[i].as_py(), words)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), pa.repeat(batch.column(1)[i], len(s)), pa.array(s.view(np.int64))], ["rep", "c", "shingle"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 
@@ -122,7 +132,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets become one class first, whatever the number of copies. In each band bucket every class is checked
     against the smallest; then only buckets that still hold several components are compared further, members
     outside their largest component against all. Classes that are already connected need no further pair, so a
-    huge group costs one check a member and band, and no link between different groups is lost.
+    huge group costs one check a member and band. A link between two components can only rest on shingles that both
+    have: these are counted for each class, and a pair is formed only if the smaller count could still give
+    the similarity. The count is an upper bound of the intersection, so no link is lost.
 
     Null or empty text: n_shingles 0, a component of its own. Null doc_id: component_id null and kept false; the
     row links nothing. Repeated rows are returned as often as they occur, with one component. Two texts under
@@ -138,19 +150,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"  # sets of other sizes cannot reach it
     first = cut(shared.filter("rep <> head and " + near.format(a="n", b="head_n")).select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
 
+    texts = cut(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+
     def links(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = cut(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
         with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
         return cut(with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v").select("u", "v", "ut", "vt").mapInArrow(_verify(words, percent), "u long, v long"), "links")
 
     found = links(first)
     so_far = cut(components(found), "components")
     labelled = cut(shared.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c")), "labelled")
-    largest = labelled.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
-    mixed = labelled.join(largest, "band")
-    other = mixed.filter("c <> top").select("band", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    more = mixed.join(other, "band").filter("c <> c2 and " + near.format(a="n", b="n2")).select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    mixed = labelled.join(labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band"), "band")
+    rows_ = cut(mixed.select(F.col("rep").alias("doc_id"), "c").distinct().join(texts, "doc_id").select("doc_id", "c", "text").mapInArrow(_shingle_rows(words), "rep long, c long, shingle long"), "shingles")
+    both = rows_.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
+    outside = rows_.join(both, "shingle").groupBy("rep").agg(F.count("*").alias("s"))
+    could = f"{100 + percent} * least({{s}}, {{t}}) >= {percent} * ({{a}} + {{b}})"
+    able = mixed.join(outside, "rep")
+    able = cut(able.join(able.groupBy("band").agg(F.min("n").alias("least_n")), "band").filter(could.format(s="s", t="s", a="n", b="least_n")).drop("least_n"), "able")
+    largest = able.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
+    left = able.join(largest, "band")
+    other = left.filter("c <> top").select("band", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    pair = left.join(other, "band").filter("c <> c2 and " + near.format(a="n", b="n2") + " and " + could.format(s="s", t="s2", a="n", b="n2"))
+    more = pair.select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     late = links(cut(more, "more"))
     final = cut(components(found.unionByName(late)), "components")
     of_class = classes.select("set_hash", "rep").join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
