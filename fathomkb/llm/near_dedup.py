@@ -176,3 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("set_hash", "rep").join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sig.drop("bands").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id and text) without the rows whose component has a smaller id; of rows that repeat the kept id, one; rows without an id stay."""
+    found = near_duplicates(docs)
+    drop = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("copy_id")).distinct()
+    rest = docs.join(drop, F.col("doc_id").cast("long") == F.col("copy_id"), "left_anti")
+    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(rest.filter("doc_id is null"))

@@ -152,3 +152,18 @@ def score_quality(docs: DataFrame, model: GatedAttention) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: GatedAttention, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier accepts (score >= 0.5)."""
+    shared, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), 1 << 21):
+                x = [encode(t.as_py()) for t in column.slice(a, b - a)]
+                y = shared.value.forward(np.concatenate(x), np.cumsum([0, *map(len, x[:-1])]))["y"]
+                yield batch.slice(a, b - a).filter(pa.array(y >= 0.5))
+
+    return docs.mapInArrow(run, schema)
