@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ SHA1_BASE32 = """array_join(transform(sequence(0, 31), i -> substring('ABCDEFGHI
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_a_file: int = 1000) -> None:
-    """Write a record per row of pages (page_id, url, html) as uncompressed WARC files in a folder.
+    """Write a record per row of pages (page_id, url, html) as gzipped WARC files in a folder.
 
     Of equal payloads of at least min_payload bytes, the row with the largest page_id is the response and the
     others are revisits that refer to it; smaller payloads are all responses. Null html is an empty payload, null
@@ -37,7 +38,7 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_a_file
         '\r\nWARC-Payload-Digest: sha1:', digest, '\r\nContent-Type: application/http;msgtype=response\r\n',
         if({revisit}, concat('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:', top, '>\r\n'), ''),
         'Content-Length: ', {len(HTTP)} + if({revisit}, 0, n), '{GAP}{HTTP}', if({revisit}, '', html))""".replace("\r\n", "\\r\\n"))
-    p.join(top, "sha").withColumn("digest", F.expr(SHA1_BASE32)).select(text.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_a_file).text(path)
+    p.join(top, "sha").withColumn("digest", F.expr(SHA1_BASE32)).select(text.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,6 +47,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             data, rows = content.as_py(), []
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
             for m in re.finditer(re.escape(MAGIC.encode()), data):
                 end = data.find(GAP.encode(), m.start())
                 head = data[m.end() - 2 : end]
@@ -83,7 +86,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The real records of the archives in a folder: file, at, type, record_id, url, refers_to, n, digest (of the payload), said_digest.
 
     A magic inside a payload gives a candidate that no chain from its file's start reaches, and so goes. Each file is
-    read by one task; write_warc bounds the files.
+    read by one task (offsets are those of the unpacked file); write_warc bounds the files.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     found = cut(files.mapInArrow(_candidates, "file string, at long, next long, type string, record_id string, url string, said_digest string, refers_to string, n long, digest string"), "candidates")
