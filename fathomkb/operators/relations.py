@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ def coverage(relations: DataFrame) -> DataFrame:
 
 
 def incident(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Relations whose subject or object is among ids; each once."""
-    one = ids.select(F.col("id").alias("hit_id")).distinct()
-    ends = relations.withColumn("end", F.explode(F.array_distinct(F.array("subject", "object"))))
-    return ends.join(one, F.col("end") == F.col("hit_id"), "left_semi").drop("end").distinct()
+    """Relations whose subject or object is among ids; repeated rows stay."""
+    one = ids.select("id").distinct()
+    at = lambda c: one.select(F.col("id").alias(f"{c}_id"))
+    both = relations.join(at("subject"), F.col("subject") == F.col("subject_id"), "left").join(at("object"), F.col("object") == F.col("object_id"), "left")
+    return both.filter("subject_id is not null or object_id is not null").drop("subject_id", "object_id")
 
 
 def merge_relations(relations: DataFrame) -> DataFrame:
@@ -58,15 +61,11 @@ def neighbourhood(relations: DataFrame, node: str, depth: int) -> DataFrame:
 
     The frontier of a round is a DataFrame that joins the edges; nothing is collected.
     """
-    spark = relations.sparkSession
-    seen = frontier = spark.createDataFrame([(node,)], "id string")
-    edges = None
+    frontier, rounds = relations.sparkSession.createDataFrame([(node,)], "id string"), []
     for _ in range(max(1, depth)):
-        hit = incident(relations, frontier)
-        edges = hit if edges is None else edges.unionByName(hit)
-        ends = hit.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
-        frontier = ends.join(seen, "id", "left_anti")
-        seen = seen.unionByName(frontier)
+        rounds.append(incident(relations, frontier))
+        frontier = rounds[-1].select(F.explode(F.array("subject", "object")).alias("id")).distinct()  # nodes seen before add no edge of their own
+    edges = reduce(DataFrame.unionByName, rounds)
     return edges.groupBy("id").agg(F.max_by(F.struct("subject", "predicate", "object", "status"), F.struct("seq", "status")).alias("r")).select("id", "r.*").orderBy("id")
 
 
@@ -92,20 +91,19 @@ def reachable(relations: DataFrame, start: str, predicates: list[str], levels: i
 def reachable_levels(relations: DataFrame, start: str, predicates: list[str], levels: int = 8) -> DataFrame:
     """The same by frontier rounds with distinct, for dense graphs."""
     edges = relations.filter(F.col("predicate").isin(predicates)).select("subject", "object").distinct()
-    seen = relations.sparkSession.createDataFrame([(start, 0)], "id string, level int")
-    frontier = seen
+    frontier, rounds = relations.sparkSession.createDataFrame([(start,)], "id string"), []
     for level in range(1, levels + 1):
-        frontier = frontier.join(edges, F.col("id") == F.col("subject")).select(F.col("object").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(level).alias("level"))
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.col("id") != start)
+        frontier = frontier.join(edges, F.col("id") == F.col("subject")).select(F.col("object").alias("id")).distinct()
+        rounds.append(frontier.withColumn("level", F.lit(level)))
+    return reduce(DataFrame.unionByName, rounds).filter(F.col("id") != start).groupBy("id").agg(F.min("level").alias("level"))
 
 
 def fixpoint_members(bases: DataFrame, seeds: list[str], levels: int = 12) -> DataFrame:
     """Names whose bases (name, base) lead to a seed, through any number of classes up to `levels`."""
-    grown = bases.filter(F.col("base").isin(seeds)).select("name").distinct()
+    rounds = [bases.filter(F.col("base").isin(seeds)).select("name").distinct()]
     for _ in range(levels - 1):
-        grown = grown.unionByName(bases.join(grown.select(F.col("name").alias("base")), "base", "left_semi").select("name")).distinct()
-    return grown
+        rounds.append(bases.join(rounds[-1].select(F.col("name").alias("base")), "base", "left_semi").select("name").distinct())
+    return reduce(DataFrame.unionByName, rounds).distinct()
 
 
 def call_clusters(symbols: DataFrame, relations: DataFrame, least: int = 2, predicates: tuple[str, ...] = ("calls",)) -> DataFrame:
