@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 4
-SENTINEL, CACHE = -1e8, 150_000
+SENTINEL, CACHE = -1e8, 250_000
+MARKS = ".,!*#%$&|?;:"
 
 Path = tuple[int, tuple[int, ...]]  # score, ids
 
@@ -64,8 +65,14 @@ class Lattice:
             self.raw[i] = bytes([b])
         alone = all(" " not in p.lstrip(" ") for p in pieces)
         breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces))
-        # no piece reaches over the edge of a unit, so units are segmented one by one
-        self.unit = re.compile(f" *[^ {breaks}]+| +|[{breaks or ' '}]" if alone else r"(?s).+")
+        # no piece reaches over the edge of a unit: a space, a break, or a mark after a character that no piece has before it
+        before: dict[str, set[str]] = {}
+        for p in pieces:
+            for x, y in zip(p, p[1:]):
+                before.setdefault(y, set()).add(x)
+        go_on = "".join(rf"|(?<=[{re.escape(''.join(sorted(before[c] - {' '})))}]){re.escape(c)}" for c in MARKS if before.get(c, set()) - {" "})
+        marks = re.escape(MARKS)
+        self.unit = re.compile(f" *[^ {breaks}](?:[^ {breaks}{marks}]+{go_on})*| +|[{breaks or ' '}]" if alone else r"(?s).+")
         self.known = _Known(self.unit_best)
 
     def edges(self, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
