@@ -1,0 +1,372 @@
+"""Each operator against brute force or a round trip, and on nulls, empty and long texts, repeats, ties and clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from fathomkb.llm import ann, decontaminate, licenses, near_dedup, pieces, quality, secrets, substring_dedup, url_filter, warc
+from fathomkb.llm.graph import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int, u long, key string"
+rng = random.Random(5)
+VOCAB = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return [r.choice(VOCAB) for _ in range(n)]
+
+
+def frame(spark, rows):
+    """Documents with columns whose names clash with those that operators use inside."""
+    return spark.createDataFrame([(i, t, "en", "s1", len(t or ""), 9.9, 3, 1, "k") for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = words(120, 1)
+    near = [*base[:60], "changed", *base[61:]]
+    far = [*base[:40], *words(80, 2)]
+    return [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(base)), (5, None), (6, ""), (7, "one two"), (8, "ONE\ttwo"), (None, " ".join(base)), (9, " ".join(words(3000, 3))), (9, " ".join(words(3000, 3))), (10, " \n ")]
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a != b and (both := len(sets[a] & sets[b])) and 100 * both >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    return root, {i: len(s) for i, s in sets.items()}
+
+
+def test_near_dedup_equals_brute_force(spark, texts):
+    got = near_dedup.near_duplicates(frame(spark, texts)).collect()
+    root, size = brute_components(texts)
+    assert len(got) == len(texts)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept is False
+        else:
+            assert (r.component_id, r.n_shingles, r.kept) == (root[r.doc_id], size[r.doc_id], root[r.doc_id] == r.doc_id)
+    assert near_dedup.near_duplicates(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_near_dedup_random_groups(spark):
+    rows, r = [], random.Random(8)
+    for g in range(12):
+        base = words(60, 100 + g)
+        for k in range(9):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(VOCAB)
+            rows.append((g * 100 + k, " ".join(w)))
+    root, _ = brute_components(rows)
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()} == root
+
+
+def test_representatives_keep_rows_without_id(spark, texts):
+    kept = near_dedup.keep_representatives(frame(spark, texts))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+    assert sorted((x.doc_id for x in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, 6, 7, 9, 10, None]
+
+
+def test_superminhash_estimates_and_ranks():
+    a, b = np.arange(1000, dtype=np.uint64), np.arange(250, 1250, dtype=np.uint64)
+    h = near_dedup.superminhash(near_dedup.mix64(np.concatenate([a, b])), np.repeat([0, 1], 1000), 2, 512)
+    assert abs((h[0] == h[1]).mean() - 0.6) < 0.08
+    one = near_dedup.superminhash(np.array([77], np.uint64), np.array([0]), 1, 64)[0]
+    assert sorted((one >> np.uint64(32)).tolist()) == list(range(64))  # a single element's ranks are a permutation
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(20)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
+    got = dict(components(spark.createDataFrame(links, "u long, v long")).collect())
+    assert got == {**{i: 0 for i in range(21)}, **{100 + k: 100 for k in range(30)}}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_gear_resists_insertions_and_matches_its_recurrence():
+    data = " ".join(words(2000, 4)).encode()
+    h, want = substring_dedup.gear(np.frombuffer(data, np.uint8)), 0
+    for i, c in enumerate(data[:200]):
+        want = ((want << 1) + int(substring_dedup.GEAR[c])) & 0xFFFFFFFF
+        assert int(h[i]) == want
+    cut = lambda d: [d[a:b] for a, b in zip([0, *e[:-1]], e)] if (e := substring_dedup.boundaries(np.frombuffer(d, np.uint8))) else []
+    a, b = cut(data), cut(b"inserted text here " + data)
+    assert b"".join(a) == data and len(set(a) & set(b)) > 0.95 * len(set(a))
+    assert all(c.decode() for c in cut("äöü€".encode() * 300)) and cut(b"") == [] and max(map(len, cut(b"x" * 5000))) <= substring_dedup.MOST
+
+
+def test_repeated_spans(spark):
+    passage = " ".join(words(60, 11))
+    rows = [(1, " ".join(words(50, 12)) + " " + passage + " " + " ".join(words(70, 13))), (2, passage + " " + " ".join(words(90, 14))), (3, " ".join(words(150, 15))), (4, None), (5, ""), (6, " ".join(words(20, 16))), (None, passage), (3, " ".join(words(150, 15))), (7, " ".join([*words(8, 17)] * 20))]
+    got = substring_dedup.repeated_spans(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.keeper_id == 1 for r in got)
+    for r in got:
+        text = dict(rows[:2])[r.doc_id].encode()[r.start : r.stop].decode()
+        assert text in passage and r.words >= substring_dedup.MIN_WORDS and r.removable == (r.doc_id == 2)
+    assert substring_dedup.repeated_spans(frame(spark, rows).limit(0)).count() == 0
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def brute_url(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    k = min([i for i, c in enumerate(rest) if c in "/?#"], default=len(rest))
+    host = "".join(c.lower() if c.isascii() else c for c in rest[:k])
+    path = rest[k:].split("?")[0].split("#")[0]
+    fit = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else "allow"
+
+
+def test_url_filter(spark):
+    urls = ["https://A.Example.org/es/x", "http://example.org/en/1?x#y", "http://example.org/en/2", "http://notexample.org/es/", "http://x.com/de/#t", "http://com/fr/", "http://x.com/fr", "x.com/de/", None, "", "://", "http://org", "http://org?/a", "http://ÄA.org/ü", "http://u@a.b.c.example.org:80/es/", "http://a.com/de/" + "z" * 5000, "a://b://c/de/", "http://x.com/de/#t"]
+    df = spark.createDataFrame([(i if i else None, u, "h", "r", "v") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string, verdict string")
+    got = url_filter.filter_urls(df, RULES).collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((i if i else None, *brute_url(u)) for i, u in enumerate(urls))
+    assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
+    assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
+
+
+def test_url_digest_collisions_are_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
+    index = url_filter.DigestIndex(spark, RULES)
+    index.open()
+    assert index.find(["com/de/", "com/xx/", "org/"]) == ["block", None, "allow"]
+
+
+def test_quality_learns_without_held_out_rows_or_other_columns(spark):
+    rows = [(i, " ".join(words(90, i)) if i % 2 else " ".join(w + "!!" for w in map(str.upper, words(90, i)))) for i in range(160)]
+    rows += [(1000, None), (1001, ""), (None, "a b"), (1003, "x " * 20000), (1003, "x " * 20000)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = quality.score_quality(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held) and len(held) > 30
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held if r.doc_id < 160]) > 0.95
+    flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 3 = 1, 1 - quality, quality) quality")
+    assert np.allclose(quality.train(docs, flipped).p["W"], model.p["W"])
+    assert quality.keep(docs, model).columns == docs.columns
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+    assert quality.score_quality(docs, quality.train(docs, labels.limit(0))).count() == len(rows)
+
+
+def test_gated_attention_gradient():
+    r = np.random.default_rng(1)
+    x, start, y = r.normal(size=(30, quality.WIDTH)), np.array([0, 5, 6, 20]), np.array([1.0, 0, 1, 0])
+    m = quality.GatedAttention(3)
+    weights = m.forward(x, start)["a"]
+    assert np.allclose(np.add.reduceat(weights, start), 1)
+    loss = lambda q: -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
+    before = loss(m.forward(x, start)["y"])
+    assert loss(m.fit(x, start, y).forward(x, start)["y"]) < 0.5 * before
+
+
+def test_licenses(spark):
+    rows = [
+        (1, "some text\nReleased under the MIT License.\nmore", "a/b/one"), (2, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"), (3, "nothing here", "a/b/c/x"), (4, "plain", "z/y"), (5, None, "a/q"), (6, "", None),
+        (7, "a licence is mentioned in a long line about many other things that have nothing to do with it", "z/w"), (8, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", "v/v"), (3, "nothing here", "a/b/c/x"), (None, "x", "a/b"),
+    ]
+    df = spark.createDataFrame([(i, t, p, "clash", 1.0) for i, t, p in rows], "doc_id long, text string, where string, license string, score double")
+    got = {(r.doc_id, r.path): (r.license, r.how) for r in licenses.scan(df, path="where").collect()}
+    assert got[1, "a/b/one"] == ("MIT", "header") and got[2, "a/LICENSE"] == ("Apache-2.0", "file")
+    assert got[3, "a/b/c/x"] == got[5, "a/q"] == got[None, "a/b"] == ("Apache-2.0", "inherited")
+    assert got[4, "z/y"] == got[6, ""] == got[7, "z/w"] == (None, None) and got[8, "v/v"] == ("GPL-3.0", "file")
+    assert licenses.scan(df, path="where").count() == len(rows) and licenses.scan(df.limit(0), path="where").count() == 0
+
+
+def test_license_cosine_equals_brute_force(spark):
+    import math
+    import re
+
+    idf, other, rows = licenses.weights(licenses.TEMPLATES)
+    line = "Licensed under the MIT License today."
+    bag = Counter(re.findall(licenses.TOKEN, line.lower()))
+    size = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()))
+    dots = Counter()
+    for i, _, t, w in rows:
+        dots[i] += bag.get(t, 0) * idf[t] * w / size
+    got = licenses._match(spark.createDataFrame([("x", line)], "unit string, text string"), spark, licenses.TEMPLATES).first()
+    assert abs(got.score - max(dots.values())) < 1e-6
+
+
+@pytest.fixture(scope="module")
+def lattice():
+    return pieces.Lattice(open(pieces.MODEL, "rb").read())
+
+
+def all_paths(lattice, s):
+    into, out = lattice.edges(s), []
+
+    def walk(at, score):
+        if at == 0:
+            out.append(score)
+        for i, w, _ in into[at]:
+            walk(i, score + w)
+
+    walk(len(s), 0)
+    return sorted(out, reverse=True)
+
+
+@pytest.mark.parametrize("s", ["then cat", "a,b c", "\nthe the", "ab\U0001f600 é", "x", "in the."])
+def test_nbest_equals_all_segmentations(lattice, s):
+    ids, score, ways = lattice.encode(s, 5)
+    want = all_paths(lattice, " " + s)
+    assert [w[0] for w in ways] == want[:5] and score == want[0] and lattice.decode(ids) == s
+    assert len({tuple(map(tuple, c)) for _, c in ways}) == len(ways)
+
+
+def test_pieces_round_trip(spark, lattice):
+    import sentencepiece
+
+    rows = [(1, "The thing, and  two\n\nlines\t▁ mark"), (2, None), (3, ""), (4, "é" * 3000), (5, "a" * 4000), (None, "x"), (6, " "), (6, " "), (7, "\x00\u200bß漢字")]
+    enc = pieces.encode(frame(spark, rows))
+    got = {r.doc_id: r for r in enc.collect()}
+    assert enc.count() == len(rows) and all(r.restored for r in got.values() if r.doc_id != 2) and got[2].ids is None and got[3].ids == [] and got[3].score == 0
+    assert {r.doc_id: r.text for r in pieces.decode(enc).collect()} == dict(rows)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert sp.decode(got[4].ids) == "é" * 3000
+    assert pieces.encode(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_neighbours_equal_brute_force_and_skip_bad_vectors(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 8))
+    x[100:140] = x[100]  # copies: ties go to the smaller id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, [0.0] * 8), (1100, [float("nan")] * 8), (1150, [1.0, None] * 4), (1200, [1.0] * 7), (None, [1.0] * 8), (1250, [float("inf")] * 8), (50, x[50].tolist())]
+    df = spark.createDataFrame([(i, v, 1, 0.5) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
+    got = ann.nearest_neighbours(df, codes=4, share=1.0, block=64).collect()
+    n = x / np.sqrt((x * x).sum(1, keepdims=True))
+    for q in range(0, 300, 50):
+        s = n @ n[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(300), -np.round(s, 12)))[:5].tolist()
+        assert [g.vec_id for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == best
+    assert len(got) == 30
+    assert len(ann.nearest_neighbours(df.filter("vec_id in (0, 3)"), codes=4).collect()) == 1
+    assert ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_neighbours_recall_on_clusters(spark):
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(40, 16)) * 3)[r.integers(0, 40, 2000)] + r.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(g.query_id, g.vec_id) for g in ann.nearest_neighbours(df, codes=16, wanted=200, share=0.2).collect()}
+    x = x.astype(np.float32).astype(float)
+    n = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = set()
+    for q in range(0, 2000, 50):
+        s = n @ n[q]
+        s[q] = -9
+        want |= {(q, int(k)) for k in np.argsort(-s)[:5]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_cells_come_in_order_of_summed_distance():
+    r = np.random.default_rng(4)
+    a, b = r.random(6), r.random(5)
+    order = ann.cells_in_order(a, b, {i: 1 for i in range(30)}, 30)
+    total = [a[c // 5] + b[c % 5] for c in order]
+    assert total == sorted(total) and sorted(order) == list(range(30))
+
+
+def test_decontamination(spark):
+    item = "Ann Miller drove 120 km in 3 hours and then Ann Miller rested for 2 days before the long way home to the green valley with 4 friends"
+    swapped = item.replace("120", "95").replace(" 3 ", " 7 ").replace("km", "miles").replace(" 2 ", " 5 ").replace(" 4 ", " 9 ")
+    uneven = "In all of 5 runs the 5 boxes held 5 parts while 5 people took 5 more away from 5 piles of 5 stones in 5 rooms near 5 doors"
+    mixed = uneven
+    for k in range(9):
+        mixed = mixed.replace(" 5 ", f" {20 + k} ", 1)
+    rows = [(1, "before it. " + item + " after"), (2, swapped.upper().lower()), (3, swapped), (4, " ".join(words(100, 30))), (5, None), (6, ""), (7, " ".join(item.split()[:10]) + " and more"), (None, item), (8, mixed), (9, uneven.replace(" 5 ", " 6 ")), (1, "x")]
+    bench = spark.createDataFrame([(10, item, 1), (11, None, 1), (12, "", 1), (13, uneven, 1), (14, "two words", 1), (10, item, 1)], "item_id long, text string, total int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert {(1, 10), (3, 10), (None, 10), (9, 13)} <= got and not {d for d, _ in got} & {4, 5, 6, 7, 8}
+    assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0 == decontaminate.contaminated(frame(spark, rows).limit(0), bench).count()
+
+
+def test_window_containment_equals_brute_force(spark):
+    items = [(i, " ".join(words(30, 40 + i))) for i in range(6)]
+    docs = [(i, " ".join([*words(20, 60 + i), *items[i % 6][1].split()[: 12 + 3 * (i % 7)], *words(20, 90 + i)])) for i in range(24)]
+    grams = lambda t: [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)]
+    want = {(d, i) for d, t in docs for i, s in items if sum(g in set(grams(t)) for g in grams(s)) >= 0.75 * len(grams(s))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and want
+
+
+HEX = hashlib.sha1(b"a secret of the tests").hexdigest()
+
+
+def test_secrets(spark):
+    rows = [(1, f'see token = "{HEX}" there'), (2, f"commit {HEX} fixed it"), (3, "card 4111111111111111 paid"), (4, None), (5, ""), (None, f"password: '{HEX}'"), (6, "word " * 5000), (7, f'token = "{HEX}" and token = "{HEX}"'), (7, "https://example.org/a/" + HEX)]
+    found = secrets.scan(frame(spark, rows)).collect()
+    yes = Counter(r.doc_id for r in found if r.is_secret)
+    assert yes == {1: 1, None: 1, 7: 2} and len(found) == 7
+    red = secrets.redact(frame(spark, rows))
+    assert red.columns == frame(spark, rows).columns and red.count() == len(rows)
+    text = {r.doc_id: r.text for r in red.collect() if r.doc_id != 7}
+    assert text[1] == 'see token = "<secret>" there' and text[2] == rows[1][1] and text[None] == "password: '<secret>'" and text[4] is None
+    assert secrets.scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_secret_forest_on_unseen_values(spark):
+    unseen = secrets.labelled_findings(spark, 20)
+    model = secrets.train(secrets.labelled_findings(spark, 8))
+    rows = secrets.VectorAssembler(inputCols=secrets.FEATURES, outputCol="x").transform(secrets.features(unseen))
+    assert model.transform(rows).filter("prediction = label").count() / unseen.count() > 0.95
+
+
+def test_secret_candidates_and_context(spark):
+    c = secrets.candidates(frame(spark, [(1, f"a=abcdef0123456789abcdef b {HEX}, c")])).orderBy("pos").collect()
+    assert [(r.pos, r.candidate, r.before, r.after[:2]) for r in c] == [(0, "a=abcdef0123456789abcdef", "", " b"), (1, HEX, " b ", ", ")]
+
+
+def test_warc_round_trip(spark):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    html = {1: "<p>a</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "x" + inner + "y", 6: "ä\r\n\r\nb", 7: inner, 8: "z" * 300_000, 9: "<p>a</p>"}
+    rows = [(i, f"http://e.org/{i} \r\nX: y", h, 1) for i, h in html.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n int")
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    last = {}
+    for i, h in html.items():
+        last[h or ""] = max(i, last.get(h or "", 0))
+    assert set(got) == set(html)
+    for i, h in html.items():
+        raw, r = (h or "").encode(), got[i]
+        assert (r.payload_bytes, r.payload_digest, r.digest_ok) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), True)
+        top = last[h or ""]
+        assert (r.record_type, r.refers_to) == (("response", None) if i == top else ("revisit", top))
+    assert {r.record_type for r in warc.round_trip(df.filter("page_id in (1, 2, 9)"), min_payload=100).collect()} == {"response"}
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_repeats_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (None, None, "b")], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(df).collect()), key=str)
+    assert got == sorted([(1, "response", None, 1), (1, "response", None, 1), (None, "revisit", 1, 1), (None, "response", None, 1)], key=str)
+
+
+def test_pointer_jumping_drops_unreachable(spark):
+    rows = [("f", 0, 10), ("f", 10, 25), ("f", 15, 25), ("f", 25, 40), ("f", 33, 36), ("g", 3, 9)]
+    got = {tuple(r) for r in warc.reachable(spark.createDataFrame(rows, "file string, at long, next long")).collect()}
+    assert {x for x in got if x in {(f, a) for f, a, _ in rows}} == {("f", 0), ("f", 10), ("f", 25)}
+
+
+def test_warc_files_are_plain_gzip(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([(1, "http://a/", "hi")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    data = gzip.decompress(next((tmp_path / "w").glob("*.gz")).read_bytes())
+    assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"hi\r\n\r\n")
