@@ -156,7 +156,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
                     yield from walk(n.body, name, True)
                 elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     name = f"{parent}.{n.name}"
-                    calls = sorted({c for x in ast.walk(n) if isinstance(x, ast.Call) and (c := _dotted(x.func))})
+                    calls = sorted({c for b in n.body for x in ast.walk(b) if isinstance(x, ast.Call) and (c := _dotted(x.func))})
                     route = next((f"{d.func.attr.upper()} {d.args[0].value}" if d.args and isinstance(d.args[0], ast.Constant) else f"{d.func.attr.upper()} (dynamic)" for d in n.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS), None)
                     kind = "test" if n.name.startswith("test_") else "method" if in_class else "function"
                     yield path, module, name, kind, n.lineno, n.end_lineno, [], [d for d in map(_dotted, n.decorator_list) if d], calls, [], route, None
@@ -185,5 +185,6 @@ def cobol_symbols(files: DataFrame) -> DataFrame:
 def cobol_facts(files: DataFrame) -> DataFrame:
     """path, predicate, name: PERFORM, CALL, READ, WRITE and GO TO targets."""
     facts = [("performs", r"(?i)\bPERFORM\s+([A-Z0-9-]+)"), ("calls", r"(?i)\bCALL\s+[\"']([A-Z0-9-]+)"), ("reads", r"(?i)\bREAD\s+([A-Z0-9-]+)"), ("writes", r"(?i)\bWRITE\s+([A-Z0-9-]+)"), ("jumps_to", r"(?i)\bGO\s+TO\s+([A-Z0-9-]+)")]
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("predicate"), F.upper(x).alias("name"))) for k, p in facts)))
+    tagged = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("predicate"), F.upper(x).alias("name")))
+    found = F.flatten(F.array(*(tagged(k, p) for k, p in facts)))
     return files.select("path", F.explode(found).alias("f")).select("path", "f.predicate", "f.name").distinct()

@@ -95,7 +95,7 @@ CTES = {
     "sources": r"""SELECT doc_id AS seq, trim(regexp_replace(lower(source || '-' || doc_id), '[^a-z0-9]+', '-', 'g'), '-') AS id, source || '/' || doc_id AS path, lang AS language, sha256(text) AS checksum, n_chars FROM documents""",
     "symbols": r"""SELECT *, replace(module, '.', '/') || '.py' AS file, module || '.' || title || '_' || seq AS qualified_name FROM (SELECT p_partkey AS seq, 'symbol-part-' || p_partkey AS id, replace(p_name, ' ', '_') AS title,
         ['function', 'method', 'class', 'test', 'constant', 'record'][p_size % 6 + 1] AS kind, 'shop.' || lower(replace(p_brand, '#', '_')) || '.' || lower(p_type) AS module, p_size AS line, p_type || ' ' || p_brand || ' ' || p_name AS docstring, 'python' AS language FROM part)""",
-    "relations": r"""SELECT *, subject || '|' || predicate || '|' || object AS id, CASE status WHEN 'exact' THEN 0.96 WHEN 'inferred' THEN 0.72 ELSE 0.45 END AS confidence FROM (
+    "relations": r"""SELECT *, subject || '|' || predicate || '|' || object AS id, CAST(CASE status WHEN 'exact' THEN 0.96 WHEN 'inferred' THEN 0.72 ELSE 0.45 END AS DOUBLE) AS confidence FROM (
         SELECT o_orderkey * 100 AS seq, 'order-' || o_orderkey AS subject, 'placed_by' AS predicate, 'customer-' || o_custkey AS object, CASE o_orderstatus WHEN 'F' THEN 'exact' WHEN 'O' THEN 'inferred' ELSE 'unresolved' END AS status, 'ev-o' || o_orderkey AS evidence FROM orders
         UNION ALL SELECT l_orderkey * 100 + l_linenumber, 'order-' || l_orderkey, 'covers', 'symbol-part-' || l_partkey, CASE l_linestatus WHEN 'F' THEN 'exact' WHEN 'O' THEN 'inferred' ELSE 'unresolved' END, 'ev-l' || l_orderkey FROM lineitem
         UNION ALL SELECT l_orderkey * 100 + 50 + l_linenumber, 'symbol-supplier-' || l_suppkey, 'calls', 'symbol-part-' || l_partkey, CASE l_returnflag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'inferred' ELSE 'unresolved' END, 'ev-s' || l_orderkey FROM lineitem
