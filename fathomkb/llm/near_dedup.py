@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -17,7 +16,7 @@ from .common import MASK32, cut, mix64, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, SKETCH = 32, 4, 512
+BANDS, ROWS, PARITIES = 32, 4, 1024
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,15 +77,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def sketch_bits(signature: np.ndarray) -> np.ndarray:
-    """One bit of each component, packed into longs: two sets of similarity s differ in a share (1 - s) / 2 of them."""
-    return np.ascontiguousarray(np.packbits((signature & np.uint64(1)).astype(np.uint8), axis=1)).view(np.int64)
+def parities(shingles_: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """For each of `bits` bins the parity of the number of shingles that fall into it, packed into longs.
 
-
-def most_different(percent: int, m: int = SKETCH) -> int:
-    """Sketches of a pair at the threshold differ in more bits than this with chance 3e-7 (five standard deviations)."""
-    p = (1 - percent / 100) / 2
-    return math.ceil(m * p + 5 * math.sqrt(m * p * (1 - p)))
+    A bin differs between two sets only if an odd number of the shingles that just one of them has fall there, so the
+    number of bins that differ is never above the size of the symmetric difference.
+    """
+    odd = np.bincount((shingles_ >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sign(bands: int, rows: int, words: int):
@@ -100,12 +98,12 @@ def _sign(bands: int, rows: int, words: int):
                 keys: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
                 if len(full):
-                    signature = superminhash(np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), sizes[full]), len(full), max(SKETCH, bands * rows))
-                    for i, key, bit in zip(full, band_keys(signature[:, : bands * rows], bands, rows), sketch_bits(signature[:, :SKETCH])):
-                        keys[i], bits[i] = key, bit
+                    signature = superminhash(np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), sizes[full]), len(full), bands * rows)
+                    for i, key in zip(full, band_keys(signature, bands, rows)):
+                        keys[i], bits[i] = key, parities(sets[i])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
+                    ["doc_id", "n_shingles", "set_hash", "bands", "parities"],
                 )
 
     return run
@@ -147,18 +145,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the member that shares most, then members outside the largest component against all. Classes that are already connected need no further pair, so a
     huge group costs one check a member and band. A link between two components can only rest on shingles that both
     have: these are counted for each class, and a pair is formed only if the smaller count could still give
-    the similarity. The count is an upper bound of the intersection. Pairs whose sketches (a bit of each of 512
-    components) differ in more than five standard deviations above what the threshold gives are left out too, which
-    misses a link with chance 3e-7.
+    the similarity. The count is an upper bound of the intersection, and the bins whose parities differ are a lower
+    bound of the symmetric difference, so these filters lose no link.
 
     Null or empty text: n_shingles 0, a component of its own. Null doc_id: component_id null and kept false; the
     row links nothing. Repeated rows are returned as often as they occur, with one component. Two texts under
     one doc_id share its component. Empty input: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"), "signatures")
-    one = sig.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
-    classes = cut(one.select("set_hash", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")), "classes")
+    sig = cut(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, set_hash binary, bands array<long>, parities array<long>"), "signatures")
+    one = sig.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parities")).alias("x"))
+    classes = cut(one.select("set_hash", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands"), F.col("x.parities").alias("parities")), "classes")
     member = classes.select("rep", "n", F.explode("bands").alias("band"))
     heads = member.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1")
     shared = cut(member.join(heads.drop("c"), "band").select("band", "rep", "n", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n")), "buckets")
@@ -179,26 +176,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = rows_.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
     outside = rows_.join(both, "shingle").groupBy("rep").agg(F.count("*").alias("s"))
     could = f"{100 + percent} * least({{s}}, {{t}}) >= {percent} * ({{a}} + {{b}})"
-    able = mixed.join(outside.join(classes.select("rep", "sketch"), "rep"), "rep")
-    alike = " + ".join(f"bit_count(sketch[{i}] ^ {{sketch}}[{i}])" for i in range(SKETCH // 64)) + f" <= {most_different(percent)}"
+    able = mixed.join(outside.join(classes.select("rep", "parities"), "rep"), "rep")
+    alike = f"{100 + percent} * (" + " + ".join(f"bit_count(parities[{i}] ^ {{other}}[{i}])" for i in range(PARITIES // 64)) + f") <= {100 - percent} * (n + {{b}})"
     able = cut(able.join(able.groupBy("band").agg(F.min("n").alias("least_n")), "band").filter(could.format(s="s", t="s", a="n", b="least_n")).drop("least_n"), "able")
     # the member with the smallest share of shingles of its own is nearest to the others: try it first
-    medoid = able.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c", "s", "sketch"), F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("m"))
-    pair = able.join(medoid, "band").filter("c <> m.c and " + near.format(a="n", b="m.n") + " and " + could.format(s="s", t="m.s", a="n", b="m.n") + " and " + alike.format(sketch="m.sketch"))
+    medoid = able.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c", "s", "parities"), F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("m"))
+    pair = able.join(medoid, "band").filter("c <> m.c and " + near.format(a="n", b="m.n") + " and " + could.format(s="s", t="m.s", a="n", b="m.n") + " and " + alike.format(other="m.parities", b="m.n"))
     second = cut(pair.select(F.least("rep", "m.rep").alias("u"), F.greatest("rep", "m.rep").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "second")
     found = cut(found.unionByName(links(second)), "found")
     so_far = cut(components(found), "components")
-    able = cut(able.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", "s", "sketch", F.coalesce("component", "rep").alias("c")), "able")
+    able = cut(able.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", "s", "parities", F.coalesce("component", "rep").alias("c")), "able")
     largest = able.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
     left = able.join(largest, "band")
-    other = left.filter("c <> top").select("band", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("sketch").alias("sketch2"))
-    pair = left.join(other, "band").filter("c <> c2 and " + near.format(a="n", b="n2") + " and " + could.format(s="s", t="s2", a="n", b="n2") + " and " + alike.format(sketch="sketch2"))
+    other = left.filter("c <> top").select("band", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("parities").alias("parities2"))
+    pair = left.join(other, "band").filter("c <> c2 and " + near.format(a="n", b="n2") + " and " + could.format(s="s", t="s2", a="n", b="n2") + " and " + alike.format(other="parities2", b="n2"))
     more = pair.select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v")).distinct().join(first.unionByName(second), ["u", "v"], "left_anti")
     late = links(cut(more, "more"))
     final = cut(components(found.unionByName(late)), "components")
     of_class = classes.select("set_hash", "rep").join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sig.drop("bands", "sketch").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return sig.drop("bands", "parities").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
