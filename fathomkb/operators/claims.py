@@ -105,3 +105,18 @@ def cache_prune(entries: DataFrame, live: DataFrame) -> DataFrame:
 def payload_dedupe(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each key once: at its first position, with its last value."""
     return rows.groupBy(key).agg(F.min("seq").alias("position"), *(F.max_by(c, "seq").alias(c) for c in columns))
+
+
+def review_detail(items: DataFrame) -> DataFrame:
+    """Whether an item can still be reviewed, and the actions that are open to it: terminal items take no edit."""
+    ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
+    actions = F.array(*map(F.lit, ["approved", "commented", "deferred", "edited", "rejected"]))
+    open_ = F.when(ended, F.array_except(actions, F.array(F.lit("edited")))).otherwise(actions)
+    return items.select("id", F.coalesce("status", F.lit("proposed")).alias("status"), (~ended).alias("mutable"), F.array_join(open_, ",").alias("actions"))
+
+
+def focused_graph(items: DataFrame, most: int = 18) -> DataFrame:
+    """The first items of the concept with the most items (ties: the last label), with their position."""
+    top = items.groupBy("subject").agg(F.count("*").alias("n")).agg(F.max_by("subject", F.struct("n", "subject")).alias("concept"))  # one row
+    of = items.join(F.broadcast(top), F.col("subject") == F.col("concept")).orderBy("seq").limit(most)
+    return of.select("id", "concept", F.row_number().over(Window.orderBy("seq")).cast("long").alias("position"))

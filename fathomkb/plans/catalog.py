@@ -699,3 +699,87 @@ def q2_agent_context(spark, d):
 @query()
 def q3_scenario_context(spark, d):
     return X.scenario_context(v.items(spark, d), SCENARIO, TERMS)
+
+
+# further reads
+
+
+@query("""SELECT id, title, kind, qualified_name, module, file, line, CASE WHEN docstring = '' THEN NULL ELSE docstring END AS docstring FROM v_symbols""", "symbols")
+def p1_symbol_projection(spark, d):
+    return v.symbols(spark, d).select("id", "title", "kind", "qualified_name", "module", "file", "line", F.nullif("docstring", F.lit("")).alias("docstring"))
+
+
+@query("""SELECT c.id, tier, coalesce(review_status, 'proposed') AS review_status, array_to_string(list_sort(list(symbol_id) FILTER (symbol_id IS NOT NULL)), ',') AS symbols FROM v_claims c LEFT JOIN v_claim_symbols s ON s.claim_id = c.id GROUP BY 1, 2, 3""", "claims claim_symbols")
+def p3_claim_projection(spark, d):
+    s = v.claim_symbols(spark, d).groupBy(F.col("claim_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("symbol_id")), ",").alias("symbols"))
+    return v.claims(spark, d).join(s, "id", "left").select("id", "tier", F.coalesce("review_status", F.lit("proposed")).alias("review_status"), "symbols")
+
+
+@query(
+    """SELECT id, coalesce(status, 'proposed') AS status, coalesce(status IN ('approved', 'rejected'), false) = false AS mutable, CASE WHEN coalesce(status IN ('approved', 'rejected'), false) THEN 'approved,commented,deferred,rejected' ELSE 'approved,commented,deferred,edited,rejected' END AS actions FROM v_items""",
+    "items",
+)
+def p8_review_detail(spark, d):
+    return C.review_detail(v.items(spark, d))
+
+
+@query("""SELECT id FROM v_relations WHERE contains(lower(subject), 'nation-1') OR contains(lower(object), 'nation-1') OR contains(lower(predicate), 'nation-1') OR contains(lower(id), 'nation-1') OR contains(lower(evidence), 'nation-1')""", "relations")
+def g3_field_neighbourhood(spark, d):
+    return S.facet(v.relations(spark, d), ["subject", "object", "predicate", "id", "evidence"], "Nation-1").select("id")
+
+
+@query(
+    """WITH g AS (SELECT subject, count(*) AS n FROM v_items GROUP BY 1), t AS (SELECT subject FROM g ORDER BY n DESC, subject DESC LIMIT 1), k AS (SELECT id, subject, row_number() OVER (ORDER BY seq) AS rn FROM v_items WHERE subject = (SELECT subject FROM t))
+       SELECT id, subject AS concept, rn AS position FROM k WHERE rn <= 18""",
+    "items",
+)
+def g6_focused_graph(spark, d):
+    return C.focused_graph(v.items(spark, d))
+
+
+@query("""SELECT lang AS value, 'language' AS key, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT source, 'source', count(*) FROM documents GROUP BY 1""")
+def a10_source_stats(spark, d):
+    return R.summary(v.read(spark, d, "documents").select(F.col("lang").alias("language"), "source"), "language", "source")
+
+
+@query("""SELECT coalesce(status, 'unknown') AS status, count(*) AS items, (SELECT count(*) FROM v_review_events) AS events FROM v_items GROUP BY 1""", "items review_events")
+def a13_review_summary(spark, d):
+    events = v.review_events(spark, d).agg(F.count("*").alias("events"))  # one row
+    return v.items(spark, d).groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("items")).crossJoin(F.broadcast(events))
+
+
+@query("""SELECT tier, count(*) AS claims, min(id) AS first_id, round(avg(confidence), 6) AS confidence FROM v_claims WHERE review_required AND coalesce(nullif(lifecycle_status, ''), 'active') = 'active' GROUP BY 1""", "claims")
+def a19_review_required(spark, d):
+    return v.claims(spark, d).filter(S.CLAIM_POOLS["review_required"]).groupBy("tier").agg(F.count("*").alias("claims"), F.min("id").alias("first_id"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query("""SELECT subject, count(*) AS n, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM v_relations GROUP BY 1""", "relations")
+def a23_relations_by_subject(spark, d):
+    return v.relations(spark, d).groupBy("subject").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("predicate")), ",").alias("predicates"))
+
+
+@query("""SELECT 'order-' || l_orderkey AS id, min_by(l_returnflag, l_linenumber * 1000000 + l_partkey) AS first_flag, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ',') AS evidence FROM lineitem GROUP BY l_orderkey""")
+def a25_merge_claims(spark, d):
+    rows = v.read(spark, d, "lineitem").selectExpr("concat('order-', l_orderkey) id", "l_returnflag flag", "l_linenumber", "l_partkey", "concat('s', l_suppkey) ev")
+    return rows.groupBy("id").agg(F.min_by("flag", F.struct("l_linenumber", "l_partkey", "flag")).alias("first_flag"), F.array_join(F.sort_array(F.collect_set("ev")), ",").alias("evidence"))
+
+
+@query("""SELECT 'status' AS key, status AS value, count(*) AS n FROM v_relations GROUP BY 2 UNION ALL SELECT 'predicate', predicate, count(*) FROM v_relations GROUP BY 2 UNION ALL SELECT 'tier', CAST(tier AS VARCHAR), count(*) FROM v_claims WHERE coalesce(nullif(lifecycle_status, ''), 'active') = 'active' GROUP BY 2""", "relations claims")
+def a29_overview(spark, d):
+    return R.summary(v.relations(spark, d), "status", "predicate").unionByName(R.summary(v.claims(spark, d).filter(S.CLAIM_POOLS["active"]), "tier"))
+
+
+@query("""SELECT id, confidence FROM v_claims WHERE coalesce(nullif(lifecycle_status, ''), 'active') = 'active' ORDER BY confidence, id LIMIT 100""", "claims")
+def w9_review_sort(spark, d):
+    return S.claim_pool(v.claims(spark, d), "active", sort="confidence_asc").select("id", "confidence").limit(100)
+
+
+@query("""SELECT doc_id, md5(text) AS checksum, sha256(text) AS digest, length(text) AS code_points FROM documents""")
+def c3_checksums(spark, d):
+    return v.read(spark, d, "documents").select("doc_id", F.md5("text").alias("checksum"), F.sha2("text", 256).alias("digest"), F.length("text").alias("code_points"))
+
+
+@query("""SELECT p.page_id, count(*) AS n, min(length(h)) AS shortest FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) p GROUP BY 1""")
+def x10_page_links(spark, d):
+    h = v.read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    return h.groupBy("page_id").agg(F.count("*").alias("n"), F.min(F.length("h")).alias("shortest"))
