@@ -86,7 +86,7 @@ VALUES = {
 def labelled_findings(spark: SparkSession, each: int = 8) -> DataFrame:
     """The labelled findings to train on: `each` values for every template. Their number is fixed, whatever the input."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(LABELLED)], "t int, before string, kind string, after string, path string, label int")
-    rows = rows.join(spark.range(each).withColumnRenamed("id", "k"), F.lit(True)).withColumn("i", (F.col("t") * 31 + F.col("k")).cast("int")).withColumn("s", F.sha2(F.concat_ws(":", "t", "k", "kind"), 256)).withColumn("w", F.array(*map(F.lit, sorted(set(DICTIONARY)))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("i", (F.col("t") * 31 + F.col("k")).cast("int")).withColumn("s", F.sha2(F.concat_ws(":", "t", "k", "kind"), 256)).withColumn("w", F.array(*map(F.lit, sorted(set(DICTIONARY)))))
     value = F.expr("case kind " + " ".join(f"when '{k}' then {v}" for k, v in VALUES.items()) + " end")
     return rows.select(value.alias("candidate"), "before", "after", "path", F.col("label").cast("double").alias("label"))
 
