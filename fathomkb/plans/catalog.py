@@ -686,7 +686,19 @@ def v9_span_grounding(spark, d):
 # 2.13 composites
 
 
-@query()
+@query(
+    """WITH s AS (SELECT id, qualified_name, CAST(contains(h, 'red') AS INT) + CAST(contains(h, 'widget') AS INT) AS hits, 100 * (CAST(contains(q, 'red') AS INT) + CAST(contains(q, 'widget') AS INT)) AS strong
+         FROM (SELECT *, lower(concat_ws(' ', replace(id, 'symbol-', ''), title, qualified_name, file, kind, docstring)) AS h, lower(qualified_name || ' ' || id) AS q FROM v_symbols)),
+       top AS (SELECT id, row_number() OVER (ORDER BY strong + hits DESC, qualified_name) AS rank FROM s WHERE hits > 0 AND (hits = 2 OR NOT EXISTS (SELECT 1 FROM s WHERE hits = 2)) ORDER BY 2 LIMIT 12),
+       e AS (SELECT DISTINCT id, status FROM v_relations WHERE subject IN (SELECT id FROM top) OR object IN (SELECT id FROM top)), r AS (SELECT DISTINCT id FROM e),
+       o AS (SELECT claim_id, max(decision) AS decision FROM v_decisions GROUP BY 1), k AS (SELECT c.id, tier, review_required, lifecycle_status, coalesce(decision, review_status, '') AS st FROM v_claims c LEFT JOIN o ON o.claim_id = c.id),
+       c AS (SELECT id FROM k WHERE st <> 'rejected' AND coalesce(nullif(lifecycle_status, ''), 'active') = 'active' AND (NOT (tier >= 4 AND review_required) OR st = 'approved') AND id IN (SELECT claim_id FROM v_claim_symbols WHERE symbol_id IN (SELECT id FROM top))),
+       t AS (SELECT DISTINCT subject AS id FROM v_relations WHERE predicate = 'covers' AND object IN (SELECT id FROM top)),
+       x AS (SELECT 'symbol' AS part, rank, id FROM top UNION ALL SELECT 'relation', row_number() OVER (ORDER BY id), id FROM r UNION ALL SELECT 'claim', row_number() OVER (ORDER BY id), id FROM c UNION ALL SELECT 'test', row_number() OVER (ORDER BY id), id FROM t)
+       SELECT part, CAST(rank AS INTEGER) AS rank, id FROM x WHERE part = 'symbol' OR rank <= 10 UNION ALL SELECT 'count', CAST(count(*) AS INTEGER), 'relations' FROM r UNION ALL SELECT 'count', CAST(count(*) AS INTEGER), 'claims' FROM c
+       UNION ALL SELECT 'count', CAST(count(*) AS INTEGER), 'tests' FROM t UNION ALL SELECT 'count', CAST(count(DISTINCT id) AS INTEGER), 'not_exact' FROM e WHERE status <> 'exact'""",
+    "symbols relations claims claim_symbols decisions",
+)
 def q1_code_context(spark, d):
     return X.code_context("red widget", v.symbols(spark, d), v.relations(spark, d), v.claims(spark, d), v.claim_symbols(spark, d), v.decisions(spark, d))
 
