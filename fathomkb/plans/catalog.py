@@ -708,7 +708,15 @@ def q2_agent_context(spark, d):
     return X.agent_context(v.items(spark, d), ["zzqx"])
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT {TOKENS.format(x=f"'{SCENARIO}'")} AS w), r AS (SELECT subject, CASE WHEN contains('{SCENARIO}', lower(trim(subject))) THEN 8 ELSE 0 END + 3 * len(list_intersect({TOKENS.format(x="subject")}, w)) + least(6, len(list_intersect({TOKENS.format(x="source_text")}, w))) AS score FROM v_items, w),
+       f AS (SELECT subject AS label, sum(score) AS score FROM r WHERE score > 0 GROUP BY 1 ORDER BY score DESC, label LIMIT 8),
+       o AS (SELECT id, len(list_intersect({TOKENS.format(x="concat_ws(' ', subject, predicate, object, source_text)")}, w)) AS overlap FROM v_items, w WHERE overlap > 0 ORDER BY overlap DESC, id LIMIT 16),
+       m AS (SELECT i.id, i.seq, f.score, {' OR '.join(f"contains(lower(concat_ws(' ', subject, predicate, object, source_text)), '{t}')" for t in TERMS)} AS t, o.id IS NOT NULL AS o FROM v_items i LEFT JOIN f ON f.label = i.subject LEFT JOIN o ON o.id = i.id),
+       g AS (SELECT *, CASE WHEN score IS NOT NULL AND t THEN 1 WHEN t THEN 2 WHEN o THEN 3 ELSE 4 END AS stage FROM m)
+       SELECT 'item' AS part, CAST(row_number() OVER (ORDER BY coalesce(score, 0) DESC, seq) AS INTEGER) AS rank, id FROM g WHERE stage = (SELECT min(stage) FROM g) ORDER BY 2 LIMIT 16""",
+    "items",
+)
 def q3_scenario_context(spark, d):
     return X.scenario_context(v.items(spark, d), SCENARIO, TERMS)
 
