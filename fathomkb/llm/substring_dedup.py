@@ -86,8 +86,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans that occur in several documents: doc_id, start, stop (bytes of the UTF-8), words, keeper_id, removable.
 
-    A span is a run of adjacent chunks each of which another document has too, with at least min_words words. Its
-    keeper is the document with the smallest id among those that hold the run's first chunk; it keeps the span, the
+    Adjacent chunks each of which another document has too make a run; runs of at least min_words words count. A run is
+    parted into spans wherever the keeper changes: the document with the smallest id among those that hold the chunk, so
+    a span can have fewer words. The keeper keeps the span, so every repeated chunk stays in one document at least; the
     others may drop it. Chunks are cut by content, so text before a passage moves no boundary inside it; a passage
     loses only its two partial chunks at the edges.
 
@@ -98,8 +99,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     all_chunks = cut(chunks(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "chunks")
     many = all_chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper_id"), F.max("doc_id").alias("last")).filter("keeper_id < last").drop("last")
     found = all_chunks.join(many, "digest").select("doc_id", "start", "stop", "words", "keeper_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    runs = found.withColumn("new", (F.col("start") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min_by("keeper_id", "start").alias("keeper_id"))
-    return spans.filter(F.col("words") >= min_words).select("doc_id", "start", "stop", "words", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removable"))
+    order = Window.partitionBy("doc_id").orderBy("start", "stop", "keeper_id")
+    gap = F.col("start") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    runs = found.withColumn("new", gap.cast("int")).withColumn("turn", (F.lag("keeper_id").over(order) != F.col("keeper_id")).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order)).withColumn("part", F.sum(F.greatest("new", "turn")).over(order))
+    parts = runs.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.first("keeper_id").alias("keeper_id"))
+    spans = parts.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).filter(F.col("run_words") >= min_words)
+    return spans.select("doc_id", "start", "stop", "words", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removable"))

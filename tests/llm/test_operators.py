@@ -120,6 +120,20 @@ def test_repeated_spans(spark):
     assert substring_dedup.repeated_spans(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_every_repeated_chunk_keeps_a_holder(spark):
+    p, a, b = (" ".join(words(80, k)) for k in (18, 19, 20))
+    docs = frame(spark, [(1, f"{p} {a}"), (5, f"{p} {b}"), (6, f"{p} {b}"), (7, f"{b} {p}")])
+    spans = [r for r in substring_dedup.repeated_spans(docs).collect() if r.removable]
+    holders, kept, dropped = {}, {}, Counter()
+    for c in substring_dedup.chunks(docs).collect():
+        holders.setdefault(bytes(c.digest), set()).add(c.doc_id)
+        gone = any(s.doc_id == c.doc_id and s.start <= c.start and c.stop <= s.stop for s in spans)
+        kept.setdefault(bytes(c.digest), set()).update([] if gone else [c.doc_id])
+        dropped[c.doc_id] += gone
+    assert all(kept[d] for d in holders) and all(kept[d] == {min(h)} for d, h in holders.items() if len(h) > 1)
+    assert dropped[1] == 0 and dropped[5] and dropped[6] and dropped[7]
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
