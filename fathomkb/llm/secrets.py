@@ -8,8 +8,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of at least 16 key characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
+VALUE = "[A-Za-z0-9_+/-]"
+#: What stands directly before a value that is assigned to a secret's name.
+ASSIGNED_SECRET = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|signing)[\w-]{0,12}[\"']?\s{0,2}:?[:=]\s{0,2}[\"'`]?"
+#: A run of at least 16 key characters with a digit among them, or of any length and make where it is assigned to a
+#: secret's name. '=' is padding at the end only, so that a key stays before its value (but for a key of one letter).
+CANDIDATE = "|".join(
+    (
+        rf"(?<!{VALUE})(?<=[:=]\s{{0,2}}[\"'`]?)(?<={ASSIGNED_SECRET}){VALUE}+={{0,2}}",
+        rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9]=(?=[A-Za-z_+/-]*[0-9]){VALUE}{{16,}}={{0,2}}",
+        rf"(?<!{VALUE})(?=[A-Za-z_+/-]*[0-9]){VALUE}{{16,}}={{0,2}}",
+    )
+)
 #: Words whose share of a candidate is its dictionary coverage.
 DICTIONARY = (
     "about account after again also and any article base before between build cache change class client config content copy count data date default demo "
@@ -28,11 +38,14 @@ CONTEXT = 64
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = "source") -> DataFrame:
-    """doc_id, pos (from 0), candidate, before, after (up to 64 characters of context), path."""
+    """doc_id, pos (from 0), candidate, before, after (up to 64 characters of context), path.
+
+    Context ends at the next candidate; only where no letter or digit lies between is the one before (a key) part of it.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.expr(path).cast("string"), F.lit("")).alias("path"))
     found = d.withColumn("c", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("c") > 0)
     parts = found.withColumn("p", F.transform(F.split("text", CANDIDATE, -1), lambda x: F.struct(F.right(x, F.lit(CONTEXT)).alias("before"), F.left(x, F.lit(CONTEXT)).alias("after"))))
-    rows = parts.select("doc_id", "path", F.posexplode(F.expr("transform(c, (x, i) -> struct(x as candidate, p[i].before as before, p[i + 1].after as after))")))
+    rows = parts.select("doc_id", "path", F.posexplode(F.expr("transform(c, (x, i) -> struct(x as candidate, if(i > 0 and p[i].before rlike '^[^A-Za-z0-9]{0,8}$', right(concat(c[i - 1], p[i].before), 64), p[i].before) as before, p[i + 1].after as after))")))
     return rows.select("doc_id", "pos", "col.candidate", "col.before", "col.after", "path")
 
 
@@ -72,6 +85,9 @@ LABELLED = [
     *((f"{a}{name}{op}{q}", kind, q + b, path, 1) for a, b, path in (("the rest of it ", " was then", "src4"), ("\n", "\n", "app/settings.yaml"), ("export ", "\n", "deploy/prod.env")) for name, op, q in (("token", " = ", '"'), ("password", ": ", "'"), ("API_KEY", "=", ""), ("client_secret", " := ", '"'), ("Authorization: Bearer", " ", ""), ("SECRET", ' = ', '"')) for kind in ("hex40", "base64", "mixed", "HEX40")),
     *((f"{a}{before}", kind, b, path, 0) for a, b, path in (("and so it was ", " that the", "src7"), ("\n", "\n", "docs/changes.md"), ("see ", ", then", "tests/fixtures/a.json")) for before, kind in (("commit ", "hex40"), ("sha256:", "hex64"), ("md5 = ", "hex32"), ("ETag: ", "hex32"), ("", "digits16"), ("card ", "digits16"), ("", "digits20"), ("order ", "digits16"), ("uuid ", "uuid"), ("", "uuid"), ("https://example.org/a/", "hex40"), ("https://example.org/", "slug"), ("", "slug"), ("file ", "slug"), ("= ", "digits16"), ("id: ", "digits20"), ('class="', "slug"), ("checksum = ", "base64"))),
     *((f"{a}{name}", "placeholder", b, path, 0) for a, b, path in (("set ", " here", "docs/guide.md"), ("\n", "\n", "examples/sample.env")) for name in ("token = ", "password: ", "API_KEY=")),
+    *((f"{a}{name}{q}", kind, q + b, path, 1) for a, b, path in (("the rest of it ", " was then", "src4"), ("\n", "\n", "deploy/prod.env")) for name, q in (("password=", ""), ("PASSWORD = ", '"'), ("token: ", ""), ("secret_key=", "")) for kind in ("short", "letters")),
+    *((f"{a}{name}{q}", "word", q + b, path, 0) for a, b, path in (("the ", " is given", "src4"), ("\n", "\n", "docs/guide.md")) for name, q in (("password: ", ""), ("token = ", '"'), ("secret_key=", ""), ("auth: ", ""))),
+    *((a, "constant", b, path, 0) for a in ("\n", "export ", "in the ") for b, path in (("=yes\n", "deploy/prod.env"), (' = "x"\n', "src4"), (" is set", "docs/guide.md"))),
 ]
 VALUES = {
     "hex32": "substring(s, 1, 32)", "hex40": "substring(s, 1, 40)", "HEX40": "upper(substring(s, 1, 40))", "hex64": "s",
@@ -79,16 +95,22 @@ VALUES = {
     "uuid": "regexp_replace(substring(s, 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5')",
     "base64": "regexp_replace(base64(unhex(s)), '[\\\\s]', '')", "mixed": "concat('k3', substring(regexp_replace(base64(unhex(s)), '[+/=\\\\s]', 'x'), 1, 32))",
     "slug": "concat(element_at(w, 1 + i % 40), '-', element_at(w, 41 + i % 50), '-', element_at(w, 91 + i % 60), '-', 2000 + i % 25)",
+    "short": "concat(initcap(translate(substring(s, 1, 4), '0123456789', 'ghijkmprst')), substring(s, 5, 1 + i % 5), 'X', 2 + i % 7)", "letters": "substring(regexp_replace(base64(unhex(s)), '[^A-Za-z]', 'q'), 1, 18 + i % 9)",
+    "constant": "upper(concat_ws('_', element_at(w, 1 + i % 40), concat('s', i % 10), if(i % 2 = 0, 'secret', element_at(w, 41 + i % 50)), if(i % 3 = 0, 'token', 'access_key')))",
+    "word": "element_at(w, 1 + i * 7 % 180)",
     "placeholder": "concat(repeat(substring('xX0*y', 1 + i % 3, 1), 14 + i % 9), '1234567')",
 }
 
 
 def labelled_findings(spark: SparkSession, each: int = 8) -> DataFrame:
-    """The labelled findings to train on: `each` values for every template. Their number is fixed, whatever the input."""
+    """The labelled findings to train on: what candidates() finds in `each` texts for every template, so that context and
+    values are cut as in documents. Their number is fixed, whatever the input."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(LABELLED)], "t int, before string, kind string, after string, path string, label int")
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("i", (F.col("t") * 31 + F.col("k")).cast("int")).withColumn("s", F.sha2(F.concat_ws(":", "t", "k", "kind"), 256)).withColumn("w", F.array(*map(F.lit, sorted(set(DICTIONARY)))))
     value = F.expr("case kind " + " ".join(f"when '{k}' then {v}" for k, v in VALUES.items()) + " end")
-    return rows.select(value.alias("candidate"), "before", "after", "path", F.col("label").cast("double").alias("label"))
+    texts = rows.select((F.col("t") * each + F.col("k")).cast("long").alias("doc_id"), value.alias("value"), F.col("label").cast("double").alias("label"), "before", "after", "path").withColumn("text", F.concat("before", "value", "after"))
+    found = candidates(texts, path="path").join(texts.select("doc_id", "label", "value"), "doc_id")
+    return found.filter("label = 0 or candidate = value").select("candidate", "before", "after", "path", "label")
 
 
 def train(labelled: DataFrame, trees: int = 30, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel:
@@ -100,6 +122,9 @@ def train(labelled: DataFrame, trees: int = 30, depth: int = 6, seed: int = 7) -
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, pos, candidate, score (share of the forest for "secret"), is_secret.
 
+    A value directly assigned to a secret's name (token=, password: ...) is a candidate whatever its length; elsewhere it
+    takes 16 characters with a digit among them. Characters other than letters, digits and _+/- end a candidate.
+
     Null and empty texts have no candidates; null ids, repeated rows and repeated candidates stay as they are; a null
     path counts as empty; an empty table gives no rows; other columns are ignored.
     """
@@ -110,7 +135,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def redact(docs: DataFrame, path: str = "source", mark: str = "<secret>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every confirmed secret in its text replaced; same rows and columns."""
-    found = scan(docs, id_col, text_col, path).filter("is_secret").groupBy(F.col("doc_id").alias("found_in")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found_secrets"))
-    text = F.aggregate(F.coalesce("found_secrets", F.array().cast("array<struct<n:int,candidate:string>>")), F.col(text_col).cast("string"), lambda t, s: F.replace(t, s["candidate"], F.lit(mark)))
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("found_in")), "left").withColumn(text_col, text).select(*docs.columns)
+    """docs with every confirmed secret in its text replaced; same rows and columns.
+
+    A secret of 16 characters or more is replaced wherever its text has it, a shorter one where it is a candidate.
+    A row is known by its text and path, so rows without an id, or of one id, don't share secrets.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"), F.coalesce(F.expr(path).cast("string"), F.lit("")))
+    rows = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("t"), F.expr(path).alias("p"))
+    found = scan(rows, "k", "t", "p").filter("is_secret").groupBy(F.col("doc_id").alias("found_in")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias("found_secrets"))
+    text, secret = F.col(text_col).cast("string"), F.transform("found_secrets", lambda s: s["candidate"])
+    parts, runs = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    marked = F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(runs, F.slice(parts, F.lit(2), F.size(parts)), lambda c, after: F.concat(F.when(F.array_contains(secret, c), F.lit(mark)).otherwise(c), after)), ""))
+    clean = F.aggregate(F.filter("found_secrets", lambda s: s["n"] >= 16), marked, lambda t, s: F.replace(t, s["candidate"], F.lit(mark)))
+    return docs.withColumn("found_key", key).join(found, F.col("found_key") == F.col("found_in"), "left").withColumn(text_col, F.when(F.col("found_in").isNotNull(), clean).otherwise(text)).select(*docs.columns)

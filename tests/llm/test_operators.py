@@ -349,6 +349,16 @@ def test_secret_candidates_and_context(spark):
     assert [(r.pos, r.candidate, r.before, r.after[:2]) for r in c] == [(0, "a=abcdef0123456789abcdef", "", " b"), (1, HEX, " b ", ", ")]
 
 
+def test_unquoted_assignments_are_secrets(spark):
+    rows = [(1, f"export API_KEY={HEX}\n"), (2, f"x\ntoken={HEX}\n"), (3, "a\npassword=Tr0ub4dor\nb Tr0ub4dors"), (4, f"AWS_S3_SECRET_ACCESS_KEY={HEX}\n"), (5, "the password: required here, in all"), (None, f"token={HEX}"), (None, f"commit {HEX}"), (6, f"commit={HEX}"), (7, "secret_key=QzvTbKwqLmXhRpYdNs\n")]
+    c = {r.doc_id: r for r in secrets.candidates(frame(spark, rows)).filter("doc_id in (1, 3)").collect()}
+    assert (c[1].candidate, c[1].before) == (HEX, "export API_KEY=") and (c[3].candidate, c[3].before) == ("Tr0ub4dor", "a\npassword=")
+    text = [r.text for r in secrets.redact(frame(spark, rows)).orderBy("doc_id", "text").collect()]
+    assert text == [f"commit {HEX}", "token=<secret>", "export API_KEY=<secret>\n", "x\ntoken=<secret>\n", "a\npassword=<secret>\nb Tr0ub4dors", "AWS_S3_SECRET_ACCESS_KEY=<secret>\n", rows[4][1], rows[7][1], "secret_key=<secret>\n"]
+    label = secrets.labelled_findings(spark).filter("label = 1 and before like '%API_KEY='")
+    assert label.count() and label.filter("candidate like '%=_%'").count() == 0
+
+
 def test_warc_round_trip(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     html = {1: "<p>a</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "x" + inner + "y", 6: "ä\r\n\r\nb", 7: inner, 8: "z" * 300_000, 9: "<p>a</p>"}
