@@ -51,13 +51,14 @@ class _Words(dict):
         self.n = n + 1
         return n
 
-    def templates(self, words: list[bytes]) -> np.ndarray:
-        """The template hash of each word: numbers, units and names (capitalised words inside a sentence) are placeholders."""
+    def templates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The template hash of each word, numbers and units as placeholders, in three variants: capitalised words inside
+        a sentence are names, those at its start too, or none is."""
         if self.n > self.most:
             self.reset()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         start = np.concatenate([[True], self.ends[at[:-1]]]) if len(at) else np.empty(0, bool)
-        return np.where(start, self.first[at], self.mid[at])
+        return np.where(start, self.first[at], self.mid[at]), self.mid[at], self.first[at]
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,7 +72,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _windows(sizes: list[int] | None, bloom, window: int):
-    """Rows (id, at, key, slots, total) of a text's template windows; with a Bloom filter, only of those that it holds.
+    """Rows (id, variant, at, key, slots, total) of a text's template windows; with a Bloom filter, only of those that it holds.
 
     sizes None: the whole text if it is shorter than a window, else its windows.
     """
@@ -84,24 +85,24 @@ def _windows(sizes: list[int] | None, bloom, window: int):
                 rows: list[tuple] = []
                 for i in range(a, b):
                     words = (column[i].as_py() or "").encode("utf-8", "surrogatepass").split()
-                    h = known.templates(words)
-                    for k in ([min(window, len(words))] if sizes is None else sizes):
-                        keys = window_hashes(h, k) if k else h
-                        at = np.arange(len(keys))
-                        if bits is not None:
-                            at = np.flatnonzero((bits[(keys >> np.uint64(3)) & np.uint64(len(bits) - 1)] >> (keys & np.uint64(7)).astype(np.uint8)) & 1)
-                        keys = keys.view(np.int64)
-                        for j in at.tolist():
-                            some = [x.strip(EDGE).lower().decode("utf-8", "replace") if h[j + y] in (NUM, UNIT, NAME) else None for y, x in enumerate(words[j : j + k])]
-                            rows.append((batch.column(0)[i].as_py(), j, int(keys[j]), some, len(keys)))
-                names = ["id", "at", "key", "slots", "total"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
+                    for v, h in enumerate(known.templates(words)):
+                        for k in ([min(window, len(words))] if sizes is None else sizes):
+                            keys = window_hashes(h, k) if k else h
+                            at = np.arange(len(keys))
+                            if bits is not None:
+                                at = np.flatnonzero((bits[(keys >> np.uint64(3)) & np.uint64(len(bits) - 1)] >> (keys & np.uint64(7)).astype(np.uint8)) & 1)
+                            keys = keys.view(np.int64)
+                            for j in at.tolist():
+                                some = [x.strip(EDGE).lower().decode("utf-8", "replace") if h[j + y] in (NUM, UNIT, NAME) else None for y, x in enumerate(words[j : j + k])]
+                                rows.append((batch.column(0)[i].as_py(), v, j, int(keys[j]), some, len(keys)))
+                names = ["id", "variant", "at", "key", "slots", "total"]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 
     return run
 
 
-SCHEMA = "id long, at int, key long, slots array<string>, total int"
+SCHEMA = "id long, variant int, at int, key long, slots array<string>, total int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -109,7 +110,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     Words are taken at white space, lower-cased and freed of punctuation at their edges. Tokens that begin or end in
     a digit, units of measure and capitalised words inside a sentence become typed placeholders, so a question with
-    other numbers or names has the same windows. Along one alignment (document position less item position) each
+    other numbers or names has the same windows. A capitalised word at a sentence's start may be a name or not, and
+    case may be lost, so windows are joined in three variants: with names inside sentences only, with sentence starts
+    as names too, and without names. A window found in any of them counts. In each, along one alignment (document position less item position) each
     slot value of the item must stand for one value in the document; if it doesn't, only the windows without slots
     count there. An item of fewer words than a window is one window of that many words; an item without words
     matches nothing.
@@ -129,9 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     for r in wanted.select(place.alias("p"), F.expr("cast(key & 7 as int)").alias("b")).groupBy("p").agg(F.bit_or(F.expr("shiftleft(1, b)")).alias("b")).toLocalIterator():
         bits[r["p"]] = r["b"]
     found = cut(docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").mapInArrow(_windows([k for k in sizes if k], spark.sparkContext.broadcast(bits), window), SCHEMA), "hits")
-    both = found.select("id", "at", "key", "slots").join(wanted.select("key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "total"), "key")
+    both = found.select("id", "variant", "at", "key", "slots").join(wanted.select("variant", "key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "total"), ["variant", "key"])
     pairs = F.expr("filter(arrays_zip(item_slots, slots), x -> x.item_slots is not null)")
-    along = both.withColumn("pairs", pairs).groupBy("id", "item_id", "total", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    along = both.withColumn("pairs", pairs).groupBy("id", "item_id", "total", "variant", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.collect_set("item_at").alias("all"), F.collect_set(F.when(F.size("pairs") == 0, F.col("item_at"))).alias("plain")
     )
     agree = F.size("pairs") == F.size(F.array_distinct(F.expr("transform(pairs, x -> x.item_slots)")))

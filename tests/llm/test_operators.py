@@ -313,6 +313,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0 == decontaminate.contaminated(frame(spark, rows).limit(0), bench).count()
 
 
+def test_decontamination_of_names_at_sentence_starts_and_of_lower_case(spark):
+    item, short = "Anna has 12 apples. Anna gives 5 to Ben. How many apples does Anna have left?", "Rivers carry sand into wide deltas"
+    rows = [(1, item.replace("Anna", "Maria")), (2, item.lower()), (3, "Q: " + item.replace("Anna", "Maria").replace("12", "9")), (4, "Q: " + short), (5, "Notes\n" + short.lower()), (6, item.replace("Anna", "Maria", 1)), (7, item.replace("apples", "pears").replace("gives", "sold"))]
+    bench = spark.createDataFrame([(10, item), (11, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched == r.windows) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert {(1, 10, True), (2, 10, True), (3, 10, True), (4, 11, True), (5, 11, True)} == {x for x in got if x[0] < 6} and 7 not in {x[0] for x in got}
+
+
 def test_window_containment_equals_brute_force(spark):
     items = [(i, " ".join(words(30, 40 + i))) for i in range(6)]
     docs = [(i, " ".join([*words(20, 60 + i), *items[i % 6][1].split()[: 12 + 3 * (i % 7)], *words(20, 90 + i)])) for i in range(24)]
