@@ -53,6 +53,11 @@ def test_fixpoint_and_clusters(spark):
     assert [tuple(x) for x in R.call_clusters(s, e, least=1).collect()] == [("f", 1)]
 
 
+def test_fixpoint_has_no_last_level(spark):
+    bases = spark.createDataFrame([("k0", "Base"), *((f"k{i}", f"k{i - 1}") for i in range(1, 20)), ("k3", "k19"), ("x", "y"), (None, "k2")], "name string, base string")
+    assert sorted(str(x.name) for x in R.fixpoint_members(bases, ["Base"]).collect()) == sorted(["None", *(f"k{i}" for i in range(20))])
+
+
 def test_suffix_resolution(spark):
     m = spark.createDataFrame([("a.b.c",), ("x.b.c",), ("q",), ("z.q",), ("k.only",)], "module string")
     got = dict(R.resolve_suffix(spark.createDataFrame([("b.c",), ("q",), ("only",), ("none",), ("a.b.c",)], "ref string"), m).collect())
