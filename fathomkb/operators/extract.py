@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SENTENCE = r"[^.!?\n]+[.!?]"
+#: Each start has one match to try: none inside a run, and a run without a mark is given up at once.
+SENTENCE = r"(?<![^.!?\n])[^.!?\n]++[.!?]"
 #: Terms that mark an obligation, and section roles by keyword.
 OBLIGATIONS = ["must", "shall", "required", "requires", "should", "approve", "escalate", "document"]
 ROLES = [("scope", "scope"), ("definition", "definitions"), ("responsib", "responsibilities"), ("procedure", "procedure"), ("exception", "exceptions"), ("overview", "overview")]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomkb.functions.scalars import nonempty
+from fathomkb.sources.shared import written
 
 
 def relation_view(relations: DataFrame) -> DataFrame:
@@ -100,32 +99,20 @@ def reachable_levels(relations: DataFrame, start: str, predicates: list[str], le
     return reduce(DataFrame.unionByName, rounds).filter(F.col("id") != start).groupBy("id").agg(F.min("level").alias("level"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, or one of our own where it is unset, and read again: cuts lineage."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="fathomkb-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fixpoint_members(bases: DataFrame, seeds: list[str]) -> DataFrame:
     """Names whose bases (name, base) lead to a seed, through any number of classes.
 
     Rounds go on until one finds no new name; each round's names are a written table, so plans don't nest.
     """
-    bases = _written(bases.select("name", "base"))
-    known = new = _written(bases.filter(F.col("base").isin(seeds)).select("name").distinct())
+    bases = written(bases.select("name", "base"))
+    known = new = written(bases.filter(F.col("base").isin(seeds)).select("name").distinct())
     rounds = 1
     while not new.isEmpty():
         found = bases.join(new.select(F.col("name").alias("base")), "base", "left_semi").select("name").distinct()
-        new = _written(found.join(known.select(F.col("name").alias("k")), F.col("name").eqNullSafe(F.col("k")), "left_anti"))
+        new = written(found.join(known.select(F.col("name").alias("k")), F.col("name").eqNullSafe(F.col("k")), "left_anti"))
         known, rounds = known.unionByName(new), rounds + 1
         if rounds % 16 == 0:
-            known = _written(known)
+            known = written(known)
     return known
 
 
