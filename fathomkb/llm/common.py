@@ -2,34 +2,65 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomkb.sources.shared import remove, scratch
+from fathomkb.sources.shared import written as cut
+
+__all__ = ["MASK32", "Scratch", "broadcast_if_small", "cut", "hot_keys", "join_spread", "mix64", "packed", "scratch", "slices"]
 
 MASK32 = np.uint64(0xFFFFFFFF)
+#: Rows that a broadcast table may have, and rows of one key that one task may get.
+BROADCAST_ROWS, BLOCK = 200_000, 10_000
+
+
+class Scratch:
+    """Written tables that are only steps: all are deleted at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        self.paths.append(path := scratch(self.spark, name))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, *self.paths)
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's columns as one struct `row` beside columns of our own, so that no name of df can clash; `row.*` unpacks it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (written, of narrow rows), to be broadcast if it has at most `most` rows; Spark's choice of a join otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_merge")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: the session's spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="fathomkb-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+def hot_keys(counts: DataFrame, key: str, count: str, block: int = BLOCK, most: int = 100_000) -> DataFrame:
+    """key, pieces: the `most` largest of the keys with more than `block` rows, and into how many parts each is split.
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    At most `most` rows, so it may be broadcast: a key beyond them has fewer than a `most`-th part of all rows.
+    """
+    return counts.filter(F.col(count) > block).orderBy(F.desc(count), key).limit(most).select(key, F.ceil(F.col(count) / block).cast("int").alias("pieces"))
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and lost executors lose nothing of it."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """left join on key where rows of a hot key are dealt over parts by the hash of column `by`, and right's rows copied to each part."""
+    few = F.broadcast(hot.select(F.col(key).alias("_hot"), "pieces"))
+    n = F.coalesce("pieces", F.lit(1))
+    a = left.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_hot", "pieces")
+    b = right.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "pieces")
+    return a.join(b, [key, "_part"]).drop("_part")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

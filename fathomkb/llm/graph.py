@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
 
 def _local_forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,26 +38,31 @@ def _local_forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield forest()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node has one parent, and no parent has one itself."""
+    parents = edges.groupBy("u").agg(F.count("*").alias("c"))
+    if parents.filter("c > 1").limit(1).count():
+        return False
+    return not edges.join(parents.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) of longs -> (id, component): the smallest id reachable. Only linked ids have a row.
 
     Each partition first reduces its links by union-find. The partial forests are then joined by alternating
     large-star and small-star rounds, which move every node to the smallest neighbour without holding the
-    neighbours of a node together, so that one huge group is only a skewed join. Null ids are dropped.
+    neighbours of a node together, so that one huge group is only a skewed join. Null ids are dropped; no links: no
+    rows. The result is a written table; the tables of the rounds are deleted.
     """
-    edges = cut(links.select("u", "v").dropna().filter("u <> v").mapInPandas(_local_forest, "u long, v long"), "links")
-    before = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.filter("u <> v"), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = cut(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "small")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        before = state
+    with Scratch(links.sparkSession) as steps:
+        edges = steps.cut(links.select("u", "v").dropna().filter("u <> v").mapInPandas(_local_forest, "u long, v long"), "links")
+        while not _is_star_forest(edges):
+            both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = steps.cut(large.filter("u <> v"), "large")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+            edges = steps.cut(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "small")
+        roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")

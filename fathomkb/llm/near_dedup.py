@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK32, cut, mix64, slices
+from .common import MASK32, Scratch, broadcast_if_small, cut, hot_keys, join_spread, mix64, packed, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -90,7 +90,7 @@ def parities(shingles_: np.ndarray, bits: int = PARITIES) -> np.ndarray:
 def _sign(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
+            column = batch.column(2)
             for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), 1 << 19):
                 sets = [shingles(x.as_py(), words) for x in column.slice(a, b - a)]
                 sizes = np.array([len(s) for s in sets])
@@ -98,12 +98,15 @@ def _sign(bands: int, rows: int, words: int):
                 keys: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
                 if len(full):
-                    signature = superminhash(np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), sizes[full]), len(full), bands * rows)
+                    owner = np.repeat(np.arange(len(full)), sizes[full])
+                    signature = superminhash(np.concatenate([sets[i] for i in full]), owner, len(full), bands * rows)
                     for i, key in zip(full, band_keys(signature, bands, rows)):
                         keys[i], bits[i] = key, parities(sets[i])
+                digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_hash", "bands", "parities"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)],
+                    ["doc_id", "text_hash", "n_shingles", "set_hash", "bands", "parities"],
                 )
 
     return run
@@ -113,13 +116,13 @@ def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(64)(lambda key, text: shingles(text, words))
         for batch in batches:
-            u, v, ut, vt = (batch.column(i) for i in range(4))
+            u, v, ut, vt = (batch.column(i) for i in (0, 1, 4, 5))
             keep = []
             for i in range(batch.num_rows):
                 a, b = known(u[i].as_py(), ut[i].as_py()), known(v[i].as_py(), vt[i].as_py())
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -129,11 +132,104 @@ def _shingle_rows(words: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 s = shingles(batch.column(2)[i].as_py(), words)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), pa.repeat(batch.column(1)[i], len(s)), pa.array(s.view(np.int64))], ["rep", "c", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), pa.repeat(batch.column(1)[i], len(s)), pa.array(s.view(np.int64))], ["cls", "c", "shingle"])
 
     return run
 
 
+def _signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_hash, bands, parities of each row, written."""
+    schema = "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, parities array<long>"
+    return cut(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(bands, rows, words), schema), "signatures")
+
+
+def _classes(sig: DataFrame) -> DataFrame:
+    """One row a distinct set, written: cls (its number), rep (smallest doc_id), text_hash (of one text of rep), n, bands, parities."""
+    some = F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands", "parities")).alias("x")
+    one = sig.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(some)
+    return cut(
+        one.select("set_hash", F.monotonically_increasing_id().alias("cls"), F.col("x.doc_id").alias("rep"), "x.text_hash", F.col("x.n_shingles").alias("n"), "x.bands", "x.parities"),
+        "classes",
+    )
+
+
+def _shared_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of ids that have texts with several sets."""
+    own = sig.filter("doc_id is not null and set_hash is not null").select("doc_id", "set_hash")
+    several = own.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
+    return own.distinct().join(several, "doc_id").join(classes, "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, already: DataFrame, steps: Scratch, words: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) of representatives, `already` among them, that connect what is alike (see near_duplicates)."""
+    member = classes.select("cls", "rep", "n", F.explode("bands").alias("band"))
+    heads = steps.cut(member.groupBy("band").agg(F.min(F.struct("rep", "cls", "n")).alias("h"), F.count("*").alias("k")).filter("k > 1"), "heads")
+    hot = steps.cut(hot_keys(heads, "band", "k"), "hot")
+    shared = join_spread(member, heads.select("band", F.col("h.rep").alias("h_rep"), F.col("h.cls").alias("h_cls"), F.col("h.n").alias("h_n")), "band", "cls", hot)
+    shared = steps.cut(shared.select("band", "cls", "rep", "n", "h_cls", "h_rep", "h_n"), "buckets")
+    near = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"  # sets of other sizes cannot reach it
+    to_head = shared.filter("cls <> h_cls and " + near.format(a="n", b="h_n"))
+    first = steps.cut(to_head.select(F.col("h_cls").alias("u"), F.col("cls").alias("v"), F.col("h_rep").alias("ur"), F.col("rep").alias("vr")).distinct(), "pairs")
+
+    needed = shared.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id"), "text_hash"), "cls")
+    texts = steps.cut(docs.join(needed, ["doc_id", "text_hash"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs of classes those whose full sets are alike; a class in very many pairs is dealt over tasks."""
+        rows = pairs
+        for side, other, text in (("u", "v", "ut"), ("v", "u", "vt")):
+            many = steps.cut(hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), side, "k"), "hot")
+            rows = join_spread(rows, texts.select(F.col("cls").alias(side), F.col("text").alias(text)), side, other, many)
+        return steps.cut(rows.select("u", "v", "ur", "vr", "ut", "vt").mapInArrow(_verify(words, percent), "u long, v long"), "links")
+
+    found = already.unionByName(confirmed(first))
+    so_far = components(found)
+    labelled = steps.cut(shared.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "cls", "rep", "n", F.coalesce("component", "rep").alias("c")), "labelled")
+    several = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+    mixed = steps.cut(join_spread(labelled, several, "band", "cls", hot), "mixed")
+    if not mixed.limit(1).count():
+        return found
+
+    # a link between two components rests on shingles that both have: count these for each class
+    shingle_rows = mixed.select("cls", "c").distinct().join(texts, "cls").select("cls", "c", "text")
+    shingle_rows = steps.cut(shingle_rows.mapInArrow(_shingle_rows(words), "cls long, c long, shingle long"), "shingles")
+    both = shingle_rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("shingle", "k")
+    both = steps.cut(both, "both")
+    outside = join_spread(shingle_rows, both.select("shingle"), "shingle", "cls", hot_keys(both, "shingle", "k")).groupBy("cls").agg(F.count("*").alias("s"))
+    could = f"{100 + percent} * least({{s}}, {{t}}) >= {percent} * ({{a}} + {{b}})"
+    able = mixed.join(outside.join(classes.select("cls", "parities"), "cls"), "cls")
+    differ = " + ".join(f"bit_count(parities[{i}] ^ {{other}}[{i}])" for i in range(PARITIES // 64))
+    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + {{b}})"
+    least = able.groupBy("band").agg(F.min("n").alias("least_n"))
+    able = steps.cut(join_spread(able, least, "band", "cls", hot).filter(could.format(s="s", t="s", a="n", b="least_n")).drop("least_n"), "able")
+
+    # the member with the smallest share of shingles of its own is nearest to the others: try it first
+    medoid = able.groupBy("band").agg(F.max_by(F.struct("cls", "rep", "n", "c", "s", "parities"), F.struct(F.col("s") / F.col("n"), -F.col("cls"))).alias("m"))
+    fits = ["c <> m.c", near.format(a="n", b="m.n"), could.format(s="s", t="m.s", a="n", b="m.n"), alike.format(other="m.parities", b="m.n")]
+    pair = join_spread(able, medoid, "band", "cls", hot).filter(" and ".join(fits))
+    second = _ordered(pair, "cls", "rep", "m.cls", "m.rep").join(first.select("u", "v"), ["u", "v"], "left_anti")
+    second = steps.cut(second, "second")
+    found = found.unionByName(confirmed(second))
+    so_far = components(found)
+    able = steps.cut(able.drop("c").join(so_far, F.col("rep") == F.col("id"), "left").withColumn("c", F.coalesce("component", "rep")).drop("id", "component"), "able")
+    size = able.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band")
+    largest = size.agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
+    left = steps.cut(join_spread(able, largest, "band", "cls", hot), "left")
+    other = left.filter("c <> top").select("band", *(F.col(x).alias(f"{x}2") for x in ("cls", "rep", "n", "c", "s", "parities")))
+    fits = ["c <> c2", near.format(a="n", b="n2"), could.format(s="s", t="s2", a="n", b="n2"), alike.format(other="parities2", b="n2")]
+    pair = join_spread(left, other, "band", "cls", hot).filter(" and ".join(fits))
+    tried = first.select("u", "v").unionByName(second.select("u", "v"))
+    return found.unionByName(confirmed(steps.cut(_ordered(pair, "cls", "rep", "cls2", "rep2").join(tried, ["u", "v"], "left_anti"), "more")))
+
+
+def _ordered(pairs: DataFrame, a: str, ra: str, b: str, rb: str) -> DataFrame:
+    """Distinct u, v (classes), ur, vr (representatives): the class with the smaller representative first, as heads are."""
+    lo = F.struct(F.col(ra).alias("r"), F.col(a).alias("c"))
+    hi = F.struct(F.col(rb).alias("r"), F.col(b).alias("c"))
+    both = pairs.select(F.least(lo, hi).alias("x"), F.greatest(lo, hi).alias("y"))
+    return both.select(F.col("x.c").alias("u"), F.col("y.c").alias("v"), F.col("x.r").alias("ur"), F.col("y.r").alias("vr")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 
@@ -141,67 +237,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their SuperMinHash signatures: at the threshold a pair is missed with chance (1 - 0.75**4)**32 = 5e-6.
 
     Equal sets become one class first, whatever the number of copies. In each band bucket every class is checked
-    against the smallest; then only buckets that still hold several components are compared further: first against
-    the member that shares most, then members outside the largest component against all. Classes that are already connected need no further pair, so a
-    huge group costs one check a member and band. A link between two components can only rest on shingles that both
-    have: these are counted for each class, and a pair is formed only if the smaller count could still give
-    the similarity. The count is an upper bound of the intersection, and the bins whose parities differ are a lower
-    bound of the symmetric difference, so these filters lose no link.
+    against the first; then only buckets that still hold several components are compared further: first against
+    the member that shares most, then members outside the largest component against those of others. Classes that
+    are already connected need no further pair, so a huge group costs one check a member and band. A link between two
+    components can only rest on shingles that both have: these are counted for each class, and a pair is formed only
+    if the smaller count could still give the similarity. The count is an upper bound of the intersection, and the
+    bins whose parities differ are a lower bound of the symmetric difference, so these filters lose no link. Buckets
+    and classes with very many rows are dealt over several tasks.
 
     Null or empty text: n_shingles 0, a component of its own. Null doc_id: component_id null and kept false; the
-    row links nothing. Repeated rows are returned as often as they occur, with one component. Two texts under
-    one doc_id share its component. Empty input: no rows. Other columns are ignored.
+    row links nothing. Repeated rows are returned as often as they occur, with one component. Texts under one doc_id
+    share its component, and what is like any of them does too. Empty input: no rows. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(docs.mapInArrow(_sign(bands, rows, words), "doc_id long, n_shingles long, set_hash binary, bands array<long>, parities array<long>"), "signatures")
-    one = sig.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parities")).alias("x"))
-    classes = cut(one.select("set_hash", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands"), F.col("x.parities").alias("parities")), "classes")
-    member = classes.select("rep", "n", F.explode("bands").alias("band"))
-    heads = member.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1")
-    shared = cut(member.join(heads.drop("c"), "band").select("band", "rep", "n", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n")), "buckets")
-    near = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"  # sets of other sizes cannot reach it
-    first = cut(shared.filter("rep <> head and " + near.format(a="n", b="head_n")).select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
-
-    texts = cut(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")), "u")
-        return cut(with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")), "v").select("u", "v", "ut", "vt").mapInArrow(_verify(words, percent), "u long, v long"), "links")
-
-    found = links(first)
-    so_far = cut(components(found), "components")
-    labelled = cut(shared.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c")), "labelled")
-    mixed = labelled.join(labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band"), "band")
-    rows_ = cut(mixed.select(F.col("rep").alias("doc_id"), "c").distinct().join(texts, "doc_id").select("doc_id", "c", "text").mapInArrow(_shingle_rows(words), "rep long, c long, shingle long"), "shingles")
-    both = rows_.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
-    outside = rows_.join(both, "shingle").groupBy("rep").agg(F.count("*").alias("s"))
-    could = f"{100 + percent} * least({{s}}, {{t}}) >= {percent} * ({{a}} + {{b}})"
-    able = mixed.join(outside.join(classes.select("rep", "parities"), "rep"), "rep")
-    alike = f"{100 + percent} * (" + " + ".join(f"bit_count(parities[{i}] ^ {{other}}[{i}])" for i in range(PARITIES // 64)) + f") <= {100 - percent} * (n + {{b}})"
-    able = cut(able.join(able.groupBy("band").agg(F.min("n").alias("least_n")), "band").filter(could.format(s="s", t="s", a="n", b="least_n")).drop("least_n"), "able")
-    # the member with the smallest share of shingles of its own is nearest to the others: try it first
-    medoid = able.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c", "s", "parities"), F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("m"))
-    pair = able.join(medoid, "band").filter("c <> m.c and " + near.format(a="n", b="m.n") + " and " + could.format(s="s", t="m.s", a="n", b="m.n") + " and " + alike.format(other="m.parities", b="m.n"))
-    second = cut(pair.select(F.least("rep", "m.rep").alias("u"), F.greatest("rep", "m.rep").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "second")
-    found = cut(found.unionByName(links(second)), "found")
-    so_far = cut(components(found), "components")
-    able = cut(able.join(so_far, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", "s", "parities", F.coalesce("component", "rep").alias("c")), "able")
-    largest = able.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
-    left = able.join(largest, "band")
-    other = left.filter("c <> top").select("band", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("parities").alias("parities2"))
-    pair = left.join(other, "band").filter("c <> c2 and " + near.format(a="n", b="n2") + " and " + could.format(s="s", t="s2", a="n", b="n2") + " and " + alike.format(other="parities2", b="n2"))
-    more = pair.select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v")).distinct().join(first.unionByName(second), ["u", "v"], "left_anti")
-    late = links(cut(more, "more"))
-    final = cut(components(found.unionByName(late)), "components")
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    sig = _signatures(docs, bands, rows, words)
+    classes = _classes(sig)
+    with Scratch(docs.sparkSession) as steps:
+        final = components(_links(docs, classes, _shared_ids(sig, classes), steps, words, percent))
     of_class = classes.select("set_hash", "rep").join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sig.drop("bands", "parities").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    out = sig.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs (with doc_id and text) without the rows whose component has a smaller id; of rows that repeat the kept id, one; rows without an id stay."""
-    found = near_duplicates(docs)
-    drop = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("copy_id")).distinct()
-    rest = docs.join(drop, F.col("doc_id").cast("long") == F.col("copy_id"), "left_anti")
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.filter("doc_id is null"))
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, that with the smallest id; all columns as they were.
+
+    Different texts under one id are documents of their own: the one with the smallest hash counts under the id, the
+    others behind all ids, so each stays unless it is a near copy of another. Of rows with equal id and text one stays,
+    the first by its JSON. Rows without an id, and null or empty texts, stay. Empty input: no rows.
+    """
+    text = F.col(text_col).cast("string")
+    rows = packed(docs, i=F.col(id_col).cast("long"), h=F.xxhash64(text), text=text)
+    pairs = cut(rows.filter("i is not null").groupBy("i", "h").agg(F.count("*").alias("k")), "rows")
+    several = pairs.groupBy("i").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi")
+    others = cut(pairs.join(several, "i").filter("h > lo").select("i", "h", F.monotonically_increasing_id().alias("n")), "others")
+    top = pairs.agg(F.max("i")).first()[0] or 0
+    keyed = rows.join(broadcast_if_small(others), ["i", "h"], "left").withColumn("key", F.coalesce(F.lit(top + 1) + F.col("n"), "i")).drop("n")
+    copies = near_duplicates(keyed, "key", "text").filter("doc_id is not null and not kept").select(F.col("doc_id").alias("key")).distinct()
+    rest = keyed.join(copies, "key", "left_anti").select("row", "i", "h")
+    repeats = cut(pairs.filter("k > 1").select("i", "h"), "repeats")
+    if not repeats.limit(1).count():
+        return rest.select("row.*")
+    repeats = broadcast_if_small(repeats)
+    one = rest.join(repeats, ["i", "h"], "left_semi").groupBy("i", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rest.join(repeats, ["i", "h"], "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -13,57 +14,66 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import scratch
 
 Rule = tuple[str, str, str]  # verdict, host, path
-#: An index is one file that every executor fetches; more rules than this are refused.
-MOST_RULES = 20_000_000
+#: Rules in one file of an index; more of them make more files.
+SHARD = 4_000_000
 
 
 class DigestIndex:
-    """Rules host + path -> verdict as sorted uint64 keys, offsets, verdict bytes and the full strings, in one flat file.
+    """Rules host + path -> verdict as sorted uint64 keys, offsets, verdict bytes and the full strings, in flat files.
 
-    The file goes to the shared folder and to the executors by SparkContext.addFile; tasks map it, so that its pages
-    are shared and only those that a probe touches are read.
+    Rules are taken from any iterable (a list, or rows of a DataFrame's toLocalIterator()), `shard` at a time, so the
+    driver holds one file's rules at most. Files go to the shared folder and to the executors by SparkContext.addFile;
+    tasks map them, so that their pages are shared and only those that a probe touches are read.
     """
 
-    def __init__(self, spark: SparkSession, rules: list[Rule]):
-        if len(rules) > MOST_RULES:
-            raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most")
+    def __init__(self, spark: SparkSession, rules: Iterable[Rule], shard: int = SHARD):
+        self.names, labels, lengths = [], set(), set()
+        rules = iter(rules)
+        while part := list(islice(rules, shard)):
+            labels |= {h.count(".") + 1 for _, h, _ in part}
+            lengths |= {len(p) for _, _, p in part}
+            self.names.append(self._write(spark, part))
+        self.labels, self.lengths = sorted(labels), sorted(lengths)
+
+    @staticmethod
+    def _write(spark: SparkSession, rules: list[Rule]) -> str:
         texts = [(h + p).encode() for _, h, p in rules]
         keys = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
         order = np.argsort(keys, kind="stable")
         ends = np.cumsum([0, *(len(texts[i]) for i in order)]).astype(np.uint64)
-        data = b"".join([np.uint64(len(texts)).tobytes(), keys[order].tobytes(), ends.tobytes(), bytes(rules[i][0] == "block" for i in order), *(texts[i] for i in order)])
-        self.labels = sorted({h.count(".") + 1 for _, h, _ in rules})
-        self.lengths = sorted({len(p) for _, _, p in rules})
-        jvm, path = spark._jvm, scratch(spark, "url-digests")
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        path = scratch(spark, "url-digests")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-        for i in range(0, len(data), 1 << 24):
-            out.write(bytearray(data[i : i + (1 << 24)]))
+        strings = (b"".join(texts[i] for i in order[k : k + 100_000]) for k in range(0, len(order), 100_000))
+        for data in (np.uint64(len(texts)).tobytes(), keys[order].tobytes(), ends.tobytes(), bytes(rules[i][0] == "block" for i in order), *strings):
+            for i in range(0, len(data), 1 << 24):
+                out.write(bytearray(data[i : i + (1 << 24)]))
         out.close()
         spark.sparkContext.addFile(path)
-        self.name = path.rsplit("/", 1)[1]
+        return path.rsplit("/", 1)[1]
 
     def open(self) -> None:
-        path = SparkFiles.get(self.name)
-        n = int(np.memmap(path, np.uint64, "r", shape=(1,))[0]) if path else 0
-        at = 8
-        self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.empty(0, np.uint64)
-        self.ends = np.memmap(path, np.uint64, "r", at + 8 * n, (n + 1,))
-        at += 8 * n + 8 * (n + 1)
-        self.rest = np.memmap(path, np.uint8, "r", at) if n else np.empty(0, np.uint8)
+        self.shards = []
+        for name in self.names:
+            path = SparkFiles.get(name)
+            n = int(np.memmap(path, np.uint64, "r", shape=(1,))[0])
+            at = 8 + 8 * n + 8 * (n + 1)
+            self.shards.append((np.memmap(path, np.uint64, "r", 8, (n,)), np.memmap(path, np.uint64, "r", 8 + 8 * n, (n + 1,)), np.memmap(path, np.uint8, "r", at)))
 
     def find(self, texts: list[str]) -> list[str | None]:
         """The verdict of each text that is stored, None for others. Equal digests count only with equal strings."""
-        raw, n = [t.encode("utf-8", "surrogatepass") for t in texts], len(self.keys)
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         probe = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-        at = np.searchsorted(self.keys, probe)
         found: list[str | None] = [None] * len(texts)
-        for i in np.flatnonzero((at < n) & (self.keys[np.minimum(at, n - 1)] == probe)) if n else ():
-            k = int(at[i])
-            while k < n and self.keys[k] == probe[i] and found[i] is None:
-                if self.rest[n + int(self.ends[k]) : n + int(self.ends[k + 1])].tobytes() == raw[i]:
-                    found[i] = "block" if self.rest[k] else "allow"
-                k += 1
+        for keys, ends, rest in self.shards:
+            n = len(keys)
+            at = np.searchsorted(keys, probe)
+            for i in np.flatnonzero((at < n) & (keys[np.minimum(at, n - 1)] == probe)):
+                k = int(at[i])
+                while k < n and keys[k] == probe[i] and found[i] is None:
+                    if rest[n + int(ends[k]) : n + int(ends[k + 1])].tobytes() == raw[i]:
+                        found[i] = "block" if rest[k] else "allow"
+                    k += 1
         return found
 
 
@@ -80,7 +90,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(A_Z), slash + path
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict.
 
     A rule fits its host and that host's subdomains where the url's path starts with the rule's; the longest rule
@@ -90,19 +100,25 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     """
     index = DigestIndex(pages.sparkSession, rules)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_rules(both: list[tuple[str, str]]) -> list[tuple[int, int, str, str] | None]:
+        best: list[tuple[int, int, str, str] | None] = [None] * len(both)
+        for n in index.labels:
+            tail = [h if h.count(".") + 1 == n else ".".join(h.split(".")[-n:]) if h.count(".") >= n else None for h, _ in both]
+            for length in index.lengths:
+                rows = [i for i, (_, p) in enumerate(both) if tail[i] is not None and len(p) >= length]
+                texts = [tail[i] + both[i][1][:length] for i in rows]
+                for i, text, verdict in zip(rows, texts, index.find(texts)):
+                    if verdict and (best[i] is None or (len(text), len(tail[i])) > best[i][:2]):
+                        best[i] = (len(text), len(tail[i]), text, verdict)
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index.open()
-        for pdf in parts:
-            both = [split_url(u) for u in pdf["url"]]
-            best: list[tuple[int, int, str, str] | None] = [None] * len(both)
-            tails = {n: [h if h.count(".") + 1 == n else ".".join(h.split(".")[-n:]) if h.count(".") >= n else None for h, _ in both] for n in index.labels}
-            for n, tail in tails.items():
-                for length in index.lengths:
-                    rows = [i for i, (_, p) in enumerate(both) if tail[i] is not None and len(p) >= length]
-                    texts = [tail[i] + both[i][1][:length] for i in rows]
-                    for i, text, verdict in zip(rows, texts, index.find(texts)):
-                        if verdict and (best[i] is None or (len(text), len(tail[i])) > best[i][:2]):
-                            best[i] = (len(text), len(tail[i]), text, verdict)
-            yield pd.DataFrame({"page_id": pdf["page_id"], "host": [h for h, _ in both], "path": [p for _, p in both], "rule": [b[2] if b else None for b in best], "verdict": [b[3] if b else default for b in best]})
-
-    return pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"cast(`{url_col}` as string) url").mapInPandas(run, "page_id long, host string, path string, rule string, verdict string")
+        for batch in batches:
+            both = [split_url(u) for u in batch.column(1).to_pylist()]
+            best = best_rules(both)
+            columns = ([h for h, _ in both], [p for _, p in both], [b[2] if b else None for b in best], [b[3] if b else default for b in best])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["page_id", "host", "path", "rule", "verdict"])
+
+    narrow = pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"cast(`{url_col}` as string) url")
+    return narrow.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")

@@ -82,6 +82,33 @@ def test_representatives_keep_rows_without_id(spark, texts):
     assert sorted((x.doc_id for x in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, 6, 7, 9, 10, None]
 
 
+def test_texts_under_one_id_share_its_component(spark):
+    one, two = " ".join(words(60, 70)), " ".join(words(60, 71))
+    rows = [(5, two), (9, one), (9, two), (11, one), (20, " ".join(words(60, 72)))]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(5, 5), (9, 5), (11, 5), (20, 20)}
+
+
+def test_representatives_lose_no_text(spark):
+    """Repeated ids with other texts, repeated rows, columns named as inside: each text keeps a document, its smallest id."""
+    a, b, c = (" ".join(words(60, k)) for k in (73, 74, 75))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (None, a), (6, ""), (6, None), (2**53 + 1, c + " x"), (7, c.upper())]
+    clash = frame(spark, rows).selectExpr("*", "1 copy_id", "2 row_key", "3 row_digest", "4 copy_key", "5 n", "6 i2", "7 h2", "8 set_hash", "9 band")
+    kept = near_dedup.keep_representatives(clash)
+    assert kept.columns == clash.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got[4, c] == got[None, a] == got[6, ""] == got[6, None] == 1 and sum(got.values()) == 6
+    assert sum(v for (i, t), v in got.items() if t == a and i is not None) == sum(v for (_, t), v in got.items() if t == b) == 1
+    assert near_dedup.keep_representatives(clash.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_dealt_over_parts(spark, monkeypatch):
+    from fathomkb.llm import common
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (3, 100_000))
+    test_near_dedup_random_groups(spark)
+
+
 def test_superminhash_estimates_and_ranks():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(250, 1250, dtype=np.uint64)
     h = near_dedup.superminhash(near_dedup.mix64(np.concatenate([a, b])), np.repeat([0, 1], 1000), 2, 512)
@@ -155,6 +182,15 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
 
 
+def test_url_filter_keeps_large_ids_beside_nulls_and_shards_agree(spark, monkeypatch):
+    rows = [(2**53 + 1, "http://a.org/es/", 1), (None, "http://b.com/de/", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host int")
+    assert [r.page_id for r in url_filter.filter_urls(df, RULES).collect()] == [2**53 + 1, None]
+    index = url_filter.DigestIndex(spark, iter(RULES), shard=2)
+    index.open()
+    assert len(index.names) == 3 and index.find(["com/de/", "example.org/es/", "com/xx/", "org/"]) == ["block", "block", None, "allow"]
+
+
 def test_url_digest_collisions_are_confirmed(spark, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
     index = url_filter.DigestIndex(spark, RULES)
