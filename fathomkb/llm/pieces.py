@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 4
-SENTINEL, CACHE = -1e8, 250_000
+SENTINEL, CACHE, LONG = -1e8, 7_000_000, 200
 MARKS = ".,!*#%$&|?;:"
 
 Path = tuple[int, tuple[int, ...]]  # score, ids
@@ -25,17 +25,23 @@ NEVER, FAR = -(1 << 62), 1 << 62
 
 
 class _Known(dict):
-    """unit -> unit_best(unit), of bounded size: when half is full, the older half goes."""
+    """unit -> unit_best(unit), of bounded memory: counted in characters, and long units are not kept.
+
+    When half is full, the older half goes.
+    """
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
     def __missing__(self, s: str) -> tuple:
         got = self.old.get(s) or self.make(s)
-        if len(self) >= CACHE:
-            self.old = dict(self)
+        if len(s) > LONG:
+            return got
+        if self.size >= CACHE:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[s] = got
+        self.size += len(s) + 20
         return got
 
 
@@ -53,6 +59,7 @@ class Lattice:
         pieces = {sp.id_to_piece(i).replace("▁", " "): (i, int(sp.get_score(i))) for i in normal}
         self.bytes_ = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = int(min(s for _, s in pieces.values() if s > SENTINEL)) - 10
+        self.longest = max(map(len, pieces))
         self.prefix: dict[str, tuple[int, int] | None] = {}
         for p in pieces:
             for k in range(1, len(p)):
@@ -75,43 +82,67 @@ class Lattice:
         self.unit = re.compile(f" *[^ {breaks}](?:[^ {breaks}{marks}]+{go_on})*| +|[{breaks or ' '}]" if alone else r"(?s).+")
         self.known = _Known(self.unit_best)
 
-    def edges(self, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each end, its edges (start, score, ids)."""
-        prefix, n = self.prefix, len(s)
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+    def edges_to(self, s: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """The edges (start, score, ids) that end at a position, the shortest first."""
+        get, out = self.prefix.get, []
+        for i in range(end - 1, max(end - self.longest, 0) - 1, -1):
+            if hit := get(s[i:end]):
+                out.append((i, hit[1], (hit[0],)))
+        if not out or out[0][0] != end - 1:
+            out.append((end - 1, self.unknown, tuple(self.bytes_[b] for b in s[end - 1].encode("utf-8", "surrogatepass"))))
+        return out
+
+    def forward(self, s: str) -> list[int]:
+        """Viterbi: the best score from the start to each position."""
+        get, n, unknown = self.prefix.get, len(s), self.unknown
+        best = [0] + [NEVER] * n
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                hit = prefix.get(s[i:j], 0)
-                if hit == 0:
+            j, score = i + 1, best[i]
+            hit = get(s[i:j], 0)
+            if not hit and score + unknown > best[j]:
+                best[j] = score + unknown
+            while hit != 0:
+                if hit is not None and score + hit[1] > best[j]:
+                    best[j] = score + hit[1]
+                j += 1
+                if j > n:
                     break
-                if hit is not None:
-                    into[j].append((i, hit[1], (hit[0],)))
-                    single |= j == i + 1
-            if not single:
-                into[i + 1].append((i, self.unknown, tuple(self.bytes_[b] for b in s[i].encode("utf-8", "surrogatepass"))))
-        return into
-
-    @staticmethod
-    def forward(into: list) -> list[int]:
-        """Viterbi: the best score from the start to each position."""
-        best = [0]
-        for edges in into[1:]:
-            best.append(max(best[i] + score for i, score, _ in edges))
+                hit = get(s[i:j], 0)
         return best
 
     def nbest(self, s: str, n: int) -> list[Path]:
-        """The n best segmentations, best first, ties by ids: A* from the end, on the exact forward scores."""
-        into = self.edges(s)
-        best = self.forward(into)
-        heap, out = [(-best[-1], (), len(s), 0)], []
+        """The n best segmentations, best first: A* from the end, on the exact forward scores.
+
+        As the heuristic is exact, a node's loss is that of the best path through it. So a popped node is followed along
+        its best edges to the start, which is the next path, and only the other edges on its way go on the heap, of
+        which those beyond the n smallest losses can't be reached. Paths share their ends as linked lists.
+        """
+        best = self.forward(s)
+        ways: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}  # position -> (loss, start, ids), the best first
+        heap: list[tuple] = [(0, 0, len(s), None)]
+        bound, count, out = [0], 1, []  # minus the n smallest losses so far
         while heap and len(out) < n:
-            f, ids, at, tail = heapq.heappop(heap)
-            if at == 0:
-                out.append((-f, ids))
-                continue
-            for i, score, some in into[at]:
-                heapq.heappush(heap, (-(best[i] + score + tail), some + ids, i, score + tail))
+            loss, _, at, tail = heapq.heappop(heap)
+            while at:
+                edges = ways.get(at)
+                if edges is None:
+                    edges = ways[at] = sorted((best[at] - best[i] - score, -i, ids) for i, score, ids in self.edges_to(s, at))
+                for more, i, ids in edges[1:]:
+                    if len(bound) < n:
+                        heapq.heappush(bound, -(loss + more))
+                    elif loss + more < -bound[0]:
+                        heapq.heapreplace(bound, -(loss + more))
+                    else:
+                        break
+                    heapq.heappush(heap, (loss + more, count, -i, (ids, tail)))
+                    count += 1
+                _, i, ids = edges[0]
+                at, tail = -i, (ids, tail)
+            ids = []
+            while tail:
+                ids += tail[0]
+                tail = tail[1]
+            out.append((best[-1] - loss, tuple(ids)))
         return out
 
     def unit_best(self, s: str) -> tuple[tuple[int, ...], int, int]:
@@ -181,6 +212,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, nbest: int = NBEST, id_col:
     """One row per input row: doc_id, ids, score, nbest (score and the units that differ from the best), restored.
 
     Scores are sums of the model's piece scores; `restored` tells whether decoding the ids gives the text again.
+    The pieces and scores are those that the model file stores, taken as a unigram lattice: with a BPE model (as the
+    default one) the result is the best by score, not the one that merging by rank gives. Memory grows in proportion to
+    a text, also where it has no place at which no piece reaches over.
+
     Null text: ids, score and restored null, nbest empty. Empty text: no ids, score 0, nbest empty. Null ids and
     repeated rows stay as they are; empty table: no rows; other columns are ignored. Of equally good best
     segmentations that is taken whose pieces, from the last one back, are longest.
@@ -205,9 +240,13 @@ def encode(docs: DataFrame, model_path: str = MODEL, nbest: int = NBEST, id_col:
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, ids array<int>, score long, nbest array<struct<score: long, changes: array<struct<unit: int, ids: array<int>>>>>, restored boolean")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """One row of encode()'s result as numbers: doc_id, n_tokens, ids_hash, score, nbest_scores (best first, comma-separated), restored."""
-    return encoded.selectExpr("doc_id", "cast(size(ids) as long) n_tokens", "xxhash64(ids) ids_hash", "score", "array_join(transform(nbest, x -> cast(x.score as string)), ',') nbest_scores", "restored")
+def token_rows(encoded: DataFrame) -> DataFrame:
+    """One row of encode()'s result for a table of tokens: doc_id, ids, n_tokens, score, nbest, nbest_scores, restored.
+
+    nbest_scores are the scores of nbest, best first, comma-separated. Null texts have null ids and no n-best; repeated
+    rows and null ids stay; an empty table gives no rows.
+    """
+    return encoded.selectExpr("doc_id", "ids", "cast(size(ids) as long) n_tokens", "score", "nbest", "array_join(transform(nbest, x -> cast(x.score as string)), ',') nbest_scores", "restored")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -37,7 +37,7 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(pieces.encode(_read(spark, sf_dir, "documents")))
+    return pieces.token_rows(pieces.encode(_read(spark, sf_dir, "documents")))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,18 +261,54 @@ def lattice():
 
 
 def all_paths(lattice, s):
-    into, out = lattice.edges(s), []
+    out = []
 
     def walk(at, score):
         if at == 0:
             out.append(score)
-        for i, w, _ in into[at]:
+        for i, w, _ in lattice.edges_to(s, at) if at else ():
             walk(i, score + w)
 
     walk(len(s), 0)
     return sorted(out, reverse=True)
 
 
+def best_of_whole(lattice, s, n):
+    """The n best scores over the uncut lattice of a text: n-best dynamic programming, position by position."""
+    ways = [[0]]
+    for at in range(1, len(s) + 1):
+        ways.append(sorted((x + w for i, w, _ in lattice.edges_to(s, at) for x in ways[i]), reverse=True)[:n])
+    return ways[-1]
+
+
+@pytest.mark.parametrize("k", range(6))
+def test_nbest_of_long_texts_equals_the_uncut_lattice(lattice, k):
+    import random as random_
+
+    r = random_.Random(k)
+    letters = ["abcdefghijklmnopqrstuvwxyz ", "ab", "abc.,!  \n", "0123456789abcdef", "é漢字 the", "eth an in."][k]
+    s = "".join(r.choice(letters) for _ in range(400))
+    ids, score, ways = lattice.encode(s, 5)
+    assert [w[0] for w in ways] == best_of_whole(lattice, " " + s, 5) and score == ways[0][0] and lattice.decode(ids) == s
+    units = lattice.unit.findall(" " + s)
+    piece_score = {i: w for hit in lattice.prefix.values() if hit for i, w in [hit]}
+    for total, changes in ways:  # each way's ids are its score's
+        ids = [i for j, u in enumerate(units) for i in dict(changes).get(j, lattice.known[u][0])]
+        assert lattice.decode(ids) == s
+        if all(i in piece_score for i in ids):
+            assert sum(piece_score[i] for i in ids) == total
+
+
+def test_long_text_without_breaks_ends_soon(lattice):
+    import time
+
+    s = base64.b64encode(np.random.default_rng(3).bytes(250_000)).decode()
+    began = time.time()
+    ids, _, ways = lattice.encode(s, 4)
+    assert time.time() - began < 60 and lattice.decode(ids) == s and len(ways) == 4
+    assert [w[0] for w in ways] == sorted((w[0] for w in ways), reverse=True)
+
+
 @pytest.mark.parametrize("s", ["then cat", "a,b c", "\nthe the", "ab\U0001f600 é", "x", "in the."])
 def test_nbest_equals_all_segmentations(lattice, s):
     ids, score, ways = lattice.encode(s, 5)
