@@ -216,15 +216,77 @@ def test_quality_learns_without_held_out_rows_or_other_columns(spark):
     assert quality.score_quality(docs, quality.train(docs, labels.limit(0))).count() == len(rows)
 
 
-def test_gated_attention_gradient():
+def slow_encode(text):
+    """Passages by the docstring, word by word: (shapes, sorted words of each passage, pairs of each passage)."""
+    raw = text.encode().lower().split()
+    spans, at = [], 0
+    for w in text.encode().split():
+        at = text.encode().index(w, at)
+        spans.append((at, at + len(w)))
+        at += len(w)
+    out = []
+    for k in range(0, len(raw), 64):
+        ws, ss = raw[k : k + 64], spans[k : k + 64]
+        stop = spans[k + 64][0] if k + 64 < len(spans) else len(text.encode())
+        part = text.encode()[ss[0][0] : stop]
+        shape = [sum(quality.CLASSES[c, j] for c in part) / len(part) for j in range(7)]
+        same = sum(w == (raw[k + i - 1] if k + i else None) for i, w in enumerate(ws))
+        marks = sum(quality.CLASSES[text.encode()[e - 1], 5] for _, e in ss)
+        n = len(ws)
+        shape += [same / n, 1 - len(set(ws)) / n, max(Counter(ws).values()) / n, marks / n]
+        shape += [sum(len(w) <= 2 for w in ws) / n, sum(len(w) >= 14 for w in ws) / n, min(sum(map(len, ws)) / n / 10, 3)]
+        out.append((shape, ws, list(zip(ws, ws[1:]))))
+    return out
+
+
+def test_passages_equal_a_slow_version():
+    text = " ".join([*words(150, 80), "UPPER", "a!!", "a!!", "x" * 20, "é€"] * 2) + " "
+    x, tokens = quality.encode(text)
+    slow = slow_encode(text)
+    assert len(x) == len(slow) and np.allclose(x, [s for s, _, _ in slow], atol=1e-5)
+    number = {}
+    for row, (_, ws, pairs) in zip(tokens, slow):
+        for t, w in [*zip(row[:64], ws), *zip(row[64:], pairs)]:
+            assert number.setdefault(w, t) == t and (t < quality.BUCKETS) == isinstance(w, bytes) and t < quality.PAD
+        assert (row[:64] < quality.PAD).sum() == len(ws) and (row[64:] < quality.PAD).sum() == len(pairs)
+    assert quality.encode(None)[0].shape == (1, quality.WIDTH) and (quality.encode(" ")[1] == quality.PAD).all()
+
+
+def test_gated_attention_equals_a_slow_version_and_its_numeric_gradient():
     r = np.random.default_rng(1)
     x, start, y = r.normal(size=(30, quality.WIDTH)), np.array([0, 5, 6, 20]), np.array([1.0, 0, 1, 0])
+    tokens = r.integers(0, quality.PAD + 1, (30, 128)).astype(np.uint16)
     m = quality.GatedAttention(3)
-    weights = m.forward(x, start)["a"]
-    assert np.allclose(np.add.reduceat(weights, start), 1)
-    loss = lambda q: -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
-    before = loss(m.forward(x, start)["y"])
-    assert loss(m.fit(x, start, y).forward(x, start)["y"]) < 0.5 * before
+    m.p["E"] = r.normal(size=m.p["E"].shape)
+    counts = np.array([[(row == k).sum() / (row < quality.PAD).sum() for k in range(quality.PAD)] for row in tokens])
+    assert np.allclose(m.embedded(tokens, m.p["E"]), counts @ m.p["E"], atol=1e-5)
+    got = m.forward(x, counts @ m.p["E"], start)
+    for k, (a, b) in enumerate(zip(start, [*start[1:], 30])):
+        h = [np.tanh(x[i] @ m.p["W"] + counts[i] @ m.p["E"] + m.p["b"]) for i in range(a, b)]
+        e = np.exp([(np.tanh(q @ m.p["V"]) / (1 + np.exp(-q @ m.p["U"]))) @ m.p["w"] for q in h])
+        z = sum(w * q for w, q in zip(e / e.sum(), h)) @ m.p["c"] + m.p["d"][0]
+        assert abs(got["y"][k] - 1 / (1 + np.exp(-z))) < 1e-9
+    loss = lambda: -np.mean(y * np.log(q := m.forward(x, counts @ m.p["E"], start)["y"]) + (1 - y) * np.log(1 - q))
+    for name, g in m.gradients(x, counts, start, y).items():
+        flat = m.p[name].reshape(-1)
+        for i in r.integers(0, len(flat), 4):
+            old, eps = flat[i], 1e-5
+            flat[i] = old + eps
+            up = loss()
+            flat[i] = old - eps
+            assert abs((up - loss()) / (2 * eps) - g.reshape(-1)[i]) < 1e-6
+            flat[i] = old
+
+
+def test_quality_learns_from_words_alone(spark):
+    """Same shapes, other words: only the embedding can tell them apart. Repeated ids count once, long texts are left out."""
+    good, bad = [w for w in VOCAB if len(w) == 5][:60], [w for w in VOCAB if len(w) == 5][60:120]
+    text = lambda i: " ".join(random.Random(i).choice(good if i % 2 else bad) for _ in range(100))
+    docs = frame(spark, [(i, text(i)) for i in range(240)] + [(2, text(2)), (2, text(4)), (777, "x " * 300_000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)] + [(777, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    held = [r for r in quality.score_quality(docs, model).collect() if r.held_out and r.doc_id < 240]
+    assert len(held) > 50 and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
 
 
 def test_licenses(spark):
@@ -393,13 +455,91 @@ def test_decontamination_of_names_at_sentence_starts_and_of_lower_case(spark):
     assert {(1, 10, True), (2, 10, True), (3, 10, True), (4, 11, True), (5, 11, True)} == {x for x in got if x[0] < 6} and 7 not in {x[0] for x in got}
 
 
-def test_window_containment_equals_brute_force(spark):
-    items = [(i, " ".join(words(30, 40 + i))) for i in range(6)]
-    docs = [(i, " ".join([*words(20, 60 + i), *items[i % 6][1].split()[: 12 + 3 * (i % 7)], *words(20, 90 + i)])) for i in range(24)]
-    grams = lambda t: [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)]
-    want = {(d, i) for d, t in docs for i, s in items if sum(g in set(grams(t)) for g in grams(s)) >= 0.75 * len(grams(s))}
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == want and want
+def brute_templates(text, names):
+    """Tokens (kind or word, slot value) by the docstring's rules; names: 0 inside sentences, 1 everywhere, 2 nowhere."""
+    out, fresh_, number, joined = [], True, False, False
+    for w in text.split():
+        core = w.strip("".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "%"))
+        low = core.lower()
+        is_number = core[:1].isdigit() or core[-1:].isdigit() or low.encode() in decontaminate.NUMBERS
+        capital = len(core) > 1 and core[0].isupper() and core[1:].islower()
+        if is_number:
+            out.append(("<n>", low))
+        elif number and low.encode() in decontaminate.UNITS:
+            out.append(("<u>", low))
+        elif capital and (names == 1 or (names == 0 and not fresh_)):
+            if joined:
+                out[-1] = ("<p>", out[-1][1] + " " + low)
+            else:
+                out.append(("<p>", low))
+        else:
+            out.append((low or w, None))
+        joined, number, fresh_ = out[-1][0] == "<p>", is_number, w[-1] in ".!?"
+    return out
+
+
+def brute_contained(doc, item, share=0.75):
+    """Whether doc holds the item, by comparing all windows of both at every alignment."""
+    for names in range(3):
+        d, t = brute_templates(doc, names), brute_templates(item, names)
+        k = min(5, len(t))
+        plain = lambda w: sum(v is None for _, v in w) >= 2
+        wins = [j for j in range(len(t) - k + 1) if plain(t[j : j + k])] if k else []
+        held = set()
+        for shift in range(-len(t), len(d) + 1):
+            same = [j for j in wins if j + shift >= 0 and [x for x, _ in d[j + shift : j + shift + k]] == [x for x, _ in t[j : j + k]]]
+            pairs = {(t[j + y][1], d[j + shift + y][1]) for j in same for y in range(k) if t[j + y][1] is not None}
+            if len({a for a, _ in pairs}) == len(pairs):
+                held |= set(same)
+            else:
+                held |= {j for j in same if all(v is None for _, v in t[j : j + k])}
+        if wins and len(held) >= share * len(wins):
+            return True
+    return False
+
+
+def test_contamination_equals_brute_force(spark):
+    """Items with names, numbers and units; documents with copies, swapped slots, mixed slots, parts, other case, noise."""
+    r = random.Random(31)
+    names = ["Anna", "Weng", "Natalia", "Ann Miller", "Bob", "Jean Luc Picard", "Ines"]
+    def item(seed):
+        q = random.Random(seed)
+        frame_ = words(40, 3000 + seed)
+        fill = {k: q.choice([lambda: q.choice(names), lambda: str(q.randint(2, 99)), lambda: f"{q.randint(2, 99)} km", lambda: "twelve days"])() for k in range(2, 40, 5)}
+        text = " ".join(fill.get(k, w) + ("." if k % 13 == 12 else "") for k, w in enumerate(frame_))
+        return text[0].upper() + text[1:]
+    def swap(t):
+        for n in names:
+            t = t.replace(n, r.choice(names))
+        return " ".join(str(r.randint(2, 99)) if w.isdigit() and r.random() < 0.8 else w for w in t.split())
+    items = [(k, item(k)) for k in range(6)] + [(50, "42"), (51, "Yes"), (52, "7 km 8 km Anna 9"), (53, ""), (54, None), (55, "two words here"), (0, item(77))]
+    docs = []
+    for k in range(60):
+        t = r.choice(items[:6])[1]
+        t = [t, swap(t), t.lower(), swap(swap(t)), " ".join(t.split()[: r.randint(10, 40)]), "", " ".join(words(30, 4000 + k))][k % 7]
+        docs.append((k, " ".join(words(r.randint(0, 12), 5000 + k)) + " " + t + " " + " ".join(words(r.randint(0, 12), 6000 + k))))
+    docs += [(90, "42 or 43"), (91, "Yes"), (92, "here: two words here"), (93, item(77)), (94, None)]
+    want = {(d, i) for d, t in docs for i, s in items if brute_contained(t or "", s or "")}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20 and not {d for d, _ in want} & {90, 91, 94} and {(92, 55), (93, 0)} <= want
+
+
+def test_reworded_names_anywhere_are_caught(spark):
+    item = "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May. How many clips did Natalia sell altogether?"
+    other = "Jean Luc sold clips to 96 of her friends in June, and then she sold half as many clips in July. How many clips did Jean Luc sell altogether?"
+    docs = [(1, other), (2, item.replace("clips", "pears").replace("sold", "ate").replace("friends", "cousins"))]
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in got] == [(1, 7, 1.0)]
+
+
+def test_dropping_contaminated_rows_judges_each_row(spark):
+    item = " ".join(words(30, 44))
+    parts = item.split()
+    rows = [(1, item), (1, "clean text of id one"), (None, item), (None, " ".join(parts[:18])), (None, " ".join(parts[14:])), (2, None), (3, "")]
+    clash = frame(spark, rows).selectExpr("*", "1 leaking", "2 id", "3 row", "4 item_id")
+    out = decontaminate.drop_contaminated(clash, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert out.columns == clash.columns and Counter((x.doc_id, x.text) for x in out.collect()) == Counter([rows[1], rows[3], rows[4], rows[5], rows[6]])
+    assert decontaminate.drop_contaminated(clash.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 HEX = hashlib.sha1(b"a secret of the tests").hexdigest()
