@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fathomkb.llm import decontaminate, near_dedup, pieces, quality, secrets
 from fathomkb.llm.common import scratch
@@ -16,14 +15,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without an id stay."""
+    """The document with the smallest id of each group of near copies; rows without an id, and without words, stay."""
     return near_dedup.keep_representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking")), "left_anti")
+    """Documents that hold no benchmark item, each row judged by its own text."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +30,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_hash, score, nbest_scores, restored."""
-    return pieces.digests(pieces.encode(docs))
+    """The corpus as tokens: doc_id, ids, n_tokens, score, nbest, nbest_scores, restored."""
+    return pieces.token_rows(pieces.encode(docs))
 
 
 STAGES = [
