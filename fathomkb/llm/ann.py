@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-CODES, SAMPLE, WANTED, SHARE, BLOCK = 64, 20_000, 3_000, 0.4, 2_048
+CODES, SAMPLE, SHARE, BLOCK = 64, 20_000, 0.5, 4_096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -48,15 +48,30 @@ def cells_in_order(a: np.ndarray, b: np.ndarray, counts: dict[int, int], wanted:
     return out
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, codes: int = CODES, sample: int = SAMPLE, wanted: int = WANTED, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def parts_of_cells(counts: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """cell -> (part, slices): neighbouring cells share a part of about `block` entries; a larger cell is a part in several slices."""
+    out, part, have = {}, 0, 0
+    for cell, n in sorted(counts.items()):
+        if have and have + n > block:
+            part, have = part + 1, 0
+        out[cell] = (part, max(1, -(-n // block)))
+        have += n
+    return out
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, codes: int = CODES, sample: int = SAMPLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score: each query's k nearest others by cosine, in double precision.
 
     The two halves' codebooks are fitted on at most `sample` vectors (those with the smallest hash of vec_id); every
-    vector is indexed. A query visits cells until they hold `wanted` distinct vectors and at least `share` of
-    all: isotropic vectors have no near cells, and a recall of 0.9 there takes a share of the table, while clustered
-    ones do with far less. All entries there are reranked on the original vectors. Of equal vectors only the k + 1 with the smallest ids are entries: no other
-    copy can be among the k nearest, as ties go to the smaller id. Entries of a cell are dealt into blocks of about
-    `block`, and so are the queries that visit it, so that no task gets a whole popular cell.
+    vector is indexed. A query visits cells until they hold at least `share` of all distinct vectors, whatever the
+    size of the table: isotropic vectors have no near cells, and a recall of 0.9 there takes a share of the table,
+    while for clustered ones a far smaller share does. All entries there are reranked on the original vectors. Of equal
+    vectors only the k + 1 with the smallest ids are entries: no other copy can be among the k nearest, as ties go to
+    the smaller id.
+
+    Neighbouring cells make parts of about `block` entries (a larger cell is sliced), and a query goes once to each part
+    where it visits cells, with the list of these; queries at a part are dealt into blocks too. So a task gets a
+    bounded part of the entries and of the queries, and vectors are copied by part, not by cell.
 
     No part take: null ids, null vectors, those of another length than most have, with a null, NaN or infinite
     component, or all zero. Repeated rows count once; rows with the query's id are never its neighbours. Fewer
@@ -86,41 +101,55 @@ def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k:
     rank = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
     entries = v.distinct().withColumn("copy", rank).filter(F.col("copy") <= k + 1)
     entries = cut(entries.mapInPandas(place, "vec_id long, x array<double>, copy int, cell int"), "entries")
-    counts = {r["cell"]: r["count"] for r in entries.filter("copy = 1").groupBy("cell").count().collect()}  # codes ** 2 cells at most
-    wanted = max(wanted, int(share * sum(counts.values())))
-    counts_b = spark.sparkContext.broadcast(counts)
+    counts = {r["cell"]: (r["n"], r["all"]) for r in entries.groupBy("cell").agg(F.count_if(F.col("copy") == 1).alias("n"), F.count("*").alias("all")).collect()}  # codes ** 2 cells at most
+    distinct = {c: n for c, (n, _) in counts.items() if n}
+    parts_ = parts_of_cells({c: n for c, (_, n) in counts.items()}, block)
+    wanted = int(share * sum(distinct.values()))
+    plan = spark.sparkContext.broadcast((distinct, parts_))
 
     def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each query and part: the cells that it visits there."""
         one, two = books.value
+        distinct, parts_ = plan.value
         for pdf in parts:
             if not len(pdf):
                 continue
             m = unit(np.stack(pdf["x"]))
             a = ((m[:, None, :half] - one) ** 2).sum(2)
             b = ((m[:, None, half:] - two) ** 2).sum(2)
-            yield pdf.assign(cells=[cells_in_order(a[i], b[i], counts_b.value, wanted) for i in range(len(pdf))])
-
-    queries = v.filter(is_query).distinct().repartition("vec_id").mapInPandas(visit, "vec_id long, x array<double>, cells array<int>")
-    queries = cut(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.explode("cells").alias("cell")), "visits")
-    shape = F.broadcast(entries.groupBy("cell").count().join(queries.groupBy("cell").agg(F.count("*").alias("visits")), "cell").selectExpr("cell", f"cast(ceil(count / {block}) as int) e", f"cast(ceil(visits / {block}) as int) v"))  # codes ** 2 rows at most
-    deal = lambda df, key, own, other: df.join(shape, "cell").withColumn("own", F.pmod(F.xxhash64(key), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    left = deal(entries, "vec_id", "e", "v").select("cell", F.col("own").cast("int").alias("eb"), F.col("other").cast("int").alias("vb"), "vec_id", "x")
-    right = deal(queries, "query_id", "v", "e").select("cell", F.col("other").cast("int").alias("eb"), F.col("own").cast("int").alias("vb"), "query_id", "q")
+            for i in range(len(pdf)):
+                by_part: dict[tuple[int, int], list[int]] = {}
+                for cell in cells_in_order(a[i], b[i], distinct, max(wanted, k + 1)):
+                    by_part.setdefault(parts_[cell], []).append(cell)
+                keys = list(by_part)
+                yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "q": [pdf["x"].iloc[i]] * len(keys), "part": [p for p, _ in keys], "slices": [n for _, n in keys], "cells": [by_part[p] for p in keys]})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = v.filter(is_query).distinct().repartition(tasks, "vec_id").mapInPandas(visit, "query_id long, q array<double>, part int, slices int, cells array<int>")
+    queries = cut(queries, "visits")
+    table = spark.createDataFrame([(c, p, n) for c, (p, n) in parts_.items()], "cell int, part int, slices int")  # codes ** 2 rows at most
+    blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # as many at most
+    left = entries.join(F.broadcast(table), "cell").join(F.broadcast(blocks), "part")
+    left = left.select("part", F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", "vec_id", "x")
+    right = queries.join(F.broadcast(blocks), "part")
+    right = right.select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "cells", "query_id", "q")
 
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(e) and len(q):
             ids, m = e["vec_id"].to_numpy(), np.stack(e["x"])
             size = np.sqrt((m * m).sum(axis=1))
+            names, cell = np.unique(e["cell"].to_numpy(), return_inverse=True)
             rough = np.stack(q["q"]) @ (m / size[:, None]).T
-            for query, x, s in zip(q["query_id"], q["q"], rough):
-                s[ids == query] = -np.inf
+            for query, x, cells, s in zip(q["query_id"], q["q"], q["cells"], rough):
+                s[~np.isin(names, cells)[cell] | (ids == query)] = -np.inf
                 at = np.flatnonzero((s > -np.inf) & (s >= np.partition(s, -k)[-k] - 1e-9 * np.sqrt((x * x).sum()) if len(s) > k else s > -np.inf))
                 exact = (m[at] * x).sum(axis=1) / (size[at] * np.sqrt((x * x).sum()))
                 best = np.lexsort((ids[at], -exact))[:k]
                 rows += zip([query] * len(best), ids[at][best], exact[best])
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("cell", "eb", "vb").cogroup(right.groupBy("cell", "eb", "vb")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    by = ["part", "slice", "block"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     place_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place_).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

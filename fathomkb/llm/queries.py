@@ -54,7 +54,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("digest_ok")
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filters, op4_quality, op5_license_scans, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op9_secret_scans, op10_warc)}
@@ -86,5 +86,5 @@ ORACLES = {
               CAST(((('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest FROM d),
         m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM b)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM m""",
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS digest_ok FROM m""",
 }
