@@ -289,32 +289,71 @@ def test_quality_learns_from_words_alone(spark):
     assert len(held) > 50 and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
 
 
-def test_licenses(spark):
+def test_licenses(spark, monkeypatch):
+    import textwrap
+
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Jane Doe\n\n" + textwrap.fill(next(t for lic, k, t in licenses.TEMPLATES if lic == "MIT" and k == "text"), 78)
+    isc = "ISC License\nCopyright (c) 2019, Somebody\n" + next(t for lic, _, t in licenses.TEMPLATES if lic == "ISC")
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble\n" + " ".join(words(3000, 700))
+    apache = "\n".join("# " + line for line in textwrap.wrap(next(t for lic, k, t in licenses.TEMPLATES if lic == "Apache-2.0" and "compliance" in t), 70)) + "\nimport os\n" + " ".join(words(300, 701))
     rows = [
         (1, "some text\nReleased under the MIT License.\nmore", "a/b/one"), (2, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"), (3, "nothing here", "a/b/c/x"), (4, "plain", "z/y"), (5, None, "a/q"), (6, "", None),
         (7, "a licence is mentioned in a long line about many other things that have nothing to do with it", "z/w"), (8, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", "v/v"), (3, "nothing here", "a/b/c/x"), (None, "x", "a/b"),
+        (11, mit, "m/LICENSE"), (12, isc, "i/LICENSE"), (13, gpl, "g/COPYING"), (14, apache, "g/src/x.py"), (15, "code", "g/src/deep/y.py"), (16, " ".join(words(60, 702)) + ". Licensed under the MIT License. " + " ".join(words(60, 703)), "n/one"), (17, "// SPDX-License-Identifier: ISC\nint x;", "m/a.c"),
     ]
-    df = spark.createDataFrame([(i, t, p, "clash", 1.0) for i, t, p in rows], "doc_id long, text string, where string, license string, score double")
-    got = {(r.doc_id, r.path): (r.license, r.how) for r in licenses.scan(df, path="where").collect()}
-    assert got[1, "a/b/one"] == ("MIT", "header") and got[2, "a/LICENSE"] == ("Apache-2.0", "file")
-    assert got[3, "a/b/c/x"] == got[5, "a/q"] == got[None, "a/b"] == ("Apache-2.0", "inherited")
-    assert got[4, "z/y"] == got[6, ""] == got[7, "z/w"] == (None, None) and got[8, "v/v"] == ("GPL-3.0", "file")
-    assert licenses.scan(df, path="where").count() == len(rows) and licenses.scan(df.limit(0), path="where").count() == 0
-
-
-def test_license_cosine_equals_brute_force(spark):
+    df = spark.createDataFrame([(i, t, p, "clash", 1.0, 2) for i, t, p in rows], "doc_id long, text string, where string, license string, score double, dir int")
+    for most in (licenses.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
+        out = licenses.scan(df, path="where").collect()
+        got = {(r.doc_id, r.path): (r.license, r.how) for r in out}
+        assert len(out) == len(rows) and got[1, "a/b/one"] == ("MIT", "header") and got[2, "a/LICENSE"] == ("Apache-2.0", "file")
+        assert got[3, "a/b/c/x"] == got[5, "a/q"] == got[None, "a/b"] == ("Apache-2.0", "inherited")
+        assert got[4, "z/y"] == got[6, ""] == got[7, "z/w"] == (None, None) and got[8, "v/v"][0] == "GPL-3.0"
+        assert got[11, "m/LICENSE"] == ("MIT", "file") and got[12, "i/LICENSE"] == ("ISC", "file") and got[13, "g/COPYING"] == ("GPL-3.0", "file")
+        assert got[14, "g/src/x.py"] == ("Apache-2.0", "header") and got[15, "g/src/deep/y.py"] == ("GPL-3.0", "inherited")
+        assert got[16, "n/one"] == ("MIT", "header") and got[17, "m/a.c"] == ("ISC", "header")
+        assert licenses.scan(df.limit(0), path="where").count() == 0
+
+
+def slow_judge(text):
+    """All windows of segments, each bag anew, no words skipped."""
     import math
-    import re
 
-    idf, other, rows = licenses.weights(licenses.TEMPLATES)
-    line = "Licensed under the MIT License today."
-    bag = Counter(re.findall(licenses.TOKEN, line.lower()))
-    size = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()))
-    dots = Counter()
-    for i, _, t, w in rows:
-        dots[i] += bag.get(t, 0) * idf[t] * w / size
-    got = licenses._match(spark.createDataFrame([("x", line)], "unit string, text string"), spark, licenses.TEMPLATES).first()
-    assert abs(got.score - max(dots.values())) < 1e-6
+    bags = [Counter(licenses.TOKEN.findall(t.lower())) for _, _, t in licenses.TEMPLATES]
+    df = Counter(t for b in bags for t in b)
+    idf = lambda t: math.log((1 + len(bags)) / (1 + df[t])) + 1
+    vector = lambda b: {t: (1 + math.log(n)) * idf(t) for t, n in b.items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    known = [vector(b) for b in bags]
+    cosine = lambda b: [sum(w * k.get(t, 0) for t, w in v.items()) / norm(v) / norm(k) if (v := vector(b)) else 0 for k in known]
+    best = lambda c: (round(max(c), 9), -max(range(len(c)), key=lambda i: (round(c[i], 9), -i)))
+    score, at = best(cosine(Counter(licenses.TOKEN.findall(text.lower()))))
+    if score >= 0.75:
+        return licenses.TEMPLATES[-at][0], "file", score
+    segs, longest = licenses.segments_of(text.lower()), int(1.6 * max(sum(b.values()) for b in bags))
+    spans = [(i, j) for i in range(len(segs)) for j in range(i, len(segs)) if j == i or sum(map(len, segs[i : j + 1])) <= longest]
+    cos = {s: cosine(Counter(t for x in segs[s[0] : s[1] + 1] for t in x)) for s in spans}
+    titles = [k == "title" for _, k, _ in licenses.TEMPLATES]
+    for how, some in (("file", [[c if t else 0 for c, t in zip(cos[s], titles)] for s in spans if s[0] < licenses.TITLE_SEGMENTS]), ("header", list(cos.values()))):
+        if some and (top := max(round(max(c), 9) for c in some)) >= 0.75:
+            first = next(c for c in some if round(max(c), 9) == top)
+            return licenses.TEMPLATES[next(i for i, x in enumerate(first) if round(x, 9) == top)][0], how, top
+    return None, None, None
+
+
+def test_license_windows_equal_brute_force():
+    r = random.Random(40)
+    index = licenses.Index(licenses.TEMPLATES, 0.75)
+    legal = [w for _, _, t in licenses.TEMPLATES for w in t.split()]
+    for k in range(60):
+        lines = [" ".join(r.choice(VOCAB) for _ in range(r.randint(0, 12))) for _ in range(4)]
+        t = r.choice(licenses.TEMPLATES)[2].split()
+        noisy = [w if r.random() < 0.85 else r.choice(legal) for w in t[: r.randint(1, len(t))]]
+        if k % 3:
+            lines.insert(r.randint(0, 4), " ".join(noisy))
+        text = "\n".join(lines)
+        got, want = index.judge(text), slow_judge(text)
+        assert got[:2] == want[:2] and (want[2] is None or abs(got[2] - want[2]) < 1e-6), text
 
 
 @pytest.fixture(scope="module")
