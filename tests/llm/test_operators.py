@@ -131,6 +131,9 @@ def test_gear_resists_insertions_and_matches_its_recurrence():
         want = ((want << 1) + int(substring_dedup.GEAR[c])) & 0xFFFFFFFF
         assert int(h[i]) == want
     cut = lambda d: [d[a:b] for a, b in zip([0, *e[:-1]], e)] if (e := substring_dedup.boundaries(np.frombuffer(d, np.uint8))) else []
+    line = b"one short line again and again. "
+    periodic = [cut(line[k:] + line * 40) for k in (0, 7, 19)]
+    assert len(set(periodic[0][1:-1]) & set(periodic[1][1:-1]) & set(periodic[2][1:-1])) == 1
     a, b = cut(data), cut(b"inserted text here " + data)
     assert b"".join(a) == data and len(set(a) & set(b)) > 0.95 * len(set(a))
     assert all(c.decode() for c in cut("äöü€".encode() * 300)) and cut(b"") == [] and max(map(len, cut(b"x" * 5000))) <= substring_dedup.MOST
@@ -138,27 +141,66 @@ def test_gear_resists_insertions_and_matches_its_recurrence():
 
 def test_repeated_spans(spark):
     passage = " ".join(words(60, 11))
-    rows = [(1, " ".join(words(50, 12)) + " " + passage + " " + " ".join(words(70, 13))), (2, passage + " " + " ".join(words(90, 14))), (3, " ".join(words(150, 15))), (4, None), (5, ""), (6, " ".join(words(20, 16))), (None, passage), (3, " ".join(words(150, 15))), (7, " ".join([*words(8, 17)] * 20))]
+    rows = [(1, " ".join(words(50, 12)) + " " + passage + " " + " ".join(words(70, 13))), (2, passage + " " + " ".join(words(90, 14))), (3, " ".join(words(150, 15))), (4, None), (5, ""), (6, " ".join(words(20, 16))), (None, passage), (3, " ".join(words(150, 15)))]
+    rows += [(8, " ".join(words(40, 21)) + " " + " ".join(words(30, 22))), (9, " ".join(words(30, 22)) + " " + " ".join(words(40, 23)))]  # 30 words: too few
     got = substring_dedup.repeated_spans(frame(spark, rows)).collect()
     assert {r.doc_id for r in got} == {1, 2} and all(r.keeper_id == 1 for r in got)
     for r in got:
         text = dict(rows[:2])[r.doc_id].encode()[r.start : r.stop].decode()
-        assert text in passage and r.words >= substring_dedup.MIN_WORDS and r.removable == (r.doc_id == 2)
+        assert text.strip() == passage and r.words == 60 and r.removable == (r.doc_id == 2)
     assert substring_dedup.repeated_spans(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_every_repeated_chunk_keeps_a_holder(spark):
+def longest_repeats(texts, least):
+    """Brute force: byte ranges (doc, a, b) of every word run of at least `least` words that another document has too."""
+    grams, out = {}, []
+    tokens = {i: t.split() for i, t in texts}
+    for i, t in tokens.items():
+        for k in range(len(t) - least + 1):
+            grams.setdefault(tuple(t[k : k + least]), set()).add(i)
+    for i, t in tokens.items():
+        mark = [False] * len(t)
+        for k in range(len(t) - least + 1):
+            if len(grams[tuple(t[k : k + least])]) > 1:
+                mark[k : k + least] = [True] * least
+        out += [(i, k) for k, m in enumerate(mark) if m]
+    return out
+
+
+def test_passages_over_fifty_words_are_found_to_their_edges(spark):
+    """Passages of 51 to 60 words planted at random places of 60 documents: all of their words are in spans, and clean documents have none."""
+    r = random.Random(77)
+    passages = [" ".join(words(r.randint(51, 60), 800 + k)) for k in range(20)]
+    texts = [(i, " ".join([*words(r.randint(0, 80), 900 + i), passages[i % 20], *words(r.randint(0, 80), 1000 + i)])) for i in range(60)]
+    texts += [(100 + i, " ".join([*words(40, 1100 + i), *words(35, 1300), *words(40, 1200 + i)])) for i in range(10)]
+    texts += [(200 + i, " ".join(words(i * 3, 1500 + i)) + " buy now and save " * 60) for i in range(4)]
+    spans = substring_dedup.repeated_spans(frame(spark, texts)).collect()
+    covered = {}
+    for s in spans:
+        covered.setdefault(s.doc_id, set()).update(range(s.start, s.stop))
+    for i, k in longest_repeats(texts[:60], 51):
+        text = dict(texts)[i]
+        at = len(" ".join(text.split()[:k]).encode()) + (k > 0)
+        assert set(range(at, at + len(text.split()[k].encode()))) <= covered[i], (i, k)
+    assert {d for d in covered if d < 200} == set(range(60)) and {200, 201, 202, 203} <= set(covered)
+
+
+def test_applying_spans_keeps_each_passage_once(spark):
     p, a, b = (" ".join(words(80, k)) for k in (18, 19, 20))
-    docs = frame(spark, [(1, f"{p} {a}"), (5, f"{p} {b}"), (6, f"{p} {b}"), (7, f"{b} {p}")])
+    texts = [(1, f"{p} {a}"), (5, f"{p} {b}"), (6, f"{p} {b}"), (7, f"{b} {p}"), (8, f"{a} {' '.join(words(30, 24))} {a}"), (9, f"é{b}"), (9, f"{a}ü")]
+    docs = frame(spark, texts)
     spans = [r for r in substring_dedup.repeated_spans(docs).collect() if r.removable]
-    holders, kept, dropped = {}, {}, Counter()
-    for c in substring_dedup.chunks(docs).collect():
-        holders.setdefault(bytes(c.digest), set()).add(c.doc_id)
+    holders, kept = {}, {}
+    for c in substring_dedup.chunks(docs.filter("doc_id < 9")).collect():
         gone = any(s.doc_id == c.doc_id and s.start <= c.start and c.stop <= s.stop for s in spans)
-        kept.setdefault(bytes(c.digest), set()).update([] if gone else [c.doc_id])
-        dropped[c.doc_id] += gone
-    assert all(kept[d] for d in holders) and all(kept[d] == {min(h)} for d, h in holders.items() if len(h) > 1)
-    assert dropped[1] == 0 and dropped[5] and dropped[6] and dropped[7]
+        holders.setdefault(bytes(c.digest), []).append((c.doc_id, c.start))
+        kept.setdefault(bytes(c.digest), []).extend([] if gone else [(c.doc_id, c.start)])
+    shared = {d for d, h in holders.items() if len(h) > 1}
+    assert len(shared) > 10 and all(kept[d] == [min(holders[d])] for d in shared)
+    for x in spans:  # what goes, the parts at the edges too, is in the keeper
+        own = [t.encode()[x.start : x.stop] for i, t in texts if i == x.doc_id]
+        assert any(o in t.encode() for o in own for i, t in texts if i == x.keeper_id)
+    assert {s.doc_id for s in spans} == {5, 6, 7, 8, 9} and not [s for s in spans if s.stop <= s.start]
 
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
