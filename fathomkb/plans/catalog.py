@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomkb.functions import scalars as fn
@@ -15,28 +12,13 @@ from fathomkb.operators import relations as R
 from fathomkb.operators import search as S
 from fathomkb.operators import validate as V
 from fathomkb.sources import files as files_
+from fathomkb.plans.registry import ORACLES, QUERIES, query
 from fathomkb.sources import views as v
-from fathomkb.sources.views import with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 #: Terms that the driver's texts contain, for the term-driven operators.
 TERMS = ["that", "with", "para", "les"]
 SCENARIO = "user 7 and assistant 12 that with the thand erer onre para los est"
 
-
-def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_views(views, sql) if views else sql
-        return f
-
-    return add
-
-
 SENTENCES = r"s AS (SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, trim(regexp_replace(unnest(m), '\s+', ' ', 'g')) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]') AS m FROM documents))"
 
 
@@ -803,3 +785,6 @@ def c3_checksums(spark, d):
 def x10_page_links(spark, d):
     h = v.read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
     return h.groupBy("page_id").agg(F.count("*").alias("n"), F.min(F.length("h")).alias("shortest"))
+
+
+from fathomkb.plans import code  # noqa: E402, F401  registers its queries

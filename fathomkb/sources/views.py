@@ -90,6 +90,40 @@ def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("event_id seq", "concat('ki-', user_id) item_id", "element_at(map('signup', 'commented', 'purchase', 'approved', 'error', 'rejected', 'view', 'deferred', 'click', 'edited'), event_type) action", "concat('user-', user_id % 17) reviewer", "ts", "value")
 
 
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, id, kind, title, qualified_name, module: parts as classes of five, each a class and four methods."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.concat(F.lit("shop."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("."), F.lower("p_type")).alias("module"))
+    cls = F.col("p_partkey") - F.col("p_partkey") % 5
+    own = p.select("p_partkey", "name", cls.alias("cls")).join(p.select(F.col("p_partkey").alias("cls"), "module"), "cls")
+    return own.selectExpr("p_partkey seq", "concat('sym-', p_partkey) id", "if(p_partkey = cls, 'class', 'method') kind", "if(p_partkey = cls, concat('C', cls), name) title", "concat(module, '.C', cls, if(p_partkey = cls, '', concat('.', name))) qualified_name", "module", "cls")
+
+
+def code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qualified_name, pos, base: the base expressions of the classes of code_symbols."""
+    c = code_symbols(spark, sf_dir).filter("kind = 'class' and seq > 0")
+    return c.selectExpr("qualified_name", "explode(array(struct(0 as pos, if(seq % 20 = 0, 'Missing', concat('C', (seq div 10) * 5)) as base), struct(1 as pos, concat('pkg.C', (seq div 15) * 5) as base))) b").select("qualified_name", "b.pos", "b.base")
+
+
+def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """module, pos, name: what modules import, from parts: names of modules without their first segment, some with a symbol's, some unknown."""
+    s = code_symbols(spark, sf_dir)
+    other = s.select((F.col("seq") - 7).alias("seq"), F.expr("substr(module, 6)").alias("tail"))
+    rows = s.filter("seq % 5 = 0").select("seq", "module").join(other, "seq")
+    name = F.expr("case seq % 3 when 0 then tail when 1 then concat(tail, '.', 'thing') else concat('ext.', seq % 7) end")
+    return rows.select("module", name.alias("name"), "seq").groupBy("module", "name").agg(F.min("seq").cast("int").alias("pos"))
+
+
+def code_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, name: how symbols name others, from lines in seven forms."""
+    s = code_symbols(spark, sf_dir)
+    side = lambda tag: s.select(F.col("seq").alias(f"{tag}_seq"), *(F.col(c).alias(f"{tag}_{c}") for c in ("title", "qualified_name", "module", "cls")))
+    line = read(spark, sf_dir, "lineitem").selectExpr("l_partkey", "l_suppkey t_seq", "l_linenumber", "l_partkey - l_partkey % 5 + l_suppkey % 5 u_seq", "((l_partkey - l_partkey % 5) div 10) * 5 + l_suppkey % 5 w_seq").distinct()
+    line = line.join(side("t"), "t_seq").join(side("u"), "u_seq").join(side("w"), "w_seq")
+    name = """case l_linenumber when 1 then t_qualified_name when 2 then t_title when 3 then concat('self.', u_title) when 4 then concat('cls.', w_title)
+        when 5 then concat(substring_index(t_module, '.', -1), '.', t_title) when 6 then concat(t_title, '()') else concat('C', t_cls) end"""
+    return line.selectExpr("concat('sym-', l_partkey) subject", f"{name} name").distinct()
+
+
 #: The same views for DuckDB.
 CTES = {
     "sources": r"""SELECT doc_id AS seq, trim(regexp_replace(lower(source || '-' || doc_id), '[^a-z0-9]+', '-', 'g'), '-') AS id, source || '/' || doc_id AS path, lang AS language, sha256(text) AS checksum, n_chars FROM documents""",
@@ -111,6 +145,16 @@ CTES = {
     "items": r"""SELECT conv_id * 1000 + turn AS seq, 'ki-' || conv_id || '-' || turn AS id, role || ' ' || (conv_id % 40) AS subject, ['should', 'requires', 'records'][1 + turn % 3] AS predicate, array_to_string(string_split(text, ' ')[1:6], ' ') AS object, text AS source_text,
         CASE WHEN conv_id % 7 = 0 THEN 'rejected' WHEN conv_id % 7 = 1 THEN NULL WHEN conv_id % 7 < 4 THEN 'approved' ELSE 'proposed' END AS status, 'conv-' || conv_id AS source_id, CAST(turn AS INTEGER) AS turn, conv_id FROM conversations""",
     "review_events": r"""SELECT event_id AS seq, 'ki-' || user_id AS item_id, CASE event_type WHEN 'signup' THEN 'commented' WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'deferred' WHEN 'click' THEN 'edited' END AS action, 'user-' || (user_id % 17) AS reviewer, ts, value FROM events""",
+    "code_symbols": r"""SELECT p.p_partkey AS seq, 'sym-' || p.p_partkey AS id, CASE WHEN p.p_partkey % 5 = 0 THEN 'class' ELSE 'method' END AS kind, CASE WHEN p.p_partkey % 5 = 0 THEN 'C' || c.p_partkey ELSE replace(p.p_name, ' ', '_') END AS title,
+        'shop.' || lower(replace(c.p_brand, '#', '_')) || '.' || lower(c.p_type) || '.C' || c.p_partkey || CASE WHEN p.p_partkey % 5 = 0 THEN '' ELSE '.' || replace(p.p_name, ' ', '_') END AS qualified_name,
+        'shop.' || lower(replace(c.p_brand, '#', '_')) || '.' || lower(c.p_type) AS module, c.p_partkey AS cls FROM part p JOIN part c ON c.p_partkey = p.p_partkey - p.p_partkey % 5""",
+    "code_classes": r"""SELECT qualified_name, 0 AS pos, CASE WHEN seq % 20 = 0 THEN 'Missing' ELSE 'C' || ((seq // 10) * 5) END AS base FROM v_code_symbols WHERE kind = 'class' AND seq > 0
+        UNION ALL SELECT qualified_name, 1, 'pkg.C' || ((seq // 15) * 5) FROM v_code_symbols WHERE kind = 'class' AND seq > 0""",
+    "code_imports": r"""SELECT module, CAST(min(seq) AS INTEGER) AS pos, name FROM (SELECT a.module, a.seq, CASE a.seq % 3 WHEN 0 THEN substr(b.module, 6) WHEN 1 THEN substr(b.module, 6) || '.thing' ELSE 'ext.' || (a.seq % 7) END AS name
+        FROM v_code_symbols a JOIN v_code_symbols b ON b.seq = a.seq + 7 WHERE a.seq % 5 = 0) GROUP BY module, name""",
+    "code_refs": r"""SELECT DISTINCT 'sym-' || l_partkey AS subject, CASE l_linenumber WHEN 1 THEN t.qualified_name WHEN 2 THEN t.title WHEN 3 THEN 'self.' || u.title WHEN 4 THEN 'cls.' || w.title
+        WHEN 5 THEN string_split(t.module, '.')[-1] || '.' || t.title WHEN 6 THEN t.title || '()' ELSE 'C' || t.cls END AS name
+        FROM lineitem JOIN v_code_symbols t ON t.seq = l_suppkey JOIN v_code_symbols u ON u.seq = l_partkey - l_partkey % 5 + l_suppkey % 5 JOIN v_code_symbols w ON w.seq = ((l_partkey - l_partkey % 5) // 10) * 5 + l_suppkey % 5""",
 }
 
 
