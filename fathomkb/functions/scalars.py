@@ -41,7 +41,14 @@ def normalize_name(x: Column) -> Column:
 
 
 def title_case(x: Column) -> Column:
-    return F.initcap(x)
+    """Each word between single spaces with its first character in upper and the rest in lower case."""
+    return F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
+
+
+def capitalize_words(x: Column) -> Column:
+    """The same for runs of letters, whatever stands between them."""
+    parts = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def meaningful_tokens(x: Column) -> Column:
@@ -103,3 +110,41 @@ def nonempty(x: Column, default: str) -> Column:
 def mask(x: Column, keep: int = 4) -> Column:
     """All but the last `keep` characters as "*"; short values wholly."""
     return F.when(F.length(x) <= keep, F.repeat(F.lit("*"), F.length(x))).otherwise(F.concat(F.repeat(F.lit("*"), F.length(x) - keep), F.right(x, F.lit(keep))))
+
+
+def first_of(*parts: Column, default: str) -> Column:
+    """The first part that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(p, F.lit("")) for p in parts), F.lit(default))
+
+
+def claim_kind(code_kind: Column, derivation: Column) -> Column:
+    return first_of(code_kind, derivation, default="unclassified")
+
+
+def claim_module(qualified_name: Column, file: Column) -> Column:
+    """A qualified name without its last segment; where it has only one, the file."""
+    return F.when(F.contains(qualified_name, F.lit(".")), F.regexp_replace(qualified_name, r"\.[^.]*$", "")).otherwise(first_of(file, default="unknown"))
+
+
+def dirname(x: Column) -> Column:
+    """What stands before the last "/"; "/" for a file of the root, empty without one."""
+    cut = F.regexp_replace(x, "/[^/]*$", "")
+    return F.when(~F.contains(x, F.lit("/")), "").when((cut == "") & x.startswith("/"), "/").otherwise(cut)
+
+
+def normpath(x: Column) -> Column:
+    """A POSIX path without empty and "." segments, ".." taken away with the segment before it; "." if nothing is left."""
+    absolute = x.startswith("/")
+    step = lambda acc, p: F.when((p == "") | (p == "."), acc).when(
+        p == "..", F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(absolute, acc).otherwise(F.concat(acc, F.array(p)))
+    ).otherwise(F.concat(acc, F.array(p)))
+    joined = F.array_join(F.aggregate(F.split(x, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def relative_link(source: Column, target: Column) -> Column:
+    """The POSIX path from the folder of one document to another: "../" for each folder to leave, then what to enter."""
+    a, b = F.filter(F.split(dirname(normpath(source)), "/"), lambda p: p != ""), F.split(normpath(target), "/")
+    same = F.zip_with(a, F.slice(b, F.lit(1), F.size(b) - 1), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long")).cast("int")
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b) - shared)), "/")

@@ -9,9 +9,8 @@ from fathomkb.functions.scalars import join_path, slugify
 
 from .search import suffix_repeats
 
+#: The layers that calls lead down through.
 LAYERS = ["route", "service", "repo", "model"]
-#: Module segments that name a layer.
-SEGMENTS = {"route": ["routes", "routers", "api", "endpoints", "views"], "service": ["services", "service", "usecases"], "repo": ["repositories", "repository", "repo", "crud", "dao"], "model": ["models", "model", "entities", "schemas"]}
 
 
 def resolve_endpoints(raw: DataFrame, routers: DataFrame, includes: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -40,20 +39,25 @@ def router_view(routers: DataFrame, includes: DataFrame, raw: DataFrame) -> Data
     return out.select("module", "var", F.coalesce("n", F.lit(0).cast("long")).alias("endpoint_count"), F.coalesce("m", F.lit(False)).alias("mounted")).orderBy(F.desc("endpoint_count"), "module", "var")
 
 
-def layer(module: Column) -> Column:
-    """The layer that a module's segments name; null for none."""
-    parts, out = F.split(module, r"\."), F.lit(None).cast("string")
-    for name in reversed(LAYERS):
-        out = F.when(F.arrays_overlap(parts, F.array(*map(F.lit, SEGMENTS[name]))), name).otherwise(out)
-    return out
+def layer(module: Column, is_model: Column | None = None) -> Column:
+    """The layer of a symbol: model if it is one or by its module's segments, else route, service, repo, schema or other."""
+    parts = F.split(module, r"\.")
+    has = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+    model = has("models") if is_model is None else F.coalesce(is_model, F.lit(False)) | has("models")
+    repo = has("repositories") | F.exists(parts, lambda p: p.endswith("_repo"))
+    return F.when(model, "model").when(has("routes", "routers"), "route").when(has("services"), "service").when(repo, "repo").when(has("schemas"), "schema").otherwise("other")
 
 
 def layer_flow(symbols: DataFrame, relations: DataFrame) -> DataFrame:
-    """Distinct calls from a lower to a higher layer, between modules: from_layer, from_module, to_layer, to_module."""
-    s = symbols.select("id", "module", layer(F.col("module")).alias("layer")).filter("layer is not null").withColumn("rank", F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer")))
-    side = lambda end, p: s.select(F.col("id").alias(end), *(F.col(c).alias(f"{p}_{c}") for c in ("module", "layer", "rank")))
-    e = relations.filter("predicate = 'calls'").select("subject", "object").join(side("subject", "from"), "subject").join(side("object", "to"), "object")
-    return e.filter("to_rank > from_rank").select("from_layer", "from_module", "to_layer", "to_module").distinct()
+    """Distinct calls from a lower to a higher of the four layers: from_layer, from_node, to_layer, to_node.
+
+    A node is a module, or within models the symbol's class: symbols (id, module, title, is_model)."""
+    kind = layer(F.col("module"), F.col("is_model"))
+    s = symbols.select("id", kind.alias("layer"), F.when(kind == "model", F.col("title")).otherwise(F.col("module")).alias("node"))
+    s = s.withColumn("rank", F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))).filter("rank > 0")
+    side = lambda end, p: s.select(F.col("id").alias(end), *(F.col(c).alias(f"{p}_{c}") for c in ("node", "layer", "rank")))
+    e = relations.filter("predicate = 'calls'").select("subject", "object").distinct().join(side("subject", "from"), "subject").join(side("object", "to"), "object")
+    return e.filter("to_rank > from_rank").select("from_layer", "from_node", "to_layer", "to_node").distinct()
 
 
 def heading_ancestry(sections: DataFrame) -> DataFrame:

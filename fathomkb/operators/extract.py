@@ -121,8 +121,10 @@ def grounded(candidates: DataFrame, section_text: str = "section_text", claim: s
     return candidates.withColumn("span_status", F.when(at > 0, "exact").otherwise("llm_claimed")).withColumn("start_pos", F.when(at > 0, F.col(start) + at - 1)).withColumn("end_pos", F.when(at > 0, F.col(start) + at - 1 + F.length(claim)))
 
 
-SYMBOLS = "path string, module string, qualified_name string, kind string, line_start int, line_end int, bases array<string>, decorators array<string>, calls array<string>, imports array<string>, route string, error string"
+SYMBOLS = "path string, module string, qualified_name string, title string, kind string, line_start int, line_end int, bases array<string>, decorators array<string>, calls array<string>, imports array<string>, env array<string>, files array<string>, raises array<string>, route string, error string"
 VERBS = {"get", "post", "put", "patch", "delete", "head", "options", "trace"}
+#: Calls that read the environment.
+ENVIRONMENT = {"os.environ.get", "environ.get", "os.getenv"}
 
 
 def _dotted(node: ast.AST) -> str | None:
@@ -133,37 +135,93 @@ def _dotted(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else None
 
 
+def _own_nodes(body: list) -> Iterator[ast.AST]:
+    """The nodes of a body, but for what nested functions, classes and lambdas hold."""
+    todo = list(body)
+    while todo:
+        node = todo.pop()
+        yield node
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            todo += ast.iter_child_nodes(node)
+
+
+def _text(node: ast.AST | None) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def _file_access(call: ast.Call, name: str) -> str | None:
+    """"reads x" or "writes x" for a call that opens, reads or writes files."""
+    if name == "open" or name.endswith(".open"):
+        given = [_text(call.args[1])] if len(call.args) > 1 else []
+        mode = next((m for m in [*(_text(k.value) for k in call.keywords if k.arg == "mode"), *given] if m), "r")
+        return f"{'writes' if set(mode) & set('wa+') else 'reads'} file-open:{mode}"
+    tail = name.rpartition(".")[2] if "." in name else ""
+    return {"read_text": "reads file-read", "read_bytes": "reads file-read", "glob": "reads file-glob", "write_text": "writes file-write", "write_bytes": "writes file-write"}.get(tail)
+
+
+def _facts(body: list) -> tuple[list[str], list[str], list[str], list[str]]:
+    """calls, environment variables read, file accesses, exceptions raised in a body's own scope."""
+    calls, env, files, raises = set(), set(), set(), set()
+    for x in _own_nodes(body):
+        if isinstance(x, ast.Call) and (name := _dotted(x.func)):
+            calls.add(name)
+            if name in ENVIRONMENT and x.args and (key := _text(x.args[0])):
+                env.add(key)
+            if access := _file_access(x, name):
+                files.add(access)
+        elif isinstance(x, ast.Raise) and x.exc is not None:
+            raises.add(_dotted(x.exc) or ast.unparse(x.exc))
+    return sorted(calls), sorted(env), sorted(files), sorted(raises)
+
+
+def _blocks(body: list) -> Iterator[ast.stmt]:
+    """Statements of a module or class, with those inside if, try and with."""
+    for n in body:
+        yield n
+        for part in ("body", "orelse", "finalbody"):
+            if isinstance(n, (ast.If, ast.Try, ast.With)):
+                yield from _blocks(getattr(n, part, []))
+        for handler in getattr(n, "handlers", []):
+            yield from _blocks(handler.body)
+
+
 def python_symbols(files: DataFrame) -> DataFrame:
     """files (path, text) of Python -> a row for each module, class, function, method, test and upper-case constant.
 
-    Does not enter if or try bodies. A file that doesn't parse is one row with its error.
+    Definitions inside if, try and with count too. Calls, environment reads, file accesses and exceptions are those of a
+    function's own scope. A file that doesn't parse is one row with its error.
     """
+    none: list = []
 
     def rows_of(path: str, text: str) -> Iterator[tuple]:
         module = path.removesuffix(".py").replace("/", ".").removesuffix(".__init__")
+        title = module.rpartition(".")[2]
         try:
             tree = ast.parse(text or "")
         except (SyntaxError, ValueError) as e:
-            yield path, module, module, "module", 1, 1, [], [], [], [], None, str(e)
+            yield path, module, module, title, "module", 1, 1, none, none, none, none, none, none, none, None, str(e)
             return
-        imports = sorted({a.name for n in tree.body if isinstance(n, ast.Import) for a in n.names} | {n.module for n in tree.body if isinstance(n, ast.ImportFrom) and n.module and not n.level})
-        yield path, module, module, "module", 1, len((text or "").splitlines()), [], [], [], imports, None, None
+        top = list(_blocks(tree.body))
+        imports = sorted({a.name for n in top if isinstance(n, ast.Import) for a in n.names} | {n.module for n in top if isinstance(n, ast.ImportFrom) and n.module and not n.level})
+        yield path, module, module, title, "module", 1, len((text or "").splitlines()), none, none, none, imports, none, none, none, None, None
 
         def walk(body: list, parent: str, in_class: bool) -> Iterator[tuple]:
-            for n in body:
+            for n in _blocks(body):
                 if isinstance(n, ast.ClassDef):
                     name = f"{parent}.{n.name}"
-                    yield path, module, name, "class", n.lineno, n.end_lineno, [b for b in map(_dotted, n.bases) if b], [d for d in map(_dotted, n.decorator_list) if d], [], [], None, None
+                    bases = [_dotted(b) or ast.unparse(b) for b in n.bases]
+                    yield path, module, name, n.name, "class", n.lineno, n.end_lineno, bases, [d for d in map(_dotted, n.decorator_list) if d], none, none, none, none, none, None, None
                     yield from walk(n.body, name, True)
                 elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     name = f"{parent}.{n.name}"
-                    calls = sorted({c for b in n.body for x in ast.walk(b) if isinstance(x, ast.Call) and (c := _dotted(x.func))})
-                    route = next((f"{d.func.attr.upper()} {d.args[0].value}" if d.args and isinstance(d.args[0], ast.Constant) else f"{d.func.attr.upper()} (dynamic)" for d in n.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS), None)
+                    calls, env, files_, raises = _facts(n.body)
+                    routes = [d for d in n.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS]
+                    route = ";".join(f"{d.func.attr.upper()} {_text(d.args[0]) if d.args and _text(d.args[0]) is not None else '(dynamic)'}" for d in routes) or None
                     kind = "test" if n.name.startswith("test_") else "method" if in_class else "function"
-                    yield path, module, name, kind, n.lineno, n.end_lineno, [], [d for d in map(_dotted, n.decorator_list) if d], calls, [], route, None
+                    yield path, module, name, n.name, kind, n.lineno, n.end_lineno, none, [d for d in map(_dotted, n.decorator_list) if d], calls, none, env, files_, raises, route, None
                     yield from walk(n.body, f"{name}.<locals>", False)
                 elif isinstance(n, ast.Assign) and not in_class and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name) and n.targets[0].id.isupper():
-                    yield path, module, f"{parent}.{n.targets[0].id}", "constant", n.lineno, n.end_lineno, [], [], [], [], None, None
+                    yield path, module, f"{parent}.{n.targets[0].id}", n.targets[0].id, "constant", n.lineno, n.end_lineno, none, none, none, none, none, none, none, None, None
 
         yield from walk(tree.body, module, False)
 
@@ -174,6 +232,12 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, SYMBOLS)
 
 
+def excerpts(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """id, excerpt of symbols (id, path, line_start, line_end): the lines of their files from start to end."""
+    lines = files.select("path", F.split("text", "\n").alias("lines"))
+    return symbols.join(lines, "path").select("id", F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n").alias("excerpt"))
+
+
 def cobol_symbols(files: DataFrame) -> DataFrame:
     """files (path, text) of COBOL -> path, line, kind, name: programs, sections, paragraphs, copies, files and data items, by native expressions."""
     lines = files.select("path", F.posexplode(F.split("text", "\n"))).select("path", (F.col("pos") + 1).alias("line"), F.upper(F.trim(F.regexp_replace("col", r"^[0-9]{6}", ""))).alias("t")).filter(~F.col("t").startswith("*") & (F.col("t") != ""))

@@ -13,9 +13,13 @@ def test_endpoints(spark):
 
 
 def test_layers(spark):
-    s = spark.createDataFrame([("a", "app.routes.x"), ("b", "app.services.y"), ("c", "app.models"), ("d", "app.util")], "id string, module string")
-    e = spark.createDataFrame([("a", "calls", "b"), ("b", "calls", "a"), ("b", "calls", "c"), ("a", "calls", "d"), ("a", "reads", "c"), ("a", "calls", "b")], "subject string, predicate string, object string")
-    assert {(x.from_layer, x.to_layer) for x in A.layer_flow(s, e).collect()} == {("route", "service"), ("service", "model")}
+    rows = [("a", "app.routes.x", "h", False), ("b", "app.services.y", "f", False), ("c", "app.models", "User", None), ("d", "app.util", "u", False), ("e", "app.user_repo", "q", False), ("f", "app.schemas.models", "M", False), ("g", "app.util", "Row", True), ("h", "app.schemas", "S", False)]
+    s = spark.createDataFrame(rows, "id string, module string, title string, is_model boolean")
+    got = {x.id: x.l for x in s.select("id", A.layer(F.col("module"), F.col("is_model")).alias("l")).collect()}
+    assert got == {"a": "route", "b": "service", "c": "model", "d": "other", "e": "repo", "f": "model", "g": "model", "h": "schema"}
+    pairs = [("a", "calls", "b"), ("b", "calls", "a"), ("b", "calls", "c"), ("a", "calls", "d"), ("a", "reads", "c"), ("a", "calls", "b"), ("b", "calls", "e"), ("e", "calls", "g"), ("a", "calls", "h")]
+    e = spark.createDataFrame(pairs, "subject string, predicate string, object string")
+    assert {tuple(x) for x in A.layer_flow(s, e).collect()} == {("route", "app.routes.x", "service", "app.services.y"), ("service", "app.services.y", "model", "User"), ("service", "app.services.y", "repo", "app.user_repo"), ("repo", "app.user_repo", "model", "Row")}
 
 
 def test_heading_ancestry(spark):
