@@ -120,3 +120,14 @@ def focused_graph(items: DataFrame, most: int = 18) -> DataFrame:
     top = items.groupBy("subject").agg(F.count("*").alias("n")).agg(F.max_by("subject", F.struct("n", "subject")).alias("concept"))  # one row
     of = items.join(F.broadcast(top), F.col("subject") == F.col("concept")).orderBy("seq").limit(most)
     return of.select("id", "concept", F.row_number().over(Window.orderBy("seq")).cast("long").alias("position"))
+
+
+def latest_versions(rows: DataFrame, key: str, number: str, checksum: str) -> DataFrame:
+    """key, versions, checksums (distinct ones), latest number of each key."""
+    return rows.groupBy(key).agg(F.count("*").alias("versions"), F.count_distinct(checksum).alias("checksums"), F.max(number).alias("latest"))
+
+
+def enrich(rows: DataFrame, dimension: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """rows with columns of a dimension by key; the last of equal keys (by order) counts, a missing key gives nulls."""
+    last = dimension.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_d"))
+    return rows.join(last, key, "left").select(*rows.columns, *(F.col(f"_d.{c}").alias(c) for c in columns))

@@ -67,3 +67,80 @@ def candidate(candidates: DataFrame, kinds: list[str]) -> DataFrame:
         .when(F.trim(F.coalesce("quote", F.lit(""))) == "", "quote_missing")
     )
     return candidates.select("id", reason.alias("rejected"), F.contains("source", "quote").alias("anchored"))
+
+
+REVIEW_STATUSES = ["proposed", "approved", "rejected", "edited", "deferred"]
+REVIEW_ACTIONS = ["approved", "rejected", "edited", "deferred", "commented"]
+DISPOSITIONS = ["preserved", "mapped", "renamed", "split", "merged", "missing", "unresolved"]
+
+
+def blank(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+
+
+def items(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Integrity of knowledge items (id, status, source_id, section_id, source_text, span_status, confidence) and of reviews (id, item_id, action, reviewer, ts)."""
+    rows = findings(
+        items,
+        {
+            ("error", "invalid_status"): ~F.coalesce(F.col("status").isin(REVIEW_STATUSES), F.lit(False)),
+            ("error", "missing_source"): blank("source_id"),
+            ("error", "missing_section"): blank("section_id"),
+            ("warning", "missing_text"): blank("source_text") & ~F.coalesce(F.col("span_status") == "unresolved", F.lit(False)),
+            ("warning", "low_confidence"): F.coalesce("confidence", F.lit(1.0)) < 0.7,
+        },
+    )
+    review = findings(reviews, {("error", "invalid_action"): ~F.coalesce(F.col("action").isin(REVIEW_ACTIONS), F.lit(False)), ("error", "missing_reviewer"): blank("reviewer"), ("error", "missing_timestamp"): F.col("ts").isNull()})
+    return reduce(DataFrame.unionByName, [rows, review, missing(reviews, "item_id", items, "id", "unknown_item")])
+
+
+def profile(bundles: DataFrame, directories: list[str]) -> DataFrame:
+    """Bundles (id, profile, configured, directories): the profile's literal, its configuration, and each directory that it needs."""
+    rows = findings(bundles, {("error", "profile"): ~F.col("profile").eqNullSafe("code-knowledge-bundle"), ("error", "configuration"): ~F.coalesce("configured", F.lit(False))})
+    absent = bundles.select("id", F.explode(F.array_except(F.array(*map(F.lit, directories)), F.coalesce("directories", F.array().cast("array<string>")))).alias("d"))
+    return rows.unionByName(absent.select(F.lit("error").alias("level"), F.concat(F.lit("directory:"), "d").alias("rule"), "id"))
+
+
+def inventory(sources: DataFrame, documents: DataFrame, originals: DataFrame) -> DataFrame:
+    """Sources (id, language, version_id) without a document (id), an original (id), a language or a version."""
+    rows = findings(sources, {("error", "missing_version"): blank("version_id"), ("error", "missing_language"): blank("language")})
+    gone = lambda known, rule: sources.join(known.select("id").distinct(), "id", "left_anti").select(F.lit("error").alias("level"), F.lit(rule).alias("rule"), "id")
+    return reduce(DataFrame.unionByName, [rows, gone(documents, "missing_document"), gone(originals, "missing_original")])
+
+
+def procedure(candidates: DataFrame) -> DataFrame:
+    """Procedure candidates (id, required, cited, claim): the members that they don't cite, and why they are rejected or null."""
+    left_out = F.array_sort(F.array_except("required", "cited"))
+    reason = F.when(F.trim(F.coalesce("claim", F.lit(""))) == "", "claim_missing").when(F.size(left_out) > 0, "member_not_cited")
+    return candidates.select("id", F.array_join(left_out, ",").alias("left_out"), reason.alias("rejected"))
+
+
+def traces(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Trace entries (id, disposition, review_status, target_id, critical) against the known targets (id)."""
+    rows = findings(
+        entries,
+        {
+            ("error", "disposition"): ~F.coalesce(F.col("disposition").isin(DISPOSITIONS), F.lit(False)),
+            ("error", "approved_unresolved"): (F.col("disposition") == "unresolved") & (F.col("review_status") == "approved"),
+            ("error", "target_missing"): F.col("disposition").isin("preserved", "mapped", "renamed", "split", "merged") & blank("target_id"),
+            ("warning", "critical_missing"): F.col("critical") & F.col("disposition").isin("missing", "unresolved"),
+        },
+    )
+    return rows.unionByName(missing(entries, "target_id", targets, "id", "unknown_target"))
+
+
+def rule_schema(rules: DataFrame) -> DataFrame:
+    """Rules (id, condition struct<fact, operator, label>, obligation struct<fact, action, label>, otherwise string): what their schema misses.
+
+    `otherwise` is the JSON of the else branch: its action_required must be a boolean."""
+    empty = lambda c, *fields: reduce(Column.__or__, (blank(f"{c}.{f}") for f in fields))
+    flag = F.get_json_object("otherwise", "$.action_required")
+    return findings(
+        rules.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))),
+        {
+            ("error", "id_missing"): F.col("id") == "",
+            ("error", "obligation"): F.col("obligation").isNull() | empty("obligation", "fact", "action", "label"),
+            ("error", "condition"): F.col("condition").isNotNull() & empty("condition", "fact", "operator", "label"),
+            ("error", "otherwise"): F.col("otherwise").isNotNull() & ~F.coalesce(flag.isin("true", "false"), F.lit(False)),
+        },
+    )

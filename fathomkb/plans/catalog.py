@@ -9,6 +9,7 @@ from fathomkb.operators import claims as C
 from fathomkb.operators import context as X
 from fathomkb.operators import extract as E
 from fathomkb.operators import relations as R
+from fathomkb.operators import report as P
 from fathomkb.operators import search as S
 from fathomkb.operators import validate as V
 from fathomkb.sources import files as files_
@@ -177,9 +178,9 @@ def f14_term_sentences(spark, d):
     return E.sentences(v.read(spark, d, "documents"), TERMS).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.min("pos").cast("long").alias("first_pos"))
 
 
-@query("""SELECT seq, id, kind FROM v_symbols WHERE kind IN ('record', 'class') ORDER BY id""", "symbols")
+@query("""SELECT seq, id, kind FROM v_symbols WHERE kind IN ('record', 'data_item', 'data', 'file')""", "symbols")
 def f18_state_contracts(spark, d):
-    return v.symbols(spark, d).filter(F.col("kind").isin("record", "class")).select("seq", "id", "kind").orderBy("id")
+    return v.symbols(spark, d).filter(F.col("kind").isin(P.STATE_KINDS)).select("seq", "id", "kind").orderBy("id")
 
 
 @query(
@@ -244,9 +245,8 @@ def j9_import_resolution(spark, d):
 
 @query("""SELECT i.id, i.source_id, (SELECT max(turn) FROM conversations c WHERE c.conv_id = i.conv_id) AS last_turn FROM v_items i""", "items")
 def j12_item_enrichment(spark, d):
-    i = v.items(spark, d)
-    last = v.read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    return i.join(last, "conv_id", "left").select("id", "source_id", "last_turn")
+    turns = v.read(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("last_turn"))
+    return C.enrich(v.items(spark, d).drop("turn"), turns, "conv_id", ["last_turn"], "turn").select("id", "source_id", "last_turn")
 
 
 @query(
@@ -515,7 +515,7 @@ def w8_page(spark, d):
 
 @query("""SELECT o_custkey, CAST(count(*) AS BIGINT) AS versions, count(DISTINCT o_orderstatus) AS states, max_by(o_orderkey, o_orderkey) AS latest FROM orders GROUP BY 1""")
 def w10_latest_version(spark, d):
-    return v.read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("versions"), F.count_distinct("o_orderstatus").alias("states"), F.max("o_orderkey").alias("latest"))
+    return C.latest_versions(v.read(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus").withColumnRenamed("checksums", "states")
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 25""")
@@ -528,10 +528,26 @@ def x12_page_headings(spark, d):
     return E.html_headings(v.read(spark, d, "pages")).select("page_id", "n", "level")
 
 
-@query("""WITH l AS (SELECT page_id, list_transform(string_split(html, '>'), lambda x: x) AS p FROM pages), s AS (SELECT doc_id, 1 AS n, 1 AS level, 'Document' AS heading, 0 AS start, length(text) AS "end", 'general' AS role FROM documents) SELECT * FROM s""")
+MARKDOWN = """p AS (SELECT page_id, title, page_id % 4 AS k FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>|[#\\s]+', ' ', 'g')) AS title FROM pages)),
+    m AS (SELECT page_id, CASE k WHEN 0 THEN 'plain ' || title WHEN 1 THEN 'before' || chr(10) || '# ' || title || chr(10) || 'text' || chr(10) || '### Scope of it' || chr(10) || 'more' WHEN 2 THEN '## Exceptions' || chr(10) || '#' || chr(10) || title ELSE '####### seven' || chr(10) || '#no space' || chr(10) || '# ' || title END AS text, title, k FROM p)"""
+
+
+def _markdown(spark, d):
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>|[#\s]+", " "))
+    p = v.read(spark, d, "pages").select("page_id", title.alias("title"))
+    return p.selectExpr("page_id doc_id", """case page_id % 4 when 0 then concat('plain ', title) when 1 then concat('before\\n# ', title, '\\ntext\\n### Scope of it\\nmore') when 2 then concat('## Exceptions\\n#\\n', title) else concat('####### seven\\n#no space\\n# ', title) end text""")
+
+
+@query(
+    f"""WITH {MARKDOWN}, l AS (SELECT page_id, title, k, length(title) AS t, length(text) AS total FROM m)
+       SELECT page_id AS doc_id, 1 AS n, 1 AS level, 'Document' AS heading, 0 AS start, total AS "end" FROM l WHERE k = 0
+       UNION ALL SELECT page_id, 1, 1, title, 7, 7 + 2 + t + 1 + 5 FROM l WHERE k = 1 UNION ALL SELECT page_id, 2, 3, 'Scope of it', 7 + 2 + t + 1 + 5, total FROM l WHERE k = 1
+       UNION ALL SELECT page_id, 1, 2, 'Exceptions', 0, 14 FROM l WHERE k = 2 UNION ALL SELECT page_id, 2, 1, title, 14, total FROM l WHERE k = 2
+       UNION ALL SELECT page_id, 1, 1, title, 24, total FROM l WHERE k = 3"""
+)
 def x12_sections(spark, d):
-    out = E.sections(v.read(spark, d, "documents"))
-    return out.select("doc_id", "n", "level", "heading", "start", "end", "role")
+    return E.sections(_markdown(spark, d)).select("doc_id", "n", "level", "heading", "start", "end")
+
 
 
 @query(f"""WITH {SENTENCES}, q AS (SELECT * FROM s WHERE {' OR '.join(f"contains(lower(sentence), '{t}')" for t in TERMS)}) SELECT doc_id, 'ki-' || doc_id || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR), 6, '0') AS id,
@@ -782,9 +798,9 @@ def c3_checksums(spark, d):
 
 
 @query("""SELECT p.page_id, count(*) AS n, min(length(h)) AS shortest FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) p GROUP BY 1""")
-def x10_page_links(spark, d):
+def page_links(spark, d):
     h = v.read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
     return h.groupBy("page_id").agg(F.count("*").alias("n"), F.min(F.length("h")).alias("shortest"))
 
 
-from fathomkb.plans import code  # noqa: E402, F401  registers its queries
+from fathomkb.plans import code, review  # noqa: E402, F401  register their queries

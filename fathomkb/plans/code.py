@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathomkb.operators import architecture as A
+from fathomkb.operators import extract as E
 from fathomkb.operators import resolve as N
 from fathomkb.plans.registry import query
 from fathomkb.sources import views as v
@@ -85,3 +87,185 @@ REFS = f"""{ANCESTRY},
 @query(f"WITH {REFS} SELECT subject, name, target FROM t", "code_symbols code_classes code_imports code_refs")
 def j10_references(spark, d):
     return N.resolve_references(v.code_refs(spark, d), v.code_symbols(spark, d), v.code_imports(spark, d), v.code_classes(spark, d))
+
+
+# Python sources that Spark writes from parts: a class of four methods and a test in each file
+
+FILES = """f AS (SELECT seq, module || '.c' || seq AS pm, replace(module, '.', '/') || '/c' || seq || '.py' AS path, CASE WHEN seq = 0 THEN 'object' WHEN seq % 20 = 0 THEN 'Missing' ELSE 'C' || ((seq // 10) * 5) END AS base FROM v_code_symbols WHERE kind = 'class'),
+    me AS (SELECT f.*, i, seq + i AS m, (seq + i) % 50 - (seq + i) % 5 AS t FROM f, range(1, 5) r(i))"""
+
+
+def _files(spark, d):
+    base = F.expr("case when seq = 0 then 'object' when seq % 20 = 0 then 'Missing' else concat('C', (seq div 10) * 5) end")
+    body = F.expr("""array_join(transform(sequence(1, 4), i -> concat('    @cached\\n    def m', seq + i, '(self):\\n        return C', (seq + i) % 50 - (seq + i) % 5, '(os.getenv("K', (seq + i) % 7, '"), open("f", "w"))\\n')), '')""")
+    test = F.expr("concat('def test_m', seq + 1, '():\\n    return C', seq, '()\\n')")
+    c = v.code_symbols(spark, d).filter("kind = 'class'")
+    return c.select(F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit("/c"), "seq", F.lit(".py")).alias("path"), F.concat(F.lit("import os\nclass C"), "seq", F.lit("("), base, F.lit("):\n"), body, test).alias("text"))
+
+
+def _parsed(spark, d):
+    return E.python_symbols(_files(spark, d)).withColumn("id", F.concat(F.lit("symbol-"), "qualified_name"))
+
+
+def _named(parsed):
+    """symbols, imports and classes of parsed files, as name resolution takes them."""
+    symbols = parsed.filter("kind <> 'module'").select(F.col("line_start").alias("seq"), "id", "title", "qualified_name", "module", "kind")
+    imports = parsed.filter("kind = 'module'").select("module", F.posexplode("imports").alias("pos", "name"))
+    classes = parsed.filter("kind = 'class'").select("qualified_name", F.posexplode("bases").alias("pos", "base"))
+    return symbols, imports, classes
+
+
+@query(f"""WITH {FILES} SELECT path, pm AS qualified_name, 'module' AS kind, 1 AS line_start, 16 AS line_end FROM f UNION ALL SELECT path, pm || '.C' || seq, 'class', 2, 14 FROM f
+    UNION ALL SELECT path, pm || '.C' || seq || '.m' || m, 'method', 3 * i + 1, 3 * i + 2 FROM me UNION ALL SELECT path, pm || '.test_m' || (seq + 1), 'test', 15, 16 FROM f""", "code_symbols")
+def x2_python_symbols(spark, d):
+    return E.python_symbols(_files(spark, d)).select("path", "qualified_name", "kind", "line_start", "line_end")
+
+
+@query(f"""WITH {FILES} SELECT 'symbol-' || pm || '.C' || seq || '.m' || m AS id, '    def m' || m || '(self):' || chr(10) || '        return C' || t || '(os.getenv("K' || m % 7 || '"), open("f", "w"))' AS excerpt FROM me""", "code_symbols")
+def x3_evidence_excerpts(spark, d):
+    return E.excerpts(_parsed(spark, d).filter("kind = 'method'").select("id", "path", "line_start", "line_end"), _files(spark, d))
+
+
+SEMANTIC = """q AS (SELECT seq, 'symbol-' || pm || '.C' || seq AS id FROM f),
+    x AS (SELECT q.id AS subject, 'inherits_from' AS predicate, coalesce(b.id, base) AS object, b.id IS NOT NULL AS hit, 'external_symbol' AS other, 0.96 AS a, 0.5 AS z, 'python-ast' AS resolver FROM f JOIN q USING (seq) LEFT JOIN q b ON 'C' || b.seq = base AND b.seq <> f.seq
+       UNION ALL SELECT q.id || '.m' || m, 'decorated_by', 'cached', false, 'decorator', 0.95, 0.55, 'python-ast' FROM me JOIN q USING (seq)
+       UNION ALL SELECT q.id || '.m' || m, 'calls', b.id, true, 'callable', 0.94, 0.45, 'python-call-resolver' FROM me JOIN q USING (seq) JOIN q b ON b.seq = t
+       UNION ALL SELECT q.id || '.m' || m, 'calls', n, false, 'callable', 0.94, 0.45, 'python-call-resolver' FROM me JOIN q USING (seq), (VALUES ('open'), ('os.getenv')) c(n)
+       UNION ALL SELECT 'symbol-' || pm || '.test_m' || (seq + 1), 'calls', q.id, true, 'callable', 0.94, 0.45, 'python-call-resolver' FROM f JOIN q USING (seq)),
+    s AS (SELECT subject, predicate, object, CASE WHEN hit THEN 'symbol' ELSE other END AS object_kind, CASE WHEN hit THEN 'exact' ELSE 'unresolved' END AS status, CAST(CASE WHEN hit THEN a ELSE z END AS DOUBLE) AS confidence, resolver FROM x
+       UNION ALL SELECT q.id || '.m' || m, 'reads', 'env:K' || m % 7, 'environment_variable', 'exact', 0.98::DOUBLE, 'python-ast' FROM me JOIN q USING (seq)
+       UNION ALL SELECT q.id || '.m' || m, 'writes', 'file-open:w', 'file_access', 'inferred', 0.72::DOUBLE, 'python-file-access-heuristic' FROM me JOIN q USING (seq)),
+    cov AS (SELECT 'symbol-' || pm || '.test_m' || (seq + 1) AS test, q.id || '.m' || (seq + 1) AS target FROM f JOIN q USING (seq) UNION ALL SELECT 'symbol-' || pm || '.test_m' || (seq + 1), q.id FROM f JOIN q USING (seq)),
+    c AS (SELECT test AS subject, 'covers' AS predicate, target AS object FROM cov UNION ALL SELECT target, 'tested_by', test FROM cov)"""
+
+
+@query(f"WITH {FILES}, {SEMANTIC} SELECT * FROM s", "code_symbols")
+def x4_semantic_relations(spark, d):
+    parsed = _parsed(spark, d)
+    return N.semantic_relations(parsed.filter("kind <> 'module'"), *_named(parsed))
+
+
+@query(f"WITH {FILES}, {SEMANTIC} SELECT *, 'symbol' AS object_kind, 'inferred' AS status, 0.7::DOUBLE AS confidence, 'pytest-name-call-heuristic' AS resolver FROM c", "code_symbols")
+def x5_inferred_coverage(spark, d):
+    parsed = _parsed(spark, d)
+    symbols, _, classes = _named(parsed)
+    return N.inferred_coverage(parsed.filter("kind = 'test'").select("id", "title", "calls"), symbols, classes)
+
+
+@query(
+    f"""WITH {FILES}, {SEMANTIC}, y AS (SELECT predicate, status FROM s UNION ALL SELECT predicate, 'inferred' FROM c UNION ALL SELECT 'imports', 'unresolved' FROM f UNION ALL SELECT 'defines', 'exact' FROM f, range(6))
+       SELECT predicate, status, count(*) AS n FROM y GROUP BY 1, 2""",
+    "code_symbols",
+)
+def u2_united_relations(spark, d):
+    parsed = _parsed(spark, d)
+    symbols, imports, classes = _named(parsed)
+    rows = N.united(N.module_relations(symbols, imports, parsed.filter("kind = 'module'")), N.semantic_relations(parsed.filter("kind <> 'module'"), symbols, imports, classes), N.inferred_coverage(parsed.filter("kind = 'test'").select("id", "title", "calls"), symbols, classes))
+    return rows.groupBy("predicate", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FILES} SELECT pm AS id, 'module' AS type FROM f UNION ALL SELECT pm || '.C' || seq, 'class' FROM f UNION ALL SELECT pm || '.C' || seq || '.m' || m, 'method' FROM me UNION ALL SELECT pm || '.test_m' || (seq + 1), 'test' FROM f""", "code_symbols")
+def u7_artifacts(spark, d):
+    parsed = E.python_symbols(_files(spark, d))
+    modules = parsed.filter("kind = 'module'").select(F.col("qualified_name").alias("id"), F.lit("module").alias("type"))
+    return modules.unionByName(parsed.filter("kind <> 'module'").select(F.col("qualified_name").alias("id"), F.col("kind").alias("type")))
+
+
+# COBOL sources that Spark writes from suppliers
+
+COBOL = """000100 IDENTIFICATION DIVISION.\\n000200 PROGRAM-ID. SUP-@.\\n000300* COPY NOT-THIS.\\nDATA DIVISION.\\nFD FILE-@.\\n01 REC-@.\\n   05 ITEM-@ PIC X.\\nCOPY BOOK-@.\\nPROCEDURE DIVISION.\\nMAIN SECTION.\\nPARA-@.\\n    PERFORM STEP-@.\\n    CALL 'SUP-#'.\\n    READ FILE-@.\\n    WRITE REC-@.\\n    GO TO PARA-@.\\n"""
+
+
+def _cobol(spark, d):
+    text = F.expr(f"replace(replace(\"{COBOL}\", '@', cast(s_suppkey as string)), '#', cast(s_suppkey + 1 as string))")
+    return v.read(spark, d, "supplier").select(F.concat(F.lit("sup"), "s_suppkey", F.lit(".cbl")).alias("path"), text.alias("text"))
+
+
+@query(
+    """SELECT 'sup' || s_suppkey || '.cbl' AS path, line, kind, name || CASE WHEN name = 'MAIN' THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS name FROM supplier,
+       (VALUES (2, 'program', 'SUP-'), (5, 'file', 'FILE-'), (6, 'record', 'REC-'), (7, 'data_item', 'ITEM-'), (8, 'copy', 'BOOK-'), (10, 'section', 'MAIN'), (11, 'paragraph', 'PARA-')) k(line, kind, name)"""
+)
+def x9_cobol_symbols(spark, d):
+    return E.cobol_symbols(_cobol(spark, d))
+
+
+@query(
+    """SELECT 'sup' || s_suppkey || '.cbl' AS path, predicate, name || (s_suppkey + k) AS name FROM supplier,
+       (VALUES ('performs', 'STEP-', 0), ('calls', 'SUP-', 1), ('reads', 'FILE-', 0), ('writes', 'REC-', 0), ('jumps_to', 'PARA-', 0)) f(predicate, name, k)"""
+)
+def x10_cobol_facts(spark, d):
+    return E.cobol_facts(_cobol(spark, d))
+
+
+# endpoints, layers, headings, coverage
+
+ENDPOINTS = """raw AS (SELECT o_orderkey AS seq, 'app.m' || o_custkey % 20 AS module, 'r' || o_custkey % 3 AS var, CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, CASE WHEN o_orderkey % 5 > 0 THEN '/x' || o_custkey % 7 END AS route, 'symbol-part-' || o_custkey * 3 AS handler FROM orders),
+    ro AS (SELECT s_suppkey AS seq, 'app.m' || s_suppkey % 20 AS module, 'r' || s_nationkey % 3 AS var, '/p' || s_suppkey % 4 AS prefix FROM supplier),
+    inc AS (SELECT n_nationkey AS seq, 'r' || n_nationkey % 4 AS router_var, CASE WHEN n_nationkey % 2 = 0 THEN 'm' || n_nationkey END AS token, CASE WHEN n_nationkey % 6 > 0 THEN 'n' || n_regionkey || '/' END AS prefix FROM nation)"""
+
+
+def _web(spark, d):
+    raw = v.read(spark, d, "orders").selectExpr("o_orderkey seq", "concat('app.m', o_custkey % 20) module", "concat('r', o_custkey % 3) var", "if(o_orderkey % 2 = 0, 'GET', 'POST') verb", "if(o_orderkey % 5 > 0, concat('/x', o_custkey % 7), null) route", "concat('symbol-part-', o_custkey * 3) handler")
+    routers = v.read(spark, d, "supplier").selectExpr("s_suppkey seq", "concat('app.m', s_suppkey % 20) module", "concat('r', s_nationkey % 3) var", "concat('/p', s_suppkey % 4) prefix")
+    includes = v.read(spark, d, "nation").selectExpr("n_nationkey seq", "concat('r', n_nationkey % 4) router_var", "if(n_nationkey % 2 = 0, concat('m', n_nationkey), null) token", "if(n_nationkey % 6 > 0, concat('n', n_regionkey, '/'), null) prefix")
+    return raw, routers, includes
+
+
+PART = "CASE WHEN coalesce({x}, '') = '' THEN '' ELSE '/' || regexp_replace({x}, '^/+|/+$', '', 'g') END"
+
+
+@query(
+    f"""WITH {ENDPOINTS}, r AS (SELECT module, var, min_by(prefix, seq) AS rp FROM ro GROUP BY 1, 2), t AS (SELECT token, arg_min_null(prefix, seq) AS tp FROM inc WHERE token IS NOT NULL GROUP BY 1), w AS (SELECT router_var, arg_min_null(prefix, seq) AS vp FROM inc GROUP BY 1),
+       e AS (SELECT raw.*, {PART.format(x="CASE WHEN t.token IS NOT NULL THEN tp ELSE vp END")} || {PART.format(x="rp")} || {PART.format(x="coalesce(route, '(dynamic)')")} AS path FROM raw LEFT JOIN r ON r.module = raw.module AND r.var = raw.var LEFT JOIN t ON t.token = string_split(raw.module, '.')[-1] LEFT JOIN w ON w.router_var = raw.var),
+       b AS (SELECT *, 'endpoint-' || lower(verb) || '-' || trim(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) - 1 AS k FROM b)
+       SELECT base || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS id, n.module, verb, path, CASE WHEN s.id IS NOT NULL THEN handler END AS handler FROM n LEFT JOIN v_symbols s ON s.id = handler""",
+    "symbols",
+)
+def j14_endpoints(spark, d):
+    return A.resolve_endpoints(*_web(spark, d), v.symbols(spark, d))
+
+
+@query(f"""WITH {ENDPOINTS}, n AS (SELECT module, var, count(*) AS n FROM raw GROUP BY 1, 2) SELECT DISTINCT ro.module, ro.var, coalesce(n, 0) AS endpoint_count, ro.var IN (SELECT router_var FROM inc) AS mounted FROM ro LEFT JOIN n ON n.module = ro.module AND n.var = ro.var""")
+def j15_router_wiring(spark, d):
+    raw, routers, includes = _web(spark, d)
+    return A.router_view(routers, includes, raw)
+
+
+@query(f"""WITH {ENDPOINTS} SELECT raw.module, count(*) AS endpoints, count(s.id) AS handled FROM raw LEFT JOIN v_symbols s ON s.id = handler GROUP BY 1""", "symbols")
+def j16_handlers(spark, d):
+    e = A.resolve_endpoints(*_web(spark, d), v.symbols(spark, d))
+    return e.groupBy("module").agg(F.count("*").alias("endpoints"), F.count("handler").alias("handled"))
+
+
+@query(
+    """WITH h AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(1 + l_suppkey % 4) AS level, 'h' || max(l_partkey) AS heading FROM lineitem GROUP BY 1, 2)
+       SELECT h.doc_id, h.n, h.level, h.heading, coalesce((SELECT string_agg(a.heading, '/' ORDER BY a.n) FROM h a WHERE a.doc_id = h.doc_id AND a.n < h.n AND a.level < h.level
+              AND NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.n > a.n AND b.n < h.n AND b.level <= a.level)), '') AS above FROM h"""
+)
+def j13_heading_ancestry(spark, d):
+    h = v.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max(1 + F.col("l_suppkey") % 4).alias("level"), F.concat(F.lit("h"), F.max("l_partkey").cast("string")).alias("heading"))
+    return A.heading_ancestry(h).select("doc_id", "n", "level", "heading", F.array_join("ancestors", "/").alias("above"))
+
+
+@query(
+    """SELECT id, 'untraced_source' AS gap FROM v_symbols WHERE seq % 2 = 0 AND id NOT IN (SELECT 'symbol-part-' || l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)
+       UNION ALL SELECT id, 'target_without_source' FROM v_symbols WHERE seq % 2 = 1 AND id NOT IN (SELECT 'symbol-part-' || l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)""",
+    "symbols",
+)
+def j21_trace_coverage(spark, d):
+    expected = v.symbols(spark, d).selectExpr("id", "if(seq % 2 = 0, 'source', 'target') side")
+    entries = v.read(spark, d, "lineitem").filter("l_returnflag = 'A' and l_quantity > 30").selectExpr("concat('symbol-part-', l_partkey) source_id", "concat('symbol-part-', l_suppkey) target_id")
+    return A.trace_coverage(expected, entries)
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS id, 'app.' || ['routes', 'services', 'user_repo', 'repositories', 'models', 'schemas', 'util'][p_size % 7 + 1] || '.' || lower(p_type) AS module, p_name AS title, p_size = 50 AS is_model FROM part),
+       l AS (SELECT id, CASE WHEN is_model OR contains(module, '.models.') THEN 'model' WHEN contains(module, '.routes.') THEN 'route' WHEN contains(module, '.services.') THEN 'service' WHEN contains(module, 'repo') THEN 'repo' ELSE 'other' END AS layer, module, title FROM s),
+       k AS (SELECT id, layer, CASE WHEN layer = 'model' THEN title ELSE module END AS node, list_position(['route', 'service', 'repo', 'model'], layer) AS rank FROM l WHERE layer <> 'other'),
+       e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS o FROM lineitem WHERE l_returnflag <> 'N')
+       SELECT DISTINCT a.layer AS from_layer, a.node AS from_node, b.layer AS to_layer, b.node AS to_node FROM e JOIN k a ON a.id = s JOIN k b ON b.id = o WHERE b.rank > a.rank"""
+)
+def g7_layer_flow(spark, d):
+    s = v.read(spark, d, "part").selectExpr("p_partkey id", "concat('app.', element_at(array('routes', 'services', 'user_repo', 'repositories', 'models', 'schemas', 'util'), p_size % 7 + 1), '.', lower(p_type)) module", "p_name title", "p_size = 50 is_model")
+    e = v.read(spark, d, "lineitem").filter("l_returnflag <> 'N'").selectExpr("l_partkey subject", "'calls' predicate", "l_suppkey object")
+    return A.layer_flow(s, e)
