@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomkb.sources.shared import written
 from fathomkb.functions.scalars import nonempty, slugify
 
 
@@ -81,11 +82,26 @@ def fold_reviews(events: DataFrame) -> DataFrame:
     return live.groupBy("item_id").agg(F.coalesce(F.when(F.count_if(F.col("action").isin("approved", "rejected", "edited")) > 0, state), F.lit("proposed")).alias("status"), F.count("*").alias("n_applied"), F.max("seq").alias("last_seq"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with `number`, from 1 within each `by` in order, and `total`, the rows of that `by`.
+
+    Rows are dealt by ranges of (by, order), numbered within each range and moved on by the sizes of the ranges before
+    it, so that one value of `by` may hold most of the table. The ranges are a written table, as they must not change.
+    """
+    dealt = written(rows.repartitionByRange(F.col(by), *map(F.col, order)).withColumn("range_", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("range_")  # a row for each value and range
+    sizes = dealt.groupBy(by, "range_").agg(F.count("*").alias("n_")).withColumns({"before_": F.sum("n_").over(before) - F.col("n_"), "total": F.sum("n_").over(Window.partitionBy(by))})
+    own = F.row_number().over(Window.partitionBy(by, "range_").orderBy(*order))
+    out = dealt.withColumn("own_", own).join(sizes.select(F.col(by).alias("by_"), F.col("range_").alias("r_"), "before_", "total"), F.col(by).eqNullSafe(F.col("by_")) & (F.col("range_") == F.col("r_")))
+    return out.select(*rows.columns, (F.col("own_") + F.col("before_")).alias("number"), "total")
+
+
 def version_chain(rows: DataFrame, source: str, order: list[str], checksum: str) -> DataFrame:
     """Versions of each source in order: number, whether the content was seen before (unchanged), whether it is the latest."""
-    w = Window.partitionBy(source).orderBy(*order)
-    first = F.row_number().over(Window.partitionBy(source, checksum).orderBy(*order))
-    return rows.withColumn("version", F.row_number().over(w)).withColumn("unchanged", first > 1).withColumn("latest", F.lead(source).over(w).isNull())
+    key = F.struct(*order)
+    first = rows.groupBy(F.col(source).alias("s_"), F.col(checksum).alias("c_")).agg(F.min(key).alias("first_"))
+    out = numbered(rows, source, order).join(first, F.col(source).eqNullSafe(F.col("s_")) & F.col(checksum).eqNullSafe(F.col("c_")))
+    return out.select(*rows.columns, F.col("number").alias("version"), (key != F.col("first_")).alias("unchanged"), (F.col("number") == F.col("total")).alias("latest"))
 
 
 def update_preview(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomkb.sources.shared import written
+
 from . import claims as C
 from . import relations as R
 from . import search as S
@@ -24,8 +26,8 @@ def code_context(query: str, symbols: DataFrame, relations: DataFrame, claims: D
 
     Lists are cut to `shown` after the counts are taken.
     """
-    top = S.symbols_search(symbols, query).limit(most)
-    edges = R.incident(relations, top)
+    top = written(S.symbols_search(symbols, query).limit(most), "top")  # read by every part
+    edges = written(R.incident(relations, top).select("id", "status").distinct(), "edges")
     about = C.for_symbols(C.overlay(claims, decisions), claim_symbols, top).filter(S.usable())
     tests = R.coverage(relations).join(top.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select(F.col("test_id").alias("id")).distinct()
     count = lambda df, part: df.agg(F.count("*").cast("int").alias("rank")).select(F.lit("count").alias("part"), "rank", F.lit(part).alias("id"))

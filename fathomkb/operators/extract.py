@@ -174,21 +174,10 @@ def _facts(body: list) -> tuple[list[str], list[str], list[str], list[str]]:
     return sorted(calls), sorted(env), sorted(files), sorted(raises)
 
 
-def _blocks(body: list) -> Iterator[ast.stmt]:
-    """Statements of a module or class, with those inside if, try and with."""
-    for n in body:
-        yield n
-        for part in ("body", "orelse", "finalbody"):
-            if isinstance(n, (ast.If, ast.Try, ast.With)):
-                yield from _blocks(getattr(n, part, []))
-        for handler in getattr(n, "handlers", []):
-            yield from _blocks(handler.body)
-
-
 def python_symbols(files: DataFrame) -> DataFrame:
     """files (path, text) of Python -> a row for each module, class, function, method, test and upper-case constant.
 
-    Definitions inside if, try and with count too. Calls, environment reads, file accesses and exceptions are those of a
+    Does not enter if, try or with bodies. Calls, environment reads, file accesses and exceptions are those of a
     function's own scope. A file that doesn't parse is one row with its error.
     """
     none: list = []
@@ -201,12 +190,12 @@ def python_symbols(files: DataFrame) -> DataFrame:
         except (SyntaxError, ValueError) as e:
             yield path, module, module, title, "module", 1, 1, none, none, none, none, none, none, none, None, str(e)
             return
-        top = list(_blocks(tree.body))
+        top = tree.body
         imports = sorted({a.name for n in top if isinstance(n, ast.Import) for a in n.names} | {n.module for n in top if isinstance(n, ast.ImportFrom) and n.module and not n.level})
         yield path, module, module, title, "module", 1, len((text or "").splitlines()), none, none, none, imports, none, none, none, None, None
 
         def walk(body: list, parent: str, in_class: bool) -> Iterator[tuple]:
-            for n in _blocks(body):
+            for n in body:
                 if isinstance(n, ast.ClassDef):
                     name = f"{parent}.{n.name}"
                     bases = [_dotted(b) or ast.unparse(b) for b in n.bases]

@@ -54,7 +54,7 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     """One row a triple: evidence sorted and united; the first row, or the first exact one where there is any."""
     pick = F.struct(F.col("status") != "exact", "seq", "evidence")
     out = relations.groupBy("subject", "predicate", "object").agg(F.min_by("status", pick).alias("status"), F.min_by("confidence", pick).alias("confidence"), F.sort_array(F.collect_set("evidence")).alias("evidence"), F.min("seq").alias("seq"))
-    return out.orderBy("predicate", "subject", "object")
+    return out
 
 
 def neighbourhood(relations: DataFrame, node: str, depth: int) -> DataFrame:
@@ -67,7 +67,7 @@ def neighbourhood(relations: DataFrame, node: str, depth: int) -> DataFrame:
         rounds.append(incident(relations, frontier))
         frontier = rounds[-1].select(F.explode(F.array("subject", "object")).alias("id")).distinct()  # nodes seen before add no edge of their own
     edges = reduce(DataFrame.unionByName, rounds)
-    return edges.groupBy("id").agg(F.max_by(F.struct("subject", "predicate", "object", "status"), F.struct("seq", "status")).alias("r")).select("id", "r.*").orderBy("id")
+    return edges.groupBy("id").agg(F.max_by(F.struct("subject", "predicate", "object", "status"), F.struct("seq", "status")).alias("r")).select("id", "r.*")
 
 
 def change_impact(relations: DataFrame, symbol: str) -> DataFrame:
@@ -77,26 +77,25 @@ def change_impact(relations: DataFrame, symbol: str) -> DataFrame:
     return ids.groupBy("id").agg(F.count("*").alias("n_relations"))
 
 
-def reachable(relations: DataFrame, start: str, predicates: list[str], levels: int = 8) -> DataFrame:
-    """id, level of what is reached over directed edges of the predicates, start excluded, as a bounded recursive query."""
-    spark = relations.sparkSession
-    relations.filter(F.col("predicate").isin(predicates)).select("subject", "object").distinct().createOrReplaceTempView("reach_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE r(id, level) MAX RECURSION LEVEL {levels + 1} AS (
-              SELECT :start, 0 UNION ALL SELECT e.object, r.level + 1 FROM r JOIN reach_edges e ON e.subject = r.id WHERE r.level < {levels})
-            SELECT id, min(level) AS level FROM r WHERE id <> :start GROUP BY id""",
-        args={"start": start},
-    )
+def reachable(relations: DataFrame, start: str, predicates: list[str], levels: int = 8, most_seen: int | None = None) -> DataFrame:
+    """id, level of what is reached over directed edges of the predicates within `levels` steps, start excluded.
 
-
-def reachable_levels(relations: DataFrame, start: str, predicates: list[str], levels: int = 8) -> DataFrame:
-    """The same by frontier rounds with distinct, for dense graphs."""
-    edges = relations.filter(F.col("predicate").isin(predicates)).select("subject", "object").distinct()
-    frontier, rounds = relations.sparkSession.createDataFrame([(start,)], "id string"), []
+    Rounds of a frontier of new nodes over the distinct edges, which are written once; a node keeps its first level, so
+    work grows with the edges met and not with the paths. Rounds stop when none finds a new node or, where most_seen
+    is given, when that many are known.
+    """
+    edges = written(relations.filter(F.col("predicate").isin(predicates)).select("subject", "object").distinct(), "edges")
+    seen = frontier = relations.sparkSession.createDataFrame([(start, 0)], "id string, level int")
     for level in range(1, levels + 1):
-        frontier = frontier.join(edges, F.col("id") == F.col("subject")).select(F.col("object").alias("id")).distinct()
-        rounds.append(frontier.withColumn("level", F.lit(level)))
-    return reduce(DataFrame.unionByName, rounds).filter(F.col("id") != start).groupBy("id").agg(F.min("level").alias("level"))
+        step = frontier.join(edges, F.col("id") == F.col("subject")).select(F.col("object").alias("id")).distinct()
+        frontier = written(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)), "frontier")
+        seen = seen.unionByName(frontier)
+        if frontier.isEmpty() or (most_seen and seen.count() >= most_seen):
+            break
+    return seen.filter("level > 0")
+
+
+reachable_levels = reachable
 
 
 def fixpoint_members(bases: DataFrame, seeds: list[str]) -> DataFrame:
