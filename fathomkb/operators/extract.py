@@ -221,6 +221,116 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, SYMBOLS)
 
 
+def _keyword(call: ast.Call, name: str) -> ast.AST | None:
+    return next((k.value for k in call.keywords if k.arg == name), None)
+
+
+def _methods(call: ast.Call) -> list[str]:
+    """The HTTP methods that a route names; GET without any."""
+    given = _keyword(call, "methods")
+    return [m.upper() for m in map(_text, given.elts) if m] if isinstance(given, (ast.List, ast.Tuple)) else ["GET"]
+
+
+def _slashed(*parts: str | None) -> str:
+    return "".join("/" + p.strip("/") for p in parts if p and p.strip("/")) or "/"
+
+
+def _module_entry_points(module: str, tree: ast.Module) -> Iterator[tuple[str, str, str, str | None]]:
+    """(kind, verb, name, handler) of a module's routes, url patterns, commands, tasks and script."""
+    calls = [x for x in ast.walk(tree) if isinstance(x, ast.Call)]
+    made = {t.id: x.value for x in ast.walk(tree) if isinstance(x, ast.Assign) and isinstance(x.value, ast.Call) for t in x.targets if isinstance(t, ast.Name)}
+    prefix = {v: _text(_keyword(c, "url_prefix")) for v, c in made.items() if (_dotted(c) or "").rpartition(".")[2] == "Blueprint"}
+    for c in calls:  # the prefix given at registration wins
+        if (_dotted(c) or "").endswith(".register_blueprint") and c.args and isinstance(c.args[0], ast.Name) and (given := _text(_keyword(c, "url_prefix"))):
+            prefix[c.args[0].id] = given
+    for f in ast.walk(tree):
+        for d in getattr(f, "decorator_list", ()) if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) else ():
+            owner, _, last = (_dotted(d) or "").rpartition(".")
+            call = d if isinstance(d, ast.Call) else None
+            first = _text(call.args[0]) if call and call.args else None
+            if last == "route" and owner and call:
+                yield from (("http", verb, _slashed(prefix.get(owner), first), f.name) for verb in _methods(call))
+            elif last in ("command", "group") and owner:
+                yield "cli", "", first or (_text(_keyword(call, "name")) if call else None) or f.name.replace("_", "-"), f.name
+            elif last == "shared_task" or (last == "task" and owner):
+                yield "task", "", (_text(_keyword(call, "name")) if call else None) or f"{module}.{f.name}", f.name
+    handlers = {c.func.value.id: _dotted(_keyword(c, "func")) for c in calls if isinstance(c.func, ast.Attribute) and c.func.attr == "set_defaults" and isinstance(c.func.value, ast.Name) and _keyword(c, "func")}
+    parsers = {id(c): v for v, c in made.items()}
+    for c in calls:
+        owner, _, last = (_dotted(c.func) or "").rpartition(".")
+        first = _text(c.args[0]) if c.args else None
+        if last == "add_url_rule" and owner:
+            view = _keyword(c, "view_func") or (c.args[2] if len(c.args) > 2 else None)
+            yield from (("http", verb, _slashed(prefix.get(owner), first), _dotted(view) if view else None) for verb in _methods(c))
+        elif last in ("path", "re_path", "url") and first is not None and len(c.args) > 1:
+            yield "http", "ANY", first, _dotted(c.args[1])
+        elif last == "add_parser" and owner and first:
+            yield "cli", "", first, handlers.get(parsers.get(id(c), ""))
+    guard = any(isinstance(x, ast.If) and "__name__" in ast.unparse(x.test) and "__main__" in ast.unparse(x.test) for x in tree.body)
+    main = any(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and x.name == "main" for x in tree.body)
+    if guard or main:
+        yield "script", "", module, "main" if main else None
+
+
+def _parsed_modules(pdf: pd.DataFrame) -> Iterator[tuple[str, str, ast.Module]]:
+    for path, text in zip(pdf["path"], pdf["text"]):
+        try:
+            yield path, path.removesuffix(".py").replace("/", ".").removesuffix(".__init__"), ast.parse(text or "")
+        except (SyntaxError, ValueError):
+            continue  # python_symbols reports it
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """files (path, text) of Python -> path, kind (http, cli, task, script), verb, name, handler.
+
+    Routes by decorator (one row a method; GET by default) and by add_url_rule, with the prefix of their blueprint, which the
+    one given at registration overrides; url patterns (ANY); commands and groups; sub-parsers with the function that
+    set_defaults names; tasks (named module.function by default); a script where there is a main or a main guard.
+    Files that don't parse give no rows.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(p, *e) for p, m, t in _parsed_modules(pdf) for e in _module_entry_points(m, t)], columns=["path", "kind", "verb", "name", "handler"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, kind string, verb string, name string, handler string")
+
+
+COLUMN_CALLS = ("Column", "mapped_column", "relationship")
+
+
+def _class_fields(c: ast.ClassDef) -> Iterator[tuple[str, str, str | None]]:
+    """(field, how, type): columns and relations by the first argument's type, annotated fields by their annotation."""
+    for n in c.body:
+        target = n.targets[0] if isinstance(n, ast.Assign) and len(n.targets) == 1 else n.target if isinstance(n, ast.AnnAssign) else None
+        if not isinstance(target, ast.Name) or target.id == "__tablename__":
+            continue
+        last = (_dotted(n.value.func) or "").rpartition(".")[2] if isinstance(n.value, ast.Call) else ""
+        if last in COLUMN_CALLS:
+            first = n.value.args[0] if n.value.args else None
+            yield target.id, last, (_text(first) or _dotted(first)) if first is not None else None
+        elif isinstance(n, ast.AnnAssign):
+            yield target.id, "annotated", ast.unparse(n.annotation)
+
+
+def data_models(files: DataFrame) -> DataFrame:
+    """files (path, text) of Python -> path, name, bases and decorators (last segments), table_name, fields (name, how, type) of module-level classes."""
+
+    def rows_of(pdf: pd.DataFrame) -> Iterator[tuple]:
+        short = lambda nodes: [x.rpartition(".")[2] for x in map(_dotted, nodes) if x]
+        for path, _, tree in _parsed_modules(pdf):
+            for c in tree.body:
+                if isinstance(c, ast.ClassDef):
+                    table = next((_text(n.value) for n in c.body if isinstance(n, ast.Assign) and isinstance(n.targets[0], ast.Name) and n.targets[0].id == "__tablename__"), None)
+                    yield path, c.name, short(c.bases), short(c.decorator_list), table, [dict(zip(("name", "how", "type"), f)) for f in _class_fields(c)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame(rows_of(pdf), columns=["path", "name", "bases", "decorators", "table_name", "fields"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, name string, bases array<string>, decorators array<string>, table_name string, fields array<struct<name: string, how: string, type: string>>")
+
+
 def excerpts(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """id, excerpt of symbols (id, path, line_start, line_end): the lines of their files from start to end."""
     lines = files.select("path", F.split("text", "\n").alias("lines"))
@@ -242,3 +352,9 @@ def cobol_facts(files: DataFrame) -> DataFrame:
     tagged = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("predicate"), F.upper(x).alias("name")))
     found = F.flatten(F.array(*(tagged(k, p) for k, p in facts)))
     return files.select("path", F.explode(found).alias("f")).select("path", "f.predicate", "f.name").distinct()
+
+
+def all_symbols(python: DataFrame, cobol: DataFrame) -> DataFrame:
+    """The symbols of all parsers as one: language, path, line, kind, name."""
+    a = python.select(F.lit("python").alias("language"), "path", F.col("line_start").alias("line"), "kind", F.col("qualified_name").alias("name"))
+    return a.unionByName(cobol.select(F.lit("cobol").alias("language"), "path", "line", "kind", "name"))

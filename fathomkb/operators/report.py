@@ -67,13 +67,6 @@ def canonical_relations(relations: DataFrame) -> DataFrame:
     return relations.select("id", "subject", "predicate", "object", F.col("relation.resolution_status").alias("status"), F.col("relation.confidence").alias("confidence"), F.col("knowledge_tier").alias("tier"))
 
 
-def review_detail(items: DataFrame, terminal: list[str], actions: list[str]) -> DataFrame:
-    """Items with `mutable` and the allowed actions: a terminal item can't be edited."""
-    closed = F.coalesce(F.col("status").isin(terminal), F.lit(False))
-    every = F.array(*map(F.lit, actions))
-    return items.select("id", "status", (~closed).alias("mutable"), F.when(closed, F.array_except(every, F.array(F.lit("edited")))).otherwise(every).alias("actions"))
-
-
 def citations(rows: DataFrame, evidence: str, items: DataFrame) -> DataFrame:
     """rows with the item that their evidence id stands for, one "evidence-" taken off its front: cited, id, source_text."""
     cited = rows.select(F.col(evidence).alias("cited"), F.regexp_replace(evidence, "^evidence-", "").alias("id"))

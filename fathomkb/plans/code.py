@@ -171,6 +171,67 @@ def u7_artifacts(spark, d):
     return modules.unionByName(parsed.filter("kind <> 'module'").select(F.col("qualified_name").alias("id"), F.col("kind").alias("type")))
 
 
+WEB = """from flask import Blueprint, Flask
+bp = Blueprint('b§', __name__, url_prefix='/b§')
+app = Flask(__name__)
+@bp.route('/x/§', methods=['GET', 'POST'])
+def view_§():
+    pass
+@app.route('/home')
+def home():
+    pass
+app.add_url_rule('/rule§', view_func=home)
+app.register_blueprint(bp, url_prefix='/api§')
+@click.command()
+def do_it():
+    pass
+@shared_task
+def job_§():
+    pass
+@celery.task(name='named.§')
+def other():
+    pass
+sub = parser.add_subparsers()
+p = sub.add_parser('run§')
+p.set_defaults(func=do_it)
+urlpatterns = [path('d/§/', views.detail)]
+@dataclass
+class Item§(models.Base, Mixin):
+    __tablename__ = 'items_§'
+    id = Column(Integer, primary_key=True)
+    owner = relationship('User')
+    name: str = mapped_column(String)
+    note: Optional[str] = None
+    plain = 3
+def main():
+    pass
+"""
+
+
+def _web_files(spark, d):
+    text = F.replace(F.lit(WEB), F.lit("§"), F.col("s_suppkey").cast("string"))
+    return v.read(spark, d, "supplier").select(F.concat(F.lit("web/s"), "s_suppkey", F.lit(".py")).alias("path"), text.alias("text"))
+
+
+@query(
+    """SELECT 'web/s' || k || '.py' AS path, kind, verb, replace(name, '@', CAST(k AS VARCHAR)) AS name, replace(handler, '@', CAST(k AS VARCHAR)) AS handler FROM (SELECT s_suppkey AS k FROM supplier),
+       (VALUES ('http', 'GET', '/api@/x/@', 'view_@'), ('http', 'POST', '/api@/x/@', 'view_@'), ('http', 'GET', '/home', 'home'), ('http', 'GET', '/rule@', 'home'), ('http', 'ANY', 'd/@/', 'views.detail'), ('cli', '', 'do-it', 'do_it'),
+               ('cli', '', 'run@', 'do_it'), ('task', '', 'web.s@.job_@', 'job_@'), ('task', '', 'named.@', 'other'), ('script', '', 'web.s@', 'main')) e(kind, verb, name, handler)"""
+)
+def x7_entry_points(spark, d):
+    return E.entry_points(_web_files(spark, d))
+
+
+@query(
+    """SELECT 'web/s' || s_suppkey || '.py' AS path, 'Item' || s_suppkey AS name, 'Base,Mixin' AS bases, 'dataclass' AS decorators, 'items_' || s_suppkey AS table_name,
+       'id:Column:Integer,owner:relationship:User,name:mapped_column:String,note:annotated:Optional[str]' AS fields FROM supplier"""
+)
+def x8_data_models(spark, d):
+    m = E.data_models(_web_files(spark, d))
+    field = F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["how"], f["type"]))
+    return m.select("path", "name", F.array_join("bases", ",").alias("bases"), F.array_join("decorators", ",").alias("decorators"), "table_name", F.array_join(field, ",").alias("fields"))
+
+
 # COBOL sources that Spark writes from suppliers
 
 COBOL = """000100 IDENTIFICATION DIVISION.\\n000200 PROGRAM-ID. SUP-@.\\n000300* COPY NOT-THIS.\\nDATA DIVISION.\\nFD FILE-@.\\n01 REC-@.\\n   05 ITEM-@ PIC X.\\nCOPY BOOK-@.\\nPROCEDURE DIVISION.\\nMAIN SECTION.\\nPARA-@.\\n    PERFORM STEP-@.\\n    CALL 'SUP-#'.\\n    READ FILE-@.\\n    WRITE REC-@.\\n    GO TO PARA-@.\\n"""
@@ -197,6 +258,16 @@ def x10_cobol_facts(spark, d):
     return E.cobol_facts(_cobol(spark, d))
 
 
+@query(
+    f"""WITH {FILES} SELECT 'python' AS language, kind, count(*) AS n FROM (SELECT 'class' AS kind FROM f UNION ALL SELECT 'method' FROM me UNION ALL SELECT 'test' FROM f UNION ALL SELECT 'module' FROM f) GROUP BY 2
+       UNION ALL SELECT 'cobol', kind, (SELECT count(*) FROM supplier) FROM (VALUES ('program'), ('file'), ('record'), ('data_item'), ('copy'), ('section'), ('paragraph')) k(kind)""",
+    "code_symbols",
+)
+def u1_parser_outputs(spark, d):
+    rows = E.all_symbols(python=E.python_symbols(_files(spark, d)), cobol=E.cobol_symbols(_cobol(spark, d)))
+    return rows.groupBy("language", "kind").agg(F.count("*").alias("n"))
+
+
 # endpoints, layers, headings, coverage
 
 ENDPOINTS = """raw AS (SELECT o_orderkey AS seq, 'app.m' || o_custkey % 20 AS module, 'r' || o_custkey % 3 AS var, CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, CASE WHEN o_orderkey % 5 > 0 THEN '/x' || o_custkey % 7 END AS route, 'symbol-part-' || o_custkey * 3 AS handler FROM orders),

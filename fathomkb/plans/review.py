@@ -358,3 +358,61 @@ def c17_fingerprints(spark, d):
 def c20_claim_kinds(spark, d):
     c = v.claims(spark, d)
     return c.select("id", fn.claim_kind(F.expr("if(tier = 2, concat('k', tier), '')"), F.col("review_status")).alias("kind"), fn.claim_module(F.expr("if(seq % 2 = 0, 'pkg.mod.f', 'plain')"), F.expr("if(seq % 3 = 0, '', 'f.py')")).alias("module"))
+
+
+@query("""SELECT id, subject, predicate, object, status, confidence FROM (SELECT DISTINCT id, subject, predicate, object, status, confidence FROM v_relations WHERE status <> 'exact') ORDER BY predicate, subject, object, status LIMIT 100""", "relations")
+def a16_open_relations(spark, d):
+    r = v.relations(spark, d).filter("status <> 'exact'").select("id", "subject", "predicate", "object", "status", "confidence").distinct()
+    return r.orderBy("predicate", "subject", "object", "status").limit(100)
+
+
+@query("""SELECT coalesce(nullif(lifecycle_status, ''), 'active') AS lifecycle_status, count(*) AS n, count(DISTINCT source_id) AS sources FROM v_claims GROUP BY 1""", "claims")
+def a11_lifecycle_counts(spark, d):
+    return v.claims(spark, d).groupBy(fn.nonempty(F.col("lifecycle_status"), "active").alias("lifecycle_status")).agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))
+
+
+@query(
+    """SELECT 'sources' AS name, count(*) AS n FROM v_sources UNION ALL SELECT 'modules', count(DISTINCT module) FROM v_symbols UNION ALL SELECT 'symbols', count(*) FROM v_symbols UNION ALL SELECT 'evidence', count(DISTINCT evidence) FROM v_relations
+       UNION ALL SELECT 'relations', count(*) FROM v_relations UNION ALL SELECT 'claims', count(*) FROM v_claims UNION ALL SELECT 'reviews', count(*) FROM v_review_events UNION ALL SELECT 'language:' || language, count(*) FROM v_sources GROUP BY 1""",
+    "sources symbols relations claims review_events",
+)
+def a1_repository_counts(spark, d):
+    sources, symbols, relations = v.sources(spark, d), v.symbols(spark, d), v.relations(spark, d)
+    counts = P.describe(sources=sources, modules=symbols.select("module").distinct(), symbols=symbols, evidence=relations.select("evidence").distinct(), relations=relations, claims=v.claims(spark, d), reviews=v.review_events(spark, d))
+    return counts.unionByName(sources.groupBy(F.concat(F.lit("language:"), "language").alias("name")).agg(F.count("*").alias("n")))
+
+
+@query(
+    """WITH c AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'anchored' WHEN 1 THEN 'unanchored' END AS anchor FROM v_claims WHERE coalesce(nullif(lifecycle_status, ''), 'active') = 'active')
+       SELECT coalesce(anchor, 'unknown') AS pool, tier, count(*) AS claims FROM c GROUP BY 1, 2""",
+    "claims",
+)
+def f11_anchor_pools(spark, d):
+    c = v.claims(spark, d).filter(P.active()).withColumn("anchor", F.expr("case seq % 3 when 0 then 'anchored' when 1 then 'unanchored' end"))
+    return c.groupBy(fn.nonempty(F.col("anchor"), "unknown").alias("pool"), "tier").agg(F.count("*").alias("claims"))
+
+
+@query("""SELECT id, path FROM v_sources WHERE contains(lower(path), 'src1') OR contains(lower(id), 'src1')""", "sources")
+def f12_source_facets(spark, d):
+    from fathomkb.operators import search as S
+
+    return S.facet(v.sources(spark, d), ["path", "id"], "SRC1").select("id", "path")
+
+
+@query("""SELECT seq, subject, object FROM v_relations WHERE contains(lower(object), 'part-11') AND predicate = 'calls' AND status = 'inferred'""", "relations")
+def f12_relation_facets(spark, d):
+    from fathomkb.operators import search as S
+
+    return S.facet(v.relations(spark, d), ["object"], "Part-11", predicate="calls", status="inferred").select("seq", "subject", "object")
+
+
+@query(
+    """SELECT 'error' AS level, 'unknown_order' AS rule, 'l' || l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+       UNION ALL SELECT 'error', 'unknown_supplier', 'l' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+       UNION ALL SELECT 'warning', 'unknown_part', 'l' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2)"""
+)
+def j19_missing_references(spark, d):
+    rows = v.read(spark, d, "lineitem").selectExpr("concat('l', l_orderkey, '-', l_linenumber) id", "l_orderkey", "l_suppkey", "l_partkey")
+    keys = [("l_orderkey", v.read(spark, d, "orders").filter("o_orderstatus <> 'P'"), "o_orderkey", "unknown_order", "error"), ("l_suppkey", v.read(spark, d, "supplier").filter("s_acctbal > 0"), "s_suppkey", "unknown_supplier", "error"), ("l_partkey", v.read(spark, d, "part").filter("p_size > 2"), "p_partkey", "unknown_part", "warning")]
+    found = [V.missing(rows, *k) for k in keys]
+    return found[0].unionByName(found[1]).unionByName(found[2])
