@@ -67,6 +67,19 @@ def retire_source(items: DataFrame, source_id: str) -> DataFrame:
     return items.withColumn("lifecycle_status", F.when(hit, "retired").otherwise(F.col("lifecycle_status")))
 
 
+def retire_versions(versions: DataFrame, source_id: str) -> DataFrame:
+    """Versions (source_id, version, status) with the source's active ones retired; others, and a source retired before, stay."""
+    hit = (F.col("source_id") == source_id) & (nonempty(F.col("status"), "active") == "active")
+    return versions.withColumn("status", F.when(hit, "retired").otherwise(F.col("status")))
+
+
+def retirement_event(versions: DataFrame, items: DataFrame, source_id: str) -> DataFrame:
+    """The event of a retirement: source_id, versions and items that it retires; no row where there is nothing left to retire."""
+    of = lambda df, status: df.agg(F.count_if((F.col("source_id") == source_id) & (nonempty(F.col(status), "active") == "active")).alias("n"))
+    both = of(versions, "status").withColumnRenamed("n", "versions").join(F.broadcast(of(items, "lifecycle_status").withColumnRenamed("n", "items")))  # one row each
+    return both.filter("versions + items > 0").select(F.lit(source_id).alias("source_id"), "versions", "items")
+
+
 TERMINAL = ("approved", "rejected")
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomkb.functions.scalars import slugify
 from fathomkb.sources.shared import written
 
 from . import claims as C
 from . import relations as R
 from . import search as S
+from .extract import decision_rules
 
 
 def _ranked(rows: DataFrame, part: str, order: list, most: int) -> DataFrame:
@@ -62,3 +64,24 @@ def scenario_context(items: DataFrame, scenario: str, terms: list[str], limit: i
     best = marked.agg(F.min("stage").alias("best"))  # one row
     chosen = marked.crossJoin(F.broadcast(best)).filter("stage = best")
     return _ranked(chosen.withColumn("s", F.coalesce("score", F.lit(0.0))), "item", [F.desc("s"), "seq"], limit)
+
+
+def context_details(chosen: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:
+    """chosen (id) with what an agent reads of each item: id, concept_id, rule (a row each), source_title, source_text.
+
+    sources (source_id, title, seq): the last of equal ids counts, a missing one gives a null title.
+    """
+    rows = items.join(chosen.select("id").distinct(), "id", "left_semi")
+    rules = decision_rules(rows)
+    rows = C.enrich(rows, sources.withColumnRenamed("title", "source_title"), "source_id", ["source_title"], "seq")
+    return rows.join(rules, "id").select("id", F.concat(F.lit("concept-"), slugify(F.col("subject"))).alias("concept_id"), "rule", "source_title", "source_text")
+
+
+def harness_summary(context: DataFrame, relations: DataFrame, evidence_shown: int = 5) -> DataFrame:
+    """Of a code context (part, rank, id): its counts, its first symbol, how many of the relations shown are exact, and the first evidence ids: name, value."""
+    counts = context.filter("part = 'count'").select(F.col("id").alias("name"), F.col("rank").cast("string").alias("value"))
+    first = context.filter("part = 'symbol' and rank = 1").select(F.lit("first_symbol").alias("name"), F.col("id").alias("value"))
+    shown = relations.join(F.broadcast(context.filter("part = 'relation'").select("id")), "id", "left_semi")  # as many as a context shows
+    exact = shown.filter("status = 'exact'").agg(F.count_distinct("id").cast("string").alias("value")).select(F.lit("exact_shown").alias("name"), "value")
+    evidence = shown.agg(F.array_join(F.slice(F.array_sort(F.collect_set("evidence")), 1, evidence_shown), ",").alias("value")).select(F.lit("evidence").alias("name"), "value")
+    return reduce(DataFrame.unionByName, [counts, first, exact, evidence])

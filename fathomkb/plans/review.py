@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomkb.functions import scalars as fn
+from fathomkb.operators import claims as C
+from fathomkb.operators import context as X
 from fathomkb.operators import report as P
 from fathomkb.operators import validate as V
 from fathomkb.plans.registry import query
@@ -416,3 +418,52 @@ def j19_missing_references(spark, d):
     keys = [("l_orderkey", v.read(spark, d, "orders").filter("o_orderstatus <> 'P'"), "o_orderkey", "unknown_order", "error"), ("l_suppkey", v.read(spark, d, "supplier").filter("s_acctbal > 0"), "s_suppkey", "unknown_supplier", "error"), ("l_partkey", v.read(spark, d, "part").filter("p_size > 2"), "p_partkey", "unknown_part", "warning")]
     found = [V.missing(rows, *k) for k in keys]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    """WITH i AS (SELECT * FROM v_items WHERE contains(lower(concat_ws(' ', subject, predicate, object, source_text)), 'that') AND coalesce(status, '') <> 'rejected'),
+       t AS (SELECT source_id, 'Conversation ' || max(conv_id) AS title FROM v_items WHERE conv_id % 5 > 0 GROUP BY 1), x AS (SELECT *, lower(source_text) AS low FROM i),
+       r AS (SELECT id, unnest(CASE WHEN len(found) > 0 THEN found ELSE ['follow_guidance'] END) AS rule FROM (SELECT id, list_filter([CASE WHEN contains(low, 'approv') OR contains(low, 'authori') THEN 'approval_required' END,
+             CASE WHEN contains(low, 'escalat') OR contains(low, 'route') THEN 'escalation' END, CASE WHEN contains(low, 'document') OR contains(low, 'record') THEN 'documentation' END], lambda y: y IS NOT NULL) AS found FROM x))
+       SELECT i.id, 'concept-' || trim(regexp_replace(lower(trim(subject)), '[^a-z0-9]+', '-', 'g'), '-') AS concept_id, rule, title AS source_title, source_text FROM i JOIN r USING (id) LEFT JOIN t USING (source_id)""",
+    "items",
+)
+def q2_agent_context_details(spark, d):
+    i = v.items(spark, d)
+    chosen = X.agent_context(i, ["that"]).filter("not excluded")
+    titles = i.filter("conv_id % 5 > 0").select("source_id", F.concat(F.lit("Conversation "), "conv_id").alias("title"), "seq")
+    return X.context_details(chosen, i, titles)
+
+
+@query("""SELECT source_id, version, CASE WHEN source_id = 's7' AND status IN ('', 'active') THEN 'retired' ELSE status END AS status FROM (SELECT 's' || o_custkey AS source_id, o_orderkey AS version, CASE o_orderstatus WHEN 'F' THEN '' WHEN 'O' THEN 'active' ELSE 'superseded' END AS status FROM orders)""")
+def m3_retired_versions(spark, d):
+    return C.retire_versions(_versions(spark, d), "s7")
+
+
+def _versions(spark, d):
+    return v.read(spark, d, "orders").selectExpr("concat('s', o_custkey) source_id", "o_orderkey version", "case o_orderstatus when 'F' then '' when 'O' then 'active' else 'superseded' end status")
+
+
+@query(
+    """WITH n AS (SELECT (SELECT count(*) FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('F', 'O')) AS versions, (SELECT count(*) FROM v_claims WHERE source_id = 'source-7' AND coalesce(nullif(lifecycle_status, ''), 'active') = 'active') AS items)
+       SELECT 's7' AS source_id, versions, items FROM n WHERE versions + items > 0""",
+    "claims",
+)
+def m3_retirement_event(spark, d):
+    claims = v.claims(spark, d).withColumn("source_id", F.regexp_replace("source_id", "^source-", "s"))
+    return C.retirement_event(_versions(spark, d), claims, "s7")
+
+
+@query(
+    """WITH t AS (SELECT id FROM v_symbols WHERE kind = 'class' ORDER BY id LIMIT 3), e AS (SELECT r.* FROM v_relations r WHERE object IN (SELECT id FROM t)), s AS (SELECT DISTINCT id FROM e ORDER BY id LIMIT 10)
+       SELECT 'relations' AS name, CAST(count(DISTINCT id) AS VARCHAR) AS value FROM e UNION ALL SELECT 'first_symbol', min(id) FROM t UNION ALL SELECT 'exact_shown', CAST(count(DISTINCT id) AS VARCHAR) FROM e WHERE status = 'exact' AND id IN (SELECT id FROM s)
+       UNION ALL SELECT 'evidence', coalesce(array_to_string(list_sort(list(DISTINCT evidence))[1:5], ','), '') FROM e WHERE id IN (SELECT id FROM s)""",
+    "symbols relations",
+)
+def q8_harness_summary(spark, d):
+    top = v.symbols(spark, d).filter("kind = 'class'").select("id").orderBy("id").limit(3)
+    r = v.relations(spark, d)
+    edges = r.join(F.broadcast(top.select(F.col("id").alias("object"))), "object", "left_semi").select("id").distinct()
+    row = lambda part, rank, i: F.struct(F.lit(part).alias("part"), rank.cast("int").alias("rank"), i.alias("id"))
+    context = top.agg(F.min("id").alias("id")).select(row("symbol", F.lit(1), F.col("id")).alias("r")).unionByName(edges.orderBy("id").limit(10).select(row("relation", F.lit(0), F.col("id")).alias("r"))).unionByName(edges.agg(F.count("*").alias("n")).select(row("count", F.col("n"), F.lit("relations")).alias("r")))
+    return X.harness_summary(context.select("r.*"), r)
