@@ -90,6 +90,14 @@ TEMPLATES: list[Template] = [
 TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Segments end at line ends and sentence ends, and have at most this many tokens; a title is looked for in the first few.
 SEGMENT, TITLE_SEGMENTS = 32, 8
+#: Words so frequent in ordinary text that they make poor keys.
+COMMON = frozenset(
+    "a an and any are as at be but by can do for from has have in into is it its may more must name no not of on one or other see so such than that the "
+    "this to used was way were which will with you your der die das den mit und von le la les de des du en et un une que el los las con para por es".split()
+)
+#: A window is compared with templates of at least this part of its length: words in none of them weigh most, so a cosine
+#: of 0.75 to a shorter one is out of reach for a window of different words.
+LONGER = 2.0
 BREAK = re.compile(r"[\r\n]+|(?<=[.;!?])\s+")
 THRESHOLD = 0.75
 
@@ -117,12 +125,13 @@ class Index:
             # a cosine is at most the root of the squared weights of the words shared, so a window without any of
             # these cannot reach the threshold: the rarest words until the rest is too light
             rest = 1.0
-            for t in sorted(raw, key=lambda t: (df[t], -len(t), t)):
+            for t in sorted(raw, key=lambda t: (t in COMMON, df[t], -len(t), t)):
                 if rest < threshold**2 - 1e-9:
                     break
                 self.keys.add(t)
                 rest -= (raw[t] / size) ** 2
-        self.longest = int(1.6 * max(sum(bag.values()) for bag in bags))
+        self.squared = {t: w * w for t, w in self.weights.items()}
+        self.limits = np.array([LONGER * sum(bag.values()) for bag in bags])
 
     def whole(self, tokens: list[str]) -> np.ndarray:
         """The cosine of a bag of tokens to each template."""
@@ -134,21 +143,27 @@ class Index:
                 dot += w * self.weights[t]
         return dot / math.sqrt(norm) if norm else dot
 
-    def windows(self, segments: list[list[str]]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first, last, cosines) of the windows of consecutive segments that hold a key word and are short enough."""
+    def within_reach(self, words: set[str]) -> np.ndarray:
+        """The templates whose squared weights over these words could give the threshold."""
+        mass = sum((self.squared[t] for t in words if t in self.squared), np.zeros(len(self.templates)))
+        return mass >= self.threshold**2 - 1e-9
+
+    def windows(self, segments: list[list[str]], among: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, cosines) of the windows of consecutive segments that hold a key word and are short enough for one of the templates."""
+        longest = self.limits[among].max()
         hot = [any(t in self.keys for t in s) for s in segments]
-        ahead, reach = len(segments), [0] * len(segments)  # tokens before the next hot segment
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in segments])])  # tokens before each segment
+        following, ahead = [len(segments)] * len(segments), len(segments)
         for i in range(len(segments) - 1, -1, -1):
-            ahead = i if hot[i] else ahead
-            reach[i] = ahead
+            ahead = following[i] = i if hot[i] else ahead
         for i in range(len(segments)):
-            if reach[i] == len(segments) or sum(map(len, segments[i : min(reach[i], i + self.longest)])) > self.longest:
+            if following[i] == len(segments) or starts[following[i] + 1] - starts[i] > longest and following[i] > i:
                 continue
             count: Counter[str] = Counter()
             dot, norm, size = np.zeros(len(self.templates)), 0.0, 0
             for j in range(i, len(segments)):
                 size += len(segments[j])
-                if size > self.longest and j > i:
+                if size > longest:
                     break
                 for t in segments[j]:
                     idf, n = self.idf.get(t, self.other), count[t]
@@ -157,8 +172,8 @@ class Index:
                     norm += new * new - old * old
                     if t in self.weights:
                         dot += (new - old) * self.weights[t]
-                if j >= reach[i] and norm:
-                    yield i, j, dot / math.sqrt(norm)
+                if j >= following[i] and norm:
+                    yield i, j, np.where(among & (size <= self.limits), dot, 0) / math.sqrt(norm)
 
     def judge(self, text: str | None) -> tuple[str | None, str | None, float | None]:
         """(licence, how, score) of a text: file, header or nothing."""
@@ -166,13 +181,16 @@ class Index:
         tokens = TOKEN.findall(low)
         if self.keys.isdisjoint(tokens):
             return None, None, None
+        among = self.within_reach(set(tokens))
+        if not among.any():
+            return None, None, None
         whole = np.round(self.whole(tokens), 9)
         if whole.max() >= self.threshold:
             return self.templates[int(whole.argmax())][0], "file", float(whole.max())
         segments = segments_of(low)
         title, header = (0.0, None), (0.0, None)
         titles = np.array([kind == "title" for _, kind, _ in self.templates])
-        for i, _, cosine in self.windows(segments):
+        for i, _, cosine in self.windows(segments, among):
             cosine = np.round(cosine, 9)
             if i < TITLE_SEGMENTS and (best := np.where(titles, cosine, 0)).max() > title[0]:
                 title = float(best.max()), int(best.argmax())
@@ -221,7 +239,7 @@ def scan(docs: DataFrame, path: str = "concat_ws('/', source, lang, doc_id)", th
     the best window counts, of equal ones the first, of equal templates the first. With neither a text takes the
     licence of the nearest ancestor directory that has a licence file (of several there, the most frequent, then the
     first by name). Windows that hold none of the words without which the threshold is out of reach are skipped, which
-    loses nothing; windows are at most 1.6 times as long as the longest template.
+    loses nothing; a window is compared with templates of at least half its length.
 
     Null or empty texts have no licence of their own and may inherit; a null path counts as the root; null ids and
     repeated rows stay; an empty table gives no rows; other columns are ignored.

@@ -372,9 +372,10 @@ def slow_judge(text):
     score, at = best(cosine(Counter(licenses.TOKEN.findall(text.lower()))))
     if score >= 0.75:
         return licenses.TEMPLATES[-at][0], "file", score
-    segs, longest = licenses.segments_of(text.lower()), int(1.6 * max(sum(b.values()) for b in bags))
-    spans = [(i, j) for i in range(len(segs)) for j in range(i, len(segs)) if j == i or sum(map(len, segs[i : j + 1])) <= longest]
-    cos = {s: cosine(Counter(t for x in segs[s[0] : s[1] + 1] for t in x)) for s in spans}
+    segs, length = licenses.segments_of(text.lower()), [sum(b.values()) for b in bags]
+    size = lambda i, j: sum(map(len, segs[i : j + 1]))
+    spans = [(i, j) for i in range(len(segs)) for j in range(i, len(segs)) if size(i, j) <= 2 * max(length)]
+    cos = {s: [c if size(*s) <= 2 * n else 0 for c, n in zip(cosine(Counter(t for x in segs[s[0] : s[1] + 1] for t in x)), length)] for s in spans}
     titles = [k == "title" for _, k, _ in licenses.TEMPLATES]
     for how, some in (("file", [[c if t else 0 for c, t in zip(cos[s], titles)] for s in spans if s[0] < licenses.TITLE_SEGMENTS]), ("header", list(cos.values()))):
         if some and (top := max(round(max(c), 9) for c in some)) >= 0.75:
