@@ -9,6 +9,7 @@ from fathomkb.operators import extract as E
 from fathomkb.operators import resolve as N
 from fathomkb.plans.registry import query
 from fathomkb.sources import views as v
+from fathomkb.sources.shared import written
 
 HEAD = "CASE WHEN contains({x}, '.') THEN regexp_replace({x}, '\\.[^.]*$', '') ELSE {x} END"
 LAST = "string_split({x}, '.')[-1]"
@@ -104,7 +105,8 @@ def _files(spark, d):
 
 
 def _parsed(spark, d):
-    return E.python_symbols(_files(spark, d)).withColumn("id", F.concat(F.lit("symbol-"), "qualified_name"))
+    """Parsed once and written, as name resolution reads it many times."""
+    return written(E.python_symbols(_files(spark, d)).withColumn("id", F.concat(F.lit("symbol-"), "qualified_name")), "parsed")
 
 
 def _named(parsed):
