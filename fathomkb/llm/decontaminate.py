@@ -25,11 +25,17 @@ NUMBERS = frozenset(
     b"two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     b"twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen".split()
 )
-EDGE = bytes(c for c in range(128) if not chr(c).isalnum() and c != 37)
+EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) != "%")
+DIGITS = frozenset("0123456789")
 NUM, UNIT, NAME = (xxhash.xxh3_64_intdigest(x) for x in (b"<num>", b"<unit>", b"<name>"))
 IS_NUM, IS_UNIT, IS_NAME, ENDS = 1, 2, 4, 8
 
 
+def bare(word: bytes) -> str:
+    """A word without ASCII marks at its edges."""
+    return word.decode("utf-8", "surrogatepass").strip(EDGE)
+
+
 class _Words(dict):
     """word -> its number; arrays give, by number, the hash of the lower-cased word and its marks."""
 
@@ -42,10 +48,10 @@ class _Words(dict):
         self.n, self.plain, self.mark = 0, np.empty(1024, np.uint64), np.empty(1024, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
-        core, n = word.strip(EDGE), self.n
-        low = core.lower()
+        core, n = bare(word), self.n
+        low = core.lower().encode("utf-8", "surrogatepass")
         mark = ENDS if word[-1:] in b".!?" else 0
-        if core[:1].isdigit() or core[-1:].isdigit() or low in NUMBERS:
+        if core[:1] in DIGITS or core[-1:] in DIGITS or low in NUMBERS:
             mark |= IS_NUM
         else:
             mark |= IS_UNIT if low in UNITS else 0
@@ -95,7 +101,7 @@ class Templates:
     def slot(self, first: np.ndarray, token: int) -> str:
         """The words of a token, lower-cased and without marks at their edges."""
         stop = first[token + 1] if token + 1 < len(first) else len(self.words)
-        return " ".join(w.strip(EDGE).lower().decode("utf-8", "replace") for w in self.words[first[token] : stop])
+        return " ".join(bare(w).lower() for w in self.words[first[token] : stop])
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
