@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, mix64, slices
 
-PASSAGE, SAMPLE, TRAIN_PASSAGES = 64, 4_000, 40_000
+PASSAGE, SAMPLE, TRAIN_PASSAGES = 64, 4_000, 20_000
 BUCKETS = 256  # of words, and as many of word pairs
 HIDDEN, GATE, ROUNDS, RATE = 16, 8, 150, 0.03
 PAD = 2 * BUCKETS
@@ -107,20 +107,22 @@ class GatedAttention:
 
     def gradients(self, x: np.ndarray, counts: np.ndarray, start: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy, by back-propagation; counts (passages, PAD): each token's share of its passage."""
-        f, p = self.forward(x, counts @ self.p["E"], start), self.p
+        f, p = self.forward(x, counts @ self.p["E"].astype(counts.dtype), start), self.p
         dy = (f["y"] - label) / len(label)
         dbag = np.repeat(dy[:, None] * p["c"], f["size"], axis=0)
         da = (dbag * f["h"]).sum(1)
         de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, start), f["size"]))
         dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
         dh = (f["a"][:, None] * dbag + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-        return {"W": f["z"].T @ dh, "E": counts.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["bag"].T @ dy, "d": dy.sum(keepdims=True)}
+        return {"W": f["z"].T @ dh, "E": counts.T @ dh.astype(counts.dtype), "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["bag"].T @ dy, "d": dy.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, tokens: np.ndarray, start: np.ndarray, label: np.ndarray) -> GatedAttention:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        counts = np.zeros((len(x), PAD + 1), np.float32)
-        np.add.at(counts, (np.arange(len(x))[:, None], tokens), 1)
-        counts = counts[:, :PAD] / np.maximum(counts[:, :PAD].sum(1, keepdims=True), 1)
+        counts = np.zeros((len(x), PAD), np.float32)
+        for k in range(0, len(x), 1_000):  # a slice at a time, as the driver's memory is small
+            part = tokens[k : k + 1_000]
+            n = np.bincount((np.arange(len(part))[:, None] * (PAD + 1) + part).ravel(), minlength=len(part) * (PAD + 1)).reshape(len(part), PAD + 1)[:, :PAD]
+            counts[k : k + 1_000] = n / np.maximum(n.sum(1, keepdims=True), 1)
         m, v = ({k: np.zeros_like(q) for k, q in self.p.items()} for _ in range(2))
         for step in range(1, ROUNDS + 1):
             for k, q in self.gradients(x, counts, start, label).items():
