@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from fathomkb.sources.shared import remove, scratch
 from fathomkb.sources.shared import written as cut
+from fathomkb.sources.spread import hot_keys, join_spread
 
 __all__ = ["BROADCAST_ROWS", "MASK32", "Scratch", "broadcast_if_small", "cut", "hot_keys", "join_spread", "mix64", "packed", "scratch", "slices"]
 
 MASK32 = np.uint64(0xFFFFFFFF)
-#: Rows that a broadcast table may have, and rows of one key that one task may get.
-BROADCAST_ROWS, BLOCK = 200_000, 10_000
+#: Rows that a broadcast table may have.
+BROADCAST_ROWS = 200_000
 
 
 class Scratch:
@@ -46,23 +47,6 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_merge")
 
 
-def hot_keys(counts: DataFrame, key: str, count: str, block: int = BLOCK, most: int = 100_000) -> DataFrame:
-    """key, pieces: the `most` largest of the keys with more than `block` rows, and into how many parts each is split.
-
-    At most `most` rows, so it may be broadcast: a key beyond them has fewer than a `most`-th part of all rows.
-    """
-    return counts.filter(F.col(count) > block).orderBy(F.desc(count), key).limit(most).select(key, F.ceil(F.col(count) / block).cast("int").alias("pieces"))
-
-
-def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """left and right joined on key; left's rows of a hot key are dealt over parts by the hash of column `by`, right's copied to each part."""
-    few = F.broadcast(hot.select(F.col(key).alias("_hot"), "pieces"))
-    n = F.coalesce("pieces", F.lit(1))
-    a = left.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_hot", "pieces")
-    b = right.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "pieces")
-    return a.join(b, [key, "_part"], how).drop("_part")
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (shift, multiply, shift)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
