@@ -13,11 +13,13 @@ from fathomkb.sources.spread import running
 from .common import Scratch, broadcast_if_small, cut
 
 #: Words of a block, slots of an output shard, rounds of a permutation; how often a document's words may be taken at most.
-BLOCK, SHARD, ROUNDS, MOST = 32, 8192, 24, 3
+BLOCK, SHARD, ROUNDS, MOST = 64, 8192, 12, 3
 #: Each source's documents are dealt over so many parts by their digest.
 PARTS = 3  # hexadecimal digits
-#: Fixed values of the mixing hash: a prime below 2**31 and multipliers below it, so that products fit a long.
-PRIME, A, B, C = 2147483647, 1103515245, 739671283, 40503
+#: Slots that one task makes, and tasks at most.
+SLOTS, TASKS = 131_072, 20_000
+#: Of the permutations' hash: a prime, 2**31 - 1, and multipliers below it, so that products fit a long.
+PRIME, A, B = 2147483647, 1103515245, 739671283
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,12 +33,6 @@ def _hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _mixed(x: Column, y: Column) -> Column:
-    """A hash below 2**31 of two numbers, by a linear step, a square and a linear step modulo a prime."""
-    z = (x % PRIME * A + F.floor((x - x % PRIME) / PRIME) % PRIME * B + y % PRIME * C) % PRIME
-    return (z * z + z) % PRIME * A % PRIME
-
-
 def permuted(x: Column, n: Column, keys: Column, salt: Column) -> Column:
     """The place of x in a pseudorandom permutation of 0 .. n - 1: swap-or-not rounds, each with a key below n.
 
@@ -46,8 +42,8 @@ def permuted(x: Column, n: Column, keys: Column, salt: Column) -> Column:
 
     def step(at: Column, key: Column) -> Column:
         other = (key + n - at) % n
-        bit = F.shiftright(_mixed(F.greatest(at, other), key + salt), 13) % 2
-        return F.when(bit == 1, other).otherwise(at)
+        mixed = (F.greatest(at, other) % PRIME * A + (key + salt) % PRIME * B) % PRIME
+        return F.when(F.shiftright(mixed, 13) % 2 == 1, other).otherwise(at)
 
     return F.aggregate(keys, x, step)
 
@@ -144,8 +140,9 @@ def draw(sources: DataFrame, steps: Scratch, block: int = BLOCK, shard: int = SH
     drawn = _owners(points, dealt, slots, count).groupBy("shard", "tree", "due").agg(F.count("*").alias("c"))
     earlier = Window.partitionBy("tree").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     drawn = steps.cut(drawn.withColumn("base", F.coalesce(F.sum("c").over(earlier), F.lit(0))), "drawn")
+    tasks = min(TASKS, 1 + slots // SLOTS)  # few rows stand for many slots
     upto = lambda a, b: F.explode(F.when(a < b, F.sequence(a, b - 1)))
-    kept = drawn.select("tree", "shard", upto(F.col("base"), F.least(F.col("base") + F.col("c"), F.col("due"))).alias("k"))
+    kept = drawn.repartition(tasks, "shard", "tree").select("tree", "shard", upto(F.col("base"), F.least(F.col("base") + F.col("c"), F.col("due"))).alias("k"))
 
     # draws beyond a source's due, numbered by source, fall to units that other sources lack
     totals = drawn.groupBy("tree").agg(F.sum("c").alias("got"))
@@ -155,11 +152,12 @@ def draw(sources: DataFrame, steps: Scratch, block: int = BLOCK, shard: int = SH
     lacks, rest = state.agg(F.count_if(F.col("got") < F.col("due")), F.coalesce(F.sum(F.greatest(F.col("due") - F.col("got"), F.lit(0))), F.lit(0))).first()
     freed = drawn.join(over, "tree").select("shard", "start", "due", upto(F.greatest("base", "due"), F.col("base") + F.col("c")).alias("k"))
     turn = permuted(F.col("start") + F.col("k") - F.col("due"), F.lit(max(1, rest)), _round_keys(F.lit("again"), F.lit(rest), rounds, seed), F.lit(0))
-    again = _owners(freed.select("shard", turn.alias("x")), steps.cut(_intervals(short, "lack", rest, lacks), "short"), rest, lacks)
+    turn = freed.select("shard", turn.alias("x"))
+    again = _owners(turn, steps.cut(_intervals(short, "lack", rest, lacks), "short"), rest, lacks)
     again = again.select("tree", "shard", (F.col("got") + F.col("x") - F.col("lo")).alias("k"))
 
     all_ = kept.unionByName(again).join(broadcast_if_small(known), "tree")
-    place = permuted(F.col("k") % F.col("n"), F.col("n"), F.col("keys"), F.floor(F.col("k") / F.col("n")))
+    place = permuted(F.col("k") % F.col("n"), F.col("n"), F.col("keys"), F.expr("k div n"))
     return all_.select("tree", "shard", "k", place.alias("block"))
 
 

@@ -131,16 +131,12 @@ ORACLES["op11_merkle_manifest"] = f"""
         FROM d JOIN subs USING (tree) JOIN e2 USING (rid) JOIN t2 ON t2.n = 1"""
 
 _H60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
-_KEYS = "list_transform(range(0, 24), lambda i: ('0x' || substr(md5('0|' || {name} || '|' || i), 1, 15))::BIGINT % greatest({n}, 1))"
-_MIX = "((({z} * {z} + {z}) % 2147483647) * 1103515245 % 2147483647)"
-_Z = "(({x} % 2147483647 * 1103515245 + {x} // 2147483647 % 2147483647 * 739671283 + {y} % 2147483647 * 40503) % 2147483647)"
-
-
+_KEYS = "list_transform(range(0, 12), lambda i: ('0x' || substr(md5('0|' || {name} || '|' || i), 1, 15))::BIGINT % greatest({n}, 1))"
 def _swap(at: str, n: str, keys: str, salt: str) -> str:
     """Swap-or-not rounds as a list_reduce."""
     other = f"(key + {n} - z) % {n}"
-    mixed = _MIX.format(z=_Z.format(x=f"greatest(z, {other})", y=f"(key + {salt})"))
-    return f"list_reduce(list_prepend({at}, {keys}), lambda z, key: CASE WHEN ({mixed} >> 13) % 2 = 1 THEN {other} ELSE z END)"
+    mixed = f"(greatest(z, {other}) % 2147483647 * 1103515245 + (key + {salt}) % 2147483647 * 739671283) % 2147483647"
+    return f"list_reduce(list_prepend({at}, {keys}), lambda z, key: CASE WHEN (({mixed}) >> 13) % 2 = 1 THEN {other} ELSE z END)"
 
 
 ORACLES["op12_mixing"] = f"""
@@ -154,7 +150,7 @@ ORACLES["op12_mixing"] = f"""
                 count(*) FILTER (weight * share > 3 * source_size), t FROM l, s GROUP BY step, share, seen, t
               HAVING count(*) FILTER (weight * share > 3 * source_size) NOT IN (0, seen) AND sum(CASE WHEN weight * share > 3 * source_size THEN 0 ELSE weight END) > 0),
         g AS (SELECT tree, source_size, CASE WHEN weight * x.share > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * x.share END AS target FROM s, (SELECT arg_max(share, step) AS share FROM l) x),
-        n0 AS (SELECT *, CAST(ceil(source_size / 32) AS BIGINT) AS n FROM g WHERE source_size > 0),
+        n0 AS (SELECT *, CAST(ceil(source_size / 64) AS BIGINT) AS n FROM g WHERE source_size > 0),
         n AS (SELECT *, least(CAST(round(target / source_size * n) AS BIGINT), n * 3) AS due, {_KEYS.format(name="tree", n="n")} AS keys FROM n0),
         i AS (SELECT *, CAST(coalesce(sum(due) OVER (ORDER BY tree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo, CAST(sum(due) OVER () AS BIGINT) AS slots FROM n),
         x AS (SELECT id // 8192 AS shard, {_H60.format("'0|slot|' || id")} % slots AS x FROM (SELECT slots, unnest(range(0, slots)) AS id FROM (SELECT max(slots) AS slots FROM i))),
@@ -169,8 +165,8 @@ ORACLES["op12_mixing"] = f"""
         k2 AS (SELECT tree, got + u - lo AS k FROM ag JOIN sh ON lo <= u AND u < lo + lack),
         q AS (SELECT tree, {_swap("k % n", "n", "keys", "k // n")} AS block FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2) JOIN n USING (tree)),
         z AS (SELECT tree, block, count(*) AS uses FROM q GROUP BY 1, 2),
-        y AS (SELECT rid, CAST(sum(uses * (least(first + size, (block + 1) * 32) - greatest(first, block * 32))) AS BIGINT) AS taken
-              FROM (SELECT *, unnest(range(first // 32, (first + size - 1) // 32 + 1)) AS block FROM f WHERE size > 0) JOIN z USING (tree, block) GROUP BY 1)
+        y AS (SELECT rid, CAST(sum(uses * (least(first + size, (block + 1) * 64) - greatest(first, block * 64))) AS BIGINT) AS taken
+              FROM (SELECT *, unnest(range(first // 64, (first + size - 1) // 64 + 1)) AS block FROM f WHERE size > 0) JOIN z USING (tree, block) GROUP BY 1)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM f JOIN g USING (tree) LEFT JOIN y USING (rid)"""
 
 ORACLES["op13_source_divergence"] = r"""
