@@ -92,15 +92,6 @@ def repeated_lines(docs: DataFrame, group: str, share: float = 0.6, least: int =
     return keys.join(size, "group").filter(F.col("pages") >= share * F.col("total")).select("group", "key", "pages")
 
 
-def signal_claims(symbols: DataFrame, relations: DataFrame) -> DataFrame:
-    """Static claims of symbols, each gated by the predicates that the symbol has: id, symbol_id, kind, tier."""
-    p = relations.groupBy(F.col("subject").alias("id")).agg(F.collect_set("predicate").alias("predicates"))
-    has = lambda name: F.array_contains("predicates", name)
-    claim = lambda kind, tier, when: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier")))
-    rows = symbols.select("id").join(p, "id").withColumn("c", F.explode(F.array_compact(F.array(claim("behaviour", 3, has("calls")), claim("location", 3, has("located_in")), claim("coverage", 3, has("covers") | has("tested_by")), claim("ownership", 4, has("placed_by")))))) 
-    return rows.select(F.concat_ws("-", F.lit("claim"), "id", "c.kind").alias("id"), F.col("id").alias("symbol_id"), "c.kind", "c.tier")
-
-
 #: Keyword rules (rule, words in the text).
 KEYWORD_RULES = [("approval_required", ("approv", "authori")), ("escalation", ("escalat", "route")), ("documentation", ("document", "record"))]
 

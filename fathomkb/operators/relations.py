@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomkb.functions.scalars import nonempty
 from fathomkb.sources.shared import written
+from fathomkb.sources.spread import first_k
 
 
 def relation_view(relations: DataFrame) -> DataFrame:
@@ -124,10 +125,14 @@ def call_clusters(symbols: DataFrame, relations: DataFrame, least: int = 2, pred
 
 
 def impact_ranking(relations: DataFrame, predicates: list[str], limit: int = 200, names: int = 25) -> DataFrame:
-    """Symbols by their number of distinct dependents, ties by id, with the first names of these."""
+    """Symbols by their number of distinct dependents, ties by id, with the first names of these.
+
+    The names of a symbol are its first ones in every task, merged: at most `names` a task are shuffled, none beyond are held.
+    """
     d = relations.filter(F.col("predicate").isin(predicates) & F.col("object").startswith("symbol-")).select("object", "subject").distinct()
     out = d.groupBy("object").agg(F.count("*").alias("dependents")).orderBy(F.desc("dependents"), "object").limit(limit)
-    shown = d.join(F.broadcast(out.select("object")), "object", "left_semi").groupBy("object").agg(F.array_join(F.slice(F.sort_array(F.collect_set("subject")), 1, names), ",").alias("first_names"))
+    few = first_k(d.join(F.broadcast(out.select("object")), "object", "left_semi"), ["object"], ["subject"], names)
+    shown = few.groupBy("object").agg(F.array_join(F.array_sort(F.collect_list("subject")), ",").alias("first_names"))
     return out.join(shown, "object")
 
 

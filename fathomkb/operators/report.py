@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomkb.functions.scalars import nonempty
+from fathomkb.sources.spread import running
 
 #: Terms that mark an operational symbol, what a rule's predicates and kinds are, dispositions of traces.
 OPERATIONAL = ["pipeline", "ingest", "preview", "workflow", "validate", "authorization", "eligibility"]
@@ -111,29 +112,31 @@ def freshness(items: DataFrame, stale_after: Column) -> DataFrame:
 
 
 def version_registry(sources: DataFrame) -> DataFrame:
-    """Sources (id, version_number, status, checksum) migrated to versions: an invalid or non-positive number is 1, an
-    empty status active; the version id is id-vN and also the active one. Ordered by (source, number) in `position`."""
-    number = F.coalesce(F.when(F.col("version_number").try_cast("int") > 0, F.col("version_number").try_cast("int")), F.lit(1))
-    v = sources.select("id", number.alias("version"), nonempty(F.col("status"), "active").alias("status"), "checksum")
-    v = v.withColumn("version_id", F.concat_ws("-v", "id", F.col("version").cast("string"))).withColumn("active_version_id", F.col("version_id"))
-    return v.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("version", "checksum")))
-
+    """Sources migrated to versions: source_id, version, version_id, status, checksum, active_version_id, synthesized, position.
 
-def claim_ordinals(claims: DataFrame) -> DataFrame:
-    """Accepted claims (symbol_id, kind, seq) with their number within symbol and kind: id, ordinal."""
-    n = F.row_number().over(Window.partitionBy("symbol_id", "kind").orderBy("seq"))
-    return claims.filter("accepted").select("id", "symbol_id", "kind", n.alias("ordinal"))
+    sources: id, version_number, version_id, status, checksum, versions (array of structs version_id, version_number, status, checksum). A number that isn't a
+    positive integer is 1; a missing version id is that of source and number; an empty status is active. A source without versions
+    gets one made of itself, which is active whatever the source is; versions that it has stay as they are. Position is from 1
+    within a source, in the order of the array, dealt by ranges, as one source may have most versions. Sources without an id go.
+    """
+    number = F.coalesce(F.when(F.col("version_number").try_cast("int") > 0, F.col("version_number").try_cast("int")), F.lit(1))
+    v = sources.filter(F.coalesce("id", F.lit("")) != "").withColumn("number_", number)
+    v = v.withColumn("own_", F.coalesce(F.nullif("version_id", F.lit("")), F.concat_ws(":v", "id", F.col("number_").cast("string"))))
+    made = F.array(F.struct(F.lit(0).alias("at_"), F.col("own_").alias("version_id"), F.col("number_").cast("string").alias("version_number"), F.lit("active").alias("status"), "checksum", F.lit(True).alias("made_")))
+    given = F.transform("versions", lambda x, i: F.struct(i.alias("at_"), x["version_id"].alias("version_id"), x["version_number"].alias("version_number"), x["status"].alias("status"), x["checksum"].alias("checksum"), F.lit(False).alias("made_")))
+    rows = v.select("id", "own_", F.explode(F.when(F.coalesce(F.size("versions"), F.lit(0)) > 0, given).otherwise(made)).alias("x")).select("id", "own_", "x.*")
+    out = running(rows, ["id"], ["at_", "version_id", "own_", "checksum"])
+    return out.select(F.col("id").alias("source_id"), F.col("version_number").alias("version"), "version_id", "status", "checksum", F.col("own_").alias("active_version_id"), F.col("made_").alias("synthesized"), (F.col("before") + 1).alias("position"))
 
 
 def bulk_review(claims: DataFrame, chosen: DataFrame, action: str, rationale: str, statuses: dict[str, str]) -> DataFrame:
     """One decision over many claims: id, review_status, event. Only known ids count; without a rationale nothing is
-    decided; an unknown action is a comment and leaves the status. Events are numbered crev-NNNN by id and say the batch's size."""
+    decided; an unknown action is a comment and leaves the status. Events are numbered crev-NNNN by id, dealt by ranges, and say the batch's size."""
     known = claims.join(chosen.select("id").distinct(), "id", "left_semi") if rationale.strip() else claims.limit(0)
-    size = known.agg(F.count("*").alias("size"))
+    known = running(known.select("id", "review_status"), [], ["id"])
     status = F.lit(statuses[action]) if action in statuses else F.col("review_status")
-    n = F.row_number().over(Window.orderBy("id"))  # a batch that a person chose
-    event = F.format_string("crev-%04d %s of %d", n, F.lit(action if action in statuses else "comment"), F.col("size"))
-    return known.join(F.broadcast(size)).select("id", status.alias("review_status"), event.alias("event"))
+    event = F.format_string("crev-%04d %s of %d", F.col("before") + 1, F.lit(action if action in statuses else "comment"), F.col("total"))
+    return known.select("id", status.alias("review_status"), event.alias("event"))
 
 
 def trace_review(entries: DataFrame, approved: list[str] = AUTO_APPROVED) -> DataFrame:
@@ -141,13 +144,6 @@ def trace_review(entries: DataFrame, approved: list[str] = AUTO_APPROVED) -> Dat
     return entries.select("id", "disposition", F.when(F.col("disposition").isin(approved), "approved").otherwise(nonempty(F.col("review_status"), "proposed")).alias("review_status"))
 
 
-def cluster_claims(clusters: DataFrame, symbols: DataFrame) -> DataFrame:
-    """A procedure claim of each call cluster (subject, callees): id, claim, confidence by size."""
-    c = clusters.join(symbols.select(F.col("id").alias("subject"), "title"), "subject")
-    claim = F.format_string("%s runs %d steps in its file", "title", "callees")
-    return c.select(F.concat(F.lit("procedure-"), "subject").alias("id"), claim.alias("claim"), F.round(F.least(F.lit(0.9), F.lit(0.6) + F.lit(0.05) * F.col("callees")), 2).alias("confidence"))
-
-
 def author_neighbourhood(relations: DataFrame, symbols: DataFrame, subject: str) -> DataFrame:
     """The distinct symbols that a subject's relations lead to, by qualified name."""
     ends = relations.filter(F.col("subject") == subject).select(F.col("object").alias("id")).distinct()
@@ -179,8 +175,8 @@ def copybooks(defined: DataFrame, referenced: DataFrame) -> DataFrame:
 
 
 def report_lines(counts: DataFrame, title: str) -> DataFrame:
-    """A report of counts (name, n) as lines of Markdown: line, text; the title, a blank line, then a bullet each."""
-    n = F.row_number().over(Window.orderBy(F.desc("n"), "name")) + 2  # a few rows
-    body = counts.select(n.alias("line"), F.format_string("- %s: %d", "name", "n").alias("text"))
+    """A report of counts (name, n) as lines of Markdown: line, text; the title, a blank line, then a bullet each, largest first."""
+    rows = running(counts.select("name", "n", (-F.col("n")).alias("less")), [], ["less", "name"])
+    body = rows.select((F.col("before") + 3).cast("int").alias("line"), F.format_string("- %s: %d", "name", "n").alias("text"))
     top = counts.sparkSession.createDataFrame([(1, f"# {title}"), (2, "")], "line int, text string")
     return top.unionByName(body)

@@ -21,10 +21,32 @@ def missing(rows: DataFrame, key: str, known: DataFrame, known_key: str, rule: s
     return rows.filter(F.col(key).isNotNull()).join(known.select(F.col(known_key).alias("known")).distinct(), F.col(key) == F.col("known"), "left_anti").select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), "id")
 
 
-def relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
-    found = findings(relations, {("error", "status"): ~F.col("status").isin(STATUSES), ("error", "exact_without_evidence"): (F.col("status") == "exact") & (F.coalesce("evidence", F.lit("")) == "") & ~F.col("predicate").isin("imports", "defines"), ("warning", "not_exact"): F.col("status") != "exact"})
-    ends = relations.filter(F.col("object").startswith("symbol-part-"))
-    return found.unionByName(missing(ends, "object", symbols, "id", "unknown_object"))
+def relations(relations: DataFrame, known: DataFrame, evidence: DataFrame) -> DataFrame:
+    """relations (id, subject, subject_kind, object, object_kind, predicate, status, evidence) -> level, rule, id, detail.
+
+    Errors: a status that is none of STATUSES (null too); an end of kind module or symbol that is not among known (id); evidence
+    ids that are not among evidence (id), listed in their order; an exact relation without evidence, but for imports and
+    defines. A relation that is inferred or unresolved is a warning. Ends of other kinds, and relations without evidence that are
+    not exact, need nothing. A finding is a row for each row of relations that has it.
+    """
+    r = relations.withColumn("row_", F.monotonically_increasing_id()).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    exact = F.col("status") == "exact"
+    found = findings(r, {
+        ("error", "status"): ~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)),
+        ("error", "exact_without_evidence"): exact & (F.size("evidence") == 0) & ~F.coalesce(F.col("predicate").isin("imports", "defines"), F.lit(False)),
+        ("warning", "not_exact"): F.col("status").isin("inferred", "unresolved"),
+    }).withColumn("detail", F.lit(""))
+    one = known.select(F.col("id").alias("known_")).distinct()
+    ends = []
+    for end in ("subject", "object"):
+        of = r.filter(F.col(f"{end}_kind").isin("module", "symbol")).select("id", F.coalesce(end, F.lit("")).alias("end_"))
+        lost = of.join(one, F.col("end_") == F.col("known_"), "left_anti")
+        ends.append(lost.select(F.lit("error").alias("level"), F.lit(f"unknown_{end}").alias("rule"), "id", F.col("end_").alias("detail")))
+    cited = r.select("row_", "id", F.posexplode("evidence").alias("pos", "cited")).filter("cited is not null")
+    lost = cited.join(evidence.select(F.col("id").alias("known_")).distinct(), F.col("cited") == F.col("known_"), "left_anti")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cited"))), lambda x: x["cited"]), ", ")
+    lost = lost.groupBy("row_", "id").agg(listed.alias("detail")).select(F.lit("error").alias("level"), F.lit("unknown_evidence").alias("rule"), "id", "detail")
+    return reduce(DataFrame.unionByName, [found.select("level", "rule", "id", "detail"), *ends, lost])
 
 
 def claims(claims: DataFrame, claim_symbols: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def s16_graph_edges(spark, d):
 
 @query("""SELECT DISTINCT '<urn:kb:' || subject || '> <urn:kb:' || predicate || '> <urn:kb:' || object || '> .' AS statement FROM v_relations""", "relations")
 def s17_rdf_statements(spark, d):
-    return files_.turtle(v.relations(spark, d))
+    return files_.triples(v.relations(spark, d))
 
 
 # 2.2, 2.3 projections and filters
@@ -556,13 +556,6 @@ def x13_mined_claims(spark, d):
     return E.mined_claims(v.read(spark, d, "documents"), TERMS)
 
 
-@query("""WITH p AS (SELECT subject AS id, list(DISTINCT predicate) AS p FROM v_relations GROUP BY 1), k AS (SELECT id, unnest([CASE WHEN list_contains(p, 'calls') THEN 'behaviour' END, CASE WHEN list_contains(p, 'located_in') THEN 'location' END]) AS kind FROM p WHERE starts_with(id, 'symbol-supplier-'))
-       SELECT 'claim-' || id || '-' || kind AS id, id AS symbol_id, kind, 3 AS tier FROM k WHERE kind IS NOT NULL""", "relations")
-def x14_static_claims(spark, d):
-    suppliers = v.read(spark, d, "supplier").select(F.concat(F.lit("symbol-supplier-"), "s_suppkey").alias("id"))
-    return E.signal_claims(suppliers, v.relations(spark, d))
-
-
 @query("""WITH r AS (SELECT id, list_filter([CASE WHEN contains(lower(source_text), 'that') THEN 'a' END, CASE WHEN contains(lower(source_text), 'para') OR contains(lower(source_text), 'les') THEN 'b' END], lambda x: x IS NOT NULL) AS f FROM v_items)
        SELECT id, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['follow_guidance'] END) AS rule FROM r""", "items")
 def x16_decision_rules(spark, d):
@@ -652,15 +645,6 @@ def m5_fold_reviews(spark, d):
 # 2.12 validation
 
 
-@query(
-    """SELECT 'error' AS level, 'exact_without_evidence' AS rule, id FROM v_relations WHERE status = 'exact' AND coalesce(evidence, '') = '' UNION ALL SELECT 'warning', 'not_exact', id FROM v_relations WHERE status <> 'exact'
-       UNION ALL SELECT 'error', 'unknown_object', id FROM v_relations WHERE starts_with(object, 'symbol-part-') AND object NOT IN (SELECT id FROM v_symbols WHERE kind <> 'constant')""",
-    "relations symbols",
-)
-def v3_validate_relations(spark, d):
-    return V.relations(v.relations(spark, d), v.symbols(spark, d).filter("kind <> 'constant'"))
-
-
 @query(
     """WITH c AS (SELECT *, coalesce(nullif(lifecycle_status, ''), 'active') = 'active' AS act FROM v_claims), n AS (SELECT id FROM v_symbols WHERE kind <> 'constant')
        SELECT 'error' AS level, 'tier4_without_review' AS rule, id FROM c WHERE tier = 4 AND NOT review_required UNION ALL SELECT 'error', 'approved_unreviewed', id FROM c WHERE act AND tier >= 3 AND review_status = 'approved' AND NOT review_required
@@ -803,4 +787,4 @@ def page_links(spark, d):
     return h.groupBy("page_id").agg(F.count("*").alias("n"), F.min(F.length("h")).alias("shortest"))
 
 
-from fathomkb.plans import code, review  # noqa: E402, F401  register their queries
+from fathomkb.plans import bundle, code, review  # noqa: E402, F401  register their queries

@@ -177,11 +177,6 @@ def v5_claim_candidates(spark, d):
     return V.candidate(c, ["view", "click", "purchase"])
 
 
-@query("""SELECT id, source_id AS symbol_id, lifecycle_status AS kind, row_number() OVER (PARTITION BY source_id, lifecycle_status ORDER BY seq) AS ordinal FROM v_claims WHERE review_status = 'approved'""", "claims")
-def w5_claim_ordinals(spark, d):
-    return P.claim_ordinals(v.claims(spark, d).selectExpr("id", "seq", "source_id symbol_id", "lifecycle_status kind", "coalesce(review_status = 'approved', false) accepted"))
-
-
 @query("""WITH k AS (SELECT id, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS size FROM v_claims WHERE tier = 2 AND seq % 11 = 0) SELECT id, 'approved' AS review_status, printf('crev-%04d %s of %d', n, 'approve', size) AS event FROM k""", "claims")
 def m6_bulk_review(spark, d):
     c = v.claims(spark, d)
@@ -193,16 +188,6 @@ def m7_trace_review(spark, d):
     return P.trace_review(_traces(spark, d).withColumn("review_status", F.lit("")))
 
 
-@query(
-    """WITH s AS (SELECT source AS id, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE doc_id % 7 + 1 END AS version, CASE WHEN doc_id % 3 > 0 THEN lang ELSE 'active' END AS status, CAST(doc_id AS VARCHAR) AS checksum FROM documents)
-       SELECT id, version, status, checksum, id || '-v' || version AS version_id, id || '-v' || version AS active_version_id, CAST(row_number() OVER (PARTITION BY id ORDER BY version, checksum) AS INTEGER) AS position FROM s"""
-)
-def m8_version_registry(spark, d):
-    number = F.expr("case when doc_id % 8 = 0 then '0' when doc_id % 4 = 0 then 'none' else cast(doc_id % 7 + 1 as string) end")
-    s = v.read(spark, d, "documents").select(F.col("source").alias("id"), number.alias("version_number"), F.expr("if(doc_id % 3 > 0, lang, '')").alias("status"), F.col("doc_id").cast("string").alias("checksum"))
-    return P.version_registry(s)
-
-
 @query("""SELECT id, subject, predicate, object, status, confidence, CAST(1 + seq % 4 AS INTEGER) AS tier FROM v_relations""", "relations")
 def p4_canonical_relations(spark, d):
     r = v.relations(spark, d).select("id", "subject", "predicate", "object", F.struct(F.col("status").alias("resolution_status"), "confidence").alias("relation"), F.expr("cast(1 + seq % 4 as int)").alias("knowledge_tier"))
@@ -300,16 +285,6 @@ def j26_author_neighbourhood(spark, d):
     return P.author_neighbourhood(v.relations(spark, d), v.symbols(spark, d), "symbol-supplier-3")
 
 
-@query(
-    """WITH c AS (SELECT subject, count(DISTINCT object) AS callees FROM v_relations WHERE predicate = 'covers' GROUP BY 1), t AS (SELECT 'order-' || o_orderkey AS id, o_orderpriority AS title FROM orders)
-       SELECT 'procedure-' || subject AS id, title || ' runs ' || callees || ' steps in its file' AS claim, CAST(round(least(0.9, 0.6 + 0.05 * callees), 2) AS DOUBLE) AS confidence FROM c JOIN t ON t.id = c.subject""",
-    "relations",
-)
-def x15_cluster_claims(spark, d):
-    c = v.relations(spark, d).filter("predicate = 'covers'").groupBy("subject").agg(F.count_distinct("object").alias("callees"))
-    return P.cluster_claims(c, v.read(spark, d, "orders").select(F.concat(F.lit("order-"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")))
-
-
 @query("""SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name || '  ' || p_type, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS title FROM part""")
 def c7_title_case(spark, d):
     return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), fn.title_case(F.concat_ws("  ", "p_name", "p_type")).alias("title"))

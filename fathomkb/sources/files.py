@@ -34,29 +34,46 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def read_states(spark: SparkSession, path: str, schema: str, missing: str = "default", corrupt: str = "default") -> DataFrame:
+    """JSON files below path, each a document: file (its path), state (a struct of schema), corrupt (whether it couldn't be read).
+
+    missing: what an absent path, or one without files, is: "default" (no rows) or "error". corrupt: what a file is that is no JSON, or no
+    object: "default" (a row with a null state), "drop" (no row), or "error" as soon as it is read. Fields that schema doesn't name are
+    not read, those that a file lacks are null, a field of another type makes that field null. Spark lists no file of zero bytes, so such a
+    file is as one that is missing.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        if missing == "error":
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], f"file string, state struct<{_struct(schema)}>, corrupt boolean")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.decode(F.coalesce("content", F.lit(b"")), "UTF-8").alias("value"))
+    if missing == "error" and files.isEmpty():
+        raise FileNotFoundError(path)
+    whole = files.withColumn("state", F.from_json("value", f"{schema}, corrupt_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_"}))
+    is_object = F.col("value").rlike(r"^\s*\{")
+    # a field of another type leaves the record partly read and marked: only a text that is no object, or can't be read at all, is corrupt
+    readable = is_object & F.expr("try_parse_json(value)").isNotNull()
+    fields = T.StructType.fromDDL(schema).names
+    state = F.when(readable, F.struct(*(F.col(f"state.{c}").alias(c) for c in fields)))
+    out = whole.select("file", state.alias("state"), (~readable).alias("corrupt"))
+    if corrupt == "drop":
+        return out.filter(~F.col("corrupt"))
+    if corrupt == "error":
+        return out.withColumn("corrupt", F.when(F.col("corrupt"), F.raise_error(F.concat(F.lit("not a JSON object: "), "file")).cast("boolean")).otherwise(False))
+    return out
+
+
+def _struct(schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
+
+
 def normalize_markdown(text: Column, plain: bool = False) -> Column:
     """Line ends as LF, trimmed, one line end at the end; plain text gets a heading."""
     body = F.concat(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"^[\s\x{FEFF}]+|\s+$", ""), F.lit("\n"))
     return F.concat(F.lit("# Document\n\n"), body) if plain else body
 
 
-def parse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds front_matter (map of the top-level scalar keys), body and error. No leading ---: all is body; an open block or no type: an error."""
-    t = F.col(text_col)
-    fenced = t.startswith("---\n")
-    block = F.regexp_extract(t, r"^---\n([\s\S]*?)\n---(?:\n|$)", 1)
-    pairs = F.transform(F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.regexp_replace(x, r"^[^:]*:\s*", ""), "^[\"']|[\"']$", "").alias("value")))
-    front = F.map_from_entries(F.array_distinct(pairs))
-    error = F.when(fenced & (block == ""), "unterminated front matter").when(fenced & (F.coalesce(F.try_element_at(front, F.lit("type")), F.lit("")) == ""), "type missing")
-    return docs.select("*", F.when(fenced, front).alias("front_matter"), F.when(fenced & (block != ""), F.regexp_replace(t, r"^---\n[\s\S]*?\n---(?:\n|$)", "")).otherwise(t).alias("body"), error.alias("error"))
-
-
-def render_documents(rows: DataFrame, keys: list[str], body: str) -> DataFrame:
-    """A column `document` with front matter in the order of keys, and the body."""
-    head = F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in keys))
-    return rows.withColumn("document", F.concat(F.lit("---\n"), head, F.lit("\n---\n\n"), F.col(body), F.lit("\n")))
-
-
 def graph(sources: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (first position, last value of an id) and edges (the first of each source, target, type)."""
     nodes = sources.select("seq", "id", F.lit("source").alias("type"), F.col("path").alias("label")).unionByName(items.select("seq", "id", F.lit("item").alias("type"), F.col("subject").alias("label"))).unionByName(items.select("seq", F.concat(F.lit("concept-"), slugify(F.col("subject"))).alias("id"), F.lit("concept").alias("type"), F.col("subject").alias("label")))
@@ -65,7 +82,7 @@ def graph(sources: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.groupBy("source", "target", "type").agg(F.min("seq").alias("position"))
 
 
-def turtle(relations: DataFrame, base: str = "urn:kb:") -> DataFrame:
-    """A statement in RDF Turtle for each distinct triple."""
+def triples(relations: DataFrame, base: str = "urn:kb:") -> DataFrame:
+    """A statement in RDF Turtle for each distinct triple, by IRIs; turtle.turtle_blocks makes whole documents."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit(">"))
     return relations.select("subject", "predicate", "object").distinct().select(F.concat_ws(" ", iri(F.col("subject")), iri(F.col("predicate")), iri(F.col("object")), F.lit(".")).alias("statement"))

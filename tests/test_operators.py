@@ -208,9 +208,12 @@ def test_boilerplate(spark):
 
 
 def test_validators(spark):
-    rel = spark.createDataFrame([("r1", "symbol-part-1", "calls", "odd", "e"), ("r2", "symbol-part-9", "calls", "exact", ""), ("r3", "x", "imports", "exact", None)], "id string, object string, predicate string, status string, evidence string")
-    got = {(x.rule, x.id) for x in V.relations(rel, spark.createDataFrame([("symbol-part-1",)], "id string")).collect()}
-    assert got == {("status", "r1"), ("not_exact", "r1"), ("exact_without_evidence", "r2"), ("unknown_object", "r2")}
+    t = "id string, subject string, subject_kind string, object string, object_kind string, predicate string, status string, evidence array<string>"
+    rows = [("r1", "s1", "symbol", "s9", "symbol", "calls", "odd", ["e1"]), ("r2", "gone", "module", "x", "external", "calls", "exact", []), ("r3", None, "symbol", "s1", "symbol", "imports", "exact", None)]
+    rows += [("r4", "s1", "symbol", "m1", "module", "calls", "inferred", ["x2", "e1", "x1"]), ("r5", "s1", None, "zz", None, "calls", None, None)]
+    got = {tuple(x) for x in V.relations(spark.createDataFrame(rows, t), spark.createDataFrame([("s1",), ("m1",)], "id string"), spark.createDataFrame([("e1",)], "id string")).collect()}
+    assert got == {("error", "status", "r1", ""), ("error", "unknown_object", "r1", "s9"), ("error", "unknown_subject", "r2", "gone"), ("error", "exact_without_evidence", "r2", ""), ("error", "unknown_subject", "r3", ""),
+                   ("warning", "not_exact", "r4", ""), ("error", "unknown_evidence", "r4", "x2, x1"), ("error", "status", "r5", "")}
     c = spark.createDataFrame([("a", "kind1", ["s"], ["s"], "s", "q", "the q text"), ("b", "kind1", ["s", "t"], ["s"], "s", "q", "x"), ("c", "bad", ["s"], ["s"], "s", "q", "q"), ("d", "kind1", ["s"], ["s"], "s", " ", "q")], "id string, kind string, cited array<string>, allowed array<string>, own string, quote string, source string")
     assert [(x.rejected, x.anchored) for x in V.candidate(c, ["kind1"]).orderBy("id").collect()][:3] == [(None, True), ("unknown_id", False), ("kind", True)]
 
@@ -222,13 +225,8 @@ def test_contexts(items):
 
 
 def test_documents_and_sinks(spark, items, tmp_path):
-    docs = spark.createDataFrame([(1, "---\ntype: policy\ntitle: 'A b'\n---\nbody\n"), (2, "no front"), (3, "---\nopen"), (4, "---\ntitle: x\n---\nb")], "id int, text string")
-    got = {x.id: x for x in files.parse_documents(docs).collect()}
-    assert got[1].front_matter == {"type": "policy", "title": "A b"} and got[1].body == "body\n" and got[1].error is None
-    assert got[2].body == "no front" and got[2].error is None and got[3].error == "unterminated front matter" and got[4].error == "type missing"
     nodes, edges = files.graph(spark.createDataFrame([(1, "s", "p")], "seq int, id string, path string"), items)
     assert {x.id for x in nodes.collect()} == {"s", "i1", "i2", "i3", "i4", "concept-refund", "concept-item"} and edges.count() == 8
-    assert files.render_documents(items.limit(1), ["id", "subject"], "source_text").first().document == "---\nid: i1\nsubject: Refund\n---\n\nRefunds within days\n"
     (tmp_path / "r/.git").mkdir(parents=True)
     (tmp_path / "r/a.py").write_text("x = 1")
     (tmp_path / "r/.git/b.py").write_text("y")
