@@ -59,6 +59,11 @@ def parts_of_cells(counts: dict[int, int], block: int) -> dict[int, tuple[int, i
     return out
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: exact, and no square is too large or small."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, codes: int = CODES, sample: int = SAMPLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score: each query's k nearest others by cosine, in double precision.
 
@@ -87,7 +92,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k:
     dim = sizes[0]["d"]
     half = (dim + 1) // 2
     v = v.filter(f"size(x) = {dim}")
-    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    unit = lambda m: (s := scaled(m)) / np.sqrt((s * s).sum(axis=1, keepdims=True))
     fit = unit(np.array([r["x"] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]))
     books = spark.sparkContext.broadcast((kmeans(fit[:, :half], codes), kmeans(fit[:, half:], codes) if dim > 1 else np.zeros((1, 0))))
 
@@ -137,11 +142,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k:
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(e) and len(q):
-            ids, m = e["vec_id"].to_numpy(), np.stack(e["x"])
+            ids, m = e["vec_id"].to_numpy(), scaled(np.stack(e["x"]))
             size = np.sqrt((m * m).sum(axis=1))
             names, cell = np.unique(e["cell"].to_numpy(), return_inverse=True)
-            rough = np.stack(q["q"]) @ (m / size[:, None]).T
-            for query, x, cells, s in zip(q["query_id"], q["q"], q["cells"], rough):
+            asked = scaled(np.stack(q["q"]))
+            rough = asked @ (m / size[:, None]).T
+            for query, x, cells, s in zip(q["query_id"], asked, q["cells"], rough):
                 s[~np.isin(names, cells)[cell] | (ids == query)] = -np.inf
                 at = np.flatnonzero((s > -np.inf) & (s >= np.partition(s, -k)[-k] - 1e-9 * np.sqrt((x * x).sum()) if len(s) > k else s > -np.inf))
                 exact = (m[at] * x).sum(axis=1) / (size[at] * np.sqrt((x * x).sum()))

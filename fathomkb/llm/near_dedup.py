@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomkb.sources.spread import running
+
 from .common import MASK32, Scratch, broadcast_if_small, cut, hot_keys, join_spread, mix64, packed, slices
 from .graph import components
 
@@ -272,9 +274,15 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = packed(docs, i=F.col(id_col).cast("long"), h=F.xxhash64(text), text=text)
     pairs = cut(rows.filter("i is not null").groupBy("i", "h").agg(F.count("*").alias("k")), "rows")
     several = pairs.groupBy("i").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi")
-    others = cut(pairs.join(several, "i").filter("h > lo").select("i", "h", F.monotonically_increasing_id().alias("n")), "others")
-    top = pairs.agg(F.max("i")).first()[0] or 0
-    keyed = rows.join(broadcast_if_small(others), ["i", "h"], "left").withColumn("key", F.coalesce(F.lit(top + 1) + F.col("n"), "i")).drop("n")
+    others = cut(pairs.join(several, "i").filter("h > lo").select("i", "h"), "others")
+    if others.isEmpty():
+        keyed = rows.withColumn("key", F.col("i"))
+    else:  # ids may be as large as a long can be, so ids and others are numbered together
+        own = pairs.select("i", F.lit(None).cast("long").alias("h")).distinct().unionByName(others.select("i", "h"))
+        numbers = running(own.withColumn("behind", F.col("h").isNotNull()), [], ["behind", "i", "h"]).select("i", "h", F.col("before").alias("key"))
+        extra = cut(numbers.filter("h is not null"), "numbers")
+        base = numbers.filter("h is null").select("i", F.col("key").alias("base"))
+        keyed = rows.join(base, "i", "left").join(broadcast_if_small(extra), ["i", "h"], "left").withColumn("key", F.coalesce("key", "base")).drop("base")
     copies = near_duplicates(keyed, "key", "text").filter("doc_id is not null and not kept").select(F.col("doc_id").alias("key")).distinct()
     rest = keyed.join(copies, "key", "left_anti").select("row", "i", "h")
     repeats = cut(pairs.filter("k > 1").select("i", "h"), "repeats")

@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: in
     encoded = cut(one.mapInArrow(bags, "doc_id long, n long, x binary, tokens binary"), "bags")
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over `sample` rows
     fits = encoded.select("doc_id", "n").filter(F.col("n") <= passages / 10).withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") <= passages).select("doc_id")
-    rows = encoded.join(F.broadcast(fits), "doc_id").join(chosen, "doc_id").select("quality", "x", "tokens").collect()
+    rows = encoded.join(F.broadcast(fits), "doc_id").join(chosen, "doc_id").select("doc_id", "quality", "x", "tokens").collect()
+    rows.sort(key=lambda r: r["doc_id"])  # one order, so that sums and the model are the same in every run
     model = GatedAttention()
     if rows:
         x = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in rows]

@@ -17,15 +17,16 @@ MARKS = "[A-Za-z0-9_+/.@!#$%^&*~-]"
 NAMES = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|signing)[\w-]{0,12}[\"']?"
 ASSIGNED_SECRET = NAMES + r"\s{0,2}:?[:=]\s{0,2}[\"'`]?"
 #: Candidates, the first that fits at a place: a private key in PEM, a JSON web token, a value of any length and make
-#: where it is assigned to a secret's name, a value with a digit right after the word password, a run of at least 16 key
-#: characters with a digit among them. '=' is padding at the end only, so that a key stays before its value (but for a
+#: where it is assigned to a secret's name, a value with a digit right after "password" or "password is", what stands for a
+#: password in a url (after a user's name of 64 characters at most), a run of at least 16 key characters with a digit among them. '=' is padding at the end only, so that a key stays before its value (but for a
 #: key of one letter).
 CANDIDATE = "|".join(
     (
-        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----",
-        r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{0,2000})?",
-        rf"(?<!{VALUE})(?<=[:=]\s{{0,2}}[\"'`]?)(?<={ASSIGNED_SECRET}){VALUE}(?:{MARKS}{{0,2000}}[A-Za-z0-9_+/!#$%^&*~-])?={{0,2}}",
-        rf"(?<=\b(?i:passw(?:or)?d|passphrase)\s{{1,2}})(?=[A-Za-z_+/-]{{0,64}}[0-9]){VALUE}{{6,}}",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,40}PRIVATE KEY-----",
+        r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*+)?",
+        rf"(?<!{VALUE})(?<=[:=]\s{{0,2}}[\"'`]?)(?<={ASSIGNED_SECRET}){VALUE}(?:{MARKS}*[A-Za-z0-9_+/!#$%^&*~-])?={{0,2}}",
+        rf"(?<=\s)(?<=\b(?i:passw(?:or)?d|passphrase)(?:\s(?:is|was))?\s{{1,2}})(?=[A-Za-z_+/@!#$%^&*~-]*+[0-9]){MARKS}{{5,}}[A-Za-z0-9_+/!#$%^&*~-]",
+        r"(?<=:)(?<=://[A-Za-z0-9._%+-]{1,64}:)[^\s/@:\"'<>`]++(?=@)",
         rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9]=(?=[A-Za-z_+/-]*[0-9]){VALUE}{{16,}}={{0,2}}",
         rf"(?<!{VALUE})(?=[A-Za-z_+/-]*[0-9]){VALUE}{{16,}}={{0,2}}",
     )
@@ -43,7 +44,7 @@ DICTIONARY = (
 ).split()
 NEAR_SECRET = r"(?i)(secret|token|passw(or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|bearer|signing)[\w\"' -]{0,12}[:=]?\s*[\"'`]?$"
 NEAR_OTHER = r"(?i)(sha-?\d*|md5|checksum|digest|commit|hash|etag|uuid|guid|integrity|revision|rev|blob|tree|invoice|order|phone|isbn|card|serial|build)\W{0,4}$"
-FEATURES = ["chars", "digits", "upper", "lower", "hex", "symbols", "turns", "alphabet", "pairs", "words", "path_test", "path_config", "path_depth", "secret_word", "other_word", "assigned", "quoted", "in_url", "token_form"]
+FEATURES = ["chars", "digits", "upper", "lower", "hex", "symbols", "turns", "alphabet", "pairs", "words", "path_test", "path_config", "path_depth", "secret_word", "other_word", "assigned", "quoted", "in_url", "token_form", "userinfo", "issued"]
 CONTEXT = 64
 
 
@@ -76,7 +77,7 @@ def features(rows: DataFrame) -> DataFrame:
             "symbols": share("_+/=.@!#$%^&*~-"),
             "turns": (F.length(F.regexp_replace(c, turns, "~")) - F.length(c)) / n,
             "alphabet": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
-            "pairs": F.size(F.array_distinct(F.expr("transform(sequence(1, length(candidate) - 1), i -> substring(candidate, i, 2))"))) / n,
+            "pairs": F.size(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(..))")))) / n,
             "words": F.lit(1.0) - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w))), "")) / n,
             "path_test": flag(path.rlike("test|example|fixture|sample|mock|demo")),
             "path_config": flag(path.rlike(r"\.(env|ya?ml|json|ini|toml|cfg|conf|properties|pem|tfvars)$")),
@@ -86,6 +87,8 @@ def features(rows: DataFrame) -> DataFrame:
             "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
             "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
             "token_form": flag(c.rlike(r"^(eyJ[A-Za-z0-9_-]{8,}\\.|-----BEGIN )")),
+            "userinfo": flag(before.rlike(r"://[A-Za-z0-9._%+-]+:$") & after.startswith("@")),
+            "issued": flag(c.rlike(r"^[A-Za-z]{2,8}_[A-Za-z0-9_]*[A-Za-z0-9]{16,}$|^[a-z]{2,5}-[A-Za-z0-9-]{20,}$|^A[A-Z]{3}[A-Z0-9]{16}$")),
             "in_url": flag(before.rlike(r"(https?://\S*|www\.\S*|[./@])$") | after.rlike(r"^[@.]\w")),
         }
     )
@@ -101,7 +104,9 @@ def _labelled() -> list[Template]:
     yes = [(f"{a}{n}{op}{q}", kind, q + b, p, 1) for a, b, p in secret for n, op, q in names for kind in ("hex40", "base64", "mixed", "HEX40", "dotted")]
     yes += [(f"{a}{n}{q}", kind, q + b, p, 1) for a, b, p in secret for n, q in (("password=", ""), ("PASSWORD = ", '"'), ("token: ", ""), ("secret_key=", ""), ("pwd = ", "'")) for kind in ("short", "letters", "phrase", "marked")]
     yes += [(a, kind, b, p, 1) for a, b, p in secret for kind in ("jwt", "pem")]
-    yes += [(f"{a}{n} ", "short", b, p, 1) for a, b, p in secret for n in ("password", "passphrase")]
+    yes += [(f"{a}{n} ", kind, b, p, 1) for a, b, p in secret for n in ("password", "passphrase", "password is", "passphrase was") for kind in ("short", "marked")]
+    yes += [(a, kind, b, p, 1) for a, b, p in (*secret, ("", "", "src1"), ("it is ", ".", "src9"), ("(", ")", "docs/guide.md")) for kind in ("issued_a", "issued_b", "issued_c", "issued_d")]
+    yes += [(f"{a}{scheme}://{user}:", kind, "@db.example.org/x" + b, p, 1) for a, b, p in secret for scheme, user in (("postgres", "admin"), ("https", "svc-1"), ("amqp", "user")) for kind in ("short", "letters", "mixed", "phrase")]
     other = (("and so it was ", " that the", "src7"), ("\n", "\n", "docs/changes.md"), ("see ", ", then", "tests/fixtures/a.json"), ("as in ", " below", "notes/log.txt"))
     harmless = (
         ("commit ", "hex40"), ("sha256:", "hex64"), ("md5 = ", "hex32"), ("ETag: ", "hex32"), ("", "digits16"), ("card ", "digits16"), ("", "digits20"), ("order ", "digits16"), ("uuid ", "uuid"), ("", "uuid"),
@@ -110,6 +115,7 @@ def _labelled() -> list[Template]:
     no = [(f"{a}{before}", kind, b, p, 0) for a, b, p in other for before, kind in harmless]
     no += [(f"{a}{n}", "placeholder", b, p, 0) for a, b, p in (("set ", " here", "docs/guide.md"), ("\n", "\n", "examples/sample.env"), ("use ", ".", "src1")) for n in ("token = ", "password: ", "API_KEY=", "secret: ")]
     no += [(f"{a}{n}{q}", "word", q + b, p, 0) for a, b, p in (("the ", " is given", "src4"), ("\n", "\n", "docs/guide.md"), ("a ", ", of course", "src2")) for n, q in (("password: ", ""), ("token = ", '"'), ("secret_key=", ""), ("auth: ", ""), ("credential: ", ""))]
+    no += [(f"{a}://user:", kind, "@host.example.org/" + b, p, 0) for a, b, p in (("see postgres", " here", "docs/guide.md"), ("\nhttps", "\n", "examples/sample.env"), ("mysql", ".", "src1")) for kind in ("word", "placeholder")]
     no += [(a, "constant", b, p, 0) for a in ("\n", "export ", "in the ", "by ") for b, p in (("=yes\n", "deploy/prod.env"), (' = "x"\n', "src4"), (" is set", "docs/guide.md"))]
     return yes + no
 
@@ -127,6 +133,10 @@ VALUES = {
     "phrase": "concat_ws('-', element_at(w, 1 + i % 40), element_at(w, 41 + i % 50), translate(substring(s, 1, 6), '0123456789', 'ghijkmprst'), element_at(w, 91 + i % 60))",
     "jwt": "concat('eyJ', substring(translate(base64(unhex(s)), '+/=\n\r', '-_x'), 1, 24), '.eyJ', substring(translate(base64(unhex(reverse(s))), '+/=\n\r', '-_x'), 1, 30), '.', substring(translate(base64(unhex(s)), '+/=\n\r', '-_x'), 5, 22))",
     "pem": "concat('-----BEGIN RSA PRIVATE KEY-----\n', base64(unhex(s)), '\n', base64(unhex(reverse(s))), '\n-----END RSA PRIVATE KEY-----')",
+    "issued_a": "concat('ghp_', substring(translate(base64(unhex(concat(s, reverse(s)))), '+/=\n\r', 'aB'), 1, 36))",
+    "issued_b": "concat(if(i % 2 = 0, 'sk_live_', 'rk_test_'), substring(translate(base64(unhex(s)), '+/=\n\r', 'k7'), 1, 24))",
+    "issued_c": "concat('xoxb-', 100000000000 + i * 7919, '-', 200000000000 + i * 104729, '-', substring(translate(base64(unhex(s)), '+/=\n\r', 'Zq'), 1, 24))",
+    "issued_d": "concat(if(i % 2 = 0, 'AKIA', 'ASIA'), substring(translate(upper(base64(unhex(s))), '+/=\n\r', 'XY'), 1, 16))",
     "word": "element_at(w, 1 + i * 7 % 180)",
     "placeholder": "concat(repeat(substring('xX0*y', 1 + i % 3, 1), 14 + i % 9), '1234567')",
 }
