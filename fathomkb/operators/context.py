@@ -15,6 +15,7 @@ from . import claims as C
 from . import relations as R
 from . import search as S
 from .extract import decision_rules
+from .rules import item_rules
 
 
 def _ranked(rows: DataFrame, part: str, order: list, most: int) -> DataFrame:
@@ -52,18 +53,52 @@ def agent_context(items: DataFrame, terms: list[str], include_rejected: bool = F
     return kept.select("id", F.lit(False).alias("excluded") if include_rejected else rejected.alias("excluded"))
 
 
-def scenario_context(items: DataFrame, scenario: str, terms: list[str], limit: int = 16, concepts: int = 8) -> DataFrame:
-    """Items of the scenario's concepts that the task matches; failing that, the task's; failing that, by token overlap; then all. The first `limit` by (concept score, item order)."""
-    found = S.detect_concepts(items, scenario, concepts)
-    by_concept = items.join(found.select(F.col("label").alias("subject"), "score"), "subject").select("id", "score")
-    task = S.any_term(items, terms).select("id")
-    overlap = S.overlap_ranking(items, scenario, limit)
-    marked = items.select("id", "seq", "status").join(by_concept, "id", "left").join(task.withColumn("t", F.lit(True)), "id", "left").join(overlap.select("id", F.lit(True).alias("o")), "id", "left")
-    stage = F.when(F.col("score").isNotNull() & F.col("t"), 1).when(F.col("t"), 2).when(F.col("o"), 3).otherwise(4)
+def scenario_context(items: DataFrame, scenario: str, terms: list[str] | None = None, limit: int = 16, concepts: int = 8) -> DataFrame:
+    """The items of a scenario, in item order: part, rank, id.
+
+    Matched are the items of the scenario's concepts, by concept (score, then label) and item order. With terms of a task that any
+    item has, only those of them that have one; if none is left, all items that do. If nothing is matched at all, the 16 items
+    that share most tokens with the scenario, ties by id; failing that all items. The first `limit` of these are kept (the first in
+    every task, merged), and are put back into item order.
+    """
+    found = F.broadcast(S.detect_concepts(items, scenario, concepts).select("concept_id", "score", F.col("label").alias("l")))  # `concepts` rows
+    by_concept = S.matched_items(items, scenario).drop("score", "label").join(found, "concept_id").select("id", F.struct((-F.col("score")).alias("a"), F.col("l").alias("b")).alias("c"))
+    task = S.any_term(items, terms).select("id").distinct() if terms else items.select("id").limit(0)
+    overlap = S.overlap_ranking(items, scenario, 16).select("id", F.struct((-F.col("overlap").cast("double")).alias("a"), F.col("id").alias("b")).alias("o"))
+    marked = items.select("id", "seq").join(by_concept, "id", "left").join(task.withColumn("t", F.lit(True)), "id", "left").join(F.broadcast(overlap), "id", "left")
+    stage = F.when(F.col("c").isNotNull() & F.col("t"), 1).when(F.col("t"), 2).when(F.col("c").isNotNull(), 3).when(F.col("o").isNotNull(), 4).otherwise(5)
     marked = marked.withColumn("stage", stage)
     best = marked.agg(F.min("stage").alias("best"))  # one row
-    chosen = marked.crossJoin(F.broadcast(best)).filter("stage = best")
-    return _ranked(chosen.withColumn("s", F.coalesce("score", F.lit(0.0))), "item", [F.desc("s"), "seq"], limit)
+    order = F.when(F.col("stage").isin(1, 3), F.col("c")).when(F.col("stage") == 4, F.col("o"))
+    kept = marked.crossJoin(F.broadcast(best)).filter("stage = best").orderBy(order, "seq", "id").limit(limit)
+    return _ranked(kept, "item", ["seq", "id"], limit)
+
+
+def context_parts(matched: DataFrame, items: DataFrame, include_rejected: bool = False) -> DataFrame:
+    """All that an agent's context holds of the matched items (id): part, at (item order), place, id, ref, text.
+
+    items: seq, id, subject, predicate, object, source_id, source_text, status. knowledge (ref: source, text: object), relation, evidence (ref: item; texts:
+    predicate, source text) and rule (text: title) of every usable item, which rejected ones aren't unless they are asked for; each
+    of their concepts once, under the last item's label and linked to it; excluded: how many matched items are left out;
+    conflicts: items of the whole table whose object differs from the one before of the same subject and predicate. An id that
+    several items have stands for all of them. Nothing is cut: parts are rows, to be read by (part, at, place).
+    """
+    rows = items.join(matched.select("id").distinct(), "id", "left_semi")
+    rejected = F.coalesce(F.col("status") == "rejected", F.lit(False))
+    usable = rows if include_rejected else rows.filter(~rejected)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    part = lambda name, id_, ref, body: F.struct(F.lit(name).alias("part"), F.lit(0).alias("place"), id_.alias("id"), ref.alias("ref"), body.alias("text"))
+    own = F.array(part("knowledge", F.col("id"), text("source_id"), text("object")), part("relation", F.concat(F.lit("kr-"), "id"), F.col("id"), text("predicate")), part("evidence", F.concat(F.lit("evidence-"), "id"), F.col("id"), text("source_text")))
+    out = [usable.select(F.col("seq").alias("at"), F.explode(own).alias("p")).select("p.part", "at", "p.place", "p.id", "p.ref", "p.text")]
+    ruled = item_rules(usable.select("id", "subject", "predicate", "object").distinct()).join(usable.select(F.col("id").alias("item_id"), F.col("seq").alias("at")), "item_id")
+    out.append(ruled.select(F.lit("rule").alias("part"), "at", F.col("position").alias("place"), F.col("rule_id").alias("id"), F.col("item_id").alias("ref"), F.col("title").alias("text")))
+    last = usable.groupBy(F.concat(F.lit("concept-"), slugify(text("subject"))).alias("c")).agg(F.max_by(F.struct("id", text("subject").alias("label")), "seq").alias("l"))
+    out.append(last.select(F.lit("concept").alias("part"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("place"), F.col("c").alias("id"), F.col("l.id").alias("ref"), F.col("l.label").alias("text")))
+    n = rows.agg(F.count_if(rejected & F.lit(not include_rejected)).alias("n"))
+    out.append(n.select(F.lit("excluded").alias("part"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("place"), F.lit("excluded").alias("id"), F.lit("").alias("ref"), F.col("n").cast("string").alias("text")))
+    odd = S.conflicts(items.select("seq", "id", text("subject").alias("subject"), text("predicate").alias("predicate"), text("object").alias("object")), ["subject", "predicate"], "object")
+    out.append(odd.select(F.lit("conflict").alias("part"), F.col("seq").alias("at"), F.lit(0).alias("place"), "id", F.col("subject").alias("ref"), F.col("predicate").alias("text")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def context_details(chosen: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:

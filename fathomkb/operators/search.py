@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomkb.functions.scalars import meaningful_tokens, nonempty, normalize_separators
+from fathomkb.functions.scalars import meaningful_tokens, nonempty, normalize_separators, slugify
+from fathomkb.sources.spread import running
 
 
 def has(haystack: Column, needle: str) -> Column:
@@ -81,13 +83,22 @@ def overlap_ranking(items: DataFrame, scenario: str, limit: int) -> DataFrame:
     return items.withColumn("overlap", F.size(F.array_intersect(tokens, meaningful_tokens(F.lit(scenario))))).filter("overlap > 0").select("id", "overlap").orderBy(F.desc("overlap"), "id").limit(limit)
 
 
-def detect_concepts(items: DataFrame, scenario: str, limit: int = 8) -> DataFrame:
-    """Concepts (subjects) by score: per item 8 if the scenario contains the label, 3 for each label token, up to 6 for tokens of the text."""
+def matched_items(items: DataFrame, scenario: str) -> DataFrame:
+    """Items with a score for a scenario, case aside: 8 if it contains their subject, 3 for each token of the subject that it has, up to
+    6 for tokens of subject, predicate, object and source text together: seq, id, concept_id, label (the subject), score (over 0)."""
     want, text = meaningful_tokens(F.lit(scenario)), F.lit(scenario.lower())
-    label = F.lower(F.trim(F.col("subject")))
-    score = F.when(F.contains(text, label), 8).otherwise(0) + 3 * F.size(F.array_intersect(meaningful_tokens("subject"), want)) + F.least(F.lit(6), F.size(F.array_intersect(meaningful_tokens("source_text"), want)))
-    rows = items.withColumn("score", score.cast("double")).filter("score > 0")
-    return rows.groupBy(F.col("subject").alias("label")).agg(F.sum("score").alias("score"), F.count("*").alias("item_count")).orderBy(F.desc("score"), "label").limit(limit)
+    all_ = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("subject", "predicate", "object", "source_text")))
+    label = F.coalesce("subject", F.lit(""))
+    shared = lambda x: F.size(F.array_intersect(meaningful_tokens(x), want))
+    score = F.when(F.contains(text, F.lower(label)), 8).otherwise(0) + 3 * shared(label) + F.least(F.lit(6), shared(all_))
+    return items.select("seq", "id", F.concat(F.lit("concept-"), slugify(label)).alias("concept_id"), label.alias("label"), score.cast("double").alias("score")).filter("score > 0")
+
+
+def detect_concepts(items: DataFrame, scenario: str, limit: int = 8) -> DataFrame:
+    """Concepts (subjects of one slug, under the first one's label) by the scores of their items: concept_id, label, score, item_count; ties by label."""
+    first = items.groupBy(F.concat(F.lit("concept-"), slugify(F.coalesce("subject", F.lit("")))).alias("concept_id")).agg(F.min_by(F.coalesce("subject", F.lit("")), "seq").alias("label"))
+    found = matched_items(items, scenario).groupBy("concept_id").agg(F.sum("score").alias("score"), F.count("*").alias("item_count"))
+    return found.join(first, "concept_id").select("concept_id", "label", "score", "item_count").orderBy(F.desc("score"), "label").limit(limit)
 
 
 def usable(approved: str = "review_status") -> Column:
@@ -147,7 +158,45 @@ def conflicts(items: DataFrame, keys: list[str], value: str, order: str = "seq")
     return items.withColumn("before", before).filter((F.coalesce(F.col("before").cast("string"), F.lit("")) != "") & ~F.col("before").eqNullSafe(F.col(value)))
 
 
-def global_search(term: str, symbols: DataFrame, claims: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:
-    """Typed result groups by substring: kind, id, title."""
+def anchor_pools(claims: DataFrame) -> DataFrame:
+    """pool, tier, claims: active claims by what they are anchored to; null and empty are unknown."""
+    active = nonempty(F.col("lifecycle_status"), "active") == "active"
+    return claims.filter(active).groupBy(nonempty(F.col("anchor_status"), "unknown").alias("pool"), "tier").agg(F.count("*").alias("claims"))
+
+
+def symbol_record(symbol_id: str, symbols: DataFrame, evidence: DataFrame, relations: DataFrame, claims: DataFrame, claim_symbols: DataFrame) -> DataFrame:
+    """All that is known of one symbol, as rows: part, id, text.
+
+    The first symbol of that id (by seq; text: its name), its evidence (by evidence_id; text: the excerpt), the relations whose subject
+    contains the id, case aside (text: the triple), and the claims about it. An unknown symbol has no rows at all.
+    """
+    one = symbols.filter(F.col("id") == symbol_id).orderBy("seq").limit(1).select("id", "qualified_name", "evidence_id")
+    there = F.broadcast(one.select(F.col("id").alias("there_")))  # at most one row
+    part = lambda df, name, text: df.select(F.lit(name).alias("part"), "id", text.alias("text"))
+    proof = evidence.join(F.broadcast(one.select(F.col("evidence_id").alias("id"))), "id", "left_semi").groupBy("id").agg(F.min_by("excerpt", "seq").alias("excerpt"))
+    edges = relations.filter(F.contains(F.lower("subject"), F.lit(symbol_id.lower()))).join(there)
+    about = claims.join(claim_symbols.filter(F.col("symbol_id") == symbol_id).select(F.col("claim_id").alias("id")).distinct(), "id", "left_semi").join(there)
+    triple = F.concat_ws(" ", "subject", "predicate", "object")
+    out = part(one, "symbol", F.col("qualified_name")).unionByName(part(proof, "evidence", F.col("excerpt")))
+    return out.unionByName(part(edges, "relation", triple)).unionByName(part(about, "claim", F.col("claim")))
+
+
+def by_file(symbols: DataFrame) -> DataFrame:
+    """file, position, id: the symbols of each file by line, then name, then id; null files count as ""."""
+    w = Window.partitionBy("file").orderBy("line", "qualified_name", "id")  # what one file defines
+    return symbols.withColumn("file", F.coalesce("file", F.lit(""))).select("file", F.row_number().over(w).alias("position"), "id")
+
+
+def ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `position`, from 1 in the order of keys, as a collection is stored; dealt by ranges, so no task sorts it all."""
+    out = running(rows, [], keys)
+    return out.withColumn("position", F.col("before") + 1).drop("before", "total")
+
+
+def global_search(term: str, symbols: DataFrame, claims: DataFrame, sources: DataFrame, items: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+    """Typed result groups by substring, case aside: kind, id, title. endpoints: id, method, path, handler."""
     hit = lambda df, kind, title, *cols: df.filter(has(F.concat_ws(" ", *cols), term)).select(F.lit(kind).alias("kind"), "id", F.col(title).alias("title"))
-    return hit(symbols, "symbol", "qualified_name", "id", "qualified_name").unionByName(hit(claims, "claim", "claim", "claim")).unionByName(hit(sources, "file", "path", "path")).unionByName(hit(items, "document", "subject", "subject", "source_text"))
+    groups = [hit(symbols, "symbol", "qualified_name", "id", "qualified_name"), hit(claims, "claim", "claim", "claim"), hit(sources, "file", "path", "path"), hit(items, "document", "subject", "subject", "source_text")]
+    if endpoints is not None:
+        groups.append(hit(endpoints, "endpoint", "path", "method", "path", "handler"))
+    return reduce(DataFrame.unionByName, groups)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomkb.functions.canonical import row_json
-from fathomkb.operators import bundle_reports, rules, spans
+from fathomkb.operators import bundle_reports, context, rules, spans
 from fathomkb.operators import report as P
+from fathomkb.operators import search as S
 from fathomkb.operators import static_claims as T
 from fathomkb.operators import validate as V
 from fathomkb.plans.registry import query
@@ -410,3 +411,51 @@ def m8_version_registry(spark, d):
     versions = "if(doc_id % 3 > 0, if(doc_id % 2 = 0, null, array()), transform(sequence(0, 1), i -> struct(concat('v', doc_id, '-', i) as version_id, cast(i + 1 as string) as version_number, if(i = 0, 'superseded', '') as status, lang as checksum)))"
     s = v.read(spark, d, "documents").select(F.col("source").alias("id"), number.alias("version_number"), F.expr("if(doc_id % 6 = 1, concat(source, '@', doc_id), if(doc_id % 5 = 0, '', null))").alias("version_id"), F.lit("retired").alias("status"), F.col("doc_id").cast("string").alias("checksum"), F.expr(versions).alias("versions"))
     return P.version_registry(s)
+
+
+@query(
+    f"""WITH {ITEMS}, {RULES}, m AS (SELECT * FROM it WHERE seq % 3 < 2), u AS (SELECT * FROM m WHERE coalesce(status, '') <> 'rejected')
+       SELECT 'knowledge' AS part, seq AS "at", 0 AS place, id, source_id AS ref, object AS text FROM u UNION ALL SELECT 'relation', seq, 0, 'kr-' || id, id, predicate FROM u UNION ALL SELECT 'evidence', seq, 0, 'evidence-' || id, id, source_text FROM u
+       UNION ALL SELECT 'rule', u.seq, CAST(position AS INTEGER), 'rule-' || u.id || '-' || r.s, u.id, r.t FROM u JOIN rl ON rl.id = u.id
+       UNION ALL SELECT 'concept', NULL, 0, 'concept-' || {SLUG.format("subject")}, arg_max(id, seq), arg_max(subject, seq) FROM u GROUP BY 4
+       UNION ALL SELECT 'excluded', NULL, 0, 'excluded', '', CAST(count(*) AS VARCHAR) FROM m WHERE status = 'rejected'
+       UNION ALL SELECT 'conflict', seq, 0, id, subject, predicate FROM (SELECT *, lag(object) OVER (PARTITION BY subject, predicate ORDER BY seq) AS b FROM it) WHERE b <> '' AND b <> object""",
+    "items",
+)
+def q2_agent_context_parts(spark, d):
+    items = _items(spark, d)
+    return context.context_parts(items.filter("seq % 3 < 2"), items)
+
+
+@query(
+    """SELECT 'symbol' AS part, id, qualified_name AS text FROM v_symbols WHERE id = 'symbol-part-17' UNION ALL SELECT 'evidence', 'ev-l17', 'lines of 17'
+       UNION ALL SELECT 'relation', id, subject || ' ' || predicate || ' ' || object FROM (SELECT object AS subject, predicate, subject AS object, id FROM v_relations) WHERE contains(lower(subject), 'symbol-part-17')
+       UNION ALL SELECT 'claim', id, claim FROM v_claims WHERE id IN (SELECT claim_id FROM v_claim_symbols WHERE symbol_id = 'symbol-part-17')""",
+    "symbols relations claims claim_symbols",
+)
+def f4_symbol_record(spark, d):
+    s = v.symbols(spark, d).withColumn("evidence_id", F.concat(F.lit("ev-l"), "seq"))
+    e = v.read(spark, d, "orders").selectExpr("concat('ev-l', o_orderkey) id", "concat('lines of ', o_orderkey) excerpt", "o_orderkey seq")
+    r = v.relations(spark, d).select("id", F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"))
+    return S.symbol_record("symbol-part-17", s, e, r, v.claims(spark, d), v.claim_symbols(spark, d))
+
+
+@query("""SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line, qualified_name, id) AS INTEGER) AS position, id FROM v_symbols""", "symbols")
+def j25_symbols_by_file(spark, d):
+    return S.by_file(v.symbols(spark, d))
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY file, line, qualified_name, id) AS position FROM v_symbols""", "symbols")
+def w13_symbol_order(spark, d):
+    return S.ordered(v.symbols(spark, d).select("file", "line", "qualified_name", "id"), ["file", "line", "qualified_name", "id"]).select("id", "position")
+
+
+@query(
+    """SELECT 'symbol' AS kind, id, qualified_name AS title FROM v_symbols WHERE contains(lower(id || ' ' || qualified_name), 'part-12') UNION ALL SELECT 'claim', id, claim FROM v_claims WHERE contains(lower(claim), 'part-12')
+       UNION ALL SELECT 'file', id, path FROM v_sources WHERE contains(lower(path), 'part-12') UNION ALL SELECT 'document', id, subject FROM v_items WHERE contains(lower(subject || ' ' || source_text), 'part-12')
+       UNION ALL SELECT 'endpoint', 'endpoint-' || s_suppkey, '/api/' || s_suppkey FROM supplier WHERE contains(lower('GET /api/' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ' symbol-PART-' || s_suppkey ELSE '' END), 'part-12')""",
+    "symbols claims sources items",
+)
+def u8_grouped_search(spark, d):
+    e = v.read(spark, d, "supplier").selectExpr("concat('endpoint-', s_suppkey) id", "'GET' method", "concat('/api/', s_suppkey) path", "if(s_suppkey % 2 = 0, concat('symbol-PART-', s_suppkey), null) handler")
+    return S.global_search("Part-12", v.symbols(spark, d), v.claims(spark, d), v.sources(spark, d), v.items(spark, d), e)

@@ -389,9 +389,14 @@ def a8_concept_index(spark, d):
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z][a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(" + str(fn.STOP_WORDS) + ", w)))"
 
 
+#: Scores of items for SCENARIO and of their concepts, as the rules give them.
+CONCEPTS = f"""w AS (SELECT {TOKENS.format(x=f"'{SCENARIO}'")} AS w), r AS (SELECT id, seq, 'concept-' || trim(regexp_replace(lower(trim(subject)), '[^a-z0-9]+', '-', 'g'), '-') AS concept_id, subject, CASE WHEN contains(lower('{SCENARIO}'), lower(subject)) THEN 8 ELSE 0 END
+         + 3 * len(list_intersect({TOKENS.format(x="subject")}, w)) + least(6, len(list_intersect({TOKENS.format(x="concat_ws(' ', subject, predicate, object, source_text)")}, w))) AS score FROM v_items, w),
+       f AS (SELECT concept_id, (SELECT arg_min(subject, seq) FROM r a WHERE a.concept_id = r.concept_id) AS label, sum(score)::DOUBLE AS score, count(*) AS item_count FROM r WHERE score > 0 GROUP BY 1 ORDER BY score DESC, label LIMIT 8)"""
+
+
 @query(
-    f"""WITH w AS (SELECT {TOKENS.format(x=f"'{SCENARIO}'")} AS w), r AS (SELECT subject, CASE WHEN contains('{SCENARIO}', lower(trim(subject))) THEN 8 ELSE 0 END + 3 * len(list_intersect({TOKENS.format(x="subject")}, w)) + least(6, len(list_intersect({TOKENS.format(x="source_text")}, w))) AS score FROM v_items, w)
-       SELECT subject AS label, sum(score)::DOUBLE AS score, count(*) AS item_count FROM r WHERE score > 0 GROUP BY 1 ORDER BY score DESC, label LIMIT 8""",
+    f"""WITH {CONCEPTS} SELECT * FROM f""",
     "items",
 )
 def a9_detect_concepts(spark, d):
@@ -691,12 +696,13 @@ def q2_agent_context(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT {TOKENS.format(x=f"'{SCENARIO}'")} AS w), r AS (SELECT subject, CASE WHEN contains('{SCENARIO}', lower(trim(subject))) THEN 8 ELSE 0 END + 3 * len(list_intersect({TOKENS.format(x="subject")}, w)) + least(6, len(list_intersect({TOKENS.format(x="source_text")}, w))) AS score FROM v_items, w),
-       f AS (SELECT subject AS label, sum(score) AS score FROM r WHERE score > 0 GROUP BY 1 ORDER BY score DESC, label LIMIT 8),
+    f"""WITH {CONCEPTS},
        o AS (SELECT id, len(list_intersect({TOKENS.format(x="concat_ws(' ', subject, predicate, object, source_text)")}, w)) AS overlap FROM v_items, w WHERE overlap > 0 ORDER BY overlap DESC, id LIMIT 16),
-       m AS (SELECT i.id, i.seq, f.score, {' OR '.join(f"contains(lower(concat_ws(' ', subject, predicate, object, source_text)), '{t}')" for t in TERMS)} AS t, o.id IS NOT NULL AS o FROM v_items i LEFT JOIN f ON f.label = i.subject LEFT JOIN o ON o.id = i.id),
-       g AS (SELECT *, CASE WHEN score IS NOT NULL AND t THEN 1 WHEN t THEN 2 WHEN o THEN 3 ELSE 4 END AS stage FROM m)
-       SELECT 'item' AS part, CAST(row_number() OVER (ORDER BY coalesce(score, 0) DESC, seq) AS INTEGER) AS rank, id FROM g WHERE stage = (SELECT min(stage) FROM g) ORDER BY 2 LIMIT 16""",
+       m AS (SELECT i.id, i.seq, f.score, f.label, {' OR '.join(f"contains(lower(concat_ws(' ', i.subject, i.predicate, i.object, i.source_text)), '{t}')" for t in TERMS)} AS t, o.overlap
+             FROM v_items i LEFT JOIN r ON r.id = i.id AND r.score > 0 LEFT JOIN f ON f.concept_id = r.concept_id LEFT JOIN o ON o.id = i.id),
+       g AS (SELECT *, CASE WHEN score IS NOT NULL AND t THEN 1 WHEN t THEN 2 WHEN score IS NOT NULL THEN 3 WHEN overlap IS NOT NULL THEN 4 ELSE 5 END AS stage FROM m),
+       k AS (SELECT id, seq FROM g WHERE stage = (SELECT min(stage) FROM g) ORDER BY CASE WHEN stage IN (1, 3) THEN -score WHEN stage = 4 THEN -overlap END, CASE WHEN stage IN (1, 3) THEN label WHEN stage = 4 THEN id END, seq LIMIT 16)
+       SELECT 'item' AS part, CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS rank, id FROM k""",
     "items",
 )
 def q3_scenario_context(spark, d):

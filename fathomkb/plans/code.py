@@ -321,13 +321,13 @@ def j13_heading_ancestry(spark, d):
 
 
 @query(
-    """SELECT id, 'untraced_source' AS gap FROM v_symbols WHERE seq % 2 = 0 AND id NOT IN (SELECT 'symbol-part-' || l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)
-       UNION ALL SELECT id, 'target_without_source' FROM v_symbols WHERE seq % 2 = 1 AND id NOT IN (SELECT 'symbol-part-' || l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)""",
+    """SELECT id, 'untraced_source' AS gap FROM v_symbols WHERE seq % 2 = 0 AND id NOT IN (SELECT 'symbol-part-' || l_partkey FROM lineitem WHERE l_quantity > 30 OR l_returnflag = 'A')
+       UNION ALL SELECT id, 'target_without_source' FROM v_symbols WHERE seq % 2 = 1 AND id NOT IN (SELECT 'symbol-part-' || l_suppkey FROM lineitem WHERE l_quantity > 30 OR l_returnflag = 'A')""",
     "symbols",
 )
 def j21_trace_coverage(spark, d):
     expected = v.symbols(spark, d).selectExpr("id", "if(seq % 2 = 0, 'source', 'target') side")
-    entries = v.read(spark, d, "lineitem").filter("l_returnflag = 'A' and l_quantity > 30").selectExpr("concat('symbol-part-', l_partkey) source_id", "concat('symbol-part-', l_suppkey) target_id")
+    entries = v.read(spark, d, "lineitem").selectExpr("if(l_quantity > 30 or l_returnflag = 'A', concat('symbol-part-', l_partkey), null) source_id", "if(l_quantity > 30 or l_returnflag = 'A', concat('symbol-part-', l_suppkey), null) target_id")
     return A.trace_coverage(expected, entries)
 
 
@@ -335,10 +335,10 @@ def j21_trace_coverage(spark, d):
     """WITH s AS (SELECT p_partkey AS id, 'app.' || ['routes', 'services', 'user_repo', 'repositories', 'models', 'schemas', 'util'][p_size % 7 + 1] || '.' || lower(p_type) AS module, p_name AS title, p_size = 50 AS is_model FROM part),
        l AS (SELECT id, CASE WHEN is_model OR contains(module, '.models.') THEN 'model' WHEN contains(module, '.routes.') THEN 'route' WHEN contains(module, '.services.') THEN 'service' WHEN contains(module, 'repo') THEN 'repo' ELSE 'other' END AS layer, module, title FROM s),
        k AS (SELECT id, layer, CASE WHEN layer = 'model' THEN title ELSE module END AS node, list_position(['route', 'service', 'repo', 'model'], layer) AS rank FROM l WHERE layer <> 'other'),
-       e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS o FROM lineitem WHERE l_returnflag <> 'N')
+       e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS o FROM lineitem)
        SELECT DISTINCT a.layer AS from_layer, a.node AS from_node, b.layer AS to_layer, b.node AS to_node FROM e JOIN k a ON a.id = s JOIN k b ON b.id = o WHERE b.rank > a.rank"""
 )
 def g7_layer_flow(spark, d):
     s = v.read(spark, d, "part").selectExpr("p_partkey id", "concat('app.', element_at(array('routes', 'services', 'user_repo', 'repositories', 'models', 'schemas', 'util'), p_size % 7 + 1), '.', lower(p_type)) module", "p_name title", "p_size = 50 is_model")
-    e = v.read(spark, d, "lineitem").filter("l_returnflag <> 'N'").selectExpr("l_partkey subject", "'calls' predicate", "l_suppkey object")
+    e = v.read(spark, d, "lineitem").selectExpr("l_partkey subject", "'calls' predicate", "l_suppkey object")
     return A.layer_flow(s, e)

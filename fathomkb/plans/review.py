@@ -8,6 +8,7 @@ from fathomkb.functions import scalars as fn
 from fathomkb.operators import claims as C
 from fathomkb.operators import context as X
 from fathomkb.operators import report as P
+from fathomkb.operators import search as S
 from fathomkb.operators import validate as V
 from fathomkb.plans.registry import query
 from fathomkb.sources import views as v
@@ -59,12 +60,12 @@ def j1_last_by_id(spark, d):
 
 
 LANGUAGES = """a AS (SELECT seq, id, CASE WHEN seq % 3 = 0 THEN 'cobol' WHEN seq % 3 = 1 THEN 'python' ELSE 'java' END AS language, lower(replace(title, '_', ' ')) AS name,
-    CASE WHEN kind IN ('function', 'method', 'paragraph', 'section', 'test') THEN 'operation' WHEN kind IN ('class', 'record', 'data_item', 'data') THEN 'type' ELSE kind END AS kind FROM v_symbols WHERE seq % 37 < 9)"""
+    CASE WHEN kind IN ('function', 'method', 'paragraph', 'section', 'test') THEN 'operation' WHEN kind IN ('class', 'record', 'data_item', 'data') THEN 'type' ELSE kind END AS kind FROM v_symbols)"""
 
 
 def _artifacts(spark, d):
     language = F.when(F.col("seq") % 3 == 0, "cobol").when(F.col("seq") % 3 == 1, "python").otherwise("java")
-    return v.symbols(spark, d).filter("seq % 37 < 9").select("seq", "id", language.alias("language"), fn.canonical_name(F.col("title")).alias("name"), fn.canonical_kind(F.col("kind")).alias("kind"))
+    return v.symbols(spark, d).select("seq", "id", language.alias("language"), fn.canonical_name(F.col("title")).alias("name"), fn.canonical_kind(F.col("kind")).alias("kind"))
 
 
 @query(f"""WITH {LANGUAGES}, t AS (SELECT name, kind, max_by(id, seq) AS target_id FROM a WHERE language IN ('python') GROUP BY 1, 2)
@@ -365,21 +366,17 @@ def a1_repository_counts(spark, d):
     "claims",
 )
 def f11_anchor_pools(spark, d):
-    c = v.claims(spark, d).filter(P.active()).withColumn("anchor", F.expr("case seq % 3 when 0 then 'anchored' when 1 then 'unanchored' end"))
-    return c.groupBy(fn.nonempty(F.col("anchor"), "unknown").alias("pool"), "tier").agg(F.count("*").alias("claims"))
+    c = v.claims(spark, d).withColumn("anchor_status", F.expr("case seq % 3 when 0 then 'anchored' when 1 then 'unanchored' end"))
+    return S.anchor_pools(c)
 
 
 @query("""SELECT id, path FROM v_sources WHERE contains(lower(path), 'src1') OR contains(lower(id), 'src1')""", "sources")
 def f12_source_facets(spark, d):
-    from fathomkb.operators import search as S
-
     return S.facet(v.sources(spark, d), ["path", "id"], "SRC1").select("id", "path")
 
 
 @query("""SELECT seq, subject, object FROM v_relations WHERE contains(lower(object), 'part-11') AND predicate = 'calls' AND status = 'inferred'""", "relations")
 def f12_relation_facets(spark, d):
-    from fathomkb.operators import search as S
-
     return S.facet(v.relations(spark, d), ["object"], "Part-11", predicate="calls", status="inferred").select("seq", "subject", "object")
 
 
