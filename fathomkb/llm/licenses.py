@@ -88,16 +88,13 @@ TEMPLATES: list[Template] = [
     *((lic, "notice", f"SPDX-License-Identifier: {lic}") for lic in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0")),
 ]
 TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Segments end at line ends and sentence ends, and have at most this many tokens; a title is looked for in the first few.
+#: Segments end at line ends and sentence ends, and have at most this many tokens; a title is looked for in the first few that aren't of copyright.
 SEGMENT, TITLE_SEGMENTS = 32, 8
 #: Words so frequent in ordinary text that they make poor keys.
 COMMON = frozenset(
     "a an and any are as at be but by can do for from has have in into is it its may more must name no not of on one or other see so such than that the "
     "this to used was way were which will with you your der die das den mit und von le la les de des du en et un une que el los las con para por es".split()
 )
-#: A window is compared with templates of at least this part of its length: words in none of them weigh most, so a cosine
-#: of 0.75 to a shorter one is out of reach for a window of different words.
-LONGER = 2.0
 BREAK = re.compile(r"[\r\n]+|(?<=[.;!?])\s+")
 THRESHOLD = 0.75
 
@@ -131,49 +128,50 @@ class Index:
                 self.keys.add(t)
                 rest -= (raw[t] / size) ** 2
         self.squared = {t: w * w for t, w in self.weights.items()}
-        self.limits = np.array([LONGER * sum(bag.values()) for bag in bags])
 
-    def whole(self, tokens: list[str]) -> np.ndarray:
-        """The cosine of a bag of tokens to each template."""
+    def against(self, tokens: list[str]) -> tuple[np.ndarray, float]:
+        """The products of a bag of tokens with each template, and the bag's norm."""
         dot, norm = np.zeros(len(self.templates)), 0.0
         for t, n in Counter(tokens).items():
             w = damped(n) * self.idf.get(t, self.other)
             norm += w * w
             if t in self.weights:
                 dot += w * self.weights[t]
-        return dot / math.sqrt(norm) if norm else dot
+        return dot, math.sqrt(norm)
 
     def within_reach(self, words: set[str]) -> np.ndarray:
         """The templates whose squared weights over these words could give the threshold."""
         mass = sum((self.squared[t] for t in words if t in self.squared), np.zeros(len(self.templates)))
         return mass >= self.threshold**2 - 1e-9
 
-    def windows(self, segments: list[list[str]], among: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first, last, cosines) of the windows of consecutive segments that hold a key word and are short enough for one of the templates."""
-        longest = self.limits[among].max()
+    def windows(self, segments: list[list[str]], among: np.ndarray, most: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, cosines) of the windows of consecutive segments that hold a key word, as long as their norm is at most `most`.
+
+        No window's product with a template is larger than the whole text's, and norms grow with windows: beyond the
+        largest product by the threshold no window can reach it.
+        """
         hot = [any(t in self.keys for t in s) for s in segments]
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in segments])])  # tokens before each segment
         following, ahead = [len(segments)] * len(segments), len(segments)
         for i in range(len(segments) - 1, -1, -1):
             ahead = following[i] = i if hot[i] else ahead
+        weights = [[(t, self.idf.get(t, self.other), self.weights.get(t)) for t in s] for s in segments]
         for i in range(len(segments)):
-            if following[i] == len(segments) or starts[following[i] + 1] - starts[i] > longest and following[i] > i:
-                continue
+            if following[i] == len(segments):
+                return
             count: Counter[str] = Counter()
-            dot, norm, size = np.zeros(len(self.templates)), 0.0, 0
+            dot, norm = np.zeros(len(self.templates)), 0.0
             for j in range(i, len(segments)):
-                size += len(segments[j])
-                if size > longest:
-                    break
-                for t in segments[j]:
-                    idf, n = self.idf.get(t, self.other), count[t]
+                for t, idf, own in weights[j]:
+                    n = count[t]
                     old, new = (damped(n) * idf if n else 0.0), damped(n + 1) * idf
                     count[t] = n + 1
                     norm += new * new - old * old
-                    if t in self.weights:
-                        dot += (new - old) * self.weights[t]
+                    if own is not None:
+                        dot += (new - old) * own
+                if norm > most * most:
+                    break
                 if j >= following[i] and norm:
-                    yield i, j, np.where(among & (size <= self.limits), dot, 0) / math.sqrt(norm)
+                    yield i, j, np.where(among, dot, 0) / math.sqrt(norm)
 
     def judge(self, text: str | None) -> tuple[str | None, str | None, float | None]:
         """(licence, how, score) of a text: file, header or nothing."""
@@ -184,15 +182,17 @@ class Index:
         among = self.within_reach(set(tokens))
         if not among.any():
             return None, None, None
-        whole = np.round(self.whole(tokens), 9)
+        dot, norm = self.against(tokens)
+        whole = np.round(dot / norm, 9)
         if whole.max() >= self.threshold:
             return self.templates[int(whole.argmax())][0], "file", float(whole.max())
         segments = segments_of(low)
         title, header = (0.0, None), (0.0, None)
         titles = np.array([kind == "title" for _, kind, _ in self.templates])
-        for i, _, cosine in self.windows(segments, among):
+        before = np.cumsum([0, *("copyright" not in s for s in segments)])  # segments of something else than copyright
+        for i, _, cosine in self.windows(segments, among, float(dot[among].max()) / self.threshold + 1e-6):
             cosine = np.round(cosine, 9)
-            if i < TITLE_SEGMENTS and (best := np.where(titles, cosine, 0)).max() > title[0]:
+            if before[i] < TITLE_SEGMENTS and (best := np.where(titles, cosine, 0)).max() > title[0]:
                 title = float(best.max()), int(best.argmax())
             if cosine.max() > header[0]:
                 header = float(cosine.max()), int(cosine.argmax())
@@ -234,12 +234,12 @@ def _judge(templates: list[Template], threshold: float):
 def scan(docs: DataFrame, path: str = "concat_ws('/', source, lang, doc_id)", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, path, license, how (file, header, inherited or null), score.
 
-    A licence file is a text whose TF-IDF cosine to a template as a whole reaches the threshold, or that begins with the
-    title of a long licence. A header is a window of consecutive lines or sentences that reaches it to any template;
+    A licence file is a text whose TF-IDF cosine to a template as a whole reaches the threshold, or that has the
+    title of a long licence in its first segments, lines of copyright not counted. A header is a window of consecutive lines or sentences that reaches it to any template;
     the best window counts, of equal ones the first, of equal templates the first. With neither a text takes the
     licence of the nearest ancestor directory that has a licence file (of several there, the most frequent, then the
-    first by name). Windows that hold none of the words without which the threshold is out of reach are skipped, which
-    loses nothing; a window is compared with templates of at least half its length.
+    first by name). Windows that hold none of the words without which the threshold is out of reach, or whose norm is too
+    large for it, are skipped, which loses nothing. A text without line or sentence ends is cut every SEGMENT words.
 
     Null or empty texts have no licence of their own and may inherit; a null path counts as the root; null ids and
     repeated rows stay; an empty table gives no rows; other columns are ignored.

@@ -372,12 +372,12 @@ def slow_judge(text):
     score, at = best(cosine(Counter(licenses.TOKEN.findall(text.lower()))))
     if score >= 0.75:
         return licenses.TEMPLATES[-at][0], "file", score
-    segs, length = licenses.segments_of(text.lower()), [sum(b.values()) for b in bags]
-    size = lambda i, j: sum(map(len, segs[i : j + 1]))
-    spans = [(i, j) for i in range(len(segs)) for j in range(i, len(segs)) if size(i, j) <= 2 * max(length)]
-    cos = {s: [c if size(*s) <= 2 * n else 0 for c, n in zip(cosine(Counter(t for x in segs[s[0] : s[1] + 1] for t in x)), length)] for s in spans}
+    segs = licenses.segments_of(text.lower())
+    spans = [(i, j) for i in range(len(segs)) for j in range(i, len(segs))]
+    cos = {s: cosine(Counter(t for x in segs[s[0] : s[1] + 1] for t in x)) for s in spans}
+    early = [sum("copyright" not in x for x in segs[:i]) < licenses.TITLE_SEGMENTS for i in range(len(segs))]
     titles = [k == "title" for _, k, _ in licenses.TEMPLATES]
-    for how, some in (("file", [[c if t else 0 for c, t in zip(cos[s], titles)] for s in spans if s[0] < licenses.TITLE_SEGMENTS]), ("header", list(cos.values()))):
+    for how, some in (("file", [[c if t else 0 for c, t in zip(cos[s], titles)] for s in spans if early[s[0]]]), ("header", list(cos.values()))):
         if some and (top := max(round(max(c), 9) for c in some)) >= 0.75:
             first = next(c for c in some if round(max(c), 9) == top)
             return licenses.TEMPLATES[next(i for i, x in enumerate(first) if round(x, 9) == top)][0], how, top
@@ -399,6 +399,16 @@ def test_license_windows_equal_brute_force():
         assert got[:2] == want[:2] and (want[2] is None or abs(got[2] - want[2]) < 1e-6), text
 
 
+def test_license_windows_of_any_length_and_titles_after_copyright():
+    index, prose = licenses.Index(licenses.TEMPLATES, 0.75), "Some words of another kind stand here and there.\n" * 3
+    gpl = next(t for lic, kind, t in licenses.TEMPLATES if kind == "title" and lic == "GPL-3.0")
+    cases = ["SPDX-License-Identifier: MIT " * 3, prose + "Licensed under the MIT License " * 4 + "\n" + prose, "\n".join(f"Copyright (c) {y} Some Holder" for y in range(1990, 2002)) + "\n" + gpl + "\n" + prose * 9, prose * 9 + gpl + "\n" + prose * 9, prose * 20]
+    got = [index.judge(t)[:2] for t in cases]
+    assert got[:3] == [("MIT", "file"), ("MIT", "header"), ("GPL-3.0", "file")] and got[3][1] in ("header", None) and got[4] == (None, None)
+    for t in cases[:2]:
+        assert index.judge(t)[:2] == slow_judge(t)[:2]
+
+
 @pytest.fixture(scope="module")
 def lattice():
     return pieces.Lattice(open(pieces.MODEL, "rb").read())
