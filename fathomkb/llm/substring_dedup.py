@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,9 +107,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in places:
                 if xxhash.xxh3_128_digest(raw[p["start"] : p["stop"]]) == p["digest"]:
                     at = p["start"] if p["side"] < 0 else p["stop"]
-                    rows.append((p["holder"], p["side"], at, raw[max(at - CONTEXT, 0) : at] if p["side"] < 0 else raw[max(at - 1, 0) : at + CONTEXT]))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["holder", "side", "at", "bytes"])
+                    rows.append((p["holder"], p["side"], at, raw[max(at - CONTEXT, 0) : at] if p["side"] < 0 else raw[max(at - 1, 0) : at + CONTEXT], p["digest"]))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["holder", "side", "at", "bytes", "digest"])
 
 
 def common_edge(own: bytes, other: bytes, side: int) -> tuple[int, int]:
@@ -129,29 +130,67 @@ def common_edge(own: bytes, other: bytes, side: int) -> tuple[int, int]:
     return max(n, 0), int(word_starts(a)[1 : n + 1].sum()) if n > 0 else 0
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+EDGE = "doc_id long, side int, at int, more int, words int, part int, last boolean, digest binary, bytes binary"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted contexts (digest, side, holder, at, bytes) of one partition -> what each shares with the one before and the one after it.
+
+    Of all contexts of a chunk on one side those next to a context share most with it. The first and the last row of the
+    partition also come with their bytes, for what lies beyond.
+    """
+    part, before, held = TaskContext.get().partitionId(), None, None
+
+    def row(x: tuple, best: tuple[int, int], last: bool | None = None) -> tuple:
+        return x[2], x[1], x[3], *best, part, last, None if last is None else x[0], None if last is None else x[4]
+
+    def shared(a: tuple | None, b: tuple) -> tuple[int, int]:
+        return common_edge(b[4], a[4], b[1]) if a is not None and a[:2] == b[:2] else (0, 0)
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in EDGE.split(", ")])
+
     for batch in batches:
-        got = [common_edge(a, b, s) for a, b, s in zip(*(batch.column(i).to_pylist() for i in (3, 4, 1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([n for n, _ in got], pa.int32()), pa.array([w for _, w in got], pa.int32())], ["doc_id", "side", "at", "more", "words"])
+        rows = []
+        for x in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if held is None:
+                rows.append(row(x, (0, 0), False))
+            else:
+                rows.append(row(held, max(shared(before, held), shared(x, held))))
+            before, held = held, x
+        yield frame(rows)
+    if held is not None:
+        yield frame([row(held, shared(before, held), True)])
 
 
 def _extensions(runs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, side, at, more (bytes), words: how far each edge of a run goes on, by comparison with another holder."""
-    edge = lambda side, x: F.struct(F.lit(side).alias("side"), F.col(f"{x}.start").alias("start"), F.col(f"{x}.stop").alias("stop"), F.col(f"{x}.digest").alias("digest"), F.col(f"{x}.other").alias("other"))
+    """doc_id, side, at, more (bytes), words: how far each edge of a run goes on, by comparison with all runs that end at that chunk and its first and last holder.
+
+    Contexts are sorted by chunk, side and bytes (from the chunk outwards), dealt by ranges, so a chunk of very many
+    holders is many tasks. Neighbours in different ranges are compared at the end: two rows a range.
+    """
+    edge = lambda side, x: F.struct(F.lit(side).alias("side"), F.col(f"{x}.start").alias("start"), F.col(f"{x}.stop").alias("stop"), F.col(f"{x}.digest").alias("digest"), F.col(f"{x}.keeper").alias("keeper"), F.col(f"{x}.last").alias("last"))
     edges = cut(runs.select("doc_id", F.explode(F.array(edge(-1, "first"), edge(1, "final"))).alias("e")).select("doc_id", "e.*"), "edges")
-    own = edges.select(F.col("doc_id").alias("holder"), "side", "start", "stop", "digest")
-    other = edges.select(F.col("other.doc_id").alias("holder"), "side", F.col("other.start").alias("start"), (F.col("other.start") + F.col("stop") - F.col("start")).alias("stop"), "digest")
-    places = own.unionByName(other).distinct().groupBy("holder").agg(F.collect_list(F.struct("holder", "side", "start", "stop", "digest")).alias("places"))  # at most two for each chunk of the holder
+    places = edges.select(F.col("doc_id").alias("holder"), "side", "start", "stop", "digest")
+    for other in ("keeper", "last"):
+        begin = F.col(f"{other}.start")
+        places = places.unionByName(edges.select(F.col(f"{other}.doc_id").alias("holder"), "side", begin.alias("start"), (begin + F.col("stop") - F.col("start")).alias("stop"), "digest"))
+    places = places.distinct().groupBy("holder").agg(F.collect_list(F.struct("holder", "side", "start", "stop", "digest")).alias("places"))  # at most two for each chunk of the holder
     texts = docs.select(F.col(id_col).cast("long").alias("holder"), F.col(text_col).cast("string").alias("text"))
-    contexts = texts.join(places, "holder").select("text", "places").mapInArrow(_contexts, "holder long, side int, at int, bytes binary")
-    contexts = cut(contexts.groupBy("holder", "side", "at").agg(F.max("bytes").alias("bytes")).select(F.struct("holder", "side", "at").alias("place"), "bytes"), "contexts")
-    at = lambda start, stop: F.when(F.col("side") < 0, start).otherwise(stop)
-    begin = F.col("other.start")
-    pairs = edges.select("doc_id", "side", at(F.col("start"), F.col("stop")).alias("at"), F.struct(F.col("other.doc_id").alias("holder"), "side", at(begin, begin + F.col("stop") - F.col("start")).alias("at")).alias("place"))
-    hot = cut(hot_keys(pairs.groupBy("place").agg(F.count("*").alias("k")), "place", "k"), "hot")
-    pairs = join_spread(pairs, contexts.withColumnRenamed("bytes", "theirs"), "place", "doc_id", hot).drop("place")
-    pairs = pairs.withColumn("place", F.struct(F.col("doc_id").alias("holder"), "side", "at")).join(contexts, "place")
-    return pairs.select("doc_id", "side", "at", "bytes", "theirs").mapInArrow(_compared, "doc_id long, side int, at int, more int, words int")
+    contexts = texts.join(places, "holder").select("text", "places").mapInArrow(_contexts, "holder long, side int, at int, bytes binary, digest binary")
+    contexts = contexts.groupBy("digest", "side", "holder", "at").agg(F.max("bytes").alias("bytes"))
+    outwards = F.when(F.col("side") < 0, F.reverse(F.hex("bytes"))).otherwise(F.hex(F.substring("bytes", 2, CONTEXT)))
+    order = ["digest", "side", "outwards", "holder", "at"]
+    contexts = contexts.withColumn("outwards", outwards).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = cut(contexts.select("digest", "side", "holder", "at", "bytes").mapInArrow(_neighbours, EDGE), "shared")
+    ends = sorted(found.filter("last is not null").select("part", "last", "digest", "side", "doc_id", "at", "bytes").collect(), key=lambda r: (r["part"], r["last"]))  # two rows a range
+    across = []
+    for a, b in zip(ends, ends[1:]):
+        if a["last"] and not b["last"] and (a["digest"], a["side"]) == (b["digest"], b["side"]):
+            across += [(x["doc_id"], x["side"], x["at"], *common_edge(x["bytes"], y["bytes"], x["side"])) for x, y in ((a, b), (b, a))]
+    found = found.select("doc_id", "side", "at", "more", "words").unionByName(docs.sparkSession.createDataFrame(across, "doc_id long, side int, at int, more int, words int"))
+    return found.groupBy("doc_id", "side", "at").agg(F.max(F.struct("more", "words")).alias("m")).select("doc_id", "side", "at", "m.more", "m.words")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +198,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     Adjacent chunks each of which occurs elsewhere too make a run. Chunks are cut by content, so text before a passage
     moves no boundary inside it, but the partial chunks at its edges differ: each edge of a run is compared byte by byte
-    with another occurrence of its chunk (the first one, or for the first one the last) and moved as far as both agree
-    (up to 512 bytes, more than a chunk). Runs of at least min_words words then count. A run is parted into spans
+    with those of all runs that end at the same chunk, and with the chunk's first and last occurrence, and moved as far as
+    any of them agrees (up to 512 bytes, more than a chunk). Runs of at least min_words words then count. A run is parted into spans
     wherever the keeper changes: the first occurrence of a chunk by doc_id and start keeps it, all others may drop it,
     also within one document; so every repeated chunk stays once, and a span can have fewer words than the run.
 
@@ -176,13 +215,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     many = cut(many, "repeated")
     found = join_spread(every, many.drop("k"), "digest", "doc_id", cut(hot_keys(many, "digest", "k"), "hot"))
     keeps = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("start") == F.col("keeper.start"))
-    found = found.withColumn("keeps", keeps).withColumn("other", F.when(F.col("keeps"), F.col("last")).otherwise(F.col("keeper"))).drop("last").distinct()
+    found = found.withColumn("keeps", keeps).distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "stop", "digest")
     gap = F.col("start") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     turn = ~F.struct("keeper.doc_id", "keeps").eqNullSafe(F.lag(F.struct("keeper.doc_id", "keeps")).over(order))
     found = found.withColumn("new", gap.cast("int")).withColumn("turn", turn.cast("int"))
     found = found.withColumn("run", F.sum("new").over(order)).withColumn("part", F.sum(F.greatest("new", "turn")).over(order))
-    edge = F.struct("start", "stop", "digest", "other", "before", "after")
+    edge = F.struct("start", "stop", "digest", "keeper", "last", "before", "after")
     parts = found.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.first("keeper.doc_id").alias("keeper_id"), F.first("keeps").alias("keeps"), F.min(edge).alias("first"), F.max(edge).alias("final"))
     whole = Window.partitionBy("doc_id", "run")
     parts = parts.withColumns({"first": F.min("first").over(whole), "final": F.max("final").over(whole), "run_words": F.sum("words").over(whole)})

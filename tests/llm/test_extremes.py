@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from fathomkb.llm import ann, near_dedup, secrets
+from fathomkb.llm import ann, near_dedup, secrets, substring_dedup
 
 r = random.Random(8)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, before long"
@@ -54,3 +54,23 @@ def test_the_largest_ids(spark):
     got = {(x.doc_id, x.text) for x in near_dedup.keep_representatives(docs(spark, rows)).collect()}
     assert got == {(-(2**63), a), (5, b), (2**63 - 2, c), (None, a), (7, None)}
     assert near_dedup.keep_representatives(docs(spark, [(2**63 - 1, a), (1, a)])).count() == 1
+
+
+def test_passages_that_documents_hold_unequally(spark):
+    q = random.Random(11)
+    word = lambda: "".join(q.choice("abcdefghijklmnopqrst") for _ in range(q.randint(2, 9)))
+    fill = lambda: " ".join(word() for _ in range(30))
+    passages = [" ".join(word() for _ in range(54)) for _ in range(60)]
+    parts = {1: [" ".join(p.split()[: q.randint(20, 50)]) for p in passages], 2: passages, 3: passages, 9: [" ".join(p.split()[q.randint(4, 30) :]) for p in passages]}
+    texts = {i: " ".join(f"{fill()} {p}" for p in ps) + " " + fill() for i, ps in parts.items()}
+    spans = substring_dedup.repeated_spans(docs(spark, [*texts.items(), (4, None), (5, "")])).collect()
+    for i in (2, 3):
+        raw = texts[i].encode()
+        covered = np.zeros(len(raw), bool)
+        for x in spans:
+            if x.doc_id == i:
+                covered[x.start : x.stop] = True
+        for p in passages:
+            at = raw.index(p.encode())
+            assert covered[at : at + len(p)].all(), p
+        assert covered.sum() < sum(map(len, passages)) * 1.1
