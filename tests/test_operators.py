@@ -96,7 +96,7 @@ def test_conflicts_look_at_the_row_before_only(items):
 
 def test_concepts(items):
     got = {x.label: (x.score, x.item_count) for x in S.detect_concepts(items, "a refund within days").collect()}
-    assert got["Refund"] == (8 * 3 + 3 * 3 + 2, 3) and got[""] == (8, 1)  # an empty label is in every scenario
+    assert got["Refund"] == (8 * 3 + 3 * 3 + 3 + 1 + 1, 3) and got[""] == (8, 1)  # an empty label is in every scenario
     index = {x.concept_id: x for x in C.concept_index(items).collect()}
     assert (index["concept-refund"].item_count, index["concept-refund"].unknown, index["concept-item"].label) == (3, 1, "")
 
