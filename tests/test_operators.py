@@ -246,3 +246,24 @@ def test_review_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {x.item_id: x.status for x in spark.read.parquet(f"{tmp_path}/out/state/000000000").collect()}
     assert got == {"a": "approved", "b": "proposed"}
+
+
+def test_item_states_equal_the_batch_whatever_the_order(spark, tmp_path):
+    import random
+
+    from fathomkb.streaming import reviews
+
+    r = random.Random(6)
+    rows = [(i, f"i{r.randint(0, 9)}", r.choice(["edited", "commented", "deferred", "edited", "approved", "rejected"] if i > 40 else ["edited", "commented"])) for i in range(120)]
+    late = rows[:]
+    r.shuffle(late)
+    frame = lambda part: spark.createDataFrame(part, "seq long, item_id string, action string").selectExpr("seq", "item_id", "action", "'r' reviewer", "timestamp_seconds(seq) ts", "1.0D value")
+    for part in (late[:50], late[30:90], late[60:] + late[:10]):  # some again
+        frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        seen = {}
+        step = lambda batch, n: seen.update({x.item_id: tuple(x) for x in batch.collect()})  # noqa: E731, B023
+        q = reviews.item_states(reviews.read_log(spark, f"{tmp_path}/in")).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(90) and q.exception() is None
+        known = frame(spark.read.parquet(f"{tmp_path}/in").select("seq", "item_id", "action").distinct().collect())
+        want = {x.item_id: (x.item_id, x.status, x.n_applied, x.last_seq) for x in C.fold_reviews(known).collect()}
+        assert seen == {k: want[k] for k in seen} and {x[1] for x in part} == set(seen)
