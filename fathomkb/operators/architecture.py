@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,30 @@ def trace_coverage(expected: DataFrame, entries: DataFrame) -> DataFrame:
     missing = expected.filter("side = 'source'").join(seen, "id", "left_anti").select("id", F.lit("untraced_source").alias("gap"))
     inbound = entries.filter("target_id is not null").select(F.col("target_id").alias("id")).distinct()
     return missing.unionByName(expected.filter("side = 'target'").join(inbound, "id", "left_anti").select("id", F.lit("target_without_source").alias("gap")))
+
+
+def dependencies(imports: DataFrame, modules: DataFrame, standard: list[str]) -> DataFrame:
+    """package, modules: first segments of imports (module, name) that are neither relative, nor standard, nor the repository's, and how many modules import each.
+
+    The repository's are the first and the second segments of its own modules (module), as a scan may start above the packages.
+    """
+    parts = F.split("module", r"\.")
+    own = modules.select(F.explode(F.slice(parts, 1, 2)).alias("package")).filter("package <> ''").distinct()
+    used = imports.filter(~F.col("name").startswith(".")).select("module", F.substring_index("name", ".", 1).alias("package")).filter((F.col("package") != "") & ~F.col("package").isin(standard)).distinct()
+    return used.join(own, "package", "left_anti").groupBy("package").agg(F.count("*").alias("modules"))
+
+
+def architecture_state(endpoints: DataFrame, routers: DataFrame, apps: DataFrame, models: DataFrame, schemas: DataFrame, needed: DataFrame, frameworks: dict[str, str]) -> DataFrame:
+    """section, name, n: the counts of an architecture, its dependencies (package, modules) and the frameworks among them.
+
+    endpoints (kind): all, and of kind http (null counts as http), cli and task; routers, apps, data models, schemas and dependencies in
+    all; a row for each dependency with its modules; a row for each framework (package -> name) that is needed.
+    """
+    http = F.coalesce("kind", F.lit("http"))
+    kinds = {"endpoints": F.count("*"), "http_endpoints": F.count_if(http == "http"), "cli_commands": F.count_if(http == "cli"), "tasks": F.count_if(http == "task")}
+    counts = endpoints.agg(*(c.alias(k) for k, c in kinds.items())).unpivot([], list(kinds), "name", "n")
+    sizes = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in {"routers": routers, "apps": apps, "data_models": models, "schemas": schemas, "dependencies": needed}.items()]
+    summary = reduce(DataFrame.unionByName, [counts, *sizes]).select(F.lit("summary").alias("section"), "name", "n")
+    label = F.create_map(*(F.lit(x) for kv in frameworks.items() for x in kv))
+    found = needed.select(F.try_element_at(label, F.col("package")).alias("name"), "modules").filter("name is not null").groupBy("name").agg(F.sum("modules").alias("n"))
+    return summary.unionByName(needed.select(F.lit("dependency").alias("section"), F.col("package").alias("name"), F.col("modules").alias("n"))).unionByName(found.select(F.lit("framework").alias("section"), "name", "n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomkb.functions.canonical import row_json
+from fathomkb.operators import architecture as A
 from fathomkb.operators import bundle_reports, context, rules, spans
 from fathomkb.operators import report as P
 from fathomkb.operators import search as S
@@ -459,3 +460,22 @@ def w13_symbol_order(spark, d):
 def u8_grouped_search(spark, d):
     e = v.read(spark, d, "supplier").selectExpr("concat('endpoint-', s_suppkey) id", "'GET' method", "concat('/api/', s_suppkey) path", "if(s_suppkey % 2 = 0, concat('symbol-PART-', s_suppkey), null) handler")
     return S.global_search("Part-12", v.symbols(spark, d), v.claims(spark, d), v.sources(spark, d), v.items(spark, d), e)
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT module, string_split(replace(name, 'ext.', 'ext'), '.')[1] AS package FROM v_code_imports), own AS (SELECT DISTINCT unnest(string_split(module, '.')[1:2]) AS package FROM v_code_symbols),
+       d AS (SELECT package, count(*) AS modules FROM i WHERE package <> 'ext1' AND package NOT IN (SELECT package FROM own) GROUP BY 1)
+       SELECT 'summary' AS section, 'endpoints' AS name, count(*) AS n FROM events UNION ALL SELECT 'summary', 'http_endpoints', count(*) FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT 'summary', 'cli_commands', count(*) FROM events WHERE event_type = 'purchase'
+       UNION ALL SELECT 'summary', 'tasks', count(*) FROM events WHERE event_type = 'signup' UNION ALL SELECT 'summary', 'routers', count(*) FROM supplier UNION ALL SELECT 'summary', 'apps', count(*) FROM supplier WHERE s_suppkey % 4 = 0
+       UNION ALL SELECT 'summary', 'data_models', count(*) FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 UNION ALL SELECT 'summary', 'schemas', count(*) FROM part WHERE p_partkey % 5 = 1 UNION ALL SELECT 'summary', 'dependencies', count(*) FROM d
+       UNION ALL SELECT 'dependency', package, modules FROM d UNION ALL SELECT 'framework', CASE package WHEN 'ext2' THEN 'FastAPI' ELSE 'Flask' END, CAST(sum(modules) AS BIGINT) FROM d WHERE package IN ('ext2', 'ext3', 'ext4') GROUP BY 2""",
+    "code_symbols code_imports",
+)
+def a21_architecture_state(spark, d):
+    kinds = "element_at(map('view', 'http', 'purchase', 'cli', 'signup', 'task', 'error', 'other'), event_type) kind"
+    routers = v.read(spark, d, "supplier")
+    classes = v.read(spark, d, "part").selectExpr("p_partkey id", "if(p_partkey % 5 = 0, array('x', 'Base'), if(p_partkey % 5 = 1, array('BaseModel'), array())) bases", "if(p_partkey % 7 = 0, array('mapped'), null) decorators")
+    models, schemas = P.plain_data_classes(classes, ["mapped"], ["Base"]), P.plain_data_classes(classes, [], ["BaseModel"])
+    imports = v.code_imports(spark, d).withColumn("name", F.replace("name", F.lit("ext."), F.lit("ext")))
+    needed = A.dependencies(imports, v.code_symbols(spark, d).select("module").distinct(), ["ext1"])
+    return A.architecture_state(v.read(spark, d, "events").selectExpr(kinds), routers, routers.filter("s_suppkey % 4 = 0"), models, schemas, needed, {"ext2": "FastAPI", "ext3": "Flask", "ext4": "Flask"})
