@@ -37,8 +37,9 @@ def permuted(x: Column, n: Column, keys: Column, salt: Column) -> Column:
     """The place of x in a pseudorandom permutation of 0 .. n - 1: swap-or-not rounds, each with a key below n.
 
     A round pairs x with key - x (mod n) and swaps the pair or leaves it by a bit of the larger of the two, so every
-    round, and so the whole, is a permutation for any n.
+    round, and so the whole, is a permutation for any n. All is reckoned in longs, whatever integers are given.
     """
+    x, n, keys, salt = x.cast("long"), n.cast("long"), keys.cast("array<long>"), salt.cast("long")
 
     def step(at: Column, key: Column) -> Column:
         other = (key + n - at) % n

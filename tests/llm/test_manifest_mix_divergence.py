@@ -111,6 +111,12 @@ def test_permutation_takes_each_place_once(spark):
         assert sorted(r.x for r in got) == list(range(n)) and (n < 100 or sum(r.x == r.id for r in got) < 10)
 
 
+def test_permutation_of_ints_is_that_of_longs(spark):
+    n, keys = 100_000, [99_999, 54_321, 7]
+    at = [spark.range(50).select(mixing.permuted(F.col("id").cast(t), F.lit(n).cast(t), F.array(*map(F.lit, keys)).cast(f"array<{t}>"), F.lit(3).cast(t)).alias("x")) for t in ("int", "long")]
+    assert at[0].collect() == at[1].collect() and at[0].dtypes == [("x", "bigint")]
+
+
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
