@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 4
-SENTINEL, CACHE, LONG = -1e8, 7_000_000, 200
+SENTINEL, CACHE, WINDOWS = -1e8, 12_000_000, 100_000
 MARKS = ".,!*#%$&|?;:"
 
 Path = tuple[int, tuple[int, ...]]  # score, ids
@@ -24,25 +25,42 @@ Path = tuple[int, tuple[int, ...]]  # score, ids
 NEVER, FAR = -(1 << 62), 1 << 62
 
 
-class _Known(dict):
-    """unit -> unit_best(unit), of bounded memory: counted in characters, and long units are not kept.
+class _Part(dict):
+    """unit -> where its ids, score and gap (see unit_best) stand in flat arrays; what is missing comes from an older part or is made."""
 
-    When half is full, the older half goes.
-    """
+    def __init__(self, make, old=None):
+        self.make, self.old, self.size = make, old, 0
+        self.ids, self.ends, self.scores, self.gaps = array("i"), array("q", [0]), array("q"), array("q")
 
-    def __init__(self, make):
-        self.make, self.old, self.size = make, {}, 0
-
-    def __missing__(self, s: str) -> tuple:
-        got = self.old.get(s) or self.make(s)
-        if len(s) > LONG:
-            return got
-        if self.size >= CACHE:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        self[s] = got
+    def __missing__(self, s: str) -> int:
+        ids, score, gap = self.old.row(s) if self.old and s in self.old else self.make(s)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.scores.append(score)
+        self.gaps.append(gap)
         self.size += len(s) + 20
-        return got
+        self[s] = at = len(self.gaps) - 1
+        return at
+
+    def row(self, s: str) -> tuple:
+        at = self[s]
+        return self.ids[self.ends[at] : self.ends[at + 1]], self.scores[at], self.gaps[at]
+
+
+class _Known:
+    """unit -> unit_best(unit), of bounded memory, counted in characters: when half is full, trim() lets the older half go."""
+
+    def __init__(self, make):
+        self.part = _Part(make)
+
+    def trim(self) -> None:
+        if self.part.size >= CACHE:
+            self.part.old = None
+            self.part = _Part(self.part.make, self.part)
+
+    def __getitem__(self, s: str) -> tuple:
+        ids, score, gap = self.part.row(s)
+        return tuple(ids), score, gap
 
 
 class Lattice:
@@ -81,6 +99,7 @@ class Lattice:
         marks = re.escape(MARKS)
         self.unit = re.compile(f" *[^ {breaks}](?:[^ {breaks}{marks}]+{go_on})*| +|[{breaks or ' '}]" if alone else r"(?s).+")
         self.known = _Known(self.unit_best)
+        self.windows: dict[str, tuple] = {}
 
     def edges_to(self, s: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """The edges (start, score, ids) that end at a position, the shortest first."""
@@ -145,34 +164,57 @@ class Lattice:
             out.append((best[-1] - loss, tuple(ids)))
         return out
 
+    def window(self, w: str) -> tuple[tuple[tuple[int, int, int], ...], bool]:
+        """The pieces that a window of at most three characters starts with, as (length, score, id), and whether longer ones may go on."""
+        get, hits = self.prefix.get, []
+        for k in range(1, len(w) + 1):
+            hit = get(w[:k], 0)
+            if hit == 0:
+                return tuple(hits), False
+            if hit is not None:
+                hits.append((k, hit[1], hit[0]))
+        return tuple(hits), len(w) == 3
+
     def unit_best(self, s: str) -> tuple[tuple[int, ...], int, int]:
         """Best ids, best score, and how far the second best is below it (FAR: there is none), by a two-best Viterbi pass."""
-        get, n = self.prefix.get, len(s)
+        get, windows, unknown, n = self.prefix.get, self.windows, self.unknown, len(s)
         best, second, back = [NEVER] * (n + 1), [NEVER] * (n + 1), [None] * (n + 1)
         best[0] = 0
         for i in range(n):
-            one, two, j = best[i], second[i], i + 1
-            hit = get(s[i:j], 0)
-            if not hit:
-                some, c, d = None, one + self.unknown, two + self.unknown
+            one, two, w = best[i], second[i], s[i : i + 3]
+            if w in windows:
+                hits, longer = windows[w]
+            else:
+                if len(windows) >= WINDOWS:
+                    windows.clear()
+                hits, longer = windows[w] = self.window(w)
+            if not hits or hits[0][0] > 1:
+                j, c, d = i + 1, one + unknown, two + unknown
                 if c > best[j]:
+                    second[j] = best[j] if best[j] > d else d
+                    best[j], back[j] = c, (i, None)
+                elif c > second[j]:
+                    second[j] = c
+            for k, score, some in hits:
+                j, c = i + k, one + score
+                if c > best[j]:
+                    d = two + score
                     second[j] = best[j] if best[j] > d else d
                     best[j], back[j] = c, (i, some)
                 elif c > second[j]:
                     second[j] = c
-            while hit != 0:
-                if hit is not None:
-                    c = one + hit[1]
-                    if c > best[j]:
-                        d = two + hit[1]
-                        second[j] = best[j] if best[j] > d else d
-                        best[j], back[j] = c, (i, hit[0])
-                    elif c > second[j]:
-                        second[j] = c
-                j += 1
-                if j > n:
-                    break
-                hit = get(s[i:j], 0)
+            if longer:
+                j = i + 4
+                while j <= n and (hit := get(s[i:j], 0)) != 0:
+                    if hit is not None:
+                        c = one + hit[1]
+                        if c > best[j]:
+                            d = two + hit[1]
+                            second[j] = best[j] if best[j] > d else d
+                            best[j], back[j] = c, (i, hit[0])
+                        elif c > second[j]:
+                            second[j] = c
+                    j += 1
         ids: list[int] = []
         at = n
         while at:
@@ -185,24 +227,46 @@ class Lattice:
         ids.reverse()
         return tuple(ids), best[n], best[n] - second[n] if second[n] > NEVER // 2 else FAR
 
-    def encode(self, text: str, n: int = NBEST) -> tuple[list[int], int, list[tuple[int, list[tuple[int, tuple[int, ...]]]]]]:
-        """ids and score of the best segmentation, and the n best as (score, [(unit, other ids)]), the best first.
+    def encode_all(self, texts: list[str], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, list[tuple[int, tuple[int, ...]]]]]]]:
+        """For texts at once: ids of the best segmentations, one after the other, how many each text has, their scores, and for
+        each text the n best as (score, [(unit, other ids)]), the best first. An empty text has no ids, score 0, and no n best.
 
         Only the n - 1 units with the smallest loss for their second best can differ from the best in any of the n.
         """
-        if not text:
-            return [], 0, []
-        units = self.unit.findall(" " + text)
-        found = list(map(self.known.__getitem__, units))
-        some, scores, gaps = zip(*found)
-        ids, total = list(chain.from_iterable(some)), sum(scores)
-        close = [k for k in heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[k] < FAR]
+        self.known.trim()
+        part, find = self.known.part, self.unit.findall
+        units = [find(" " + t) if t else [] for t in texts]
+        count = np.fromiter(map(len, units), np.int64, len(units))
+        at = np.fromiter(map(part.__getitem__, chain.from_iterable(units)), np.int64, int(count.sum()))
+        if not len(at):
+            return np.empty(0, np.int32), count, count, [[] for _ in texts]
+        ends = np.frombuffer(part.ends, np.int64)
+        start, gaps = ends[at], np.frombuffer(part.gaps, np.int64)[at]
+        size = ends[at + 1] - start
+        upto = np.cumsum(size)
+        ids = np.frombuffer(part.ids, np.int32)[np.repeat(start - upto + size, size) + np.arange(upto[-1])]
+        edge = np.concatenate([[0], np.cumsum(count)])
+        over = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
+        totals, out = over(np.frombuffer(part.scores, np.int64)[at]), []
+        for a, own, total in zip(edge.tolist(), units, totals.tolist()):
+            out.append(self._ways(own, gaps[a : a + len(own)], total, n) if own else [])
+        return ids, over(size), totals, out
+
+    def _ways(self, units: list[str], gaps: np.ndarray, total: int, n: int) -> list[tuple[int, list[tuple[int, tuple[int, ...]]]]]:
+        """The n best of a text from its units' n best: see encode_all."""
+        close = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]) if 1 < n <= len(gaps) else np.arange(len(gaps))
+        close = close[np.argsort(gaps[close], kind="stable")][: n - 1]
         ways: list[tuple[int, tuple]] = [(0, ())]
-        for k in sorted(close):
-            own = self.nbest(units[k], n)
-            own = [(found[k][1], found[k][0])] + [p for p in own if p[1] != found[k][0]][: n - 1]
-            ways = heapq.nsmallest(n, ((loss + found[k][1] - score, change + (((k, some),) if j else ())) for loss, change in ways for j, (score, some) in enumerate(own)), key=lambda w: (w[0], [c[0] for c in w[1]], w[1]))
-        return ids, total, [(total - loss, list(change)) for loss, change in ways]
+        for k in sorted(close[gaps[close] < FAR].tolist()):
+            ids, best, _ = self.known[units[k]]
+            own = [(best, ids)] + [p for p in self.nbest(units[k], n) if p[1] != ids][: n - 1]
+            ways = heapq.nsmallest(n, ((loss + best - score, change + (((k, some),) if j else ())) for loss, change in ways for j, (score, some) in enumerate(own)), key=lambda w: (w[0], [c[0] for c in w[1]], w[1]))
+        return [(total - loss, list(change)) for loss, change in ways]
+
+    def encode(self, text: str, n: int = NBEST) -> tuple[list[int], int, list[tuple[int, list[tuple[int, tuple[int, ...]]]]]]:
+        """ids and score of the best segmentation of one text, and its n best (see encode_all)."""
+        ids, _, totals, ways = self.encode_all([text], n)
+        return ids.tolist(), int(totals[0]), ways[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -232,10 +296,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, nbest: int = NBEST, id_col:
             ids, column = batch.column(0), batch.column(1)
             for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), 1 << 20):
                 texts = column.slice(a, b - a).to_pylist()
-                got = [None if t is None else lattice.encode(t, nbest) for t in texts]
-                tokens = pa.array([None if g is None else np.array(g[0], np.int32) for g in got], pa.list_(pa.int32()))
-                ways = pa.array([[{"score": s, "changes": [{"unit": k, "ids": i} for k, i in c]} for s, c in g[2]] if g else [] for g in got], best)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tokens, pa.array([g and g[1] for g in got], pa.int64()), ways, pa.array([g and lattice.decode(g[0]) == t for g, t in zip(got, texts)], pa.bool_())], ["doc_id", "ids", "score", "nbest", "restored"])
+                found, sizes, totals, some = lattice.encode_all([t or "" for t in texts], nbest)
+                null, edge = np.array([t is None for t in texts]), np.concatenate([[0], np.cumsum(sizes)])
+                tokens = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(found), mask=pa.array(null))
+                ways = pa.array([[{"score": s, "changes": [{"unit": k, "ids": i} for k, i in c]} for s, c in w] for w in some], best)
+                restored = [None if t is None else lattice.decode(found[x:y].tolist()) == t for t, x, y in zip(texts, edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tokens, pa.array(totals, pa.int64(), mask=null), ways, pa.array(restored, pa.bool_())], ["doc_id", "ids", "score", "nbest", "restored"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, ids array<int>, score long, nbest array<struct<score: long, changes: array<struct<unit: int, ids: array<int>>>>>, restored boolean")
 

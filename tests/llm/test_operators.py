@@ -471,6 +471,22 @@ def test_nbest_equals_all_segmentations(lattice, s):
     assert len({tuple(map(tuple, c)) for _, c in ways}) == len(ways)
 
 
+def test_texts_at_once_equal_single_texts_and_units_are_kept_once(lattice, monkeypatch):
+    q = random.Random(21)
+    texts = ["", "a", " ", "\u2581x", "\ud800 lone", "x" * 900] + ["".join(q.choice("aeth 1.,;\né字😀") for _ in range(q.randint(0, 90))) for _ in range(80)]
+    made, unit_best = Counter(), lattice.unit_best
+    monkeypatch.setattr(lattice.known.part, "make", lambda s: made.update([s]) or unit_best(s))
+    for n in (1, 2, 5):
+        ids, sizes, totals, ways = lattice.encode_all(texts, n)
+        edge = [0, *np.cumsum(sizes)]
+        assert [(ids[a:b].tolist(), int(t), w) for a, b, t, w in zip(edge, edge[1:], totals, ways)] == [lattice.encode(t, n) for t in texts]
+    assert set(made.values()) == {1}  # a unit in use stays known, also when the older half goes
+    monkeypatch.setattr(pieces, "CACHE", 1)
+    for _ in range(3):
+        lattice.encode_all(texts)
+    assert set(made.values()) == {1} and not lattice.known.part.old.old
+
+
 def test_pieces_round_trip(spark, lattice):
     import sentencepiece
 
