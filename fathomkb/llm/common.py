@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +11,29 @@ from pyspark.sql import functions as F
 
 from fathomkb.sources.shared import remove, scratch
 from fathomkb.sources.shared import written as cut
-from fathomkb.sources.spread import hot_keys, join_spread
+from fathomkb.sources.spread import hot_keys, join_spread, some_hot
 
-__all__ = ["BROADCAST_ROWS", "MASK32", "Scratch", "broadcast_if_small", "cut", "hot_keys", "join_spread", "mix64", "packed", "scratch", "slices"]
+__all__ = ["BROADCAST_ROWS", "MASK32", "Scratch", "broadcast_if_small", "cut", "hot_keys", "join_spread", "mix64", "packed", "scratch", "slices", "small_batches", "some_hot"]
 
 MASK32 = np.uint64(0xFFFFFFFF)
 #: Rows that a broadcast table may have.
 BROADCAST_ROWS = 200_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 1 << 22, rows: int = 1_000) -> Iterator[None]:
+    """Of what runs inside, Python gets at most about `size` bytes and `rows` rows in a batch, of which executors hold several copies outside the heap."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    old = {k: spark.conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Written tables that are only steps: all are deleted at the end of the with block."""
 

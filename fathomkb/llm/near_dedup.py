@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from fathomkb.sources.spread import running
 
-from .common import MASK32, Scratch, broadcast_if_small, cut, hot_keys, join_spread, mix64, packed, slices
+from .common import MASK32, Scratch, broadcast_if_small, cut, join_spread, mix64, packed, slices, small_batches, some_hot
 from .graph import components
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, PARITIES = 32, 4, 1024
+#: Classes whose bands one task sorts.
+CLASSES = 5_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -93,7 +95,7 @@ def _sign(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
-            for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), 1 << 19):
+            for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), 1 << 18):
                 sets = [shingles(x.as_py(), words) for x in column.slice(a, b - a)]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
@@ -142,7 +144,8 @@ def _shingle_rows(words: int):
 def _signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_hash, bands, parities of each row, written."""
     schema = "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, parities array<long>"
-    return cut(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(bands, rows, words), schema), "signatures")
+    with small_batches(docs.sparkSession):
+        return cut(docs.select("doc_id", "text_hash", "text").mapInArrow(_sign(bands, rows, words), schema), "signatures")
 
 
 def _classes(sig: DataFrame) -> DataFrame:
@@ -164,9 +167,10 @@ def _shared_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, already: DataFrame, steps: Scratch, words: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) of representatives, `already` among them, that connect what is alike (see near_duplicates)."""
-    member = classes.select("cls", "rep", "n", F.explode("bands").alias("band"))
+    dealt = classes.select("cls", "rep", "n", "bands").repartition(1 + classes.count() // CLASSES)  # a class is a row for each band
+    member = dealt.select("cls", "rep", "n", F.explode("bands").alias("band"))
     heads = steps.cut(member.groupBy("band").agg(F.min(F.struct("rep", "cls", "n")).alias("h"), F.count("*").alias("k")).filter("k > 1"), "heads")
-    hot = steps.cut(hot_keys(heads, "band", "k"), "hot")
+    hot = some_hot(heads, "band", "k", steps.cut)
     shared = join_spread(member, heads.select("band", F.col("h.rep").alias("h_rep"), F.col("h.cls").alias("h_cls"), F.col("h.n").alias("h_n")), "band", "cls", hot)
     shared = steps.cut(shared.select("band", "cls", "rep", "n", "h_cls", "h_rep", "h_n"), "buckets")
     near = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"  # sets of other sizes cannot reach it
@@ -180,9 +184,10 @@ def _links(docs: DataFrame, classes: DataFrame, already: DataFrame, steps: Scrat
         """Of pairs of classes those whose full sets are alike; a class in very many pairs is dealt over tasks."""
         rows = pairs
         for side, other, text in (("u", "v", "ut"), ("v", "u", "vt")):
-            many = steps.cut(hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), side, "k"), "hot")
+            many = some_hot(pairs.groupBy(side).agg(F.count("*").alias("k")), side, "k", steps.cut)
             rows = join_spread(rows, texts.select(F.col("cls").alias(side), F.col("text").alias(text)), side, other, many)
-        return steps.cut(rows.select("u", "v", "ur", "vr", "ut", "vt").mapInArrow(_verify(words, percent), "u long, v long"), "links")
+        with small_batches(docs.sparkSession):
+            return steps.cut(rows.select("u", "v", "ur", "vr", "ut", "vt").mapInArrow(_verify(words, percent), "u long, v long"), "links")
 
     found = already.unionByName(confirmed(first))
     so_far = components(found)
@@ -194,10 +199,11 @@ def _links(docs: DataFrame, classes: DataFrame, already: DataFrame, steps: Scrat
 
     # a link between two components rests on shingles that both have: count these for each class
     shingle_rows = mixed.select("cls", "c").distinct().join(texts, "cls").select("cls", "c", "text")
-    shingle_rows = steps.cut(shingle_rows.mapInArrow(_shingle_rows(words), "cls long, c long, shingle long"), "shingles")
+    with small_batches(docs.sparkSession):
+        shingle_rows = steps.cut(shingle_rows.mapInArrow(_shingle_rows(words), "cls long, c long, shingle long"), "shingles")
     both = shingle_rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("shingle", "k")
     both = steps.cut(both, "both")
-    outside = join_spread(shingle_rows, both.select("shingle"), "shingle", "cls", hot_keys(both, "shingle", "k")).groupBy("cls").agg(F.count("*").alias("s"))
+    outside = join_spread(shingle_rows, both.select("shingle"), "shingle", "cls", some_hot(both, "shingle", "k", steps.cut)).groupBy("cls").agg(F.count("*").alias("s"))
     could = f"{100 + percent} * least({{s}}, {{t}}) >= {percent} * ({{a}} + {{b}})"
     able = mixed.join(outside.join(classes.select("cls", "parities"), "cls"), "cls")
     differ = " + ".join(f"bit_count(parities[{i}] ^ {{other}}[{i}])" for i in range(PARITIES // 64))

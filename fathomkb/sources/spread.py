@@ -45,8 +45,16 @@ def hot_keys(counts: DataFrame, key: str, count: str, block: int = BLOCK, most:
     return large.select(key, F.ceil(F.col(count) / block).cast("int").alias("pieces"))
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """left and right joined on key; left's rows of a hot key are dealt over parts by the hash of column `by`, right's copied to each part."""
+def some_hot(counts: DataFrame, key: str, count: str, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame | None:
+    """hot_keys as a table that cut writes, or None where no key is hot, so that join_spread is a plain join without broadcasts."""
+    hot = cut(hot_keys(counts, key, count), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left and right joined on key; left's rows of a hot key are dealt over parts by the hash of column `by`, right's copied to each part. None: no key is hot."""
+    if hot is None:
+        return left.join(right, key, how)
     few = F.broadcast(hot.select(F.col(key).alias("_hot"), "pieces"))
     n = F.coalesce("pieces", F.lit(1))
     a = left.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_hot", "pieces")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from fathomkb.llm import ann, near_dedup, secrets, substring_dedup
+from fathomkb.llm import ann, common, near_dedup, secrets, substring_dedup
 
 r = random.Random(8)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, before long"
@@ -74,3 +74,31 @@ def test_passages_that_documents_hold_unequally(spark):
             at = raw.index(p.encode())
             assert covered[at : at + len(p)].all(), p
         assert covered.sum() < sum(map(len, passages)) * 1.1
+
+
+def test_batches_of_long_texts_are_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    sign, cut = near_dedup._sign, near_dedup.cut
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "size"])
+
+    rows = spark.range(0, 3_000, 1, 1).selectExpr("id doc_id", "id text_hash", "repeat(cast(id as string), 3000) text")
+    seen = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: seen.append(cut(rows.mapInArrow(sizes, "rows long, size long"), "sizes")) or cut(df, name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert near_dedup._signatures(rows, 32, 4, 5).count() == 3_000 and sign is near_dedup._sign
+    got = seen[0].collect()
+    assert sum(x.rows for x in got) == 3_000 and max(x.size for x in got) < 6 << 20
+    assert before == (spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+
+
+def test_joins_without_hot_keys_are_plain(spark):
+    counts = spark.createDataFrame([(1, 20_000), (2, 3)], "key long, k long")
+    assert common.some_hot(counts.filter("key = 2"), "key", "k") is None and [r.key for r in common.some_hot(counts, "key", "k").collect()] == [1]
+    left, right = spark.range(9).selectExpr("id % 3 key", "id"), spark.range(2).selectExpr("id key", "id + 5 w")
+    for how in ("inner", "left"):
+        plain, dealt = (sorted(map(str, common.join_spread(left, right, "key", "id", hot, how).collect())) for hot in (None, counts.selectExpr("key", "3 pieces")))
+        assert plain == dealt and len(plain) == (6 if how == "inner" else 9)
