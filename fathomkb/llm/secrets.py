@@ -160,6 +160,18 @@ def train(labelled: DataFrame, trees: int = 30, depth: int = 6, seed: int = 7) -
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors.repartition(4))
 
 
+_forests: dict[str, RandomForestClassificationModel] = {}
+
+
+def forest(spark: SparkSession) -> RandomForestClassificationModel:
+    """The forest of labelled_findings(), trained once an application: they are fixed, so it is the same each time."""
+    key = spark.sparkContext.applicationId
+    if key not in _forests:
+        _forests.clear()
+        _forests[key] = train(labelled_findings(spark))
+    return _forests[key]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, pos, candidate, score (share of the forest for "secret"), is_secret.
 
@@ -170,7 +182,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     Null and empty texts have no candidates; null ids, repeated rows and repeated candidates stay as they are; a null
     path counts as empty; an empty table gives no rows; other columns are ignored.
     """
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    model = train(labelled) if labelled is not None else forest(docs.sparkSession)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features(candidates(docs, id_col, text_col, path)))
     score = vector_to_array("probability")[1]
     return model.transform(rows).select("doc_id", "pos", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))

@@ -102,3 +102,10 @@ def test_joins_without_hot_keys_are_plain(spark):
     for how in ("inner", "left"):
         plain, dealt = (sorted(map(str, common.join_spread(left, right, "key", "id", hot, how).collect())) for hot in (None, counts.selectExpr("key", "3 pieces")))
         assert plain == dealt and len(plain) == (6 if how == "inner" else 9)
+
+
+def test_the_forest_is_trained_once(spark, monkeypatch):
+    calls, train = [], secrets.train
+    monkeypatch.setattr(secrets, "train", lambda *a: calls.append(1) or train(*a))
+    rows = docs(spark, [(1, f'token="{key(40)}"'), (2, "no secret")])
+    assert [secrets.scan(rows).filter("is_secret").count() for _ in range(3)] == [1, 1, 1] and len(calls) <= 1
