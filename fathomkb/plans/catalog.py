@@ -768,8 +768,9 @@ def a23_relations_by_subject(spark, d):
 
 @query("""SELECT 'order-' || l_orderkey AS id, min_by(l_returnflag, l_linenumber * 1000000 + l_partkey) AS first_flag, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ',') AS evidence FROM lineitem GROUP BY l_orderkey""")
 def a25_merge_claims(spark, d):
-    rows = v.read(spark, d, "lineitem").selectExpr("concat('order-', l_orderkey) id", "l_returnflag flag", "l_linenumber", "l_partkey", "concat('s', l_suppkey) ev")
-    return rows.groupBy("id").agg(F.min_by("flag", F.struct("l_linenumber", "l_partkey", "flag")).alias("first_flag"), F.array_join(F.sort_array(F.collect_set("ev")), ",").alias("evidence"))
+    rows = v.read(spark, d, "lineitem").selectExpr("concat('order-', l_orderkey) id", "l_returnflag flag", "l_linenumber * 1000000L + l_partkey key", "_metadata.file_path", "_metadata.row_index", "concat('s', l_suppkey) ev")
+    order = F.when(F.col("flag").isNotNull() & F.col("key").isNotNull(), F.struct("key", "file_path", "row_index"))  # of equal keys the row that is read first
+    return rows.groupBy("id").agg(F.min_by("flag", order).alias("first_flag"), F.array_join(F.sort_array(F.collect_set("ev")), ",").alias("evidence"))
 
 
 @query("""SELECT 'status' AS key, status AS value, count(*) AS n FROM v_relations GROUP BY 2 UNION ALL SELECT 'predicate', predicate, count(*) FROM v_relations GROUP BY 2 UNION ALL SELECT 'tier', CAST(tier AS VARCHAR), count(*) FROM v_claims WHERE coalesce(nullif(lifecycle_status, ''), 'active') = 'active' GROUP BY 2""", "relations claims")
