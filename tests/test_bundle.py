@@ -3,11 +3,12 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathomkb.functions.canonical import row_json
+from fathomkb.functions.canonical import json_string, row_json
 from fathomkb.operators import bundle_reports, rules, spans
 from fathomkb.operators import report as P
 from fathomkb.operators import static_claims as T
@@ -103,6 +104,14 @@ def test_canonical_json(spark, indent):
         assert r.j == json.dumps(r.r.asDict(True), sort_keys=True, indent=indent)
 
 
+def test_json_of_odd_and_long_texts(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice('ab\\"/u0 \x00\x08\t\n\x0b\x0c\r\x1f\x7f\x80é\u2028\uffff😀') for _ in range(r.randint(0, 12))) for _ in range(400)] + ["a é\n😀" * 50_000]
+    began = time.monotonic()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", json_string(F.col("t")).alias("j")).collect()
+    assert all(x.j == json.dumps(texts[x.i]) for x in got) and time.monotonic() - began < 30  # quadratic in a text's length, it takes minutes
+
+
 FRONT = {
     "plain": ("just a body\n", None, None, "just a body\n"), "null": (None, None, None, ""), "unterminated": ("---\ntype: x\nno end\n", frontmatter.UNTERMINATED, None, ""), "empty": ("---\n---\nbody", frontmatter.NO_TYPE, None, ""),
     "list": ("---\n- a\n- b\n---\n", frontmatter.NO_MAPPING, None, ""), "scalar": ("---\nhello\n---\nb", frontmatter.NO_MAPPING, None, ""), "falsy": ("---\ntype: ''\n---\n", frontmatter.NO_TYPE, None, ""),
