@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomkb.functions.scalars import slugify
+from fathomkb.sources.sinks import INDEX, read_packed
 
 LANGUAGES = {"py": "python", "cbl": "cobol", "cob": "cobol", "cpy": "cobol"}
 TYPES = {"md": "markdown", "txt": "text", "pdf": "pdf", "docx": "docx"}
@@ -40,14 +41,19 @@ def read_states(spark: SparkSession, path: str, schema: str, missing: str = "def
     missing: what an absent path, or one without files, is: "default" (no rows) or "error". corrupt: what a file is that is no JSON, or no
     object: "default" (a row with a null state), "drop" (no row), or "error" as soon as it is read. Fields that schema doesn't name are
     not read, those that a file lacks are null, a field of another type makes that field null. Spark lists no file of zero bytes, so such a
-    file is as one that is missing.
+    file is as one that is missing. Where sinks.write_packed has left the states, their files are path and name.
     """
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
         if missing == "error":
             raise FileNotFoundError(path)
         return spark.createDataFrame([], f"file string, state struct<{_struct(schema)}>, corrupt boolean")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.decode(F.coalesce("content", F.lit(b"")), "UTF-8").alias("value"))
+    if store.exists(hadoop.Path(where, INDEX)):
+        files = read_packed(spark, path).select(F.concat(F.lit(f"{path}/"), "document").alias("file"), F.col("text").alias("value"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.decode(F.coalesce("content", F.lit(b"")), "UTF-8").alias("value"))
     if missing == "error" and files.isEmpty():
         raise FileNotFoundError(path)
     whole = files.withColumn("state", F.from_json("value", f"{schema}, corrupt_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_"}))

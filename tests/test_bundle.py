@@ -12,7 +12,9 @@ from fathomkb.functions.canonical import json_string, row_json
 from fathomkb.operators import bundle_reports, rules, spans
 from fathomkb.operators import report as P
 from fathomkb.operators import static_claims as T
+from fathomkb.plans import catalog
 from fathomkb.sources import files, frontmatter, sinks, turtle
+from fathomkb.sources.shared import shared_dir
 from fathomkb.sources.spread import first_k, range_join, running
 
 
@@ -200,3 +202,44 @@ def test_version_registry(spark):
     data = [("a", "-2", None, "", "c", None), ("b", "3", "own", "retired", "c", []), ("c", "x", "", None, "c", [("v9", "9", "superseded", "k"), ("v1", None, None, None)]), ("", "1", None, "", "c", None), (None, "1", None, "", "c", None)]
     got = rows_of(P.version_registry(spark.createDataFrame(data, kind)), "source_id", "version", "version_id", "status", "active_version_id", "synthesized", "position")
     assert got == [("a", "1", "a:v1", "active", "a:v1", True, 1), ("b", "3", "own", "active", "own", True, 1), ("c", "9", "v9", "superseded", "c:v1", False, 1), ("c", None, "v1", None, "c:v1", False, 2)]
+
+
+def test_packed_documents_and_states(spark, tmp_path):
+    r = random.Random(9)
+    texts = {"a/b.md": "", "a/ü 1": "\n", "[x]*": "one\n\n", "long": "\n".join(f"line {i}" for i in range(60)), "null": None} | {f"d{i}": "".join(r.choice(["x", "\n", "\r\n", "\\", " "]) for _ in range(r.randint(0, 20))) for i in range(200)}
+    rows = spark.createDataFrame(list(texts.items()), "name string, body string").repartition(5)
+    seen = []
+    for run in ("one", "two"):
+        index = sinks.write_packed(sinks.text_lines(rows, "name", "body"), f"{tmp_path}/{run}", per_file=100)
+        assert index.groupBy("document").count().filter("count > 2").count() == 0 and index.select("document").distinct().count() == len(texts) - 1
+        seen.append({p.name: p.read_bytes() for p in (tmp_path / run / "packed").glob("[0-9]*")})
+    assert seen[0] == seen[1] and len(seen[0]) < 20 and all(x.count(b"\n") <= 100 for x in seen[0].values())
+    assert {x.document: x.text for x in sinks.read_packed(spark, f"{tmp_path}/one").collect()} == {k: t + "\n" for k, t in texts.items() if t is not None}
+    sinks.write_packed(sinks.text_lines(rows.limit(0), "name", "body"), f"{tmp_path}/none")
+    assert sinks.read_packed(spark, f"{tmp_path}/none").count() == 0
+
+    states = {"a": '{"n": 1}', "b": "", "c": '{"n": ', "d": '{\n  "n": "x"\n}', "e": "[1]"}
+    (tmp_path / "single").mkdir()
+    for k, t in states.items():
+        (tmp_path / "single" / f"{k}.json").write_text(t + "\n")
+    sinks.write_packed(sinks.text_lines(spark.createDataFrame([(f"{k}.json", t) for k, t in states.items()], "name string, body string"), "name", "body"), f"file://{tmp_path}/states", ".json")
+    for corrupt in ("default", "drop"):
+        single, packed = ({x.file[-6]: (x.state and x.state.n, x.corrupt) for x in files.read_states(spark, f"file://{tmp_path}/{f}", "n int", corrupt=corrupt).collect()} for f in ("single", "states"))
+        assert single == packed and set(packed) == set("ad" if corrupt == "drop" else "abcde")
+    with pytest.raises(FileNotFoundError):
+        files.read_states(spark, f"{tmp_path}/none", "n int", missing="error")
+
+
+def test_lines_of_a_constant_document_stay_in_order(spark, tmp_path):
+    lines = spark.range(3000, numPartitions=7).selectExpr("'all' document", "3000 - id line", "concat('t', 3000 - id) text")
+    manifest = sinks.write_documents(lines, f"{tmp_path}/d", per_file=1000)
+    assert (tmp_path / "d" / "all" / "00001.md").read_text() == "".join(f"t{i}\n" for i in range(1001, 2001)) and manifest.count() == 3
+
+
+@pytest.mark.parametrize("name", ["s6_states", "x11_adopted_symbols", "s15_documents_read_back"])
+def test_files_are_few_however_many_documents(spark, tmp_path, name):
+    spark.range(1200).selectExpr("id s_suppkey", "concat('Supplier', id) s_name", "cast(id % 25 as int) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    top = shared_dir(spark).removeprefix("file://")
+    count = lambda: sum(len(f) for _, _, f in os.walk(top))
+    before = count()
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() >= 900 and count() - before < 150
