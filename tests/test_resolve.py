@@ -1,5 +1,8 @@
 """Name resolution, numbering, reports and paths on small frames with nulls, ties and empties."""
 
+import os
+import random
+
 from pyspark.sql import functions as F
 
 from fathomkb.functions import scalars as fn
@@ -9,6 +12,7 @@ from fathomkb.operators import relations as R
 from fathomkb.operators import report as P
 from fathomkb.operators import resolve as N
 from fathomkb.operators import validate as V
+from fathomkb.sources.shared import shared_dir
 
 
 def symbols(spark, rows):
@@ -34,6 +38,24 @@ def test_references_in_order_of_rules(spark):
     assert got["s8", "lone"] == "s7" and N.resolve_references(refs.limit(0), s, imports, classes).count() == 0
 
 
+def test_references_in_parts_leave_no_step_tables(spark):
+    r = random.Random(5)
+    s = symbols(spark, [(f"{m}.{c}.{n}", m) for m in ("a", "a.b", "c") for c in "AB" for n in r.sample(["x", "y", "z", "w", "x"], 3)] + [("a.A", "a"), ("a.B", "a"), ("c.A", "c")])
+    imports = spark.createDataFrame([("a", 0, "a.b"), ("c", 0, "b"), ("a.b", 0, "x")], "module string, pos int, name string")
+    classes = spark.createDataFrame([("a.A", 0, "B"), ("a.B", 0, "c.A"), ("c.A", 0, "a.A")], "qualified_name string, pos int, base string")
+    names = ["x", "y()", "self.x", "cls.y", "self.w", "b.x", "A", "A.x", "a.b.A.z", "none", None]
+    refs = spark.createDataFrame([(f"s{k}", n) for k in range(21) for n in names] + [(None, "x")], "subject string, name string")
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    whole = N.resolve_references(refs, s, imports, classes).collect()
+    middle = set(os.listdir(top))
+    parts = N.resolve_references(refs, s, imports, classes, parts=3).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, whole)) and len(parts) == 21 * len(names)
+    left = lambda new: sorted(x.split("-")[0] for x in new)
+    assert left(middle - before).count("ancestors") == 1
+    assert [x for x in left(set(os.listdir(top)) - middle) if x in ("refs", "asks", "fixed", "owned", "rest", "answers", "part")] == []
+
+
 def test_ancestry_with_cycles_and_diamonds(spark):
     rows = [("m.D", 0, "B"), ("m.D", 1, "C"), ("m.B", 0, "A"), ("m.C", 0, "A"), ("m.A", 0, "D"), ("m.A", 1, "lost")]
     got = {(r["class"], r.ancestor): r.path for r in N.ancestry(spark.createDataFrame(rows, "qualified_name string, pos int, base string")).collect()}
